@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motionlake.llm import simhash_dedup
-from motionlake.llm.common import table
+from motionlake.llm import packing, secret_scan, simhash_dedup, token_records, tokens, warc_zip
+from motionlake.llm.common import shared_dir, table
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +16,40 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to record files, and what the files hold."""
+    uri = shared_dir(spark)
+    manifest = token_records.write_records(table(spark, sf_dir, "documents"), uri, tokens.default_tokenizer(), end_id=2)
+    read = token_records.read_records(spark, uri, manifest)
+    n = (F.octet_length("ids") / 4).cast("bigint")
+    return read.select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived in ZIP packages, and what the packages hold."""
+    uri = shared_dir(spark)
+    packages = warc_zip.write_packages(table(spark, sf_dir, "pages"), uri)
+    return warc_zip.read_packages(packages, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digest_columns(secret_scan.scan(docs, secret_scan.default_ranks()))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_dedup": op4_simhash_dedup,
+        "op5_token_records": op5_token_records,
+        "op6_warc_zip": op6_warc_zip,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
