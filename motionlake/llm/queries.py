@@ -7,8 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import packing, secret_scan, simhash_dedup, token_records, tokens, warc_zip
-from motionlake.llm.common import shared_dir, table
+from motionlake.llm import decontamination, html_extraction, packing, quality_rules, secret_scan, simhash_dedup, token_records, tokens, toxicity, warc_zip
+from motionlake.llm.common import fold_column, shared_dir, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; labels of the held-out third are not used."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_column("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host verdicts for all documents; the host is the source."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +51,11 @@ def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_packages(packages, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,9 +69,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_host_quality": op3_host_quality,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_token_records": op5_token_records,
         "op6_warc_zip": op6_warc_zip,
+        "op7_html_extraction": op7_html_extraction,
         "op8_secret_scan": op8_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
