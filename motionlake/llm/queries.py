@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import decontamination, html_extraction, packing, quality_rules, secret_scan, simhash_dedup, token_records, tokens, toxicity, warc_zip
+from motionlake.llm import decontamination, html_extraction, lbl_lm, packing, quality_rules, secret_scan, simhash_dedup, token_records, tokens, toxicity, warc_zip
 from motionlake.llm.common import fold_column, shared_dir, table
 
 
@@ -67,6 +67,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
 
 
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents; a fifth of them is not learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_column("doc_id", 5) == 1
+    scored = lbl_lm.fit(docs, ~held_out).score(docs)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -78,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_html_extraction": op7_html_extraction,
         "op8_secret_scan": op8_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_log_bilinear": op10_log_bilinear,
     }
 
 

@@ -171,3 +171,24 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, keep: list
     ids = materialize(linked.join(least, "root").select("_fp", "_least"))
     named = classes.join(ids, "_fp", "left").select("_fp", F.coalesce("_least", "_rep").alias("component_id"))
     return fps.join(named, "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id", *(keep or []))
+
+
+def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: the smallest ``doc_id``, then the smallest row hash.
+
+    A row is known by its id and a hash of its columns; of rows that repeat whole, one stays. Null
+    ids go last. Only ids, hashes and fingerprints are grouped; texts are not, except those of
+    rows that repeat.
+    """
+    hashed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    classes = near_duplicates(hashed.select("doc_id", "text", "_row"), radius, width, keep=["_row"])
+    first = F.min_by(F.struct("doc_id", "_row"), F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    roots = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    best = classes.groupBy(roots.alias("_class")).agg(first.alias("_first")).select("_first.*")
+    rows = classes.groupBy("doc_id", "_row").agg(F.count("*").alias("_n"))
+    chosen = materialize(best.join(rows, [best["_row"] == rows["_row"], best["doc_id"].eqNullSafe(rows["doc_id"])]).select(best["doc_id"].alias("_id"), best["_row"].alias("_hash"), "_n"))
+    kept = hashed.join(chosen, [F.col("_row") == F.col("_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))])
+    once = kept.filter("_n = 1").select(*docs.columns)
+    if chosen.filter("_n > 1").isEmpty():
+        return once
+    return once.unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns))
