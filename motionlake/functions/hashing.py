@@ -1,0 +1,20 @@
+"""Draws that depend only on a key, so they are the same on any partitioning."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def uniform(seed: int, *keys: Column | str) -> Column:
+    """Uniform in [0, 1), from the first 32 bits of the MD5 of the seed and keys joined by bars."""
+    text = F.concat_ws("|", F.lit(str(seed)), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def normal(seed: int, *keys: Column | str) -> Column:
+    """Standard normal, by the polar form of two uniform draws."""
+    u, v = uniform(seed, F.lit("u"), *keys), uniform(seed, F.lit("v"), *keys)
+    return F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * math.pi * v)
