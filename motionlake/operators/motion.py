@@ -108,11 +108,11 @@ def navigator(curves: DataFrame, params: tuple[str, ...], order: str = "t") -> D
 
 
 def curve_limits(curves: DataFrame, translations: tuple[str, ...], rotations: tuple[str, ...], pad: float = 0.05) -> DataFrame:
-    """Common range of a scan's curves, rotations in degrees, padded; a flat range is widened by its size or one."""
+    """Common range of a scan's curves, rotations in degrees, padded; a flat range is widened by a tenth of its size or of one."""
     cols = [*(F.col(c) for c in translations), *(F.degrees(c) for c in rotations)]
     r = curves.groupBy("scan_id").agg(F.min(F.least(*cols) if len(cols) > 1 else cols[0]).alias("lo"), F.max(F.greatest(*cols) if len(cols) > 1 else cols[0]).alias("hi"))
     span = F.col("hi") - F.col("lo")
-    extra = F.when(span > 0, pad * span).otherwise(F.when(F.abs("hi") > 0, pad * F.abs("hi")).otherwise(F.lit(1.0)))
+    extra = F.when(F.abs(span) < 1e-12, 0.1 * F.greatest(F.abs("hi"), F.lit(1.0))).otherwise(pad * span)
     return r.select("scan_id", (F.col("lo") - extra).alias("lo"), (F.col("hi") + extra).alias("hi"))
 
 
@@ -375,13 +375,13 @@ def best_iterate(log: DataFrame) -> DataFrame:
     """Per scan and level the kept iteration and where it stopped.
 
     Iterations up to the first whose residual is worse than the one before, after iteration 0, count;
-    of those the least residual is kept, the first of equal ones.
+    of those the least residual is kept, the last of equal ones.
     """
     w = Window.partitionBy("scan_id", "level").orderBy("gn_iter")
     marked = log.withColumn("_worse", F.coalesce(F.col("relres") > F.min("relres").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)).cast("int"))
     before = marked.withColumn("_stopped", F.coalesce(F.sum("_worse").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ran = before.filter("_stopped = 0")
-    return ran.groupBy("scan_id", "level").agg(F.min_by("gn_iter", F.struct("relres", "gn_iter")).alias("best_iter"), F.min("relres").alias("best_relres"), F.max("gn_iter").alias("last_iter"))
+    return ran.groupBy("scan_id", "level").agg(F.min_by("gn_iter", F.struct(F.col("relres"), -F.col("gn_iter"))).alias("best_iter"), F.min("relres").alias("best_relres"), F.max("gn_iter").alias("last_iter"))
 
 
 def residual_curves(log: DataFrame) -> DataFrame:
