@@ -62,13 +62,13 @@ def scatter_lines(acq: DataFrame, keys: tuple[str, ...] = ("scan_id", "coil", "n
 
 def dense_grid(lines: DataFrame, ny: int, values: tuple[str, ...], scan: str = "scan_id", axis: str = "ky") -> DataFrame:
     """Every place of every scan, zero where no line was acquired."""
-    grid = lines.select(scan).distinct().select(scan, F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).cast("bigint").alias(axis))
+    grid = lines.select(scan).distinct().select(scan, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ny - 1).cast("bigint"))).alias(axis))
     return grid.join(lines, [scan, axis], "left").select(scan, axis, *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values))
 
 
 def slice_counts(readouts: DataFrame, n_z: int) -> DataFrame:
     """Lines of each slice, empty ones too, and whether the scan's slices have equally many."""
-    grid = readouts.select("scan_id").distinct().select("scan_id", F.explode(F.sequence(F.lit(0), F.lit(n_z - 1))).cast("bigint").alias("z"))
+    grid = readouts.select("scan_id").distinct().select("scan_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_z - 1).cast("bigint"))).alias("z"))
     counts = grid.join(readouts.groupBy("scan_id", "z").agg(F.count("*").alias("n_lines")), ["scan_id", "z"], "left").fillna(0, ["n_lines"])
     range_ = counts.groupBy("scan_id").agg((F.min("n_lines") == F.max("n_lines")).alias("uniform"))
     return counts.join(range_, "scan_id")

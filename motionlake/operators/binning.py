@@ -61,6 +61,6 @@ def state_groups(readouts: DataFrame, n_nex: int, n_states: int) -> DataFrame:
     A null state means that there is no motion signal: the readout is its own group.
     """
     labelled = readouts.withColumn("state", F.coalesce(F.col("state"), F.col("line_idx")))
-    grid = labelled.select("scan_id").distinct().select("scan_id", F.explode(F.sequence(F.lit(0), F.lit(n_nex - 1))).cast("bigint").alias("nex")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))).cast("bigint").alias("state"))
+    grid = labelled.select("scan_id").distinct().select("scan_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_nex - 1).cast("bigint"))).alias("nex")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_states - 1).cast("bigint"))).alias("state"))
     counts = labelled.groupBy("scan_id", "nex", "state").agg(F.count("*").alias("n_lines"))
     return grid.join(counts, ["scan_id", "nex", "state"], "full").fillna(0, ["n_lines"])

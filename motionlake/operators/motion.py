@@ -133,21 +133,21 @@ def breathing_curve(readouts: DataFrame, cycles_min: float, cycles_max: float, s
 
 def draw_rigid_states(scans: DataFrame, n_states: int, limits: dict[str, float], seed: int) -> DataFrame:
     """Uniform draws in plus or minus each limit per scan and state; limits named r* or phi are degrees, given back in radians."""
-    states = scans.select("scan_id", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))).cast("bigint").alias("state"))
+    states = scans.select("scan_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_states - 1).cast("bigint"))).alias("state"))
     draw = lambda p, top: (2 * uniform(seed, "scan_id", "state", F.lit(p)) - 1) * (math.radians(top) if p[0] == "r" or p == "phi" else top)
     return states.select("*", *(draw(p, top).alias(p) for p, top in limits.items()))
 
 
 def draw_event_times(scans: DataFrame, n_events: int, n: int, seed: int) -> DataFrame:
     """Unique event times per scan: those of least hash among the readouts 1 to n - 1."""
-    t = scans.select("scan_id", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).cast("bigint").alias("t0"))
+    t = scans.select("scan_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("t0"))
     rank = F.row_number().over(Window.partitionBy("scan_id").orderBy(uniform(seed, "scan_id", "t0"), "t0"))
     return t.withColumn("event", rank.cast("bigint") - 1).filter(F.col("event") < n_events)
 
 
 def draw_signal(scans: DataFrame, n_states: int, seed: int) -> DataFrame:
     """A standard normal motion signal per scan and shot."""
-    states = scans.select("scan_id", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))).cast("bigint").alias("state"))
+    states = scans.select("scan_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_states - 1).cast("bigint"))).alias("state"))
     return states.withColumn("signal", normal(seed, "scan_id", "state"))
 
 
@@ -159,7 +159,7 @@ def grid(spark: SparkSession, nx: int, ny: int, nz: int = 1) -> DataFrame:
 
 def on_grid(states: DataFrame, nx: int, ny: int, nz: int = 1) -> DataFrame:
     """Each row with every voxel of its grid; made by generating rows, not by a join."""
-    each = states.withColumn("voxel", F.explode(F.sequence(F.lit(0), F.lit(nx * ny * nz - 1))).cast("bigint"))
+    each = states.withColumn("voxel", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nx * ny * nz - 1).cast("bigint"))))
     return each.withColumns({"x": F.floor(F.col("voxel") / (ny * nz)), "y": F.pmod(F.floor(F.col("voxel") / nz), F.lit(ny)), "z": F.pmod("voxel", F.lit(nz))})
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def sample_cells(readouts: DataFrame, nx: int, ny: int, nz: int = 1) -> DataFrame:
     """A row per flat cell of each readout: ``kx * ny + ky``, or ``(kx * ny + ky) * nz + kz`` in 3D."""
     flat = F.col("kx") * ny + F.col("ky")
-    return readouts.withColumn("kx", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).cast("bigint")).withColumn("cell", (flat if nz == 1 else flat * nz + F.col("kz")).cast("bigint")).drop("kx")
+    return readouts.withColumn("kx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nx - 1).cast("bigint")))).withColumn("cell", (flat if nz == 1 else flat * nz + F.col("kz")).cast("bigint")).drop("kx")
 
 
 def lines(meta: DataFrame) -> DataFrame:
@@ -98,5 +98,5 @@ def order_map(readouts: DataFrame, order: str = "acq_idx") -> DataFrame:
 def coverage(readouts: DataFrame, ny: int, nz: int) -> DataFrame:
     """Every cell (ky, kz) of each scan and repetition with its last line's ``state``; null where never acquired."""
     keys = ["scan_id", "nex", "ky", "kz"]
-    grid = readouts.select("scan_id", "nex").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).cast("bigint").alias("ky")).select("*", F.explode(F.sequence(F.lit(0), F.lit(nz - 1))).cast("bigint").alias("kz"))
+    grid = readouts.select("scan_id", "nex").distinct().select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ny - 1).cast("bigint"))).alias("ky")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nz - 1).cast("bigint"))).alias("kz"))
     return grid.join(readouts.groupBy(*keys).agg(F.max_by("state", "line_idx").alias("state")), keys, "left")

@@ -115,7 +115,7 @@ def best_stream(sig: DataFrame, quality: DataFrame) -> DataFrame:
     is taken first, then the best sensor, the first of equal ones.
     """
     dev = sig.groupBy("scan_id", "sensor_id", "channel").agg(F.stddev_pop("y").alias("dev")).join(quality.select("scan_id", "sensor_id", "channel", "kept"), ["scan_id", "sensor_id", "channel"])
-    strength = dev.withColumn("strength", F.when("kept", F.col("dev")).otherwise(0.0))
+    strength = dev.withColumn("strength", F.when(F.col("kept"), F.col("dev")).otherwise(0.0))
     channel = argmax_by(strength, ["scan_id", "sensor_id"], "channel", "strength")
     order = F.struct("strength", -F.col("sensor_id"))
     sensor = channel.groupBy("scan_id").agg(F.max_by(F.struct("sensor_id", "channel"), order).alias("b")).select("scan_id", "b.*")
