@@ -160,11 +160,13 @@ def score(root: Node) -> Node:
 
 def _inline(node: Node) -> Iterator[str]:
     """Text of a block itself: of its strings and inline elements, not of blocks inside."""
-    for x in node.items:
+    stack = list(reversed(node.items))
+    while stack:
+        x = stack.pop()
         if isinstance(x, str):
             yield x
         elif x.tag not in BLOCKS and kept(x):
-            yield from _inline(x)
+            stack += reversed(x.items)
 
 
 def blocks(node: Node) -> list[str]:

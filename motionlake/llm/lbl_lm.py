@@ -29,7 +29,7 @@ from motionlake.llm.common import materialize, texts_of
 END = b"\n"
 #: Most symbols that are words, classes of other words, and words broadcast with their counts.
 TOP_WORDS, CLASSES, HEAD_WORDS = 1023, 128, 200_000
-DIMENSION, NOISE, BATCH, RATE, SEED = 24, 32, 8192, 0.15, 11
+DIMENSION, NOISE, BATCH, RATE, SEED = 24, 32, 2048, 0.07, 11
 #: Distinct words counted, tokens trained on, and tokens scored at once in a task.
 COUNT_ROUND, TRAIN_ROUND, SCORE_ROUND = 400_000, 2_000_000, 500_000
 #: Share of the training texts in the round that prepares the parameters for the full one.
