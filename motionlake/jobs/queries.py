@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motionlake.jobs import workloads
 from motionlake.jobs.fixtures import fixture, with_fixtures
 from motionlake.operators import acquisition, alignment, binning, kspace, motion, recon, sampling, signal
 from motionlake.sources import tables
@@ -722,3 +723,47 @@ def i26_score(fx):
 def i27_naive_recon(fx):
     out = recon.naive_recon(corrupted(fx))
     return out.select("scan_id", "z", "nex", r6(F.aggregate("re", F.lit(0.0), lambda a, x: a + x), "sum_re"))
+
+
+@query()
+def i11_normal(fx):
+    out = recon.normal(slices(fx), truth(fx), models(fx))
+    return out.select("scan_id", "z", "nex", r6(F.aggregate("re", F.lit(0.0), lambda a, x: a + x), "sum_re"))
+
+
+def changes(fx) -> DataFrame:
+    return models(fx).withColumnRenamed("model", "change")
+
+
+@query()
+def i12_perturb(fx):
+    out = recon.perturb(slices(fx), truth(fx), models(fx), changes(fx))
+    return out.select("scan_id", "z", r6(F.aggregate("ksp_re", F.lit(0.0), lambda a, x: a + x), "sum_re"))
+
+
+@query()
+def i13_perturb_adjoint(fx):
+    out = recon.perturb_adjoint(corrupted(fx), truth(fx), models(fx))
+    return out.select("scan_id", "z", F.posexplode("grad_re").alias("param", "v")).select("scan_id", "z", "param", r6("v", "grad_re"))
+
+
+@query(
+    f"SELECT scan_id, t0, event FROM (SELECT scan_id, k.t AS t0, row_number() OVER (PARTITION BY scan_id ORDER BY {u_sql('scan_id', 'k.t')}, k.t) - 1 AS event FROM (SELECT DISTINCT scan_id FROM fx_mev), generate_series(1, 31) AS k(t)) WHERE event < 4"
+)
+def i23_draw_event_times(fx):
+    return motion.draw_event_times(fx("fx_mev").select("scan_id").distinct(), 4, 32, 5).select("scan_id", "t0", "event")
+
+
+@query(
+    f"SELECT scan_id, k.s AS state, round(sqrt(-2 * ln(1 - {u_sql(chr(39) + 'u' + chr(39), 'scan_id', 'k.s')})) * cos(2 * pi() * {u_sql(chr(39) + 'v' + chr(39), 'scan_id', 'k.s')}), 6) + 0.0 AS signal FROM (SELECT DISTINCT scan_id FROM fx_mev), generate_series(0, 5) AS k(s)"
+)
+def i23_draw_signal(fx):
+    return motion.draw_signal(fx("fx_mev").select("scan_id").distinct(), 6, 5).select("scan_id", "state", r6("signal"))
+
+
+@query()
+def wa_align_and_bin(fx):
+    acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")
+    sensor = fx("fx_sensor").select("scan_id", "channel", F.col("us").alias("t"), "y")
+    out = workloads.align_and_bin(acq, sensor, fx("fx_trig"), 1, 3, 1e6, cutoff=1e-5, n_iter=5)
+    return out.readouts.select("scan_id", "acq_idx", "line_idx", "state", r6("motion"), r6("center"))
