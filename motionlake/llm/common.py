@@ -64,6 +64,9 @@ def map_batches(
         for batch in batches:
             if batch.num_rows and (out := step(batch)) is not None:
                 yield out
+                del out, batch
+        # A worker outlives its task: what Arrow holds unused would stand beside the next task's.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -84,6 +84,12 @@ def random_spans(text: str, ranks: str, taken: list[tuple[int, int, str]]) -> li
     return out
 
 
+def all_spans(text: str | None, ranks: str) -> list[tuple[int, int, str]]:
+    """Base and further spans, by start, then in the order of ``KINDS``."""
+    base = base_spans(text or "")
+    return sorted(base + random_spans(text or "", ranks, base), key=lambda s: (s[0], KINDS.index(s[2])))
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
@@ -97,11 +103,8 @@ def scan(docs: DataFrame, ranks: str) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            spans = []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                base = base_spans(text or "")
-                more = random_spans(text or "", ranks, base)
-                spans.append([{"start": a, "end": b, "kind": k} for a, b, k in sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))])
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            spans = [[{"start": a, "end": b, "kind": k} for a, b, k in all_spans(t, ranks)] for t in texts]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "secrets"])
 
@@ -126,26 +129,25 @@ def redact(docs: DataFrame, ranks: str, mark: str = "[secret]") -> DataFrame:
     Texts without a secret, null ones too, stay as they are. The columns are those of ``docs``.
     """
 
-    def clean(text: str, spans: list[dict]) -> str:
+    def clean(text: str) -> str:
         out, at = [], 0
-        for s in spans:
-            if s["start"] >= at:
-                out += [text[at : s["start"]], mark]
-            at = max(at, s["end"])
+        for start, end, _ in all_spans(text, ranks):
+            if start >= at:
+                out += [text[at:start], mark]
+            at = max(at, end)
         return "".join([*out, text[at:]])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             i = batch.schema.get_field_index("text")
-            texts = [clean(t, s) if s else t for t, s in zip(batch.column(i).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            columns = batch.columns[:-1]
-            columns[i] = pa.array(texts, pa.string())
-            return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            columns = batch.columns
+            columns[i] = pa.array([clean(t) if t else t for t in batch.column(i).to_pylist()], pa.string())
+            return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
         return step
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = map_batches(scan(docs, ranks), make, schema)
+    out = map_batches(docs, make, schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))

@@ -11,7 +11,7 @@ import numpy as np
 #: A space that white space or the end follows.
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 #: Words of each of a worker's two generations, and the most characters that a kept word has.
-CACHE_WORDS, CACHE_CHARS = 350_000, 64
+CACHE_WORDS, CACHE_CHARS = 280_000, 64
 #: Pieces looked up together, and new pieces encoded together.
 ROUND_PIECES, JOIN_PIECES = 400_000, 20_000
 
