@@ -90,5 +90,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP3_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+  p AS (SELECT rid, generate_subscripts(ws, 1) AS i, unnest(ws) AS x FROM w),
+  g AS (SELECT rid, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY rid ORDER BY i)),
+  s AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x, y, z) AS n FROM g WHERE z IS NOT NULL) WHERE n > 1),
+  r AS (SELECT rid, count(*) AS n_repeat_words FROM (SELECT DISTINCT rid, i + k.j AS i FROM s, generate_series(0, 2) AS k(j)) GROUP BY rid),
+  c AS (SELECT w.rid, doc_id, source, CAST(len(ws) AS bigint) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS bigint) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS bigint) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN r USING (rid)),
+  j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+  k AS (SELECT *, base_failed OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 14 * n_words)) OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines AS failed FROM j),
+  h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM k GROUP BY source),
+  m AS (SELECT (sum(f) + 1) / (sum(n) + 2) AS mean, var_pop(f / n) AS v, avg(1 / n) AS inv FROM h),
+  q AS (SELECT mean, CASE WHEN v - mean * (1 - mean) * inv <= 0 THEN 1000.0 ELSE least(greatest(mean * (1 - mean) / (v - mean * (1 - mean) * inv) - 1, 1.0), 1000.0) END AS strength FROM m),
+  v AS (SELECT source, (f + mean * strength) / (n + strength) <= 0.5 AS host_kept FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept FROM k LEFT JOIN v ON k.source IS NOT DISTINCT FROM v.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Models, fingerprints of XXH64, token ids, archives and element trees have no SQL; tests hold them against brute force."""
+    return {"op3_host_quality": OP3_SQL}
