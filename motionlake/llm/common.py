@@ -54,6 +54,21 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+#: Rows that JVM and Python exchange at once.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session exchanges at most ``BATCH_ROWS`` rows at once with Python from now on.
+
+    A batch of whole texts stands in memory several times, on both sides and in both directions.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str
 ) -> DataFrame:
@@ -68,7 +83,7 @@ def map_batches(
         # A worker outlives its task: what Arrow holds unused would stand beside the next task's.
         pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

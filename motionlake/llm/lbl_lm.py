@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.llm.common import materialize, texts_of
+from motionlake.llm.common import bounded_batches, materialize, texts_of
 
 END = b"\n"
 #: Most symbols that are words, classes of other words, and words broadcast with their counts.
@@ -67,7 +67,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return texts.select("text").mapInArrow(run, "word string, cls int, c bigint").groupBy("word", "cls").agg(F.sum("c").alias("c"))
+    return bounded_batches(texts.select("text")).mapInArrow(run, "word string, cls int, c bigint").groupBy("word", "cls").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -250,7 +250,7 @@ def train_round(texts: DataFrame, vocab: Vocabulary, start: Parameters) -> Param
             columns = [pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), float(total))), *map(pa.array, np.ascontiguousarray(rows.T))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "n", *names])
 
-    parts = texts.select("text").mapInArrow(run, "row bigint, n double, " + ", ".join(f"{x} double" for x in names))
+    parts = bounded_batches(texts.select("text")).mapInArrow(run, "row bigint, n double, " + ", ".join(f"{x} double" for x in names))
     rows = parts.groupBy("row").agg(*((F.sum(x) / F.sum("n")).alias(x) for x in names)).orderBy("row").collect()
     return Parameters.of(np.array([r[1:] for r in rows]), vocab.size) if rows else start
 
@@ -336,7 +336,8 @@ class Model:
                 if texts:
                     yield step(rids, ids, texts)
 
-        read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint"), "text").mapInArrow(run, fields)
+        texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint"), "text")
+        read = bounded_batches(texts).mapInArrow(run, fields)
         both = read.join(self.counts.select("word", "c"), "word", "left")
         share = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
         of_class = F.element_at(F.array(*map(F.lit, in_class.tolist())), F.col("cls") + 1)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm.common import filesystem, materialize
+from motionlake.llm.common import bounded_batches, filesystem, materialize
 from motionlake.llm.tokens import encoder
 
 MASK = 0xA282EAD8
@@ -98,7 +98,7 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 2, fi
             fs.move(f"{name}.{kind}{trial}", f"{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"file": [context.partitionId()], "records": [len(index)], "ids": [before], "bytes": [at]})
 
-    return materialize(dealt.mapInArrow(run, "file bigint, records bigint, ids bigint, bytes bigint"))
+    return materialize(bounded_batches(dealt).mapInArrow(run, "file bigint, records bigint, ids bigint, bytes bigint"))
 
 
 def read_records(spark: SparkSession, uri: str, manifest: DataFrame, seed: int | None = None) -> DataFrame:

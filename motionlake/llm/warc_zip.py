@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.llm.common import filesystem, map_batches, materialize
+from motionlake.llm.common import bounded_batches, filesystem, map_batches, materialize
 
 #: Bytes of payload after which a package is closed, and bytes fetched at once.
 PACKAGE_BYTES, READ_BYTES = 16 << 20, 4 << 20
@@ -210,7 +210,7 @@ def write_packages(pages: DataFrame, uri: str, revisit_from: int = 0, zip64: boo
         if held:
             yield close()
 
-    return materialize(ready.mapInArrow(run, "path string, size bigint, records bigint"))
+    return materialize(bounded_batches(ready).mapInArrow(run, "path string, size bigint, records bigint"))
 
 
 def read_packages(packages: DataFrame, uri: str) -> DataFrame:
