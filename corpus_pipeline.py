@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motionlake.llm import decontamination, packing, secret_scan, simhash_dedup, tokens, toxicity
+from motionlake.llm import decontamination, near_copies, packing, secret_scan, tokens, toxicity
 from motionlake.llm.common import materialize, table
 
 
@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id; of repeated rows one."""
-    return simhash_dedup.keep_one(docs)
+    """One document of each group of near copies (0.8 of five-word shingles): that with the smallest id; of repeated rows one."""
+    return near_copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

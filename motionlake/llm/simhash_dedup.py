@@ -182,13 +182,18 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """
     hashed = docs.withColumn("_row", F.xxhash64(*docs.columns))
     classes = near_duplicates(hashed.select("doc_id", "text", "_row"), radius, width, keep=["_row"])
-    first = F.min_by(F.struct("doc_id", "_row"), F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     roots = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    best = classes.groupBy(roots.alias("_class")).agg(first.alias("_first")).select("_first.*")
+    return first_rows(hashed, classes.withColumn("_class", roots), docs.columns)
+
+
+def first_rows(hashed: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
+    """The first row of each class of ``classes(doc_id, _row, _class)``, from ``hashed``, whose ``_row`` is the hash of ``columns``."""
+    first = F.min_by(F.struct("doc_id", "_row"), F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    best = classes.groupBy("_class").agg(first.alias("_first")).select("_first.*")
     rows = classes.groupBy("doc_id", "_row").agg(F.count("*").alias("_n"))
     chosen = materialize(best.join(rows, [best["_row"] == rows["_row"], best["doc_id"].eqNullSafe(rows["doc_id"])]).select(best["doc_id"].alias("_id"), best["_row"].alias("_hash"), "_n"))
     kept = hashed.join(chosen, [F.col("_row") == F.col("_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))])
-    once = kept.filter("_n = 1").select(*docs.columns)
+    once = kept.filter("_n = 1").select(*columns)
     if chosen.filter("_n > 1").isEmpty():
         return once
-    return once.unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns))
+    return once.unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_hash"]).select(*columns))
