@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.llm.common import bounded_batches, filesystem, map_batches, materialize
+from motionlake.llm.common import bounded_batches, filesystem, materialize
 
 #: Bytes of payload after which a package is closed, and bytes fetched at once.
 PACKAGE_BYTES, READ_BYTES = 16 << 20, 4 << 20
+#: Bytes of payload, and records, after which the reader gives out a batch.
+BATCH_BYTES, BATCH_RECORDS = 4 << 20, 2000
 ARCHIVE, INDEX, META = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 DATE = "2024-01-01T00:00:00Z"
 END, END64, LOCATOR64, ENTRY, LOCAL = (struct.Struct(f) for f in ("<4s4H2LH", "<4sQ2H2L4Q", "<4sLQL", "<4s4B4HL2L5H2L", "<4s2B4HL2L2H"))
@@ -214,20 +216,37 @@ def write_packages(pages: DataFrame, uri: str, revisit_from: int = 0, zip64: boo
 
 
 def read_packages(packages: DataFrame, uri: str) -> DataFrame:
-    """Every record of ``packages(path, size)``, whose paths are those of ``uri``'s file system."""
+    """Every record of ``packages(path, size)``, whose paths are those of ``uri``'s file system.
 
-    def make():
+    Packages are dealt over as many partitions, a number that adaptive execution keeps, and a
+    task holds a few MB of payload at once, or one larger payload.
+    """
+    kinds = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(uri)
+        rows: list[dict] = []
+        total = 0
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in kinds], names=[n for n, _ in kinds])
+            rows.clear()
+            return batch
+
+        for batch in batches:
             for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with fs.open_input_file(path) as f:
-                    rows += records(f, size)
-            kinds = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in kinds], names=[n for n, _ in kinds])
-
-        return step
+                    for record in records(f, size):
+                        more = len(record["payload"] or b"")
+                        if rows and (total + more > BATCH_BYTES or len(rows) >= BATCH_RECORDS):
+                            yield out()
+                            total = 0
+                        rows.append(record)
+                        total += more
+        if rows:
+            yield out()
+        pa.default_memory_pool().release_unused()
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
-    return map_batches(packages.select("path", "size").repartition("path"), make, schema)
+    dealt = packages.select("path", "size").repartition(max(1, packages.count()), "path")
+    return bounded_batches(dealt).mapInArrow(run, schema)

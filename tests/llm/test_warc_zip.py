@@ -72,3 +72,22 @@ def test_directories():
         W.members(io.BytesIO(b"no zip"), 6)
     with pytest.raises(ValueError):
         W.parse_record(record.replace(b"\r\n\r\nx", b"\r\n\r\ny"))
+
+
+def test_packages_are_read_in_several_tasks_and_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(W, "PACKAGE_BYTES", 3000)
+    monkeypatch.setattr(W, "BATCH_BYTES", 2500, raising=False)
+    pages = spark.createDataFrame([(k, "u", f"{k:04d}" * 250) for k in range(60)], "page_id long, url string, html string").repartition(2)
+    uri = shared_dir(spark)
+    packages = W.write_packages(pages, uri)
+    assert packages.count() == 20
+    read = W.read_packages(packages, uri)
+    assert read.select(W.F.spark_partition_id().alias("p")).distinct().count() > 5
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"n": [sum(b.column(0).to_pylist())]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    assert read.count() == 60 and sorted(r.page_id for r in read.select("page_id").collect()) == list(range(60))
+    assert sum(r.n for r in read.select("payload_bytes").mapInArrow(sizes, "n long").collect()) == 60_000
