@@ -21,13 +21,17 @@ KINDS = ("assign", "access", "hex", "random")
 #: Words of which a text must have one for ASSIGN to match.
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A string worth measuring: long enough, of the letters that keys and encodings use.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=.@-]*@)")
+#: A string worth measuring: long enough, of the letters that keys and encodings use; and its parts.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[^/=]{20,}")
+URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s\"'<>]+")
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 #: Characters per token below which a string counts as random, and classes of characters it must mix.
 MAX_RATIO, MIN_CLASSES = 2.4, 2
 #: Lengths in hexadecimal digits of the digests that texts quote: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
+UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
     r"|[A-Z]{0,2}[a-z]+(?:[_/-][A-Z]{0,2}[a-z]+|[A-Z]{1,2}[a-z]+)*[0-9]{0,4}"  # words joined by case or by marks
@@ -66,21 +70,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def quoted(s: str) -> bool:
+    """A digest of known length, or a UUID."""
+    return bool(len(s) in DIGESTS and DIGEST.fullmatch(s) or UUID.fullmatch(s))
+
+
+def encodes_badly(s: str, ranks: str) -> bool:
+    """Whether a string has few characters per token and is neither a digest nor made of words."""
+    if quoted(s) or IDENTIFIER.fullmatch(s):
+        return False
+    classes = sum(bool(re.search(c, s)) for c in ("[a-z]", "[A-Z]", "[0-9]"))
+    return classes >= MIN_CLASSES and len(s) < MAX_RATIO * len(vocabulary(ranks).encode_ordinary(s))
+
+
 def random_spans(text: str, ranks: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Further strings with few characters per token, outside the spans already taken.
+    """Further strings with few characters per token, but those that lie inside a span already taken.
 
-    Digests of known lengths, UUIDs, addresses and strings made of words are left out first.
+    A string is measured whole and, where that does not mark it, in its parts between ``/`` and ``=``; in URLs,
+    and beside a digest or UUID, only the parts are. Digests of known lengths, UUIDs, e-mail addresses and
+    strings made of words are left out; the name and password of a URL are no e-mail address.
     """
     out = []
+    urls = [m.span() for m in URL.finditer(text)] if "://" in text else []
+    mails = [m.span() for m in EMAIL.finditer(text)] if "@" in text else []
+    mails = [(x, y) for x, y in mails if not any(u < x < v and "/" not in text[text.index("://", u) + 3 : x] for u, v in urls)]
     for m in CANDIDATE.finditer(text):
-        s, (a, b) = m[0], m.span()
-        if any(x < b and a < y for x, y, _ in taken):
-            continue
-        if len(s) in DIGESTS and DIGEST.fullmatch(s) or IDENTIFIER.fullmatch(s):
+        a, b = m.span()
+        if any(x < b and a < y for x, y in mails):
             continue
-        classes = sum(bool(re.search(c, s)) for c in ("[a-z]", "[A-Z]", "[0-9]"))
-        if classes >= MIN_CLASSES and len(s) < MAX_RATIO * len(vocabulary(ranks).encode_ordinary(s)):
-            out.append((a, b, "random"))
+        parts = [(a + k.start(), a + k.end()) for k in PART.finditer(m[0])]
+        whole = not any(x <= a < y for x, y in urls) and not any(quoted(text[x:y]) for x, y in parts)
+        if whole and encodes_badly(m[0], ranks):
+            parts = [(a, b)]
+        else:
+            parts = [(x, y) for x, y in parts if encodes_badly(text[x:y], ranks)]
+        out += [(x, y, "random") for x, y in parts if not any(u <= x and y <= v for u, v, _ in taken)]
     return out
 
 

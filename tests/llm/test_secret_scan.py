@@ -62,3 +62,20 @@ def test_query(spark):
     assert len(got) == len(texts)
     for r in got:
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute(texts[r.doc_id])).encode()).hexdigest()
+
+
+def test_random_strings_after_dots_in_urls_and_around_hex():
+    import random
+
+    r, ranks = random.Random(3), S.default_ranks()
+    key = lambda n: "".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+    marked = lambda text: [text[a:b] for a, b, k in S.all_spans(text, ranks) if k == "random"]
+    hook, payload, signature = key(24), key(60), key(43)
+    assert marked(f"see https://hooks.slack.com/services/T024BE7LD/B024BE7LD/{hook} now") == [hook]
+    assert marked(f"Bearer eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.{payload}.{signature}")[-2:] == [payload, signature]
+    mixed = key(14) + "Z0123456789abcdef0Z" + key(14)
+    assert marked(f"use {mixed} here") == [mixed]
+    assert marked(f"https://robot:{hook}@example.com/x") == [hook]
+    assert marked(f"write to {hook.lower()}@example.com or {hook}.list@mail.example.org") == []
+    digest = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    assert marked(f"sha1={digest} and https://example.com/blob/{digest}") == []
