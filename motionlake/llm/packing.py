@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from motionlake.llm.common import map_batches, materialize
 from motionlake.llm.tokens import encoder
 
-#: Pieces that one task packs. On the test documents a group of 5,000 wastes under 0.1 %.
+#: Pieces that one task packs; only a group's last bins stay open, so the waste falls as groups grow.
 GROUP_ROWS = 20_000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -77,15 +77,16 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``; a sequence has at most ``size`` tokens.
 
-    Pieces are dealt out in turn to groups of about ``GROUP_ROWS``, whichever document or source
-    they are of, and each group is packed in one task. Null ids and repeated rows are packed like
-    others; an empty table gives no rows; other columns don't matter.
+    Pieces are dealt out in turn to groups of about ``group_rows``, whichever document or source
+    they are of, and each group is packed in one task of bounded size. Rows with equal ids, null ids and
+    repeated rows are packed like others, each with pieces of its own; an empty table gives no rows; other
+    columns don't matter.
     """
     cut = materialize(pieces(docs, tokenizer, size, end_id))
-    groups = -(-cut.count() // GROUP_ROWS) or 1
+    groups = -(-cut.count() // group_rows) or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None

@@ -11,7 +11,8 @@ A payload is a header (document id, signed 64; one byte: 1 if the id is null, pl
 stored in two bytes; number of ids, unsigned 32) and the ids. All numbers are little-endian. A masked
 checksum is rotated right by 15 bits and a constant is added, so that checksums of data that
 hold checksums stay sound. The index of a file holds, for each record, its offset in the file and
-the number of ids before it in the file (both unsigned 64), then both totals.
+the number of ids before it in the file (both unsigned 64), then both totals. A task that writes much
+makes several files, so that a file and its index have a bounded size, but for one larger record.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from motionlake.llm.tokens import encoder
 
 MASK = 0xA282EAD8
 HEAD, FRAME = struct.Struct("<qBI"), struct.Struct("<QI")
-#: Bytes fetched at once.
-READ_BYTES = 8 << 20
+#: Bytes fetched at once, and bytes of records, and records, after which a file is closed.
+READ_BYTES, FILE_BYTES, FILE_RECORDS = 8 << 20, 64 << 20, 1_000_000
 
 
 def masked(data: bytes) -> int:
@@ -63,17 +64,42 @@ def parse(record: memoryview | bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & 1 else doc, np.frombuffer(payload, "<u2" if flags & 2 else "<u4", n, HEAD.size).astype("<u4")
 
 
-def write_records(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 2, files: int | None = None) -> DataFrame:
-    """Encode all texts and write them in ascending order of ``doc_id``; one row per file.
+class RecordFile:
+    """A file of records and its index, written as streams; both get their names when complete."""
 
-    Documents are range-partitioned by id, and each task writes its part as a stream, so neither
-    a file nor a task holds more than a batch in memory. A file gets its name when complete, and a
-    task that is run again replaces it. Null texts are empty; null ids come first; of equal ids
-    the order is that of a hash of the text. The folder ``uri`` must be one that all executors see.
+    def __init__(self, fs, name: str, trial: str):
+        self.fs, self.name, self.trial = fs, name, trial
+        self.out = {kind: fs.open_output_stream(f"{name}.{kind}{trial}") for kind in ("rec", "idx")}
+        self.at = self.ids = self.records = 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        record = frame(payload_of(doc_id, ids))
+        self.out["rec"].write(record)
+        self.out["idx"].write(struct.pack("<QQ", self.at, self.ids))
+        self.at += len(record)
+        self.ids += len(ids) // 4
+        self.records += 1
+
+    def close(self) -> None:
+        self.out["idx"].write(struct.pack("<QQ", self.at, self.ids))
+        for kind, out in self.out.items():
+            out.close()
+            self.fs.move(f"{self.name}.{kind}{self.trial}", f"{self.name}.{kind}")
+
+
+def write_records(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 2, parts: int | None = None) -> DataFrame:
+    """Encode all texts and write them in ascending order of ``doc_id``; one row per file: ``part, file, records, ids, bytes``.
+
+    Documents are range-partitioned by id and a hash of the text, into ``parts`` or the session's number of
+    shuffle partitions, and each task writes its part as a stream of files of about ``FILE_BYTES``. A task
+    holds one batch of texts. A file gets its name when complete, and a task that is run again replaces it.
+    Null texts are empty; null ids come first; rows of one id, null too, are in the order of the hash and may be dealt
+    over several parts, but rows that repeat whole are in one. The folder ``uri`` must be one that all executors see.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
@@ -81,24 +107,32 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 2, fi
         context = TaskContext.get()
         fs, folder = filesystem(uri)
         fs.create_dir(folder, recursive=True)
-        name, trial = f"{folder}/tokens-{context.partitionId():06d}", f".{context.taskAttemptId()}"
-        index, at, before = [], 0, 0
-        with fs.open_output_stream(f"{name}.rec{trial}") as out:
-            for batch in batches:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(texts)):
-                    record = frame(payload_of(doc, ids + end))
-                    index.append((at, before))
-                    out.write(record)
-                    at += len(record)
-                    before += len(ids) // 4 + 1
-        with fs.open_output_stream(f"{name}.idx{trial}") as out:
-            out.write(np.array([*index, (at, before)], "<u8").tobytes())
-        for kind in ("rec", "idx"):
-            fs.move(f"{name}.{kind}{trial}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_pydict({"file": [context.partitionId()], "records": [len(index)], "ids": [before], "bytes": [at]})
-
-    return materialize(bounded_batches(dealt).mapInArrow(run, "file bigint, records bigint, ids bigint, bytes bigint"))
+        part, trial = context.partitionId(), f".{context.taskAttemptId()}"
+        done, now = [], None
+
+        def close() -> None:
+            now.close()
+            done.append((part, len(done), now.records, now.ids, now.at))
+
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(texts)):
+                if now is None:
+                    now = RecordFile(fs, f"{folder}/{file_name(part, len(done))}", trial)
+                now.add(doc, ids + end)
+                if now.at >= FILE_BYTES or now.records >= FILE_RECORDS:
+                    close()
+                    now = None
+        if now is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], names=["part", "file", "records", "ids", "bytes"])
+
+    return materialize(bounded_batches(dealt).mapInArrow(run, "part bigint, file bigint, records bigint, ids bigint, bytes bigint"))
+
+
+def file_name(part: int, file: int) -> str:
+    return f"tokens-{part:06d}-{file:06d}"
 
 
 def read_records(spark: SparkSession, uri: str, manifest: DataFrame, seed: int | None = None) -> DataFrame:
@@ -107,12 +141,12 @@ def read_records(spark: SparkSession, uri: str, manifest: DataFrame, seed: int |
     ``ids`` are bytes, four to an id, least first.
 
     With a ``seed`` each file's records are read in a random order through its index, otherwise
-    in the order of the file. The manifest has one small row per file; its running sum is taken
-    on the driver.
+    in the order of the file. The manifest has one small row per file of 64 MB; its running sum is taken
+    on the driver. A task holds one file's index and a block of records.
     """
     rows, start = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r["file"]):
-        rows.append((r["file"], start))
+    for r in sorted(manifest.collect()):
+        rows.append((r["part"], r["file"], start))
         start += r["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +157,13 @@ def read_records(spark: SparkSession, uri: str, manifest: DataFrame, seed: int |
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=["doc_id", "start", "ids"])
 
         for batch in batches:
-            for file, first in zip(*(c.to_pylist() for c in batch.columns)):
-                name = f"{folder}/tokens-{file:06d}"
+            for part, file, first in zip(*(c.to_pylist() for c in batch.columns)):
+                name = f"{folder}/{file_name(part, file)}"
                 with fs.open_input_file(f"{name}.idx") as f:
                     index = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
                 order = np.arange(len(index) - 1)
                 if seed is not None:
-                    order = np.random.default_rng((seed, file)).permutation(order)
+                    order = np.random.default_rng((seed, part, file)).permutation(order)
                 with fs.open_input_file(f"{name}.rec") as f:
                     held, size, at = [], 0, 0
                     while at < len(order):
@@ -150,5 +184,5 @@ def read_records(spark: SparkSession, uri: str, manifest: DataFrame, seed: int |
                     if held:
                         yield batch_of(held)
 
-    files = spark.createDataFrame(rows, "file bigint, start bigint").repartition(max(1, len(rows)))
+    files = spark.createDataFrame(rows, "part bigint, file bigint, start bigint").repartition(max(1, len(rows)))
     return files.mapInArrow(run, "doc_id bigint, start bigint, ids binary")

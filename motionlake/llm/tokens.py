@@ -1,4 +1,4 @@
-"""Token ids of whole texts, with the ids of recurring words kept in the worker."""
+"""Token ids of whole texts, with the ids of recurring pieces kept in the worker."""
 
 from __future__ import annotations
 
@@ -7,17 +7,15 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
-#: A space that white space or the end follows.
-_ODD_SPACE = re.compile(r" (?:\s|$)")
-#: Parts of a word that are pieces of their own: letters, digits, marks but the apostrophe, a line end between them.
-_ATOM = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|(?<=[!-&(-~À-ÖØ-öø-ÿ])\n(?=[!-&(-~À-ÖØ-öø-ÿ])")
-#: Words of each of a worker's two generations, and the most characters that a kept word has.
-CACHE_WORDS, CACHE_CHARS = 500_000, 64
-#: Characters of text whose words are looked up together, and new pieces encoded together.
-ROUND_CHARS, JOIN_PIECES = 8_000_000, 20_000
+#: Letters, digits and white space among the first 256 characters.
+_LETTER, _DIGIT, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
+#: The pieces into which byte-level BPE cuts a text before it merges bytes, for texts of those characters.
+PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Pieces of each of a worker's two generations, and the most characters that a kept piece has.
+CACHE_PIECES, CACHE_CHARS = 500_000, 64
+#: Characters of text whose pieces are looked up together, and new pieces encoded together.
+ROUND_CHARS, JOIN_PIECES = 300_000, 20_000
 
 
 def default_tokenizer() -> str:
@@ -27,174 +25,93 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def narrow(text: str) -> bool:
+    """Whether all characters are among the first 256."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Encodes whole texts with a byte-level BPE file of the tokenizers library.
 
-    Such a vocabulary never joins characters across the start of a word, that is before a space
-    with no white space after it. So a text's ids are the ids of its words, and each distinct word is
-    encoded once while it stays in the cache. A word of plain letters, digits and marks is cut where the
-    vocabulary cuts it, and the library's BPE model encodes the parts; the library's whole tokenizer
-    encodes other words, and texts that hold one of its added tokens.
+    The ids are those of the plain library, its added tokens (such as an end-of-text mark) included. Such a
+    vocabulary cuts a text into pieces first and never joins bytes of two pieces, so a text's ids are
+    the ids of its pieces, and the library encodes each distinct piece once while it stays in the cache. Texts
+    with other characters than the first 256, or with one of the added tokens, go to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = Tokenizer(self.tokenizer.model)
-        self.parts.pre_tokenizer = WhitespaceSplit()
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.space = level.pre_tokenize_str(" ")[0][0]
-        self.end = np.frombuffer(self._ids(["\n"])[0], "<u4").tobytes()
-        #: The vocabulary's signs for the second bytes of accented letters, where they are not the bytes' own.
-        signs = {chr(c - 0x40): level.pre_tokenize_str(chr(c))[0][0][1] for c in range(0xC0, 0x100)}
-        self.bytes = {byte: sign for byte, sign in signs.items() if byte != sign}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes of each token: the vocabulary writes a sign for each.
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.size[i] = len(token)
-        #: Ids of words after a space, in two generations, and of parts inside a word.
-        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, ids: list[int], sizes) -> list[bytes]:
-        """Ids of a text cut where its pieces of the given numbers of bytes end."""
-        ids = np.array(ids, "<u4")
-        cut = [0, *(4 * (np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(sizes)) + 1)).tolist()]
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(cut, cut[1:])]
-
-    def _by_model(self, parts: list[str], space: str) -> dict[str, bytes]:
-        """Ids of parts of one kind of character each, all with or all without a space before them."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(parts), JOIN_PIECES):
-            some = parts[at : at + JOIN_PIECES]
-            text = " ".join(some)
-            sizes = np.fromiter(map(len, some), np.int64, len(some)) + len(space)
-            if not text.isascii():
-                text = text.encode().decode("latin-1")
-                sizes += np.array([p.count("\xc3") for p in text.split(" ")])
-                for byte, sign in self.bytes.items():
-                    text = text.replace(byte, sign)
-            (e,) = self.parts.encode_batch_fast([space + text.replace(" ", f" {space}")], add_special_tokens=False)
-            out.update(zip(some, self._cut(e.ids, sizes)))
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        """Get words' ids: from the older generation, from those of their parts, or by encoding them, each
-        with the space before it, as one text whose ids are cut at the words' ends."""
-        older, words, inner = self.older, self.words, self.inner
-        if len(inner) > CACHE_WORDS:
-            inner.clear()
-        whole, made = [], []
-        first, later = {}, {}
-        for w in new:
-            if (ids := older.get(w)) is not None:
-                words[w] = ids
-                continue
-            if w.isalpha() and w.isascii():
-                first[w] = None
-                continue
-            atoms = _ATOM.findall(w)
-            if sum(map(len, atoms)) != len(w):
-                whole.append(w)
-                continue
-            if atoms[0] not in words:
-                first[atoms[0]] = None
-            if len(atoms) > 1:
-                made.append((w, atoms))
-                for a in atoms[1:]:
-                    if a not in inner:
-                        later[a] = None
-        words.update(self._by_model(list(first), self.space))
-        later.pop("\n", None)
-        inner.update(self._by_model(list(later), ""))
-        inner["\n"] = self.end
-        for w, atoms in made:
-            words[w] = words[atoms[0]] + b"".join(map(inner.__getitem__, atoms[1:]))
-        for at in range(0, len(whole), JOIN_PIECES):
-            some = whole[at : at + JOIN_PIECES]
-            (e,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
-            words.update(zip(some, self._cut(e.ids, [len(w.encode()) + 1 for w in some])))
-
-    def _know(self, wanted: list[str]) -> list[bytes]:
-        """Ids of distinct words; words not used for a whole generation are forgotten."""
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.older = {}, self.words
-        ids = list(map(self.words.get, wanted))
-        if None in ids:
-            self._learn([w for w, x in zip(wanted, ids) if x is None])
-            ids = list(map(self.words.__getitem__, wanted))
-        return ids
+    def _joined(self, pieces: list[str], between: str) -> None:
+        """Encode pieces as one text, in which ``between`` is a piece of its own, and cut the ids where they end."""
+        for at in range(0, len(pieces), JOIN_PIECES):
+            some = pieces[at : at + JOIN_PIECES]
+            (raw,) = self._ids([between.join(some)])
+            ends = np.cumsum(self.size[np.frombuffer(raw, "<u4")])
+            stop = np.cumsum([len(p.encode()) + len(between) for p in some]) - len(between)
+            last = 4 * (np.searchsorted(ends, stop) + 1)
+            first = 4 * np.searchsorted(ends, stop - [len(p.encode()) for p in some], side="right")
+            self.pieces.update((p, raw[a:b]) for p, a, b in zip(some, first.tolist(), last.tolist()))
+
+    def _learn(self, new: set[str]) -> None:
+        """Get pieces' ids from the older generation, or encode them; a long piece stays for this round alone."""
+        known = {p: self.older[p] for p in new if p in self.older}
+        self.pieces.update(known)
+        rest = [p for p in new if p not in known]
+        spaces = [p for p in rest if p.isspace()]
+        self.pieces.update(zip(spaces, self._ids(spaces)))
+        self._joined([p for p in rest if p[0] == " " and not p.isspace()], "")
+        self._joined([p for p in rest if p[0] != " " and not p.isspace()], "\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The texts' ids, each as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        plain: list[int] = []
-        odd: list[int] = []
-        held = 0
+        held: list[tuple[int, list[str]]] = []
+        chars = 0
         for i, text in enumerate(texts):
-            if any(t in text for t in self.added):
+            if any(t in text for t in self.added) or not narrow(text):
                 (out[i],) = self._ids([text])
-            elif _ODD_SPACE.search(text):
-                odd.append(i)
-            else:
-                plain.append(i)
-                held += len(text)
-                if held > ROUND_CHARS:
-                    odd += self._plain(texts, plain, out)
-                    plain, held = [], 0
-        odd += self._plain(texts, plain, out)
-        for i in odd:
-            out[i] = self._odd(texts[i])
+                continue
+            held.append((i, PIECE.findall(text)))
+            chars += len(text)
+            if chars > ROUND_CHARS:
+                self._round(held, out)
+                held, chars = [], 0
+        self._round(held, out)
         return out
 
-    def _plain(self, texts: list[str], at: list[int], out: list[bytes]) -> list[int]:
-        """Put the ids of the texts at some places into ``out``: each distinct word is looked up once, and the words'
-        ids are gathered from one array. Places of texts with overlong words are returned."""
-        if not at:
-            return []
-        lists = pc.split_pattern(pa.array([texts[i] for i in at], pa.large_string()), " ")
-        ends, flat = np.asarray(lists.offsets), lists.values
-        length = np.asarray(pc.utf8_length(flat))
-        if length.max() > CACHE_CHARS:
-            long = np.maximum.reduceat(length, ends[:-1]) > CACHE_CHARS
-            self._plain(texts, [i for i, x in zip(at, long) if not x], out)
-            return [i for i, x in zip(at, long) if x]
-        coded = flat.dictionary_encode()
-        code = np.asarray(coded.indices).copy()
-        pool = self._know(coded.dictionary.to_pylist())
-        code[ends[:-1]] = np.arange(len(pool), len(pool) + len(at))
-        pool += self._ids(flat.take(pa.array(ends[:-1])).to_pylist())
-        sizes = np.fromiter(map(len, pool), np.int64, len(pool))
-        ids = b"".join(map(pool.__getitem__, code.tolist()))
-        cut = np.concatenate([[0], np.cumsum(sizes[code])])[ends].tolist()
-        for i, a, b in zip(at, cut, cut[1:]):
-            out[i] = ids[a:b]
-        return []
-
-    def _odd(self, text: str) -> bytes:
-        """A text with runs of white space or overlong words: pieces are joined where need be and encoded apart."""
-        pieces = [""]
-        for k, w in enumerate(text.split(" ")):
-            if k and w and not w[0].isspace():
-                pieces.append(" " + w)
-            else:
-                pieces[-1] += " " + w if k else w
-        short = {k: p[1:] for k, p in enumerate(pieces) if k and len(p) <= CACHE_CHARS and not p[-1].isspace()}
-        known = dict(zip(wanted := list(dict.fromkeys(short.values())), self._know(wanted)))
-        out = [known[short[k]] if k in short else None for k in range(len(pieces))]
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(rest, self._ids([pieces[k] for k in rest])):
-            out[k] = ids
-        return b"".join(out)
+    def _round(self, held: list[tuple[int, list[str]]], out: list[bytes]) -> None:
+        """Put the ids of cut texts into ``out``. Pieces not used for a whole generation are forgotten."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces, self.older = {}, self.pieces
+        get = self.pieces.get
+        found = [list(map(get, pieces)) for _, pieces in held]
+        new = {p for (_, pieces), ids in zip(held, found) if None in ids for p, x in zip(pieces, ids) if x is None}
+        if new:
+            self._learn(new)
+        for (i, pieces), ids in zip(held, found):
+            out[i] = b"".join(map(self.pieces.__getitem__, pieces) if None in ids else ids)
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del self.pieces[p]
 
 
 @lru_cache(maxsize=2)

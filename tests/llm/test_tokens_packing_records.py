@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from motionlake.llm import packing, token_records, tokens
 from motionlake.llm.common import filesystem, shared_dir
@@ -13,13 +14,30 @@ from motionlake.llm.queries import op5_token_records, op9_best_fit_packing
 PATH = tokens.default_tokenizer()
 
 
+#: The library's own object, which the code under test never touches.
+PLAIN = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return tokens.encoder(PATH).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
+
+
+def test_special_tokens_are_the_librarys():
+    assert ids_of("a <|endoftext|> b") == [64, 220, 50256, 275]
+    got = tokens.encoder(PATH).encode(["a <|endoftext|> b", "<|endoftext|>"])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[64, 220, 50256, 275], [50256]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x2FF, exclude_categories=["Cs"]), max_size=60))
+def test_any_text_has_the_librarys_ids(text):
+    (got,) = tokens.encoder(PATH).encode([text])
+    assert np.frombuffer(got, "<u4").tolist() == ids_of(text)
 
 
 def test_cached_ids_are_the_librarys(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
-    monkeypatch.setattr(tokens, "ROUND_PIECES", 40)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    monkeypatch.setattr(tokens, "ROUND_CHARS", 40)
     random.seed(3)
     parts = [" ", "\n", "\t", "a", "Bc", "é", "'s", "1", "!", "日", "\x1c", "\u0085", "x" * 70, "<|endoftext|>", " word", "  "]
     texts = ["", " ", "  ", "a ", " a", "a  b", "a \n b"] + ["".join(random.choices(parts, k=random.randint(1, 40))) for _ in range(600)]
@@ -62,9 +80,8 @@ def check_pieces(rows, pieces, size=2048):
     return len(by), sum(p.length for p in pieces)
 
 
-def test_pack_odd_documents(spark, odd_docs, odd_rows, no_docs, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP_ROWS", 20)
-    check_pieces(odd_rows, packing.pack(odd_docs, PATH).collect())
+def test_pack_odd_documents(spark, odd_docs, odd_rows, no_docs):
+    check_pieces(odd_rows, packing.pack(odd_docs, PATH, group_rows=20).collect())
     assert packing.pack(no_docs, PATH).count() == 0
 
 
@@ -91,9 +108,11 @@ def test_record_query_against_brute_force(spark):
     assert got == brute_records(docs)
 
 
-def test_records_of_odd_documents_in_any_order(spark, odd_docs, odd_rows, no_docs):
+@pytest.mark.parametrize("records", [1_000_000, 2])
+def test_records_of_odd_documents_in_any_order(spark, odd_docs, odd_rows, no_docs, monkeypatch, records):
+    monkeypatch.setattr(token_records, "FILE_RECORDS", records)
     uri = shared_dir(spark)
-    manifest = token_records.write_records(odd_docs, uri, PATH, files=3)
+    manifest = token_records.write_records(odd_docs, uri, PATH, parts=3)
     key = lambda r: (r[0] is not None, r[0] or 0)
     rows = sorted(odd_rows, key=key)
     want = {(d, s, c) for d, s, _, c in brute_records(rows)}
@@ -101,7 +120,7 @@ def test_records_of_odd_documents_in_any_order(spark, odd_docs, odd_rows, no_doc
         got = token_records.read_records(spark, uri, manifest, seed).collect()
         assert {(r.doc_id, r.start, zlib.crc32(r.ids)) for r in got} == want and len(got) == len(rows)
     uri = shared_dir(spark)
-    assert token_records.read_records(spark, uri, token_records.write_records(no_docs, uri, PATH, files=2)).count() == 0
+    assert token_records.read_records(spark, uri, token_records.write_records(no_docs, uri, PATH, parts=2)).count() == 0
 
 
 def test_damaged_records_are_found(spark, odd_docs):
