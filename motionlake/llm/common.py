@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -20,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """URI of a new folder that driver and executors share.
 
-    It lies below ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    It lies below ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a
+    temporary folder; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='motionlake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):
@@ -86,9 +89,12 @@ def map_batches(
     return bounded_batches(df).mapInArrow(run, schema)
 
 
-def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    """The batch with one more column at its end."""
-    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with marks before it where columns have it already, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def fold(doc_id: int | None, mod: int) -> int:
