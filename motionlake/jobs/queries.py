@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motionlake.jobs import workloads
 from motionlake.jobs.fixtures import fixture, with_fixtures
-from motionlake.operators import acquisition, alignment, binning, kspace, motion, recon, sampling, signal
+from motionlake.operators import acquisition, alignment, binning, kspace, motion, sampling, signal
 from motionlake.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -373,20 +373,6 @@ def w7_order_map(fx):
     return sampling.order_map(fx("fx_read")).select("scan_id", "ky", "kz", r6("order", "order_rank"))
 
 
-def u_sql(*keys: str, seed: int = 5) -> str:
-    text = ", '|', ".join(f"CAST({k} AS varchar)" for k in keys)
-    return f"(CAST(CAST('0x' || substr(md5(concat('{seed}', '|', {text})), 1, 8) AS bigint) AS double) / 4294967296.0)"
-
-
-@query(
-    f"WITH l AS (SELECT scan_id, idx, row_number() OVER (PARTITION BY scan_id ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY scan_id) AS n FROM fx_sensor), s AS (SELECT *, sin(2 * pi() * (3 + 2 * {u_sql('scan_id', chr(39) + 'cycles' + chr(39))}) * i / n + 2 * pi() * {u_sql('scan_id', chr(39) + 'phase' + chr(39))}) AS v FROM l) SELECT scan_id, idx, round(v / greatest(1e-12, max(abs(v)) OVER (PARTITION BY scan_id)), 6) + 0.0 AS signal FROM s"
-)
-def w8_breathing_curve(fx):
-    w = alignment.Window.partitionBy("scan_id")
-    lines = fx("fx_sensor").select("scan_id", "idx", (F.row_number().over(w.orderBy("idx")) - 1).alias("line_idx"), F.count("*").over(w).alias("n_lines"))
-    return motion.breathing_curve(lines, 3.0, 5.0, 5).select("scan_id", "idx", r6("signal"))
-
-
 @query("WITH d AS (SELECT scan_id, sensor_id, channel, round(stddev_pop(y), 6) AS s FROM fx_sensor GROUP BY ALL) SELECT scan_id, sensor_id, arg_max(channel, {'a': s, 'b': -channel}) AS channel, max(s) AS s FROM d GROUP BY scan_id, sensor_id")
 def t1_argmax(fx):
     d = fx("fx_sensor").groupBy("scan_id", "sensor_id", "channel").agg(F.round(F.stddev_pop("y"), 6).alias("s"))
@@ -399,11 +385,10 @@ def plan_meta(fx, nz: int) -> DataFrame:
     return fx("fx_read").select("scan_id").distinct().select("scan_id", b(2).alias("n_nex"), b(19).alias("ny"), b(nz).alias("nz"))
 
 
-LINES = "(SELECT DISTINCT scan_id, n.i AS nex, y.i AS ky, z.i AS kz FROM fx_read, generate_series(0, 1) AS n(i), generate_series(0, 18) AS y(i), generate_series(0, {top}) AS z(i))"
-L2, L3 = LINES.format(top=0), LINES.format(top=4)
+LINES = "(SELECT DISTINCT scan_id, n.i AS nex, y.i AS ky, z.i AS kz FROM fx_read, generate_series(0, 1) AS n(i), generate_series(0, 18) AS y(i), generate_series(0, 0) AS z(i))"
 
 
-@query(f"SELECT scan_id, nex, ky, row_number() OVER (PARTITION BY scan_id, nex ORDER BY md5(concat_ws('|', '3', scan_id, nex, ky, kz)), ky) - 1 AS pos FROM {L2}")
+@query(f"SELECT scan_id, nex, ky, row_number() OVER (PARTITION BY scan_id, nex ORDER BY md5(concat_ws('|', '3', scan_id, nex, ky, kz)), ky) - 1 AS pos FROM {LINES}")
 def t3_permute(fx):
     return sampling.permute(sampling.lines(plan_meta(fx, 1)), 3).select("scan_id", "nex", "ky", "pos")
 
@@ -414,43 +399,6 @@ def t4_concat_nex(fx):
     return sampling.concat_nex([r.filter(F.col("nex") == k).drop("nex") for k in (0, 1)])
 
 
-@query(f"SELECT scan_id, nex, ntile(4) OVER (PARTITION BY scan_id, nex ORDER BY ky) - 1 AS shot, ky AS pos, ky, kz FROM {L2}")
-def p1_linear_2d(fx):
-    return sampling.schedule(plan_meta(fx, 1), "linear", 4)
-
-
-@query(f"SELECT scan_id, nex, ky % 4 AS shot, row_number() OVER (PARTITION BY scan_id, nex ORDER BY ky % 4, ky) - 1 AS pos, ky, kz FROM {L2}")
-def p2_interleaved_2d(fx):
-    return sampling.schedule(plan_meta(fx, 1), "interleaved", 4)
-
-
-RANDOM = "SELECT scan_id, nex, ntile(4) OVER (PARTITION BY scan_id, nex ORDER BY pos) - 1 AS shot, pos, ky, kz FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, nex ORDER BY md5(concat_ws('|', '9', scan_id, nex, ky, kz)), ky, kz) - 1 AS pos FROM {lines})"
-
-
-@query(RANDOM.format(lines=L2))
-def p3_random_2d(fx):
-    return sampling.schedule(plan_meta(fx, 1), "random", 4, seed=9)
-
-
-@query(f"SELECT l.scan_id, l.nex, s.i AS shot, l.ky * 5 + l.kz AS pos, l.ky, l.kz FROM {L3} l JOIN generate_series(0, 3) AS s(i) ON l.ky >= s.i * 19 // 4 AND l.ky < (s.i + 1) * 19 // 4")
-def p4_linear_3d(fx):
-    return sampling.schedule(plan_meta(fx, 5), "linear", 4)
-
-
-@query(
-    f"""WITH l AS (SELECT *, ky % 4 AS shot, ky // 4 AS i, (19 - ky % 4 + 3) // 4 AS n FROM {L3}), k AS (SELECT *, (i - nex - shot + 400) % least(4, n) AS py, (kz - nex - shot + 400) % 4 AS pz FROM l),
-    z AS (SELECT *, dense_rank() OVER (PARTITION BY scan_id, nex, shot ORDER BY pz, kz) - 1 AS zr, row_number() OVER (PARTITION BY scan_id, nex, shot, kz ORDER BY py, ky) AS yr FROM k)
-    SELECT scan_id, nex, shot, row_number() OVER (PARTITION BY scan_id, nex ORDER BY shot, zr, CASE WHEN zr % 2 = 0 THEN yr ELSE -yr END) - 1 AS pos, ky, kz FROM z"""
-)
-def p5_interleaved_3d(fx):
-    return sampling.schedule(plan_meta(fx, 5), "interleaved", 4)
-
-
-@query(RANDOM.format(lines=L3))
-def p6_random_3d(fx):
-    return sampling.schedule(plan_meta(fx, 5), "random", 4, seed=9)
-
-
 @query("WITH g AS (SELECT grp AS image_id, scan_id, voxel, 0.2989 * abs(re) + 0.5870 * abs(im) + 0.1140 * re * re AS v FROM fx_img), s AS (SELECT scan_id, min(v) AS lo, max(v) AS hi FROM g GROUP BY scan_id) SELECT g.scan_id AS image_id, voxel, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE v - lo END, 6) + 0.0 AS v FROM g JOIN s USING (scan_id)")
 def s5_ingest_images(fx):
     px = fx("fx_img").select(F.col("scan_id").alias("image_id"), "voxel", F.abs("re").alias("r"), F.abs("im").alias("g"), (F.col("re") * F.col("re")).alias("b"))
@@ -494,9 +442,7 @@ def s3_bundle_round_trip(fx):
     tables.write_bundle(r.select("scan_id", "ky", "kz", "nex"), r, path)
     bundle = r.sparkSession.read.parquet(f"{path}/bundle")
     out = tables.bundle_rows(bundle)
-    # Slices stand in ascending order, those without a line left out: the place gives the slice back.
-    z = r.groupBy("scan_id").agg(F.sort_array(F.collect_set("z")).alias("zs"))
-    return out.join(z, "scan_id").select("scan_id", F.col("zs")[F.col("z")].alias("z"), F.col("line_idx").cast("bigint").alias("line_idx"), "ky", "kz", "nex", r6("motion"))
+    return out.select("scan_id", "z", F.col("line_idx").cast("bigint").alias("line_idx"), "ky", "kz", "nex", r6("motion"))
 
 
 def images(fx) -> DataFrame:
@@ -635,132 +581,6 @@ def i20_rigid_motion_step(fx):
     return out.select("scan_id", "state", *((F.round(c, 4) + 0.0).alias(c) for c in ("d0", "d1", "d2")))
 
 
-SI, LR = "(-1.0 + (v // 8) * 2.0 / 7)", "(-1.0 + (v % 8) * 2.0 / 7)"
-
-
-@query(
-    f"""WITH g AS (SELECT v, 1 / (1 + exp(-(-{SI}) * 6.0)) AS r, exp(-0.5 * ({LR} / 0.6) ** 2) AS e, greatest(0.05, 1 - 0.3 * greatest(0.0, -{SI})) * (1 + 0.5 * greatest(0.0, -{SI})) AS k, {LR} AS lr FROM generate_series(0, 63) AS t(v)), m AS (SELECT v, r * e * k AS p0, -lr * r * e AS p1 FROM g)
-    SELECT s.scan_id, v AS voxel, round(-p0 / max(abs(p0)) OVER (PARTITION BY s.scan_id), 6) + 0.0 AS a0, round(0.3 * p1 / max(abs(p1)) OVER (PARTITION BY s.scan_id), 6) + 0.0 AS a1 FROM m, (SELECT DISTINCT scan_id FROM fx_mev) s"""
-)
-def i22_respiratory_maps(fx):
-    return motion.respiratory_maps(fx("fx_mev").select("scan_id").distinct(), 8, 8).select("scan_id", "voxel", r6("a0"), r6("a1"))
-
-
-@query(f"SELECT scan_id, k.s AS state, round((2 * {u_sql('scan_id', 'k.s', chr(39) + 'tx' + chr(39))} - 1) * 5, 6) + 0.0 AS tx, round((2 * {u_sql('scan_id', 'k.s', chr(39) + 'phi' + chr(39))} - 1) * radians(8), 6) + 0.0 AS phi FROM (SELECT DISTINCT scan_id FROM fx_mev), generate_series(0, 3) AS k(s)")
-def i23_draw_rigid_states(fx):
-    return motion.draw_rigid_states(fx("fx_mev").select("scan_id").distinct(), 4, {"tx": 5.0, "phi": 8.0}, 5).select("scan_id", "state", r6("tx"), r6("phi"))
-
-
-@query("SELECT s.scan_id, CAST(c AS bigint) AS coil, v AS voxel, round(exp(-((v // 8 + 1 - (2 + 4 * (c % 2))) ** 2 + (v % 8 + 1 - (2 + 4 * (c // 2))) ** 2) / 8.0), 6) AS re FROM (SELECT DISTINCT scan_id FROM fx_mev) s, generate_series(0, 3) AS k(c), generate_series(0, 63) AS t(v)")
-def i24_coil_maps(fx):
-    return motion.coil_maps(fx("fx_mev").select("scan_id").distinct(), 8, 8, 4).select("scan_id", "coil", "voxel", r6("re"))
-
-
-ELL = " UNION ALL ".join(f"SELECT {', '.join(f'CAST({v} AS double) AS {n}' for n, v in zip(('a', 'sx', 'sy', 'sz', 'x0', 'y0', 'z0', 'deg'), e))}" for e in motion.ELLIPSOIDS)
-
-
-@query(
-    f"""WITH e AS ({ELL}), g AS (SELECT v, (-1.0 + (v // 6 % 12) * 2.0 / 11) / 0.9 AS x, (-1.0 + (v // 72) * 2.0 / 11) / 0.9 AS y, (-1.0 + (v % 6) * 2.0 / 5) / 0.9 AS z FROM generate_series(0, 863) AS t(v)),
-    o AS (SELECT v, greatest(0.0, coalesce(sum(a), 0.0)) AS s FROM g LEFT JOIN e ON (((x - x0) * cos(radians(deg)) + (y - y0) * sin(radians(deg))) / sx) ** 2 + ((-(x - x0) * sin(radians(deg)) + (y - y0) * cos(radians(deg))) / sy) ** 2 + ((z - z0) / sz) ** 2 <= 1 GROUP BY v)
-    SELECT s.scan_id, v AS voxel, round(s / (SELECT max(s) FROM o) * amplitude, 6) + 0.0 AS v FROM o, (SELECT scan_id, max(amplitude) AS amplitude FROM fx_mev GROUP BY scan_id) s"""
-)
-def j8_ellipsoid_volume(fx):
-    scans = fx("fx_mev").groupBy("scan_id").agg(F.max("amplitude").alias("a"))
-    one = motion.ellipsoid_volume(scans.sparkSession, 12, 6)
-    return motion.on_grid(scans, 12, 12, 6).join(one, ["voxel", "x", "y", "z"]).select("scan_id", "voxel", r6(F.col("v") * F.col("a"), "v"))
-
-
-def slices(fx) -> DataFrame:
-    """A slice per image: two repetitions, four coils, two states in turn by line, no k-space yet."""
-    one = fx("fx_img").select("scan_id").distinct()
-    maps = motion.coil_maps(one, 8, 8, 4, seed=3).groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("coil", "voxel", "re", "im"))).alias("m"))
-    part = lambda c: F.transform("m", lambda x: x[c])
-    n = lambda v: F.lit(v).cast("int")
-    state_of = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: (i % 2).cast("int"))
-    zero = F.transform(F.sequence(F.lit(1), F.lit(512)), lambda _: F.lit(0.0))
-    return maps.select("scan_id", F.lit(0).cast("bigint").alias("z"), n(8).alias("nx"), n(8).alias("ny"), n(1).alias("nz"), n(2).alias("n_nex"), n(4).alias("n_coils"), n(2).alias("n_states"), zero.alias("ksp_re"), zero.alias("ksp_im"), part("re").alias("map_re"), part("im").alias("map_im"), state_of.alias("state_of"), F.array(F.lit(0.0), F.lit(1.0)).alias("signal"))
-
-
-def truth(fx) -> DataFrame:
-    p = kspace.planes(images(fx), ["scan_id"], 8, 8)
-    return p.select("scan_id", F.lit(0).cast("bigint").alias("z"), F.concat("re", "re").alias("img_re"), F.concat("im", "im").alias("img_im"))
-
-
-def models(fx) -> DataFrame:
-    one = fx("fx_img").select("scan_id").distinct()
-    drawn = motion.draw_rigid_states(one, 2, {"tx": 0.6, "ty": 0.6, "phi": 3.0}, 4)
-    rows = drawn.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("state", "tx", "ty", "phi"))).alias("s"))
-    return rows.select("scan_id", F.lit(0).cast("bigint").alias("z"), F.concat(*(F.transform("s", lambda x: x[c]) for c in ("tx", "ty", "phi"))).alias("model"))
-
-
-def corrupted(fx) -> DataFrame:
-    return recon.encode(slices(fx), truth(fx), models(fx))
-
-
-@query()
-def i9_encode(fx):
-    return corrupted(fx).select("scan_id", "z", F.posexplode(F.arrays_zip("ksp_re", "ksp_im")).alias("i", "k")).select("scan_id", "z", "i", r6("k.ksp_re", "re"), r6("k.ksp_im", "im"))
-
-
-@query()
-def i10_decode(fx):
-    out = recon.decode(corrupted(fx), models(fx))
-    return out.select("scan_id", "z", "nex", r6(F.aggregate("re", F.lit(0.0), lambda a, x: a + x), "sum_re"), r6(F.aggregate("im", F.lit(0.0), lambda a, x: a + x), "sum_im"))
-
-
-@query()
-def i21_reconstruct(fx):
-    done = recon.reconstruct(corrupted(fx), recon.Settings(gn_iterations=(2, 1), probes=2))
-    return recon.reconstruction_log(done).select("scan_id", "z", "level", "gn_iter", r6("relres"), "cg_iters", "stop_reason")
-
-
-@query()
-def i26_score(fx):
-    return recon.score(corrupted(fx), truth(fx), models(fx)).select("scan_id", "z", r6("error"), r6("naive_error"), "cg_iters")
-
-
-@query()
-def i27_naive_recon(fx):
-    out = recon.naive_recon(corrupted(fx))
-    return out.select("scan_id", "z", "nex", r6(F.aggregate("re", F.lit(0.0), lambda a, x: a + x), "sum_re"))
-
-
-@query()
-def i11_normal(fx):
-    out = recon.normal(slices(fx), truth(fx), models(fx))
-    return out.select("scan_id", "z", "nex", r6(F.aggregate("re", F.lit(0.0), lambda a, x: a + x), "sum_re"))
-
-
-def changes(fx) -> DataFrame:
-    return models(fx).withColumnRenamed("model", "change")
-
-
-@query()
-def i12_perturb(fx):
-    out = recon.perturb(slices(fx), truth(fx), models(fx), changes(fx))
-    return out.select("scan_id", "z", r6(F.aggregate("ksp_re", F.lit(0.0), lambda a, x: a + x), "sum_re"))
-
-
-@query()
-def i13_perturb_adjoint(fx):
-    out = recon.perturb_adjoint(corrupted(fx), truth(fx), models(fx))
-    return out.select("scan_id", "z", F.posexplode("grad_re").alias("param", "v")).select("scan_id", "z", "param", r6("v", "grad_re"))
-
-
-@query(
-    f"SELECT scan_id, t0, event FROM (SELECT scan_id, k.t AS t0, row_number() OVER (PARTITION BY scan_id ORDER BY {u_sql('scan_id', 'k.t')}, k.t) - 1 AS event FROM (SELECT DISTINCT scan_id FROM fx_mev), generate_series(1, 31) AS k(t)) WHERE event < 4"
-)
-def i23_draw_event_times(fx):
-    return motion.draw_event_times(fx("fx_mev").select("scan_id").distinct(), 4, 32, 5).select("scan_id", "t0", "event")
-
-
-@query(
-    f"SELECT scan_id, k.s AS state, round(sqrt(-2 * ln(1 - {u_sql(chr(39) + 'u' + chr(39), 'scan_id', 'k.s')})) * cos(2 * pi() * {u_sql(chr(39) + 'v' + chr(39), 'scan_id', 'k.s')}), 6) + 0.0 AS signal FROM (SELECT DISTINCT scan_id FROM fx_mev), generate_series(0, 5) AS k(s)"
-)
-def i23_draw_signal(fx):
-    return motion.draw_signal(fx("fx_mev").select("scan_id").distinct(), 6, 5).select("scan_id", "state", r6("signal"))
-
-
 @query()
 def wa_align_and_bin(fx):
     acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")

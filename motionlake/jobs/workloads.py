@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.operators import acquisition, alignment, binning, kspace, motion, recon, signal
+from motionlake.operators import acquisition, alignment, binning, kspace, motion, signal
 from motionlake.sources.tables import materialize
 
 
@@ -41,24 +41,12 @@ def align_and_bin(acq: DataFrame, sensor: DataFrame, triggers: DataFrame, n_z: i
     return Binned(out, binning.too_few(readouts, k), acquisition.quarantine(placed, n_z))
 
 
-def corrupt(images: DataFrame, slices: DataFrame, models: DataFrame, kind: str = "rigid") -> DataFrame:
-    """Slices with the k-space of clean images under a motion model; continuous curves are compressed to states before."""
-    return recon.encode(slices, images, models, kind)
-
-
 def curve_states(curves: DataFrame, params: tuple[str, ...] = motion.RIGID_2D) -> tuple[DataFrame, DataFrame]:
     """Readouts with their state and the states' parameters, of continuous motion curves."""
     readouts = motion.compress_states(curves, params)
     return readouts.select("scan_id", "t", "state"), motion.state_values(readouts, params)
 
 
-def correct(slices: DataFrame, settings: recon.Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Corrected images, uncorrected ones, and the log of a cohort; the k-space scale is one small row per scan."""
-    done = recon.reconstruct(slices, settings)
-    images = done.select("scan_id", "z", F.explode("image").alias("i")).select("scan_id", "z", "i.*")
-    return images, recon.naive_recon(slices), recon.reconstruction_log(done)
-
-
 def image_error(images: DataFrame, truth: DataFrame) -> DataFrame:
     """Relative error per scan of plane rows ``(scan_id, nex, re[], im[])`` against others."""
     return kspace.relative_error(kspace.voxels(images, ["scan_id", "nex"]), kspace.voxels(truth, ["scan_id", "nex"]), ["nex", "voxel"])

@@ -21,11 +21,12 @@ def interp_asof(sensor: DataFrame, readouts: DataFrame, bucket_s: float = 60.0,
     q = readouts.select("scan_id", F.col(t).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), *rest, bucket.alias("_b"))
     both = s.unionByName(q)
     edges = both.groupBy("scan_id", "_b").agg(F.min(F.when(F.col("_kind") == 1, F.col("_s"))).alias("_lo"), F.max(F.when(F.col("_kind") == 1, F.col("_s"))).alias("_hi"))
-    w = Window.partitionBy("scan_id").orderBy("_b")
-    edges = edges.select("scan_id", "_b", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"), F.first("_lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    # What follows is looked for from the end: a frame that grows is kept up, one that shrinks is made anew for each row.
+    w, back = Window.partitionBy("scan_id").orderBy("_b"), Window.partitionBy("scan_id").orderBy(F.desc("_b"))
+    edges = edges.select("scan_id", "_b", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"), F.last("_lo", True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_next"))
     # At one time readouts stand before samples: those are "at or after" it.
-    w = Window.partitionBy("scan_id", "_b").orderBy("_t", "_kind")
-    inside = both.withColumn("_l", F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.first("_s", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    w, back = Window.partitionBy("scan_id", "_b").orderBy("_t", "_kind"), Window.partitionBy("scan_id", "_b").orderBy(F.desc("_t"), F.desc("_kind"))
+    inside = both.withColumn("_l", F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.last("_s", True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     found = inside.filter("_kind = 0").join(edges, ["scan_id", "_b"]).select("scan_id", F.col("_t").alias(t), *rest, F.coalesce("_l", "_prev").alias("_l"), F.coalesce("_r", "_next").alias("_r"))
     width = F.col("_r.t") - F.col("_l.t")
     value = (

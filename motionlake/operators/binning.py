@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from motionlake.sources.tables import materialize
 
 
+#: Bytes of centres, estimated from their number, that a round broadcasts at most.
+BROADCAST_BYTES = 8 << 20
+
+
 def too_few(readouts: DataFrame, k: int) -> DataFrame:
     """Scans with fewer motion samples than states, which are not binned."""
     return readouts.groupBy("scan_id").agg(F.count("motion").alias("n")).filter(F.col("n") < k)
@@ -19,29 +23,38 @@ def bin_motion(readouts: DataFrame, k: int, n_iter: int = 20, seed: int = 0, key
     The first centres are the k samples whose hash of seed, scan and key is least. Each round
     assigns every sample to the nearest centre, the lowest of equally near ones, and takes means; a
     cluster left empty starts again from the sample of the hash's next rank. Labels are those of the
-    last assignment and centres the means after it. All scans go through the rounds together:
-    a round shuffles one partial sum per scan and label. Centres are written to the shared folder
-    every fifth round, which ends their lineage. Scans of fewer than k samples are left out.
+    last assignment and centres the means after it. All scans go through the rounds together. Centres
+    are broadcast while they take less than ``BROADCAST_BYTES``, and joined beyond; points are never
+    shuffled by a broadcast round, which adds up one partial sum per task, scan and label. Centres are written
+    to the shared folder every fifth round, which ends their lineage. Scans of fewer than k samples are left out.
     """
     few = too_few(readouts, k).select("scan_id")
     points = materialize(readouts.filter("motion is not null").join(few, "scan_id", "left_anti"))
     rank = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("scan_id").cast("string"), F.col(key).cast("string")))
     ranked = points.select("scan_id", F.struct(rank.alias("h"), F.col(key).alias("i"), "motion").alias("s"))
-    state = _least(ranked, 2 * k).select("scan_id", F.slice("s.motion", 1, k).alias("c"), F.slice("s.motion", k + 1, k).alias("spare"))
-    labelled = None
-    for i in range(n_iter):
-        near = F.array_min(F.transform("c", lambda c, j: F.struct(F.abs(F.col("motion") - c).alias("d"), j.alias("j"))))["j"]
-        labelled = points.join(state, "scan_id").withColumn("label", near.cast("bigint"))
+    state = materialize(_least(ranked, 2 * k).select("scan_id", F.slice("s.motion", 1, k).alias("c"), F.slice("s.motion", k + 1, k).alias("spare")))
+    small = state.count() * (2 * k * 8 + 64) <= BROADCAST_BYTES
+    held = F.broadcast if small else (lambda df: df)
+    near = F.array_min(F.transform("c", lambda c, j: F.struct(F.abs(F.col("motion") - c).alias("d"), j.alias("j"))))["j"]
+
+    def assigned(state: DataFrame) -> DataFrame:
+        return points.join(held(state.select("scan_id", "c")), "scan_id").withColumn("label", near.cast("bigint"))
+
+    def moved(state: DataFrame, labelled: DataFrame, i: int) -> DataFrame:
         means = labelled.groupBy("scan_id", "label").agg(F.avg("motion").alias("m"))
         means = means.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("m"))
         spare = F.col("spare")[F.when(F.size("spare") > 0, F.pmod(F.lit(i), F.size("spare"))).otherwise(F.lit(0))]
         again = F.coalesce(spare, F.col("c")[0])
-        moved = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.coalesce(F.try_element_at("m", j.cast("bigint")), again))
-        state = state.join(means, "scan_id").select("scan_id", moved.alias("c"), "spare")
-        if i % 5 == 4 or i == n_iter - 1:
+        c = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.coalesce(F.try_element_at("m", j.cast("bigint")), again))
+        return state.join(means, "scan_id").select("scan_id", c.alias("c"), "spare")
+
+    for i in range(n_iter - 1):
+        state = moved(state, assigned(state), i)
+        if i % 5 == 4 or i == n_iter - 2:
             state = materialize(state)
-    labelled = labelled.drop("c", "spare")
-    return labelled.join(state.select("scan_id", "c"), "scan_id").withColumn("center", F.col("c")[F.col("label").cast("int")]).drop("c")
+    labelled = assigned(state).drop("c")
+    centers = moved(state, labelled, n_iter - 1).select("scan_id", "c")
+    return labelled.join(held(centers), "scan_id").withColumn("center", F.col("c")[F.col("label").cast("int")]).drop("c")
 
 
 def _least(ranked: DataFrame, n: int) -> DataFrame:

@@ -148,11 +148,16 @@ def remove_oversampling(lines: DataFrame) -> DataFrame:
 
 
 def planes(cells: DataFrame, keys: list[str], nx: int, ny: int, nz: int = 1, flat: str = "voxel") -> DataFrame:
-    """Voxel rows gathered to one row per key with arrays in flat order; absent voxels are zero."""
-    size = nx * ny * nz
-    found = F.map_from_entries(F.collect_list(F.struct(F.col(flat), F.struct("re", "im"))))
-    at = lambda part: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint"))[part], F.lit(0.0)))
-    return cells.groupBy(*keys).agg(found.alias("m")).select(*keys, F.lit(nx).alias("nx"), F.lit(ny).alias("ny"), F.lit(nz).alias("nz"), at("re").alias("re"), at("im").alias("im"))
+    """Voxel rows, one per place, gathered to one row per key with arrays in flat order; absent voxels are zero.
+
+    A plane is sorted once, with a zero for each place that a hash lookup finds missing.
+    """
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(nx * ny * nz - 1).cast("bigint"))
+    found = F.collect_list(F.struct(F.col(flat).cast("bigint").alias("i"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im")))
+    zero = F.lit(0.0)
+    missing = F.transform(F.array_except(places, F.transform("m", lambda x: x["i"])), lambda i: F.struct(i.alias("i"), zero.alias("re"), zero.alias("im")))
+    full = cells.groupBy(*keys).agg(found.alias("m")).withColumn("m", F.sort_array(F.concat("m", missing)))
+    return full.select(*keys, F.lit(nx).alias("nx"), F.lit(ny).alias("ny"), F.lit(nz).alias("nz"), F.col("m.re").alias("re"), F.col("m.im").alias("im"))
 
 
 def voxels(plane_rows: DataFrame, keys: list[str], flat: str = "voxel") -> DataFrame:

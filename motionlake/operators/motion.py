@@ -1,4 +1,4 @@
-"""Motion models: curves, states, displacement fields, warps and synthetic objects."""
+"""Motion models: curves, states, displacement fields and warps."""
 
 from __future__ import annotations
 
@@ -6,26 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionlake.functions.hashing import normal, uniform
-
 RIGID_2D = ("tx", "ty", "phi")
 RIGID_3D = ("tx", "ty", "tz", "rx", "ry", "rz")
 #: Ellipsoids of the phantom: value, half axes, centre, in-plane angle in degrees.
-ELLIPSOIDS = (
-    (1.0, 0.69, 0.92, 0.90, 0.0, 0.0, 0.0, 0.0),
-    (-0.8, 0.6624, 0.874, 0.88, 0.0, -0.0184, 0.0, 0.0),
-    (-0.2, 0.11, 0.31, 0.22, 0.22, 0.0, 0.0, -18.0),
-    (-0.2, 0.16, 0.41, 0.28, -0.22, 0.0, 0.0, 18.0),
-    (0.1, 0.21, 0.25, 0.41, 0.0, 0.35, -0.15, 0.0),
-    (0.1, 0.046, 0.046, 0.05, 0.0, 0.10, 0.25, 0.0),
-    (0.1, 0.046, 0.046, 0.05, 0.0, -0.10, 0.25, 0.0),
-    (0.1, 0.046, 0.023, 0.05, -0.08, -0.605, 0.0, 0.0),
-    (0.1, 0.023, 0.023, 0.02, 0.0, -0.606, 0.0, 0.0),
-    (0.1, 0.023, 0.046, 0.02, 0.06, -0.605, 0.0, 0.0),
-)
 
 
 def limits_px(params: DataFrame, meta: DataFrame) -> DataFrame:
@@ -122,41 +108,6 @@ def displacement_summary(maps: DataFrame) -> DataFrame:
     return maps.groupBy("scan_id").agg(floor(F.abs("dx")).alias("max_x"), floor(F.abs("dy")).alias("max_y"), floor(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("max_amplitude"))
 
 
-def breathing_curve(readouts: DataFrame, cycles_min: float, cycles_max: float, seed: int, n: str = "n_lines") -> DataFrame:
-    """``readouts(scan_id, nex, line_idx, n_lines)`` with ``signal``: a sine of hashed cycles per repetition and phase, over its largest modulus."""
-    cycles = F.lit(cycles_min) + F.lit(cycles_max - cycles_min) * uniform(seed, "scan_id", F.lit("cycles"))
-    phase = 2 * math.pi * uniform(seed, "scan_id", F.lit("phase"))
-    raw = readouts.withColumn("signal", F.sin(2 * math.pi * cycles * F.col("line_idx") / F.col(n) + phase))
-    top = raw.groupBy("scan_id").agg(F.greatest(F.lit(1e-12), F.max(F.abs("signal"))).alias("_top"))
-    return raw.join(top, "scan_id").withColumn("signal", F.col("signal") / F.col("_top")).drop("_top")
-
-
-def draw_rigid_states(scans: DataFrame, n_states: int, limits: dict[str, float], seed: int) -> DataFrame:
-    """Uniform draws in plus or minus each limit per scan and state; limits named r* or phi are degrees, given back in radians."""
-    states = scans.select("scan_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_states - 1).cast("bigint"))).alias("state"))
-    draw = lambda p, top: (2 * uniform(seed, "scan_id", "state", F.lit(p)) - 1) * (math.radians(top) if p[0] == "r" or p == "phi" else top)
-    return states.select("*", *(draw(p, top).alias(p) for p, top in limits.items()))
-
-
-def draw_event_times(scans: DataFrame, n_events: int, n: int, seed: int) -> DataFrame:
-    """Unique event times per scan: those of least hash among the readouts 1 to n - 1."""
-    t = scans.select("scan_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("t0"))
-    rank = F.row_number().over(Window.partitionBy("scan_id").orderBy(uniform(seed, "scan_id", "t0"), "t0"))
-    return t.withColumn("event", rank.cast("bigint") - 1).filter(F.col("event") < n_events)
-
-
-def draw_signal(scans: DataFrame, n_states: int, seed: int) -> DataFrame:
-    """A standard normal motion signal per scan and shot."""
-    states = scans.select("scan_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_states - 1).cast("bigint"))).alias("state"))
-    return states.withColumn("signal", normal(seed, "scan_id", "state"))
-
-
-def grid(spark: SparkSession, nx: int, ny: int, nz: int = 1) -> DataFrame:
-    """Voxels ``voxel, x, y, z`` of one object, in flat order."""
-    v = spark.range(nx * ny * nz).withColumnRenamed("id", "voxel")
-    return v.select("voxel", F.floor(F.col("voxel") / (ny * nz)).alias("x"), F.pmod(F.floor(F.col("voxel") / nz), F.lit(ny)).alias("y"), F.pmod("voxel", F.lit(nz)).alias("z"))
-
-
 def on_grid(states: DataFrame, nx: int, ny: int, nz: int = 1) -> DataFrame:
     """Each row with every voxel of its grid; made by generating rows, not by a join."""
     each = states.withColumn("voxel", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nx * ny * nz - 1).cast("bigint"))))
@@ -195,9 +146,15 @@ def rigid_field_3d(states: DataFrame, nx: int, ny: int, nz: int, centres: tuple[
 
 
 def nonrigid_field(maps: DataFrame, states: DataFrame) -> DataFrame:
-    """Displacement of every voxel and state: the scan's maps ``a0, a1`` times the state's signal."""
-    j = maps.join(states.select("scan_id", "state", "signal"), "scan_id")
-    return j.withColumns({"ux": F.col("a0") * F.col("signal"), "uy": F.col("a1") * F.col("signal")}).drop("signal")
+    """Displacement of every voxel and state: the scan's maps ``a0, a1[, a2]`` times the state's signal.
+
+    A scan's states are one small row, so the join meets each voxel once, and a scan with a large share of
+    all voxels is a partition that adaptive execution can split.
+    """
+    each = states.groupBy("scan_id").agg(F.collect_list(F.struct("state", "signal")).alias("_s"))
+    j = maps.join(each, "scan_id").withColumn("_s", F.explode("_s")).withColumn("state", F.col("_s.state"))
+    parts = {f"u{axis}": F.col(a) * F.col("_s.signal") for axis, a in zip("xyz", ("a0", "a1", "a2")) if a in maps.columns}
+    return j.withColumns(parts).drop("_s")
 
 
 def stencil(field: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
@@ -301,76 +258,6 @@ def upsample_motion(models: DataFrame, ratio: dict[str, float]) -> DataFrame:
     return models.withColumns({c: F.col(c) * r for c, r in ratio.items()})
 
 
-def _line(n: int, a: str) -> Column:
-    """A coordinate from -1 to 1."""
-    return F.lit(-1.0) + F.col(a) * (2.0 / (n - 1)) if n > 1 else F.lit(-1.0)
-
-
-def ellipsoid_volume(spark: SparkSession, n: int, nz: int, fill: float = 0.9, ellipsoids: tuple = ELLIPSOIDS) -> DataFrame:
-    """``voxel, x, y, z, v``: an object of summed ellipsoids, axes x and y swapped, clipped at 0, over its largest value.
-
-    The few ellipsoids become one expression per voxel, so nothing is joined or shuffled for the sum.
-    """
-    fill = min(max(fill, 0.1), 1.0)
-    # The swap: the value at (x, y) is that of the ellipsoids at (y, x).
-    px, py, pz = _line(n, "y") / fill, _line(n, "x") / fill, _line(nz, "z") / fill
-    total = F.lit(0.0)
-    for amount, a, b, c, x0, y0, z0, angle in ellipsoids:
-        cs, sn = math.cos(math.radians(angle)), math.sin(math.radians(angle))
-        u = ((px - x0) * cs + (py - y0) * sn) / a
-        v = (-(px - x0) * sn + (py - y0) * cs) / b
-        w = (pz - z0) / c
-        total = total + F.when(u * u + v * v + w * w <= 1.0, amount).otherwise(0.0)
-    raw = grid(spark, n, n, nz).withColumn("v", F.greatest(F.lit(0.0), total))
-    top = raw.agg(F.max("v")).first()[0]
-    return raw.withColumn("v", F.col("v") / top) if top else raw
-
-
-def respiratory_maps(scans: DataFrame, nx: int, ny: int, nz: int = 1, level: float = 0.0, sharpness: float = 6.0, gain: float = 0.5, decay: float = 0.3, sigma_lr: float = 0.6, sigma_ap: float = 0.6, lr: float = 0.3, ap: float = 0.3, bias: float = 0.5) -> DataFrame:
-    """Displacement maps ``a0, a1[, a2]`` like breathing, for every scan.
-
-    A sigmoid below the diaphragm times a Gaussian envelope times a gain; each component is divided
-    by its largest modulus and scaled by its share.
-    """
-    if sigma_lr <= 0 or sigma_ap <= 0:
-        raise ValueError("envelope widths must be positive")
-    g = grid(scans.sparkSession, nx, ny, nz)
-    si, side, depth = _line(nx, "x"), _line(ny, "y"), _line(nz, "z")
-    region = 1 / (1 + F.exp(-((-si - level) * sharpness)))
-    spread = F.pow(side / sigma_lr, F.lit(2.0))
-    weight = F.lit(1.0)
-    if nz > 1:
-        spread = spread + F.pow(depth / sigma_ap, F.lit(2.0))
-        weight = 1.0 - bias * 0.5 * (1.0 - depth)
-    envelope = F.exp(-0.5 * spread)
-    top = F.greatest(F.lit(0.0), -si)
-    gains = F.greatest(F.lit(0.05), 1.0 - decay * top) * (1.0 + gain * top)
-    raw = g.withColumns({"_0": region * envelope * gains * weight, "_1": -side * region * envelope * weight, "_2": -depth * region * envelope * weight})
-    tops = raw.agg(*(F.greatest(F.lit(1e-12), F.max(F.abs(f"_{k}"))) for k in range(3))).first()
-    maps = {"a0": -F.col("_0") / tops[0], "a1": lr * F.col("_1") / tops[1]}
-    if nz > 1:
-        maps["a2"] = ap * F.col("_2") / tops[2]
-    one = raw.withColumns(maps).select("voxel", "x", "y", "z", *maps)
-    # One object's maps are the same for all scans: rows are made per scan from an array of structs.
-    return on_grid(scans.select("scan_id"), nx, ny, nz).join(one, ["voxel", "x", "y", "z"])
-
-
-def coil_maps(scans: DataFrame, nx: int, ny: int, n_coils: int, nz: int = 1, seed: int | None = None) -> DataFrame:
-    """Gaussian coil maps ``coil, voxel, re, im`` centred on a square grid of places; a hashed constant phase if seeded."""
-    side = math.ceil(math.sqrt(n_coils))
-    places = lambda n: [n / 4 + (n / 2) * k / max(1, side - 1) for k in range(side)]
-    centres = [(x, y) for y in places(ny) for x in places(nx)][:n_coils]
-    coils = scans.select("scan_id", F.explode(F.array(*(F.struct(F.lit(c).cast("bigint").alias("coil"), F.lit(x).alias("cx"), F.lit(y).alias("cy")) for c, (x, y) in enumerate(centres)))).alias("c")).select("scan_id", "c.*")
-    v = on_grid(coils, nx, ny, nz)
-    s = max(nx, ny) / 4
-    profile = F.exp(-(F.pow(F.col("x") + 1 - F.col("cx"), F.lit(2.0)) + F.pow(F.col("y") + 1 - F.col("cy"), F.lit(2.0))) / (2 * s * s))
-    if nz > 1:
-        sz = max(nz / 2.5, 1.0)
-        profile = profile * F.exp(-F.pow(F.col("z") + 1 - (nz + 1) / 2, F.lit(2.0)) / (2 * sz * sz))
-    phase = F.lit(0.0) if seed is None else 2 * math.pi * uniform(seed, "scan_id", "coil")
-    return v.select("scan_id", "coil", "voxel", (profile * F.cos(phase)).alias("re"), (profile * F.sin(phase)).alias("im"))
-
-
 def best_iterate(log: DataFrame) -> DataFrame:
     """Per scan and level the kept iteration and where it stopped.
 

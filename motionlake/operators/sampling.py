@@ -1,4 +1,4 @@
-"""Sampling schedules: order and shot of every phase-encode line, and the cells that it fills."""
+"""Phase-encode lines: their order and shots, and the cells that they fill."""
 
 from __future__ import annotations
 
@@ -24,49 +24,6 @@ def permute(df: DataFrame, seed: int, keys: tuple[str, ...] = ("scan_id", "nex")
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(h, *items)).cast("bigint") - 1)
 
 
-def _near_equal(df: DataFrame, n_lines, n_shots: int) -> DataFrame:
-    """Shots of near-equal size by ``pos``; the first ``n % n_shots`` have one line more."""
-    size, more = F.floor(n_lines / n_shots), n_lines % n_shots
-    head = more * (size + 1)
-    shot = F.when(F.col("pos") < head, F.floor(F.col("pos") / (size + 1))).otherwise(more + F.floor((F.col("pos") - head) / F.greatest(F.lit(1), size)))
-    return df.withColumn("shot", shot.cast("bigint"))
-
-
-def schedule(meta: DataFrame, kind: str, n_shots: int, seed: int = 0) -> DataFrame:
-    """``scan_id, nex, shot, pos, ky, kz`` of all lines; ``pos`` is the time order within a repetition.
-
-    ``linear`` (also ``from-data``), ``interleaved`` or ``random``. A scan with nz = 1 follows the rules
-    for 2D: linear shots are near-equal runs of ky, interleaved ones every n-th ky. In 3D linear
-    shots are the bands from ``s * ny // n`` to ``(s + 1) * ny // n`` with all kz; interleaved ones take
-    every n-th ky, and both ky and kz in strides that begin at (nex + shot), turning ky round on
-    each second kz. Random shots cut a permutation of all lines.
-    """
-    if kind not in ("linear", "from-data", "interleaved", "random"):
-        raise ValueError(f"unknown sampling {kind}")
-    all_lines = lines(meta)
-    flat = F.col("nz") == 1
-    columns = ("scan_id", "nex", "shot", "pos", "ky", "kz")
-    by_nex = Window.partitionBy("scan_id", "nex")
-    if kind == "random":
-        return _near_equal(permute(all_lines, seed), F.col("ny") * F.col("nz"), n_shots).select(*columns)
-    if kind != "interleaved":
-        placed = all_lines.withColumn("pos", F.col("ky") * F.col("nz") + F.col("kz"))
-        two = _near_equal(placed, F.col("ny"), n_shots)
-        # The shot s of a ky in 3D is the last whose band begins at or before it.
-        three = F.ceil(((F.col("ky") + 1) * n_shots) / F.col("ny")).cast("bigint") - 1
-        return two.withColumn("shot", F.when(flat, F.col("shot")).otherwise(three)).select(*columns)
-    shot = all_lines.withColumn("shot", F.col("ky") % n_shots).withColumn("_i", F.floor(F.col("ky") / n_shots))
-    n_ky = F.floor((F.col("ny") - F.col("shot") + n_shots - 1) / n_shots)
-    stride = lambda n: F.greatest(F.lit(1), F.least(F.lit(n_shots), n))
-    turn = F.col("nex") + F.col("shot")
-    sy, sz = stride(n_ky), stride(F.col("nz"))
-    part_y, part_z = F.when(flat, 0).otherwise(F.pmod(F.col("_i") - turn, sy)), F.pmod(F.col("kz") - turn, sz)
-    shot = shot.withColumn("_py", part_y).withColumn("_pz", part_z).withColumn("_z", F.dense_rank().over(Window.partitionBy("scan_id", "nex", "shot").orderBy("_pz", "kz")) - 1)
-    order_y = F.row_number().over(Window.partitionBy("scan_id", "nex", "shot", "kz").orderBy("_py", "ky"))
-    shot = shot.withColumn("_y", order_y).withColumn("_y", F.when(F.col("_z") % 2 == 0, F.col("_y")).otherwise(-F.col("_y")))
-    return shot.withColumn("pos", F.row_number().over(by_nex.orderBy("shot", "_z", "_y")).cast("bigint") - 1).select(*columns)
-
-
 def global_shots(readouts: DataFrame) -> DataFrame:
     """``readouts`` with ``global_shot``: their shot after all shots of earlier repetitions."""
     per = readouts.groupBy("scan_id", "nex").agg(F.countDistinct("shot").alias("n"))

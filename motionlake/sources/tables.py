@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,14 @@ SENSOR_TYPES = {"BELT": "BELT", "MARMOT": "MARMOT"}
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that is unset, a session on one machine gets a temporary folder; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='motionlake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -50,9 +56,8 @@ def drop_empty_sensors(samples: DataFrame, value: str = "value") -> DataFrame:
 
 
 def bundle_rows(bundle: DataFrame) -> DataFrame:
-    """A bundle's ``[slice][line]`` matrices (motion, idx_ky, idx_kz, idx_nex) as one row per readout."""
-    by_slice = bundle.select("scan_id", F.posexplode(F.arrays_zip("motion", "idx_ky", "idx_kz", "idx_nex")).alias("z", "s"))
-    lines = by_slice.select("scan_id", "z", F.posexplode(F.arrays_zip(*(F.col(f"s.{c}").alias(c) for c in ("motion", "idx_ky", "idx_kz", "idx_nex")))).alias("line_idx", "l"))
+    """A bundle's slices, whose lines are arrays (motion, idx_ky, idx_kz, idx_nex), as one row per readout."""
+    lines = bundle.select("scan_id", "z", F.posexplode(F.arrays_zip("motion", "idx_ky", "idx_kz", "idx_nex")).alias("line_idx", "l"))
     return lines.select("scan_id", "z", "line_idx", F.col("l.idx_ky").alias("ky"), F.col("l.idx_kz").alias("kz"), F.col("l.idx_nex").alias("nex"), F.col("l.motion").alias("motion"))
 
 
@@ -62,14 +67,17 @@ def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_bundle(lines: DataFrame, readouts: DataFrame, path: str, nex_source: str = "repetition") -> None:
-    """Write lines and readouts by scan; the repetitions seen and their source stand as columns."""
+    """Write lines by scan, and readouts as one row per scan and slice; the repetitions seen and their source stand as columns.
+
+    Lines are rebalanced by scan before they are written, so that tasks don't each write a file for every
+    scan, and adaptive execution splits a large scan.
+    """
     seen = readouts.groupBy("scan_id").agg(F.sort_array(F.collect_set("nex")).alias("nex_values"))
     matrix = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("line_idx", c))), lambda x: x[c])
     slices = readouts.groupBy("scan_id", "z").agg(*(matrix(c).alias(c) for c in ("motion", "ky", "kz", "nex")))
-    stack = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("z", c))), lambda x: x[c])
-    bundle = slices.groupBy("scan_id").agg(stack("motion").alias("motion"), stack("ky").alias("idx_ky"), stack("kz").alias("idx_kz"), stack("nex").alias("idx_nex"))
+    bundle = slices.withColumnsRenamed({"ky": "idx_ky", "kz": "idx_kz", "nex": "idx_nex"})
     bundle.join(seen, "scan_id").withColumn("nex_source", F.lit(nex_source)).write.parquet(f"{path}/bundle")
-    lines.write.partitionBy("scan_id").parquet(f"{path}/kspace_lines")
+    lines.hint("rebalance", "scan_id").write.partitionBy("scan_id").parquet(f"{path}/kspace_lines")
 
 
 def ingest_images(pixels: DataFrame) -> DataFrame:

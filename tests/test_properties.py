@@ -5,48 +5,11 @@ import random
 import numpy as np
 import pytest
 
-from motionlake.operators import acquisition, alignment, binning, motion, recon, sampling, signal
+from motionlake.operators import acquisition, alignment, binning, signal
 from motionlake.operators.kspace import fft_centred
 from motionlake.sources import tables
 
 
-def slice_of(shape=(8, 8, 1), nex=2, coils=3, states=2, seed=0):
-    rng = np.random.default_rng(seed)
-    c = lambda *s: rng.standard_normal(s) + 1j * rng.standard_normal(s)
-    return recon.Slice((1, 0), c(coils, nex, int(np.prod(shape))), c(coils, *shape), rng.integers(-1, states, (nex, *shape)), rng.standard_normal(states), states)
-
-
-@pytest.mark.parametrize("shape", [(8, 6, 1), (6, 5, 4)])
-@pytest.mark.parametrize("kind", ["rigid", "non-rigid"])
-def test_operators_are_adjoint(shape, kind):
-    d = slice_of(shape)
-    rng = np.random.default_rng(3)
-    model = rng.standard_normal(d.no_motion(kind).shape) * 0.3
-    e = d.encoding(model, kind)
-    x = rng.standard_normal(2 * int(np.prod(shape))) + 1j
-    y = np.where((d.state_of.reshape(2, -1) >= 0)[None], d.kspace, 0)
-    assert np.isclose(np.vdot(y, e.forward(x)), np.vdot(e.adjoint(y), x))
-    e.linearize(x)
-    v = rng.standard_normal(model.size)
-    assert np.isclose(np.vdot(y, e.change(v)), np.vdot(e.change_adjoint(y), v))
-
-
-def test_motion_derivative_agrees_with_differences():
-    d = slice_of((48, 48, 1), states=1)  # fine enough for one-sided and central differences to agree
-    g = np.meshgrid(np.linspace(-2, 2, 48), np.linspace(-2, 2, 48), indexing="ij")
-    image = np.stack([np.exp(-g[0] ** 2 - g[1] ** 2)[..., None]] * 2).astype(complex)
-    zero, dm = np.zeros((3, 1)), np.array([[1e-3], [2e-3], [0.0]])
-    e = d.encoding(zero, "rigid")
-    e.linearize(image)
-    gap = d.encoding(dm, "rigid").forward(image) - e.forward(image)
-    assert np.linalg.norm(gap - e.change(dm)) < 0.2 * np.linalg.norm(gap)
-
-
-def test_warp_without_motion_is_the_identity_and_weights_sum_to_one():
-    i, w = recon.interpolation([np.zeros((5, 4, 3))] * 3, (5, 4, 3))
-    assert np.allclose(w.sum(axis=0), 1) and np.allclose((w * np.arange(60)[i]).sum(axis=0), np.arange(60))
-
-
 def test_transform_round_trip_and_delta():
     x = np.random.default_rng(0).standard_normal((6, 5, 4))
     assert np.allclose(fft_centred(fft_centred(x, (0, 1, 2)), (0, 1, 2), inverse=True), x)
@@ -55,37 +18,6 @@ def test_transform_round_trip_and_delta():
     assert np.allclose(fft_centred(delta, (0, 1, 2)), 1 / 8)
 
 
-def test_conjugate_gradients_solve_and_stop():
-    rng = np.random.default_rng(1)
-    m = rng.standard_normal((20, 20))
-    a, b = m @ m.T + np.eye(20), rng.standard_normal(20)
-    s = recon.Settings(early_stop=False, tolerance=1e-7)
-    x, info = recon.solve(lambda v: a @ v, b, np.zeros(20), lambda v: v, 0.0, 200, s)
-    assert np.allclose(a @ x, b, atol=1e-6) and info["reason"] == "tolerance"
-    _, info = recon.solve(lambda v: a @ v, b, np.zeros(20), lambda v: v, 0.0, 200, recon.Settings(tolerance=1e-14, max_more=None, refresh=2))
-    assert info["reason"] in ("early_stopping", "tolerance") and info["iterations"] <= 12
-    assert np.allclose(recon.smooth(np.ones(24), (2, 3, 4)), 0)
-
-
-def test_reconstruction_beats_no_correction():
-    """A smooth object whose second state moved; the common pose is free, so images are held against each other in state 0."""
-    n = 24
-    g = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
-    x = sum(a * np.exp(-((g[0] - cx) ** 2 + (g[1] - cy) ** 2) / (2 * s * s)) for a, cx, cy, s in ((1, 12, 12, 4.0), (-0.5, 9, 13, 2.0), (0.8, 15, 9, 2.0)))
-    x = x[None, ..., None].astype(complex)
-    maps = np.stack([np.exp(-((np.arange(n)[:, None] - a) ** 2 + (np.arange(n) - b) ** 2) / 200) for a in (6, 18) for b in (6, 18)])[..., None].astype(complex)
-    state_of = np.broadcast_to((np.arange(n) % 2)[None, None, :, None], (1, n, n, 1)).copy()
-    true = np.array([[0.0, 1.5], [0.0, -1.0], [0.0, 0.05]])
-    d = recon.Slice((1, 0), np.zeros((4, 1, n * n), complex), maps, state_of, np.zeros(2), 2)
-    d.kspace = d.encoding(true, "rigid").forward(x)
-    error = lambda y: np.linalg.norm(y - x[0]) / np.linalg.norm(x)
-    image, model, log = recon.reconstruct_slice(d, recon.Settings(levels=(0.5, 1.0, 1.0), gn_iterations=(8, 8, 1), early_stop=False, lambda_image=1e-3))
-    naive = d.naive()[0] / (np.abs(maps) ** 2).sum(axis=0)
-    assert error(d.encoding(model, "rigid").warp(image[0], 0)) < 0.1 * error(naive)
-    assert np.allclose(model[:, 1] - model[:, 0], true[:, 1], atol=0.15)
-    assert log[-1]["relres"] < 0.1 * log[0]["relres"]
-
-
 def test_filter_keeps_a_constant_and_damps_fast_waves():
     t = np.arange(2000) / 100
     assert np.allclose(signal.first_order(np.ones(2000), 100, 3.0, "low"), 1)
@@ -131,19 +63,6 @@ def test_interpolation_at_any_bucket(spark, bucket):
     assert np.allclose([got[i] for i in range(len(q))], np.interp(q, ts, ys))
 
 
-@pytest.mark.parametrize("kind", ["linear", "interleaved", "random"])
-@pytest.mark.parametrize("nz", [1, 3])
-def test_schedules_cover_every_line_once(spark, kind, nz):
-    meta = spark.createDataFrame([(1, 2, 19, nz)], "scan_id long, n_nex long, ny long, nz long")
-    got = sampling.schedule(meta, kind, 4).collect()
-    assert len({(r.nex, r.ky, r.kz) for r in got}) == len(got) == 2 * 19 * nz
-    assert sorted(r.pos for r in got if r.nex == 0) == list(range(19 * nz))
-    shots = [r.shot for r in sorted((r for r in got if r.nex == 0), key=lambda r: r.pos)]
-    assert shots == sorted(shots) and set(shots) == set(range(4))
-    with pytest.raises(ValueError):
-        sampling.schedule(meta, "spiral", 4)
-
-
 def test_bins_do_not_depend_on_partitions(spark):
     rows = [(s, i, float(np.sin(i * 0.7 + s))) for s in range(3) for i in range(40)] + [(9, 0, 1.0)]
     df = spark.createDataFrame(rows, "scan_id long, line_idx long, motion double")
@@ -159,5 +78,3 @@ def test_guards(spark):
             acquisition.select_slice(r, z)
     with pytest.raises(ValueError):
         tables.read_sensor(spark, "/nowhere", "SONAR")
-    with pytest.raises(ValueError):
-        recon.reconstruct_slice(slice_of(), recon.Settings(levels=(1.0,), gn_iterations=(1, 2)))
