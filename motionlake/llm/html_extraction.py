@@ -16,12 +16,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 #: Elements that never hold the article's text.
 DROPPED = RAW | frozenset("nav footer aside form button select option head svg math object video audio canvas dialog menu menuitem".split())
-#: Class, id or role of what stands around an article.
-AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|overlay|sidebar|side|nav\w*|menu|breadcrumbs?"
-    r"|header|masthead|footer|foot|comments?|comment-?list|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|widget|toolbar|pagination|pager)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Parts of a class or id, between hyphens, underscores and changes of case, of what stands around an article.
+AROUND = frozenset(
+    "ad ads adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent notice popup modal overlay sidebar side nav navbar navigation"
+    " menu breadcrumb breadcrumbs masthead footer foot comment comments commentlist disqus replies respond share sharing social related recommend recommended recommendations newsletter"
+    " subscribe subscription signup widget widgets toolbar pagination pager".split()
 )
+#: A header that isn't the page's; and first parts by which a class tells of a layout (no-sidebar) and not of a place.
+OWN_HEADER, LAYOUT = frozenset("entry post article story content title".split()), frozenset("no with has without".split())
 ROLES_AROUND = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 #: Elements that start and end a block of text.
 BLOCKS = frozenset(
@@ -34,76 +36,138 @@ ENDS_P = frozenset("address article aside blockquote center details div dl field
 ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table tbody thead tfoot div section article main body td blockquote html".split())
 #: Points that an element's kind adds to its score.
-BONUS = {"article": 40.0, "main": 20.0, "section": 3.0, "div": 2.0, "blockquote": 1.0, "ul": -3.0, "ol": -3.0, "table": -3.0, "li": -3.0}
+BONUS = {"article": 15.0, "main": 8.0, "section": 3.0, "div": 2.0, "blockquote": 1.0, "ul": -3.0, "ol": -3.0, "table": -3.0, "li": -3.0}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_MARKS = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_ROLE = re.compile(r"\brole\s*=\s*[\"']?(\w+)", re.IGNORECASE)
+_OPEN = re.compile(r"<(?=[A-Za-z!?/])")
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+#: The rest of a tag; nothing is tried twice, so the search is linear.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "score", "size", "linked")
+    __slots__ = ("tag", "parent", "items", "dropped", "score", "size", "linked", "scope", "open", "inside")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.items: list[Node | str] = []
         self.score = 0.0
         self.size = self.linked = 0
+        #: The nearest element that holds blocks, itself or above; and, in such a one, how many of each tag are open below it up to the next.
+        self.open: dict[str, int] | None = {} if parent is None or tag in HOLDS else None
+        self.scope: Node = self if self.open is not None else parent.scope
+        self.inside: bool = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
-def tree(source: str) -> Node:
-    """The element tree; end tags that fit nothing are skipped, elements left open end with what holds them."""
-    root = node = Node("html", None)
-    at, end = 0, len(source)
+def tags(source: str) -> Iterator[tuple[str, str, str, str]]:
+    """``(text before, "/" or nothing, tag, attributes)`` of each tag, with a last one of no tag for the text at the end.
 
-    while at < end:
-        m = _TOKEN.search(source, at)
-        if not m:
-            node.items.append(source[at:])
-            break
-        if m.start() > at:
-            node.items.append(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    A comment or declaration is left out. A ``<`` after which no tag ends is text. Where quotes never close,
+    tags from there on end at the next ``>``, quoted or not.
+    """
+    at, begun, end, last, quotes = 0, 0, len(source), source.rfind(">"), True
+    held = ""
+    while m := _OPEN.search(source, at):
+        i = m.start()
+        if source.startswith("<!--", i):
+            close = source.find("-->", i + 4)
+            held, at = held + source[begun:i], close + 3 if close >= 0 else end
+            begun = at
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up = node
-            while up and up.tag != tag:
-                up = None if up.tag in HOLDS and tag not in BLOCKS else up.parent
-            if up and up.parent:
-                node = up.parent
+        if i > last:
+            break
+        name = _NAME.match(source, i + 1)
+        if not name:  # a declaration, an instruction, or an end tag without a name
+            held, at = held + source[begun:i], source.find(">", i) + 1
+            begun = at
             continue
-        if tag in ("html", "body") and tag == "html":
+        rest = _REST.match(source, name.end()) if quotes else None
+        quotes = quotes and rest is not None
+        stop = rest.end() if rest else source.find(">", name.end()) + 1
+        if not stop:
+            break
+        tag = name[2].lower()
+        yield held + source[begun:i], name[1], tag, source[name.end() : stop - 1]
+        held, at = "", stop
+        if not name[1] and tag in RAW:
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
+            at = (source.find(">", close.end()) + 1 or end) if close else end
+        begun = at
+    yield held + source[begun:], "", "", ""
+
+
+def tree(source: str) -> Node:
+    """The element tree; end tags that fit nothing are skipped, elements left open end with what holds them.
+
+    Counts of open elements tell at once whether an end tag fits one, so each step up closes an element.
+    """
+    root = node = Node("html", None)
+    opened: dict[str, int] = {}
+    articles = 0
+
+    def up() -> None:
+        nonlocal node
+        opened[node.tag] -= 1
+        node.parent.scope.open[node.tag] -= 1
+        node = node.parent
+
+    for text, slash, tag, attributes in tags(source):
+        if text:
+            node.items.append(text)
+        if not tag or tag == "html" or tag in RAW:
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
-            at = close.end() if close else end
+        if slash:
+            # Inline elements are closed up to the next element that holds blocks; blocks across others.
+            if node.tag == tag or node.scope.open.get(tag) or (tag in BLOCKS and opened.get(tag)):
+                while node.tag != tag and node.parent:
+                    up()
+                if node.parent:
+                    up()
             continue
         own = ENDS_OWN.get(tag, ())
-        if tag in ENDS_P or own:
-            up = node
-            while up.parent and up.tag not in HOLDS:
-                if up.tag in own or (up.tag == "p" and tag in ENDS_P):
-                    node = up.parent
-                up = up.parent
-            if own and up.tag in own and up.parent:
-                node = up.parent
-        dropped = tag in DROPPED or (tag not in ("html", "body", "article", "main") and _around(m[3]))
-        child = Node(tag, node, dropped)
+        ends = {*own, "p"} if tag in ENDS_P else set(own)
+        while node.parent and any(node.scope.open.get(t) for t in ends):
+            up()
+        if own and node.tag in own and node.parent and node.open is not None:
+            up()
+        child = Node(tag, node, tag in DROPPED or (tag != "body" and _around(tag, attributes, node.inside)))
         node.items.append(child)
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag == "main" or tag == "article" and not child.dropped and not articles:
+            # What holds the first article, or the main part, is no sidebar, whatever its class says.
+            articles += 1
+            holder = node
+            while holder and holder.tag not in DROPPED and not holder.inside:
+                holder.dropped, holder = False, holder.parent
+        if tag not in VOID and not attributes.endswith("/"):
+            node.scope.open[tag] = node.scope.open.get(tag, 0) + 1
+            opened[tag] = opened.get(tag, 0) + 1
             node = child
     return root
 
 
-def _around(attributes: str) -> bool:
+def _around(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element's class, id, role or hiding tells that it is no part of the article."""
     if not attributes:
         return False
-    if any(AROUND.search(a or b or c) for a, b, c in _MARKS.findall(attributes)):
-        return True
-    role = _ROLE.search(attributes)
-    return bool(role and role[1].lower() in ROLES_AROUND) or " hidden" in attributes.lower()
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), next(filter(None, values), "")
+        if name == "hidden" or name == "style" and _UNSEEN.search(value):
+            return True
+        if name == "role" and value.strip().lower() in ROLES_AROUND:
+            return True
+        if name in ("class", "id"):
+            for word in value.split():
+                parts = [p.lower() for p in _PARTS.findall(word)]
+                if not parts or parts[0] in LAYOUT:
+                    continue
+                if tag in ("article", "main"):
+                    if not {"comment", "comments"}.isdisjoint(parts):
+                        return True
+                elif not AROUND.isdisjoint(parts) or ("header" in parts and not inside and parts[0] not in OWN_HEADER):
+                    return True
+    return False
 
 
 def walk(node: Node) -> Iterator[Node]:
@@ -117,10 +181,7 @@ def walk(node: Node) -> Iterator[Node]:
 
 def kept(node: Node) -> bool:
     if node.tag == "header" and not node.dropped:
-        up = node.parent
-        while up and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is not None and any(isinstance(x, Node) and x.tag in ("h1", "h2") for x in node.items)
+        return node.inside and any(isinstance(x, Node) and x.tag in ("h1", "h2") for x in node.items)
     return not node.dropped
 
 
@@ -199,21 +260,29 @@ def blocks(node: Node) -> list[str]:
 
 
 def main_text(source: str) -> str:
-    """The blocks of the best container and of its siblings that score well, joined by line ends."""
+    """The blocks of the best container, of its siblings that score well and of what is between them, joined by line ends."""
     root = tree(source)
     best = score(root)
     if best.tag in ("article", "main", "body", "html") or best.parent is None:
-        chosen = [best]
-    else:
-        least = max(10.0, 0.2 * best.score)
-        chosen = []
-        for x in best.parent.items:
-            if not isinstance(x, Node) or not kept(x):
-                continue
-            density = x.linked / x.size if x.size else 0
-            if x is best or x.score >= least or (x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and density < 0.25 and (x.size > 80 or x.tag[0] == "h")):
-                chosen.append(x)
-    return "\n".join(line for n in chosen for line in blocks(n))
+        return "\n".join(blocks(best))
+    least = max(10.0, 0.2 * best.score)
+    around = [x for x in best.parent.items if isinstance(x, str) or kept(x)]
+    good = [k for k, x in enumerate(around) if x is best or _belongs(x, least)]
+    # Between chosen siblings short paragraphs, loose strings and inline elements belong to the article as well.
+    chosen, held = set(good), Node("div", None)
+    for k in range(good[0], good[-1] + 1):
+        x = around[k]
+        if isinstance(x, str) or (k in chosen) or x.tag not in BLOCKS or x.linked < 0.5 * x.size:
+            held.items.append(x)
+    return "\n".join(blocks(held))
+
+
+def _belongs(x: Node | str, least: float) -> bool:
+    """Whether a sibling of the best container is chosen for itself."""
+    if isinstance(x, str):
+        return False
+    density = x.linked / x.size if x.size else 0
+    return x.score >= least or (x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and density < 0.25 and (x.size > 80 or x.tag[0] == "h"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from motionlake.llm import html_extraction as H
 from motionlake.llm.queries import op7_html_extraction
@@ -41,3 +43,33 @@ def test_odd_pages(spark):
     assert [got[i] for i in (1, 2, 4, 5, 7, None, 8)] == ["", "", "just text & more", "deep", "", "x", "bold"]
     assert got[6] == " ".join(["long"] * 60_000)
     assert H.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_titles_and_layout_classes_stay():
+    page = """<body class="has-sidebar"><div id="page" class="site-content no-sidebar"><article><div class="entry-header"><h1>Title</h1></div>
+    <p>One paragraph.</p><p title="the hidden gem">Kept para.</p><p hidden>gone</p><p style="display: none">gone too</p><div style="overflow: hidden"><p>Also kept.</p></div></article>
+    <div class="main with-sidebar"><ol id=comments><li><article class="comment">Nice!</article></ol></div></div><div class="page-header">Site</div></body>"""
+    assert H.main_text(page) == "Title\nOne paragraph.\nKept para.\nAlso kept."
+    assert H.main_text('<div class="sidebar-layout sidebar"><main><p>All of it.</p></main></div>') == "All of it."
+
+
+def test_generated_pages_without_an_article():
+    """Containers of any name, among menus, notices and footers: every paragraph and heading stays, in order."""
+    rng = random.Random(5)
+    for _ in range(60):
+        blocks = [" ".join(f"w{rng.randrange(999)}" for _ in range(rng.choice((3, 12, 40, 90)))) + rng.choice((".", ", so.", "!")) for _ in range(rng.randrange(6, 20))]
+        body = "".join(rng.choice(("<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<p><b>{}</b></p>")).format(b) for b in blocks)
+        menu = "".join(f"<li><a href=/{k}>Menu entry {k}</a>" for k in range(9))
+        page = f"""<html><body><div class="top-nav"><ul>{menu}</ul></div><div class="cookie-banner"><p>Cookies, yes, cookies.</p></div><div class="{rng.choice(("content", "x1", "story"))}">{body}</div>
+        <div id="comments"><p>Reader says, well, no.</p></div><div class="footer"><ul>{menu}</ul></div></body></html>"""
+        assert H.main_text(page) == "\n".join(blocks)
+
+
+def test_time_is_linear_in_broken_pages():
+    n = 100_000
+    pages = ["<a " * 1_700_000, '<a "' * 1_200_000, "<div>" * n + "</section>" * n, "<div>" + "<span>" * n + "<hr>" * n, "<b><div>" + "<span>" * n + "</b>" * n, "<p>" * n + "x", "<header>" * n + "<h1>t",
+             "<script" * n, "<!--" * 1_000_000, "<li>" * n + "</p>" * n, "<div><p>" * (n // 2) + "</p></b>" * n, '<div class="' + "advert" * 500_000 + '">x', "<article>" * n + "x", '<a ">">' * n, "&amp" * n]
+    for page in pages:
+        began = time.process_time()
+        H.main_text(page)
+        assert time.process_time() - began < 10, page[:30]
