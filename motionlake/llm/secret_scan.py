@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,6 +29,10 @@ URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s\"'<>]+")
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 #: Characters per token below which a string counts as random, and classes of characters it must mix.
 MAX_RATIO, MIN_CLASSES = 2.4, 2
+#: Digests of known algorithms in base64 or base32, as integrity attributes and archives write them, and what may stand before the digest.
+NAMED_DIGEST = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512))-[A-Za-z0-9+/_-]{22,88}={0,2}", re.IGNORECASE)
+BARE_DIGEST = re.compile(r"[A-Za-z0-9+/_-]{22}(?:==)?|[A-Za-z0-9+/_-]{27}=?|[A-Za-z0-9+/_-]{43}=?|[A-Za-z0-9+/_-]{64}|[A-Za-z0-9+/_-]{86}(?:==)?|[A-Z2-7]{32}")
+DIGEST_NAME = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512))[:=]\x20?\Z", re.IGNORECASE)
 #: Lengths in hexadecimal digits of the digests that texts quote: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
@@ -75,6 +80,18 @@ def quoted(s: str) -> bool:
     return bool(len(s) in DIGESTS and DIGEST.fullmatch(s) or UUID.fullmatch(s))
 
 
+def named_digest(text: str, a: int, b: int) -> bool:
+    """Whether the string at a place is a digest whose algorithm is named in it or just before it."""
+    s = text[a:b]
+    return bool(NAMED_DIGEST.fullmatch(s) or BARE_DIGEST.fullmatch(s) and DIGEST_NAME.search(text, max(0, a - 9), a))
+
+
+def within(spans: list[tuple], a: int, b: int) -> bool:
+    """Whether one of ``spans``, sorted and apart from each other, overlaps a place."""
+    k = bisect_left(spans, (b,))
+    return k > 0 and spans[k - 1][1] > a
+
+
 def encodes_badly(s: str, ranks: str) -> bool:
     """Whether a string has few characters per token and is neither a digest nor made of words."""
     if quoted(s) or IDENTIFIER.fullmatch(s):
@@ -88,23 +105,31 @@ def random_spans(text: str, ranks: str, taken: list[tuple[int, int, str]]) -> li
 
     A string is measured whole and, where that does not mark it, in its parts between ``/`` and ``=``; in URLs,
     and beside a digest or UUID, only the parts are. Digests of known lengths, UUIDs, e-mail addresses and
-    strings made of words are left out; the name and password of a URL are no e-mail address.
+    strings made of words are left out, and so are digests in base64 or base32 after the name of their algorithm; the name
+    and password of a URL are no e-mail address. ``taken`` is sorted. Time is linear in the text.
     """
     out = []
     urls = [m.span() for m in URL.finditer(text)] if "://" in text else []
+    # Up to the first slash after its mark a URL holds a name and password, which are no e-mail address.
+    hosts = [(u, next((k for k in (text.find("/", text.index("://", u) + 3, v),) if k >= 0), v)) for u, v in urls]
     mails = [m.span() for m in EMAIL.finditer(text)] if "@" in text else []
-    mails = [(x, y) for x, y in mails if not any(u < x < v and "/" not in text[text.index("://", u) + 3 : x] for u, v in urls)]
+    mails = [(x, y) for x, y in mails if not within(hosts, x, x + 1)]
+    at, most = 0, 0  # spans taken that begin before a part, and how far they reach
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(x < b and a < y for x, y in mails):
+        if within(mails, a, b) or named_digest(text, a, b):
             continue
         parts = [(a + k.start(), a + k.end()) for k in PART.finditer(m[0])]
-        whole = not any(x <= a < y for x, y in urls) and not any(quoted(text[x:y]) for x, y in parts)
+        whole = not within(urls, a, a + 1) and not any(quoted(text[x:y]) for x, y in parts)
         if whole and encodes_badly(m[0], ranks):
             parts = [(a, b)]
         else:
             parts = [(x, y) for x, y in parts if encodes_badly(text[x:y], ranks)]
-        out += [(x, y, "random") for x, y in parts if not any(u <= x and y <= v for u, v, _ in taken)]
+        for x, y in parts:
+            while at < len(taken) and taken[at][0] <= x:
+                most, at = max(most, taken[at][1]), at + 1
+            if y > most:
+                out.append((x, y, "random"))
     return out
 
 

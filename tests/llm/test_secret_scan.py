@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from motionlake.llm import secret_scan as S
 from motionlake.llm.queries import op8_secret_scan
@@ -79,3 +80,21 @@ def test_random_strings_after_dots_in_urls_and_around_hex():
     assert marked(f"write to {hook.lower()}@example.com or {hook}.list@mail.example.org") == []
     digest = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
     assert marked(f"sha1={digest} and https://example.com/blob/{digest}") == []
+
+
+def test_digests_with_their_algorithm_are_known():
+    sri = "oqVuAfXRKap7fdgcCY5uykM6+R9GqQ8K/uxy9rx7HNQlGYl1kPzQho1wx4JwY8wC"
+    for text in (f'integrity="sha384-{sri}"', "sha256: n4bQgYhMfWWaL+qgxVrQFaO/TxsrC4Is0V1sFbDwCgg=", "WARC sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ end"):
+        assert S.all_spans(text, S.default_ranks()) == [], text
+    assert S.all_spans(f"key {sri}", S.default_ranks())
+
+
+def test_long_runs_take_linear_time():
+    ranks = S.default_ranks()
+    key = "kJ8x2Qp9Lz7Wm4Rt6Yv1Bn3C"
+    many = " ".join(f"{key}{i:04d}" for i in range(20_000))
+    texts = ["aB3" * 700_000 + "@", "a@" * 1_000_000, ("a" * 64 + ".") * 30_000 + "@", "http://" * 200_000, many, f"x@mail.com {key} " * 20_000, "password" + " " * 1_000_000, "AKIA" * 300_000]
+    for text in texts:
+        began = time.process_time()
+        S.all_spans(text, ranks)
+        assert time.process_time() - began < 20, text[:20]
