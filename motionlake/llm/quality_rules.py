@@ -67,24 +67,25 @@ def failures() -> dict:
 def host_verdicts(docs: DataFrame, host: str = "source", reject_rate: float = 0.5, max_strength: float = 1000.0) -> DataFrame:
     """One row per host: documents, failing documents, ``host_rate`` and ``host_kept``.
 
-    ``docs`` has ``host`` and a boolean ``failed``. A host's raw rate is shrunk towards the rate of all
-    documents by a beta prior fitted to the hosts' rates by moments: the fewer documents a host
-    has, the nearer it comes to the prior's mean. The host is rejected if its shrunk rate is over
+    ``docs`` has ``host`` and a boolean ``failed``. A host's raw rate is shrunk towards the hosts'
+    mean rate by a beta prior fitted to the hosts' rates by moments: the fewer documents a host
+    has, the nearer it comes to the prior's mean. With m the mean and v the variance of the hosts' rates and
+    h the mean of one over their documents, v = m (1 - m) (h + (1 - h) / (a + b + 1)) gives the prior's strength
+    a + b, held between 1 and ``max_strength`` documents. The host is rejected if its shrunk rate is over
     ``reject_rate``. Null hosts are one host.
     """
     hosts = docs.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("bigint")).alias("n_failed"))
     m = hosts.agg(
         F.count("*").alias("k"),
-        F.sum("n_docs").alias("n"),
-        F.sum("n_failed").alias("f"),
         F.avg(F.col("n_failed") / F.col("n_docs")).alias("mean"),
         F.var_pop(F.col("n_failed") / F.col("n_docs")).alias("var"),
         F.avg(1 / F.col("n_docs")).alias("inverse"),
     ).first()
-    mean = (m["f"] + 1) / (m["n"] + 2) if m["k"] else 0.5
-    # The variance between hosts is what binomial sampling leaves unexplained.
-    between = (m["var"] - mean * (1 - mean) * m["inverse"]) if m["k"] else 0.0
-    strength = max_strength if between <= 0 else min(max(mean * (1 - mean) / between - 1, 1.0), max_strength)
+    mean, spread, strength = (m["mean"], m["mean"] * (1 - m["mean"]), max_strength) if m["k"] else (0.5, 0.25, max_strength)
+    # What binomial sampling of the hosts' documents leaves unexplained is the variance between hosts.
+    if m["k"] and spread > 0 and m["var"] > spread * m["inverse"]:
+        share = (m["var"] / spread - m["inverse"]) / (1 - m["inverse"]) if m["inverse"] < 1 else 1.0
+        strength = min(max(1 / share - 1, 1.0), max_strength)
     rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
     return hosts.withColumn("host_rate", rate).withColumn("host_kept", F.col("host_rate") <= reject_rate)
 

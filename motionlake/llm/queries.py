@@ -100,8 +100,8 @@ OP3_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coa
   j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
   k AS (SELECT *, base_failed OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 14 * n_words)) OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines AS failed FROM j),
   h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM k GROUP BY source),
-  m AS (SELECT (sum(f) + 1) / (sum(n) + 2) AS mean, var_pop(f / n) AS v, avg(1 / n) AS inv FROM h),
-  q AS (SELECT mean, CASE WHEN v - mean * (1 - mean) * inv <= 0 THEN 1000.0 ELSE least(greatest(mean * (1 - mean) / (v - mean * (1 - mean) * inv) - 1, 1.0), 1000.0) END AS strength FROM m),
+  m AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS v, avg(1 / n) AS inv FROM h),
+  q AS (SELECT mean, CASE WHEN mean * (1 - mean) > 0 AND v > mean * (1 - mean) * inv THEN least(greatest((1 - inv) / (v / (mean * (1 - mean)) - inv) - 1, 1.0), 1000.0) ELSE 1000.0 END AS strength FROM m),
   v AS (SELECT source, (f + mean * strength) / (n + strength) <= 0.5 AS host_kept FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept FROM k LEFT JOIN v ON k.source IS NOT DISTINCT FROM v.source"""
 

@@ -17,6 +17,8 @@ from motionlake.llm.components import connected_components
 BITS = 64
 #: Rows of a bucket that one unit of comparison may hold from either side.
 CHUNK_ROWS = 2048
+#: Rows of unrelated fingerprints that a key may have before keys get wider.
+KEY_ROWS = 64
 #: Rows whose distances are updated together.
 BLOCK_ROWS = 256
 
@@ -105,20 +107,30 @@ def _forest(fp: np.ndarray, unit_end: np.ndarray, radius: int) -> tuple[np.ndarr
     return fp[moved], fp[label[moved]]
 
 
+def key_masks(n: int, radius: int) -> list[int]:
+    """Signed masks of bits, so that two of ``n`` fingerprints within the radius agree under one of them.
+
+    Bits are cut into some blocks more than the radius; fingerprints within it agree in as many whole blocks as it is
+    less, and each choice of so many is a mask. The more fingerprints, the more blocks, up to four more: the masks get
+    wider, so that unrelated fingerprints share a key about ``KEY_ROWS`` times at most.
+    """
+    more = 2
+    while more < 4 and n > KEY_ROWS << BITS * more // (radius + more):
+        more += 1
+    blocks = radius + more
+    edge = [BITS * i // blocks for i in range(blocks + 1)]
+    masks = (sum(((1 << (edge[k + 1] - edge[k])) - 1) << edge[k] for k in chosen) for chosen in combinations(range(blocks), more))
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """``(u, v)`` signed fingerprints: links that join all of ``fps(_fp)`` within the radius.
 
-    Bits are cut into ``radius + 2`` blocks, so two fingerprints within the radius agree in two
-    whole blocks at least; each pair of blocks is one key. A key of many rows is cut into chunks,
+    Two fingerprints within the radius share a key, see :func:`key_masks`. A key of many rows is cut into chunks,
     and each pair of chunks is one unit, so no task holds more than a few thousand rows of a key.
     A unit gives at most as many links as it has rows.
     """
-    blocks = radius + 2
-    edge = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = []
-    for i, j in combinations(range(blocks), 2):
-        m = sum(((1 << (edge[k + 1] - edge[k])) - 1) << edge[k] for k in (i, j))
-        masks.append(m - (1 << 64) if m >> 63 else m)
+    masks = key_masks(fps.count(), radius)
     key = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("_fp").bitwiseAND(F.lit(m)).alias("v")) for t, m in enumerate(masks))))
     keyed = fps.select("_fp", key.alias("k")).select("_fp", "k.t", "k.v")
     many = keyed.groupBy("t", "v").agg(F.count("*").alias("n")).filter("n > 1")
@@ -162,15 +174,21 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, keep: list
     empty texts have fingerprint zero; null ids are never the smallest unless all are null;
     repeated rows each give a row; an empty table gives none; other columns don't matter.
     """
-    fps = materialize(fingerprints(docs.select("doc_id", "text", *(keep or []))))
+    named = _classes(docs.select("doc_id", "text", *(keep or [])), radius, width)
+    return named.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id", *(keep or []))
+
+
+def _classes(docs: DataFrame, radius: int, width: int) -> DataFrame:
+    """``docs`` without text, with ``_fp``, ``component_id`` and ``_root``, the fingerprint that names the class."""
+    fps = materialize(fingerprints(docs, width))
     classes = materialize(fps.groupBy("_fp").agg(F.min("doc_id").alias("_rep")))
     roots = connected_components(near_links(classes.select("_fp"), radius))
     linked = classes.join(roots.withColumnRenamed("node", "_fp"), "_fp")
     linked = linked.unionByName(roots.select(F.col("root").alias("_fp"), "root").distinct().join(classes, "_fp").select("_fp", "_rep", "root"))
     least = linked.groupBy("root").agg(F.min("_rep").alias("_least"))
-    ids = materialize(linked.join(least, "root").select("_fp", "_least"))
-    named = classes.join(ids, "_fp", "left").select("_fp", F.coalesce("_least", "_rep").alias("component_id"))
-    return fps.join(named, "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id", *(keep or []))
+    ids = materialize(linked.join(least, "root").select("_fp", "_least", "root"))
+    named = classes.join(ids, "_fp", "left").select("_fp", F.coalesce("_least", "_rep").alias("component_id"), F.coalesce("root", "_fp").alias("_root"))
+    return fps.join(named, "_fp")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
@@ -178,22 +196,28 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
 
     A row is known by its id and a hash of its columns; of rows that repeat whole, one stays. Null
     ids go last. Only ids, hashes and fingerprints are grouped; texts are not, except those of
-    rows that repeat.
+    rows that repeat. All columns stay, whatever their names; an empty table gives none.
     """
-    hashed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    classes = near_duplicates(hashed.select("doc_id", "text", "_row"), radius, width, keep=["_row"])
-    roots = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    return first_rows(hashed, classes.withColumn("_class", roots), docs.columns)
+    classes = _classes(docs.select("doc_id", "text", row_hash(docs)), radius, width)
+    return first_rows(docs, classes.withColumnRenamed("_root", "_class"))
+
+
+def row_hash(docs: DataFrame):
+    """A hash of all columns, as ``_row``."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
 
 
-def first_rows(hashed: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
-    """The first row of each class of ``classes(doc_id, _row, _class)``, from ``hashed``, whose ``_row`` is the hash of ``columns``."""
+def first_rows(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The first row of ``docs`` of each class of ``classes(doc_id, _row, _class)``; rows are known by id and :func:`row_hash`."""
+    # The columns stand in one struct, so that none clashes with those made here.
+    hashed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").alias("_doc"), row_hash(docs))
+    back = [F.col("_all").getField(c).alias(c) for c in docs.columns]
     first = F.min_by(F.struct("doc_id", "_row"), F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     best = classes.groupBy("_class").agg(first.alias("_first")).select("_first.*")
     rows = classes.groupBy("doc_id", "_row").agg(F.count("*").alias("_n"))
     chosen = materialize(best.join(rows, [best["_row"] == rows["_row"], best["doc_id"].eqNullSafe(rows["doc_id"])]).select(best["doc_id"].alias("_id"), best["_row"].alias("_hash"), "_n"))
-    kept = hashed.join(chosen, [F.col("_row") == F.col("_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))])
-    once = kept.filter("_n = 1").select(*columns)
+    kept = hashed.join(chosen, [F.col("_row") == F.col("_hash"), F.col("_doc").eqNullSafe(F.col("_id"))])
+    once = kept.filter("_n = 1").select(*back)
     if chosen.filter("_n > 1").isEmpty():
         return once
-    return once.unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_hash"]).select(*columns))
+    return once.unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_hash"]).select(*back))

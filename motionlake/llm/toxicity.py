@@ -21,8 +21,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from motionlake.llm.common import map_batches, materialize
+from motionlake.llm.common import free_name, map_batches, materialize
 
 #: Pronouns of the second person in English, German, French and Spanish.
 SECOND_PERSON = frozenset(
@@ -30,13 +31,14 @@ SECOND_PERSON = frozenset(
 )
 #: Signs written for letters.
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
-NEAR_WORDS = 5
+#: How near "near" is, and the words of the window whose density of lexicon words counts.
+NEAR_WORDS, WINDOW_WORDS = 5, 100
 CACHE_WORDS = 400_000
 _UPPER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _PUNCTUATION, _SHOUT, _SIGNS = b".,;:'\"()-", b"!?", b"@#$%^&*_+=~<>|/\\[]{}"
 FEATURES = (
     "log_words", "word_density", "stem_density", "hits", "log_hits", "distinct", "most_weight", "mean_weight", "near_second_person",
-    "second_person", "obfuscated_hits", "obfuscated", "capitals", "capital_words", "punctuation", "shouts", "signs", "digits", "lexicon_rate_top_100",
+    "second_person", "obfuscated_hits", "obfuscated", "capitals", "capital_words", "punctuation", "shouts", "signs", "digits", "densest",
 )
 
 
@@ -78,7 +80,8 @@ class Lexicon:
             stem = max((weights.get(f"{p[:k]}-", 0.0) for k in (4, 5) if len(p) > k), default=0.0)
             masked = 0.0
             if not own and (not p.isalpha() or any(a == b for a, b in zip(p, p[1:]))):
-                masked = squeezed.get(unmasked(word), 0.0)
+                # A mark may be a letter's stand-in or the sentence's: both readings are tried.
+                masked = max(squeezed.get(unmasked(word), 0.0), squeezed.get(unmasked(p), 0.0))
             odd = bool(p) and not p.isalpha() and any(c.isalpha() for c in p) and any(c in "013457@$!|*" for c in p)
             out = (max(own, masked), stem, bool(masked), odd, p in SECOND_PERSON, len(p) > 2 and p.upper() == word.strip(".,;:!?") and p.isalpha())
             return out if any(out) else None
@@ -106,12 +109,15 @@ class Lexicon:
             raw = text.encode()
             share = lambda signs: (len(raw) - len(raw.translate(None, signs))) / (len(raw) or 1)
             per = n or 1
-            first = sum(1 for k, _ in hits if k < 100)
+            densest = 0
+            if hits:
+                place = np.array([k for k, _ in hits])
+                densest = int((np.searchsorted(place, place + WINDOW_WORDS) - np.arange(len(place))).max())
             return [
                 math.log1p(n), sum(bool(x[0]) for _, x in marked) / per, sum(bool(x[1]) for _, x in marked) / per, float(len(hits)), math.log1p(len(hits)),
                 float(len({words[k] for k, _ in hits})), max((w for _, w in hits), default=0.0), sum(w for _, w in hits) / (len(hits) or 1), near / per,
                 len(you) / per, sum(x[2] for _, x in marked) / per, sum(x[3] for _, x in marked) / per, share(_UPPER),
-                sum(x[5] for _, x in marked) / per, share(_PUNCTUATION), share(_SHOUT), share(_SIGNS), share(_DIGIT), first / (min(n, 100) or 1),
+                sum(x[5] for _, x in marked) / per, share(_PUNCTUATION), share(_SHOUT), share(_SIGNS), share(_DIGIT), densest / (min(n, WINDOW_WORDS) or 1),
             ]
 
         return read
@@ -122,7 +128,8 @@ def learn_lexicon(labelled: DataFrame, least_contexts: int = 3, least_ratio: flo
 
     A term must follow at least ``least_contexts`` different words in toxic texts, so that copies
     of one text don't make its words toxic; of these the ``most_terms`` with most contexts are
-    counted in all sampled texts, by text.
+    counted in all sampled texts, by text. Kept are the ``most_kept`` of greatest log ratio of toxic to other
+    texts, if it is ``least_ratio`` at least.
     """
 
     def contexts():
@@ -180,36 +187,39 @@ class Model:
     trees: object = None
     curve: object = None
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``score``: 0 to 1, higher for texts more likely toxic. Other columns pass through, but for one named ``score``, which is replaced.
+    def score(self, docs: DataFrame, name: str = "score") -> DataFrame:
+        """``docs`` with ``name``: 0 to 1, higher for texts more likely toxic. Other columns pass through, but for one of that name, which is replaced.
 
         Null and empty texts have features of zero and a score like any other. Whole texts are read.
         """
-        docs = docs.drop("score")
+        docs = docs.drop(name)
         if self.trees is None:
-            return docs.withColumn("score", F.lit(self.prior))
+            return docs.withColumn(name, F.lit(self.prior))
+        # The documents' columns stand in one struct, so that none clashes with a column made on the way.
         read = with_features(docs, self.lexicon)
         out = self.trees.transform(read.withColumn("_vector", array_to_vector("_features")))
         out = self.curve.transform(out.withColumn("_margin", vector_to_array("_raw")[1]).withColumn("_odds", vector_to_array("_p")[1]))
         # The curve is flat in places; a hundredth of the trees' own probability orders the texts there.
-        return out.select(*docs.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.99 * F.col("_fitted") + 0.01 * F.col("_odds"))).alias("score"))
+        fitted = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.99 * F.col("_fitted") + 0.01 * F.col("_odds")))
+        return out.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns), fitted.alias(name))
 
 
 def with_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with ``_features``, in the order of ``FEATURES``."""
+    """``_row``, a struct of the columns of ``docs``, and ``_features``, in the order of ``FEATURES``."""
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "_features array<double>"])
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    schema = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("_features", T.ArrayType(T.DoubleType()))])
 
     def make():
         read = held.value.reader()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [read(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names, "_features"])
+            rows = [read(t or "") for t in batch.column(0).field("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["_row", "_features"])
 
         return step
 
-    return map_batches(docs, make, schema)
+    return map_batches(rows, make, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_rows: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7) -> Model:
@@ -227,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_r
         return Model(Lexicon({}), prior)
     lexicon = learn_lexicon(labelled)
     rows = with_features(labelled, lexicon).select(
-        array_to_vector("_features").alias("_vector"), F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("text"), F.lit(4)).alias("part")
+        array_to_vector("_features").alias("_vector"), F.col("_row.label").cast("double").alias("label"), F.pmod(F.xxhash64("_row.text"), F.lit(4)).alias("part")
     )
     rows = materialize(rows.select(vector_to_array("_vector").alias("f"), "label", "part")).select(array_to_vector("f").alias("_vector"), "label", "part").coalesce(6)
     if rows.filter("part > 0").select("label").distinct().count() < 2:
@@ -241,5 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_r
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without those whose score reaches the threshold; the model is fitted on all labels of these documents."""
-    return fit(docs, labels).score(docs).filter(F.col("score") < threshold).drop("score")
+    """``docs`` without those whose score reaches the threshold; the model is fitted on all labels of these documents.
+
+    All columns stay, one named ``score`` too. Repeated rows are judged alike; an empty table gives none; without labels
+    of both classes nothing is learned, and the rate of toxic labels, zero without any, is each score.
+    """
+    name = free_name(docs.columns, "_score")
+    return fit(docs, labels).score(docs, name).filter(F.col(name) < threshold).drop(name)

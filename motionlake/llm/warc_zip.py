@@ -118,6 +118,9 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - END.size - 0xFFFF)
     tail = read(tail_at, size - tail_at)
     found = tail.rfind(b"PK\x05\x06")
+    # A comment may hold the mark: the record's comment must reach the end of the file.
+    while found >= 0 and (found + END.size > len(tail) or found + END.size + END.unpack_from(tail, found)[-1] != len(tail)):
+        found = tail.rfind(b"PK\x05\x06", 0, found)
     if found < 0:
         raise ValueError("no end of central directory")
     _, _, _, _, count, length, start, _ = END.unpack_from(tail, found)

@@ -58,3 +58,44 @@ def test_against_brute_force(spark, monkeypatch, chunk):
 
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keys_widen_with_the_number_of_fingerprints():
+    assert [len(S.key_masks(n, 4)) for n in (10, 10**9, 10**11)] == [15, 35, 70]
+    rng = np.random.default_rng(2)
+    for n in (10, 10**9, 10**11):
+        masks = S.key_masks(n, 4)
+        for _ in range(200):
+            change = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(change & m % (1 << 64) == 0 for m in masks)
+
+
+@pytest.mark.parametrize("more", [10, 10**9])
+def test_wide_keys_find_the_same(spark, monkeypatch, more):
+    rng = np.random.default_rng(3)
+    fp = [int(x) for x in rng.integers(0, 1 << 63, 20)]
+    fp += [f ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for f in fp for k in (3, 4, 5)]
+    masks = S.key_masks(more, 4)
+    monkeypatch.setattr(S, "key_masks", lambda n, radius: masks)
+    links = [(r.u, r.v) for r in S.near_links(spark.createDataFrame([(f,) for f in fp], "_fp long")).collect()]
+    root = {f: f for f in fp}
+    for _ in fp:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    by = dict(zip(fp, groups(fp, fp)))
+    assert len(set(by.values())) == 20 and root == by
+
+
+def test_width_is_used(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i")], "doc_id long, text string")
+    prints = {S.near_duplicates(docs, width=w).first().fingerprint for w in (2, 4, 5)}
+    assert prints == {f"{S.simhash(b'a b c d e f g h i', w):016x}" for w in (2, 4, 5)} and len(prints) == 3
+
+
+def test_one_row_stays_of_linked_classes_without_ids(spark):
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:200], "other", "ones", *words[200:]])]
+    assert 0 < (S.simhash(texts[0].encode()) ^ S.simhash(texts[1].encode())).bit_count() <= 4
+    docs = spark.createDataFrame([(None, t, 7, "x") for t in texts], "doc_id long, text string, _row int, _hash string")
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == 1 and kept.first()._row == 7

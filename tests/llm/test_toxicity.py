@@ -26,6 +26,8 @@ def test_obfuscated_spelling_and_second_person():
     assert value["hits"] == 2 and value["obfuscated_hits"] > 0 and value["near_second_person"] > 0
     assert dict(zip(T.FEATURES, read("Nothing of the kind")))["hits"] == 0
     assert read("") == [0.0] * len(T.FEATURES)
+    late = dict(zip(T.FEATURES, read("word " * 500 + "idiot scum " * 5 + "word " * 500)))
+    assert late["densest"] == 0.1
 
 
 def test_odd_documents_labels_and_no_classes(spark, odd_docs, odd_rows, no_docs):
@@ -39,7 +41,12 @@ def test_odd_documents_labels_and_no_classes(spark, odd_docs, odd_rows, no_docs)
     assert scored.count() == len(odd_rows) and scored.filter("score is null or score < 0 or score > 1").isEmpty()
     assert set(scored.columns) == set(odd_docs.columns)
     assert model.score(no_docs).count() == 0
-    assert T.reject(odd_docs, labels.limit(0)).columns == odd_docs.drop("score").columns
+    kept = T.reject(odd_docs, labels.limit(0))
+    assert kept.columns == odd_docs.columns and {r.score for r in kept.collect()} == {0.5}
+    clash = odd_docs.withColumnsRenamed({"piece": "_row", "secrets": "_features", "kept": "_margin"})
+    assert sorted(map(repr, T.reject(clash, labels.limit(0)).collect())) == sorted(map(repr, clash.collect()))
+    out = model.score(clash, "_vector")
+    assert out.columns == [*clash.columns, "_vector"] and out.filter("_vector is null").isEmpty()
     assert T.fit(labelled, labels.filter("toxic = 0")).prior == 0.0
     assert T.fit(no_docs, labels).score(odd_docs).count() == len(odd_rows)
 

@@ -66,7 +66,7 @@ def test_directories():
         commented = io.BytesIO(raw)
         if not zip64:
             with zipfile.ZipFile(commented, "a") as z:
-                z.comment = b"PK and more" * 50
+                z.comment = b"PK and more" * 50 + b"PK\x05\x06" + bytes(40)
             assert len(list(W.records(commented, len(commented.getvalue())))) == 3
     with pytest.raises(ValueError):
         W.members(io.BytesIO(b"no zip"), 6)
