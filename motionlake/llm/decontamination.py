@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,21 +14,27 @@ from pyspark.sql import functions as F
 
 from motionlake.llm.common import map_batches
 
-#: Fingerprints of 64 bits differ in at most RADIUS bits. Cut into BLOCKS blocks, two such fingerprints
-#: differ in at most RADIUS // BLOCKS bits of some block, so looking up every block's values
-#: within that many bits finds all of them. At the least similarity a pair is expected to differ in
-#: 9.7 bits with a deviation of 2.9; the radius is 3.5 deviations more.
-RADIUS, BLOCKS = 20, 7
-#: Characters of benchmark text that tasks get at once; a longer benchmark is gone through in blocks.
-BLOCK_CHARS = 8 << 20
-#: Words whose codes a task keeps.
-CACHE_WORDS = 400_000
+#: The bits in which a fingerprint of 64 may differ from an item's. Both are cut into four blocks of 16 bits. Were three
+#: blocks to differ in more than BLOCK_RADIUS bits each, the whole would differ in more than the radius, so the
+#: fingerprints within the radius are all among those that are near in two blocks.
+RADIUS, BLOCK_RADIUS, BLOCKS = 14, 4, 4
+assert RADIUS < (BLOCKS - 1) * (BLOCK_RADIUS + 1)
+#: Sizes of windows grow by SIZE_STEP, and windows begin at every STRIDE-th part of their size, or at every word if that is less.
+SIZE_STEP, STRIDE = 1.12, 8
+#: Items, and characters of them, that tasks get at once; a longer benchmark is gone through in blocks.
+BLOCK_ITEMS, BLOCK_CHARS = 4096, 8 << 20
+#: Words whose codes a task keeps, and shingles fingerprinted at once.
+CACHE_WORDS, ROUND_SHINGLES = 400_000, 16_384
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
+_MARKS = re.compile(r"[\W_]+")
+
+
 def normal(word: str) -> str:
     """A word without case and marks; empty if nothing is left."""
-    return "".join(filter(str.isalnum, word.lower()))
+    word = word.lower()
+    return word if word.isalnum() else _MARKS.sub("", word)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,69 +55,100 @@ def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def _bit_sums(h: np.ndarray) -> np.ndarray:
-    """Running counts of set bits before each shingle."""
+def _bit_sums(h: np.ndarray, most: int) -> np.ndarray:
+    """Running counts of set bits before each shingle, modulo a number over ``most``, so that windows of that size are told exactly."""
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+    sums = np.zeros((len(h) + 1, 64), np.uint8 if most < 1 << 8 else np.uint32)
+    np.cumsum(bits, axis=0, dtype=sums.dtype, out=sums[1:])
+    return sums
 
 
-def _fingerprints(sums: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of the windows of ``n`` shingles at ``starts``; repeats weigh as often as they occur."""
-    return np.packbits((sums[starts + n] - sums[starts]) * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+def _fingerprints(sums: np.ndarray, n: int, stride: int = 1) -> np.ndarray:
+    """SimHash of the windows of ``n`` shingles at every ``stride``-th start; repeats weigh as often as they occur."""
+    ones = sums[n::stride] - sums[: len(sums) - n : stride]
+    return np.packbits((ones > n // 2).reshape(-1), bitorder="little").view(np.uint64)
 
 
-_EDGES = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+def window_size(n: int) -> int:
+    """The size of window in which an item of ``n`` shingles is looked for: the nearest of a row that grows by ``SIZE_STEP``."""
+    k = math.log(n) / math.log(SIZE_STEP)
+    return min((round(SIZE_STEP ** math.floor(k)), round(SIZE_STEP ** math.ceil(k))), key=lambda m: abs(m - n))
 
 
-def _block(fp: int, b: int) -> int:
-    return fp >> _EDGES[b] & (1 << _EDGES[b + 1] - _EDGES[b]) - 1
+_NEAR_ZERO = np.array([v for v in range(1 << 16) if v.bit_count() <= BLOCK_RADIUS], np.uint16)
 
 
 class HammingIndex:
-    """All of a set of fingerprints within ``RADIUS`` of a query, by tables over blocks of bits."""
-
-    def __init__(self, fps: list[int]):
-        self.fps = np.array(fps, np.uint64)
-        self.tables: list[dict[int, list[int]]] = []
-        for b in range(BLOCKS):
-            size = _EDGES[b + 1] - _EDGES[b]
-            flips = [sum(1 << i for i in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(size), k)]
-            table: dict[int, list[int]] = defaultdict(list)
-            for i, fp in enumerate(fps):
-                value = _block(int(fp), b)
-                for x in flips:
-                    table[value ^ x].append(i)
-            self.tables.append(dict(table))
-
-    def near(self, fp: int) -> Iterator[tuple[int, int]]:
-        """``(number, distance)`` of the fingerprints within the radius."""
-        found = {i for b, table in enumerate(self.tables) for i in table.get(_block(fp, b), ())}
-        for i in found:
-            if (d := (int(self.fps[i]) ^ fp).bit_count()) <= RADIUS:
-                yield i, d
+    """All of a set of fingerprints within ``RADIUS`` of a query, by tables over blocks of bits.
+
+    A table has for each value of its block the set, as bits of a word, of the fingerprints whose block is near it.
+    A query looks up one word in each table and keeps what stands in two of them, under 1 % of unrelated
+    fingerprints; whole distances are taken of these alone.
+    """
+
+    def __init__(self, fps: np.ndarray):
+        self.fps = fps
+        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(fps) <= n or n == 64)
+        self.words = []
+        for at in range(0, len(fps), 64):
+            blocks = np.ascontiguousarray(fps[at : at + 64]).view(np.uint16).reshape(-1, BLOCKS)
+            tables = np.zeros((BLOCKS, 1 << 16), kind)
+            for i, row in enumerate(blocks):
+                for b, value in enumerate(row):
+                    tables[b, _NEAR_ZERO ^ value] |= kind(1 << i)
+            self.words.append(tables)
+
+    def candidates(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(queries, fingerprints)`` by number: pairs that are near in two blocks at least."""
+        blocks = queries.view(np.uint16).reshape(-1, BLOCKS)
+        for k, tables in enumerate(self.words):
+            once = tables[0].take(blocks[:, 0])
+            twice = np.zeros_like(once)
+            for b in range(1, BLOCKS):
+                found = tables[b].take(blocks[:, b])
+                twice |= once & found
+                once |= found
+            q = np.flatnonzero(twice)
+            if len(q):
+                set_bits = np.unpackbits(np.ascontiguousarray(twice[q]).view(np.uint8).reshape(len(q), -1), axis=1, bitorder="little")
+                i, j = np.nonzero(set_bits)
+                yield q[i], 64 * k + j
+
+    def near(self, queries: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """``(query, fingerprint, distance)`` by number: all pairs within the radius."""
+        for q, i in self.candidates(queries):
+            d = np.bitwise_count(queries[q] ^ self.fps[i])
+            near = np.flatnonzero(d <= RADIUS)
+            yield from zip(q[near].tolist(), i[near].tolist(), d[near].tolist())
 
 
 class Matcher:
     """Finds the items of one block of a benchmark in texts."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, threshold: float):
-        self.width, self.threshold = width, threshold
+        self.threshold = threshold
+        #: Codes of the items' words, and of other words: no two words have the same code while they are kept.
         self.codes: dict[str, int] = {}
+        self.others: dict[str, int] = {}
         self.seen: dict[str, int] = {}
-        by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        self.next_code = 0
+        by_size: dict[tuple[int, int], list[tuple[int, int, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
             words = [w for w in map(normal, text.split()) if w]
             if words:
-                by_length[len(words)].append((item_id, np.array([self.codes.setdefault(w, len(self.codes)) for w in words], np.int64)))
-        self.groups = []
-        for length, members in sorted(by_length.items()):
-            w = min(width, length)
-            n = length - w + 1
-            hashes = [shingle_hashes(c, w) for _, c in members]
-            index = HammingIndex([int(_fingerprints(_bit_sums(h), np.array([0]), n)[0]) for h in hashes])
-            need = math.ceil(2 * threshold * n / (1 + threshold) - 1e-9)
-            self.groups.append((length, w, n, need, index, [(i, self._shingles(c, w)) for i, c in members]))
-        self.known = {w: np.unique(np.concatenate([shingle_hashes(c, w) for length, m in by_length.items() if min(width, length) == w for _, c in m])) for w in {g[1] for g in self.groups}}
+                w = min(width, len(words))
+                n = len(words) - w + 1
+                by_size[w, window_size(n)].append((item_id, n, np.array([self._code(x, self.codes) for x in words], np.int64)))
+        self.groups: dict[int, list] = defaultdict(list)
+        for (w, m), members in sorted(by_size.items()):
+            fps = [_fingerprints(_bit_sums(shingle_hashes(c, w), n), n)[0] for _, n, c in members]
+            self.groups[w].append((m, max(1, m // STRIDE), HammingIndex(np.array(fps, np.uint64)), [(i, n, self._shingles(c, w)) for i, n, c in members]))
+
+    def _code(self, word: str, into: dict[str, int]) -> int:
+        if word not in into:
+            into[word] = self.next_code
+            self.next_code += 1
+        return into[word]
 
     @staticmethod
     def _shingles(codes: np.ndarray, w: int) -> Counter:
@@ -119,77 +156,100 @@ class Matcher:
         return Counter(zip(*(c[k:] for k in range(w))))
 
     def _word_codes(self, text: str) -> np.ndarray:
-        """A code per word: the benchmark's, -1 for words it lacks, -2 for marks alone."""
+        """A code per word; -1 for marks alone."""
         words = text.split()
         seen = self.seen
-        if len(seen) > CACHE_WORDS:
-            seen.clear()
         out = list(map(seen.get, words))
         if None in out:
             for k, c in enumerate(out):
                 if c is None:
                     w = normal(words[k])
-                    out[k] = seen[words[k]] = self.codes.get(w, -1) if w else -2
+                    out[k] = seen[words[k]] = -1 if not w else self.codes[w] if w in self.codes else self._code(w, self.others)
         return np.array(out, np.int64)
 
+    def _candidates(self, codes: np.ndarray, w: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """Windows of ``codes`` within the radius of an item: ``(group, number, start, distance, stride)``."""
+        groups = self.groups[w]
+        longest = max(m for m, *_ in groups)
+        # Words of no text follow the last, so that windows may reach over the end.
+        h = shingle_hashes(np.concatenate([codes, -1 - np.arange(longest + w)]), w)
+        for at in range(0, len(codes), ROUND_SHINGLES):
+            sums = _bit_sums(h[at : at + ROUND_SHINGLES + longest - 1], longest)
+            for g, (m, stride, index, _) in enumerate(groups):
+                for s, i, d in index.near(_fingerprints(sums, m, stride)):
+                    yield g, i, at + s * stride, d, stride
+
     def find(self, text: str) -> list[tuple[int, int, int, int, float]]:
-        """``(item_id, start, words, distance, similarity)``: the best window of each item found.
+        """:meth:`find_all` of one text."""
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: list[str]) -> list[list[tuple[int, int, int, int, float]]]:
+        """``(item_id, start, words, distance, similarity)`` for each text: the best window of each item found.
 
-        An item-sized window that reaches the similarity shares a fixed part of its shingles with the
-        item, so windows with fewer shingles of the benchmark need no fingerprint. The others get
-        one, the Hamming index gives the items within the radius, and the exact weighted Jaccard
-        similarity of the shingles, each weighted by its occurrences, decides.
+        Windows of about each item's size get a fingerprint, and the Hamming index gives the items within the radius.
+        Around such a window those of just the item's size are compared by the exact weighted Jaccard
+        similarity of the shingles, each weighted by its occurrences, which decides. Short texts are
+        gone through together; a window belongs to the text that has its middle.
         """
-        if not self.groups:
-            return []
-        codes = self._word_codes(text)
-        place = np.flatnonzero(codes != -2)
-        codes = codes[place]
-        best: dict[int, tuple[float, int, int, int]] = {}
-        for w, known in self.known.items():
-            if len(codes) < w:
-                continue
-            inside = codes >= 0
-            run = inside[: len(codes) - w + 1].copy()
-            for k in range(1, w):
-                run &= inside[k : k + len(run)]
-            starts = np.flatnonzero(run)
-            if not len(starts):
-                continue
-            h = shingle_hashes(codes[starts[:, None] + np.arange(w)].T, w)[0]
-            found = starts[known[np.searchsorted(known, h) % len(known)] == h]
-            if not len(found):
-                continue
-            hit = np.zeros(len(run), bool)
-            hit[found] = True
-            h = shingle_hashes(codes, w)
-            hits, sums = np.concatenate([[0], np.cumsum(hit)]), None
-            for length, width, n, need, index, members in self.groups:
-                if width != w or len(hit) < n:
-                    continue
-                windows = np.flatnonzero(hits[n:] - hits[:-n] >= need)
-                if not len(windows):
-                    continue
-                sums = _bit_sums(h) if sums is None else sums
-                for s, fp in zip(windows.tolist(), _fingerprints(sums, windows, n).tolist()):
-                    window = None
-                    for i, d in index.near(fp):
-                        item_id, shingles = members[i]
-                        window = window or self._shingles(codes[s : s + length], w)
-                        shared = sum((window & shingles).values())
-                        similarity = shared / (2 * n - shared)
-                        if similarity >= self.threshold and (item_id not in best or (-similarity, s) < (-best[item_id][0], best[item_id][1])):
-                            best[item_id] = (similarity, s, length, d)
-        return [(i, int(place[s]), length, d, sim) for i, (sim, s, length, d) in sorted(best.items())]
+        out: list[list] = [[] for _ in texts]
+        held, words = [], 0
+        for k, text in enumerate(texts):
+            if len(self.seen) > CACHE_WORDS:
+                # Codes of one round must be those of the same words.
+                self._round(held, out)
+                held, words = [], 0
+                self.seen.clear()
+                self.others.clear()
+            codes = self._word_codes(text)
+            place = np.flatnonzero(codes >= 0)
+            if len(place):
+                held.append((k, place, codes[place]))
+                words += len(place)
+            if words >= ROUND_SHINGLES:
+                self._round(held, out)
+                held, words = [], 0
+        self._round(held, out)
+        return out
+
+    def _round(self, held: list[tuple[int, np.ndarray, np.ndarray]], out: list[list]) -> None:
+        if not held:
+            return
+        codes = np.concatenate([c for *_, c in held])
+        ends = np.cumsum([len(c) for *_, c in held])
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+        for w, groups in self.groups.items():
+            starts: dict[tuple[int, int, int], dict[int, int]] = defaultdict(dict)
+            for g, i, s, d, stride in self._candidates(codes, w):
+                m, n = groups[g][0], groups[g][3][i][1]
+                t = min(int(np.searchsorted(ends, s + m // 2, side="right")), len(held) - 1)
+                own, slack = s - (int(ends[t]) - len(held[t][2])), abs(n - m) + stride
+                seen = starts[t, g, i]
+                for k in range(max(0, own - slack), min(len(held[t][2]) - w - n + 1, own + slack) + 1):
+                    seen[k] = min(d, seen.get(k, d))
+            for (t, g, i), at in starts.items():
+                item_id, n, shingles = groups[g][3][i]
+                for s in sorted(at):
+                    shared = sum((self._shingles(held[t][2][s : s + n + w - 1], w) & shingles).values())
+                    similarity = shared / (2 * n - shared)
+                    if similarity >= self.threshold and ((t, item_id) not in best or (-similarity, s) < (-best[t, item_id][0], best[t, item_id][1])):
+                        best[t, item_id] = (similarity, s, n + w - 1, at[s])
+                    if similarity == 1:
+                        break
+        for (t, item_id), (similarity, s, n, d) in sorted(best.items()):
+            k, place, _ = held[t]
+            out[k].append((item_id, int(place[s]), n, d, similarity))
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, at most about ``BLOCK_CHARS`` characters at a time."""
-    items = benchmark.select(F.col("item_id").cast("bigint"), "text").filter("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_CHARS) or 1
-    for b in range(blocks):
-        yield [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+    """The benchmark's items, at most ``BLOCK_ITEMS`` and about ``BLOCK_CHARS`` characters at a time, read once."""
+    held, chars = [], 0
+    for r in benchmark.select(F.col("item_id").cast("bigint"), "text").filter("item_id is not null and text is not null").toLocalIterator():
+        if len(held) == BLOCK_ITEMS or chars > BLOCK_CHARS:
+            yield held
+            held, chars = [], 0
+        held.append((r[0], r[1]))
+        chars += len(r[1])
+    yield held
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -209,7 +269,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: floa
             matcher = Matcher(held.value, width, threshold)
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for m in matcher.find(text)]
+                found = matcher.find_all([t or "" for t in batch.column(1).to_pylist()])
+                rows = [(doc, *m) for doc, own in zip(batch.column(0).to_pylist(), found) for m in own]
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
                 columns = zip(*rows) if rows else [()] * 6
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
@@ -222,7 +283,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: floa
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows without text stay."""
+    """``docs`` without the documents that contain an item, see :func:`leaks`.
+
+    Rows with a null or empty text stay, and so do repeated rows, which are judged alike. All columns pass
+    through, whatever their names; an empty table, or one of items, drops nothing.
+    """
     spark, i = docs.sparkSession, docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for items in item_blocks(benchmark):
@@ -232,7 +297,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, thresho
             matcher = Matcher(held.value, width, threshold)
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                return batch.filter(pa.array([not (text and matcher.find(text)) for text in batch.column(i).to_pylist()], pa.bool_()))
+                found = matcher.find_all([t or "" for t in batch.column(i).to_pylist()])
+                return batch.filter(pa.array([not own for own in found], pa.bool_()))
 
             return step
 

@@ -94,8 +94,7 @@ def test_width_is_used(spark):
 
 def test_one_row_stays_of_linked_classes_without_ids(spark):
     words = [f"word{i}" for i in range(400)]
-    others = (" ".join([*words[:200], *(f"other{k}" for k in range(n)), *words[200:]]) for n in range(1, 30))
-    texts = [" ".join(words), next(t for t in others if S.simhash(t.encode()) != S.simhash(" ".join(words).encode()))]
+    texts = [" ".join(words), " ".join([*words[:75], "odd", *words[76:]])]
     assert 0 < (S.simhash(texts[0].encode()) ^ S.simhash(texts[1].encode())).bit_count() <= 4
     docs = spark.createDataFrame([(None, t, 7, "x") for t in texts], "doc_id long, text string, _row int, _hash string")
     kept = S.keep_one(docs)
