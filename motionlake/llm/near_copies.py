@@ -1,4 +1,8 @@
-"""Documents whose shingle sets are similar: an exact join by prefixes, without loss."""
+"""Documents whose shingle sets are similar: SimHash fingerprints compared by bit planes, then whole sets.
+
+Fingerprints of similarity 0.8 differ in ten of 64 bits, and in up to twenty: no choice of blocks of bits finds those
+without comparing a large part of all pairs. So the fingerprints that are compared are those of sets with a rare shingle in common.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from motionlake.llm.common import bounded_batches, map_batches, materialize, texts_of
 from motionlake.llm.components import connected_components
-from motionlake.llm.simhash_dedup import first_rows
+from motionlake.llm.simhash_dedup import BITS, PAIRS_OF_CHUNKS, bit_sliced_links, fingerprint, first_rows, row_hash
 
 #: Classes of a shingle that one unit of comparison may hold from either side.
 CHUNK_ROWS = 1024
@@ -48,32 +52,43 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """``docs(doc_id, _row, text)`` as ``doc_id, _row, _id, key, sh``: the set's hash, and the set with rare shingles first."""
+def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """``docs(doc_id, _row, text)`` as ``doc_id, _row, key, size, _fp, first``.
+
+    ``key`` is a hash of the set of shingles, ``_fp`` its SimHash, and ``first`` those of its shingles, rare ones first, of which a
+    set of at least the similarity must have one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def make():
         common, often = held.value
 
-        def ordered(s: np.ndarray) -> np.ndarray:
-            if not len(common) or not len(s):
-                return s
-            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-            return s[np.argsort(np.where(common[at] == s, often[at], 0), kind="stable")]
+        def first(s: np.ndarray) -> np.ndarray:
+            if len(common) and len(s):
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                s = s[np.argsort(np.where(common[at] == s, often[at], 0), kind="stable")]
+            return s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             all_sets = [shingles(t, width) for t in texts_of(batch)]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in all_sets], np.uint64).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in all_sets])]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ordered(s) for s in all_sets])))
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "_row", "_id")]
-            return pa.RecordBatch.from_arrays([*kept, pa.array(keys), values], names=["doc_id", "_row", "_id", "key", "sh"])
+            prints = np.array([fingerprint(s.view("<u8")) for s in all_sets], np.uint64).view(np.int64)
+            firsts = [first(s) for s in all_sets]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in firsts])]).astype(np.int32)
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "_row")]
+            columns += [pa.array(keys), pa.array([len(s) for s in all_sets], pa.int32()), pa.array(prints), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "key", "size", "_fp", "first"])
 
         return step
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "_row", F.monotonically_increasing_id().alias("_id"), "text")
-    return materialize(map_batches(rows, make, f"doc_id {kind}, _row bigint, _id bigint, key bigint, sh array<bigint>"))
+    return materialize(map_batches(docs.select("doc_id", "_row", "text"), make, f"doc_id {kind}, _row bigint, key bigint, size int, _fp bigint, first array<bigint>"))
+
+
+def radius_for(threshold: float) -> int:
+    """Bits in which the fingerprints of sets of that similarity differ, 3.5 deviations beyond what is expected."""
+    share = math.acos(2 * threshold / (1 + threshold)) / math.pi
+    return min(round(BITS * share + 3.5 * math.sqrt(BITS * share * (1 - share))), BITS)
 
 
 def forest(keys: np.ndarray, values: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
@@ -101,34 +116,38 @@ def forest(keys: np.ndarray, values: list[np.ndarray], threshold: float) -> Iter
             starts = np.cumsum(sizes[left]) - sizes[left]
 
 
-def similar_links(rows: DataFrame, threshold: float) -> DataFrame:
-    """``(u, v)`` keys: links that join all of the sets of ``rows`` (see :func:`sets`) with at least the similarity.
+def candidate_classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """``(key, root)``: classes of sets joined by fingerprints within :func:`radius_for` the similarity, of those that share a first shingle.
 
-    Two such sets share one of their first ``n - ceil(threshold * n) + 1`` shingles, in any order
-    common to all, so the classes of each such shingle are compared, where their sizes allow the
-    similarity: exactly, by the whole sets.
-    Shingles with the same classes are one group. A group of many classes is cut into chunks, whose
-    pairs are units; a unit gives at most as many links as it has rows.
+    Two sets of at least the similarity share one of their first shingles, in any order common to all, so fingerprints are compared
+    within the classes of each such shingle whose sizes allow the similarity, by bit planes.
+    Shingles with the same classes are one bucket. Only keys, sizes and fingerprints are moved.
     """
-    n = F.size("sh")
-    first = F.slice("sh", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)
-    entries = rows.filter(n > 0).select("key", n.alias("size"), F.explode(first).alias("h"))
-    many = materialize(entries.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("h"))
+    entries = rows.filter("size > 0").select("key", "size", "_fp", F.explode("first").alias("h"))
+    many = entries.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("h")
     # Sizes of similar sets lie in one band or in two beside each other; a little is added against rounding.
-    band = F.floor(F.log("size") / (-math.log(threshold) + 1e-9)) if threshold < 1 else F.col("size")
-    bands = F.array(band.cast("bigint"), band.cast("bigint") - 1) if threshold < 1 else F.array(band.cast("bigint"))
-    pairs = materialize(entries.join(many, "h").distinct()).select("key", F.explode(bands).alias("g"), "h")
-    groups = pairs.groupBy("h", "g").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s"), F.bit_xor("key").alias("x")).filter("n > 1")
-    groups = groups.groupBy("n", "s", "x").agg(F.min(F.struct("h", "g")).alias("p")).select("p.h", "p.g", F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("c"))
-    units = materialize(
-        pairs.join(groups, ["h", "g"])
-        .withColumn("m", F.pmod(F.xxhash64("key"), "c").cast("int"))
-        .select("h", "g", "key", F.explode(F.expr("transform(sequence(0, c - 1), j -> struct(least(j, m) as i, greatest(j, m) as j))")).alias("p"))
-        .select("h", "g", "p.i", "p.j", "key")
-    )
-    # One row of each class: known by a number that no other row has, so equal sets are never gathered.
-    ids = rows.groupBy("key").agg(F.min("_id").alias("_id")).join(units.select("key").distinct(), "key", "left_semi")
-    numbered = units.join(ids, "key")
+    band = (F.floor(F.log("size") / (-math.log(threshold) + 1e-9)) if threshold < 1 else F.col("size")).cast("bigint")
+    pairs = materialize(entries.join(many, "h").groupBy("h", "key").agg(F.first("size").alias("size"), F.first("_fp").alias("_fp")))
+    pairs = pairs.select("key", "_fp", "h", F.explode(F.array(band, band - 1) if threshold < 1 else F.array(band)).alias("g"))
+    buckets = pairs.groupBy("h", "g").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s"), F.bit_xor("key").alias("x")).filter("n > 1")
+    buckets = buckets.groupBy("n", "s", "x").agg(F.min(F.struct("h", "g")).alias("p")).select("p.h", "p.g", "n")
+    units = pairs.join(buckets, ["h", "g"]).select(F.col("h").alias("t"), F.col("g").alias("v"), "n", F.col("key").alias("_key"), "_fp")
+    roots = materialize(connected_components(bit_sliced_links(units, radius_for(threshold))))
+    return roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
+    """``(u, v)`` keys: links that join all sets of ``rows`` (the :func:`signatures` of ``docs``) with at least the similarity.
+
+    Candidates are the :func:`candidate_classes`. Within each, whole sets decide, made again from the texts of one row for each set.
+    A class of many sets is cut into chunks, whose pairs are units; a unit gives at most as many links as it has rows.
+    """
+    members = materialize(candidate_classes(rows, threshold))
+    chunks = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("c"))
+    units = members.join(chunks, "root").withColumn("m", F.pmod(F.xxhash64("key"), "c").cast("int")).select("root", "key", F.explode(F.expr(PAIRS_OF_CHUNKS)).alias("p"))
+    one = rows.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("_row", "doc_id")).alias("o"))
+    units = units.join(one, "key").select("root", "p.i", "p.j", "key", F.col("o._row").alias("_hash"), F.col("o.doc_id").alias("_id"))
+    texts = units.join(docs.select("doc_id", "_row", "text"), [F.col("_hash") == F.col("_row"), F.col("_id").eqNullSafe(F.col("doc_id"))])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, keys, values = None, [], []
@@ -138,19 +157,19 @@ def similar_links(rows: DataFrame, threshold: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
-            ends, flat = np.asarray(batch.column(5).offsets), np.asarray(batch.column(5).values)
-            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
-                if row[:4] != unit:
+            for *at, key, text in zip(*(batch.column(c).to_pylist() for c in range(4)), texts_of(batch)):
+                if at != unit:
                     if keys:
                         yield out()
-                    unit, keys, values = row[:4], [], []
-                keys.append(row[4])
-                values.append(flat[ends[k] : ends[k + 1]].copy())
+                    unit, keys, values = at, [], []
+                if not keys or keys[-1] != key:  # a row that repeats whole comes again
+                    keys.append(key)
+                    values.append(shingles(text, width))
         if keys:
             yield out()
         pa.default_memory_pool().release_unused()
 
-    dealt = numbered.join(rows.select("_id", "sh"), "_id").select("h", "g", "i", "j", "key", "sh").repartition("h", "g", "i", "j").sortWithinPartitions("h", "g", "i", "j")
+    dealt = texts.select("root", "i", "j", "key", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
     return bounded_batches(dealt).mapInArrow(compare, "u bigint, v bigint")
 
 
@@ -159,13 +178,14 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFra
 
     Near copies are joined by chains of rows whose sets of lower-case ``width``-word shingles have
     a Jaccard similarity of at least ``threshold``; a text of fewer words is one shingle, and texts
-    without words, null ones too, are one class. No pair is missed. Null ids go last; of rows
-    that repeat whole one stays; an empty table gives none.
+    without words, null ones too, are one class. Fingerprints of 64 bits choose the pairs that are compared
+    by whole sets: one in some thousands of pairs of just the threshold lies beyond their radius. Null ids go last; of rows
+    that repeat whole one stays; all columns stay, whatever their names; an empty table gives none.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    hashed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    rows = sets(hashed.select("doc_id", "_row", "text"), width)
-    roots = materialize(connected_components(similar_links(rows, threshold)))
+    texts = docs.select("doc_id", row_hash(docs), "text")
+    rows = signatures(texts, width, threshold)
+    roots = materialize(connected_components(similar_links(texts, rows, width, threshold)))
     classes = rows.join(roots, rows["key"] == roots["node"], "left").select("doc_id", "_row", F.coalesce("root", "key").alias("_class"))
-    return first_rows(hashed, classes, docs.columns)
+    return first_rows(docs, classes)

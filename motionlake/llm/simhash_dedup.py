@@ -19,6 +19,8 @@ BITS = 64
 CHUNK_ROWS = 2048
 #: Rows of unrelated fingerprints that a key may have before keys get wider.
 KEY_ROWS = 64
+#: The units of a row in chunk m of c: the pairs of chunks, in order, of which that is one.
+PAIRS_OF_CHUNKS = "transform(sequence(0, c - 1), j -> struct(least(j, m) as i, greatest(j, m) as j))"
 #: Rows whose distances are updated together.
 BLOCK_ROWS = 256
 
@@ -33,11 +35,15 @@ def simhash(text: bytes, width: int = 4, seed: int = 42) -> int:
         shingles, n = [b" ".join(words)], 1
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8", count=n)
+    return fingerprint(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8", count=n))
+
+
+def fingerprint(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 14):
+    for at in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
@@ -89,7 +95,7 @@ def within(fp: np.ndarray, queries: slice, radius: int) -> np.ndarray:
 
 
 def _forest(fp: np.ndarray, unit_end: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the radius as a spanning forest; rows are sorted by unit, ``unit_end`` is each row's unit's end."""
+    """Links within the radius as a spanning forest of row numbers; rows are sorted by unit, ``unit_end`` is each row's unit's end."""
     n = len(fp)
     label = np.arange(n)
     at = 0
@@ -104,7 +110,7 @@ def _forest(fp: np.ndarray, unit_end: np.ndarray, radius: int) -> tuple[np.ndarr
                 label[np.isin(label, linked)] = least
         at = stop
     moved = np.flatnonzero(label != np.arange(n))
-    return fp[moved], fp[label[moved]]
+    return moved, label[moved]
 
 
 def key_masks(n: int, radius: int) -> list[int]:
@@ -134,13 +140,19 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     key = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("_fp").bitwiseAND(F.lit(m)).alias("v")) for t, m in enumerate(masks))))
     keyed = fps.select("_fp", key.alias("k")).select("_fp", "k.t", "k.v")
     many = keyed.groupBy("t", "v").agg(F.count("*").alias("n")).filter("n > 1")
-    c = F.ceil(F.col("n") / CHUNK_ROWS).cast("int")
+    return bit_sliced_links(keyed.join(many, ["t", "v"]).withColumn("_key", F.col("_fp")), radius)
+
+
+def bit_sliced_links(buckets: DataFrame, radius: int) -> DataFrame:
+    """``(u, v)``: links that join the rows of each bucket of ``buckets(t, v, n, _key, _fp)`` within the radius, by ``_key``.
+
+    A bucket ``(t, v)`` of ``n`` rows is cut into chunks, and each pair of chunks is a unit of its own.
+    """
     units = (
-        keyed.join(many, ["t", "v"])
-        .withColumn("c", c)
-        .withColumn("m", F.pmod(F.xxhash64("_fp"), "c").cast("int"))
-        .select("t", "v", "_fp", F.explode(F.expr("transform(sequence(0, c - 1), j -> struct(least(j, m) as i, greatest(j, m) as j))")).alias("p"))
-        .select("t", "v", "p.i", "p.j", "_fp")
+        buckets.withColumn("c", F.ceil(F.col("n") / CHUNK_ROWS).cast("int"))
+        .withColumn("m", F.pmod(F.xxhash64("_key"), "c").cast("int"))
+        .select("t", "v", "_key", "_fp", F.explode(F.expr(PAIRS_OF_CHUNKS)).alias("p"))
+        .select("t", "v", "p.i", "p.j", "_key", "_fp")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +161,8 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         def out(rows: np.ndarray) -> pa.RecordBatch:
             change = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
             ends = np.append(change, len(rows))
-            u, v = _forest(np.ascontiguousarray(rows[:, 4]).view(np.uint64), np.repeat(ends, np.diff(ends, prepend=0)), radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+            u, v = _forest(np.ascontiguousarray(rows[:, 5]).view(np.uint64), np.repeat(ends, np.diff(ends, prepend=0)), radius)
+            return pa.RecordBatch.from_arrays([pa.array(rows[u, 4]), pa.array(rows[v, 4])], names=["u", "v"])
 
         for batch in batches:
             rows = np.stack([np.asarray(x.cast(pa.int64())) for x in batch.columns], axis=1)

@@ -1,6 +1,10 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from motionlake.llm import decontamination, secret_scan, simhash_dedup
+from motionlake.llm import secret_scan, simhash_dedup, toxicity
 from motionlake.llm.common import materialize, table
+from tests.llm.test_decontamination import brute as brute_items
+from tests.llm.test_near_copies import brute as brute_near
 from tests.llm.test_tokens_packing_records import check_pieces
 
 
@@ -14,16 +18,14 @@ def test_stages_take_effect_and_agree_with_brute_force(spark):
         docs = materialize(stage(spark, docs, sf))
         assert docs.columns == columns, name
         kept[name] = (before.collect(), docs.collect())
+    before, after = kept["toxicity"]
+    scores = toxicity.fit(table(spark, sf, "documents"), table(spark, sf, "labels")).score(table(spark, sf, "documents")).select("doc_id", "score").collect()
+    assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in scores if r.score < 0.7) and len(after) < len(before)
     before, after = kept["simhash_dedup"]
-    fps = {r.doc_id: simhash_dedup.simhash(r.text.encode()) for r in before}
-    comp = {d: d for d in fps}
-    for _ in range(20):
-        for a in sorted(fps):
-            comp[a] = min(comp[b] for b in fps if (fps[a] ^ fps[b]).bit_count() <= 4)
-    assert sorted(r.doc_id for r in after) == sorted({c for c in comp.values()})
+    assert sorted(r.doc_id for r in after) == brute_near([(r.doc_id, r.text) for r in before])
     before, after = kept["benchmark_decontamination"]
-    m = decontamination.Matcher([(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()], 5, 0.8)
-    assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before if not m.find(r.text))
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before if not brute_items(r.text, items))
     before, after = kept["secret_scan"]
     assert len(before) == len(after)
     assert all(not secret_scan.base_spans(r.text) for r in after)
@@ -41,3 +43,14 @@ def test_empty_tables_pass(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def test_odd_documents_pass_all_stages(spark, odd_docs):
+    docs = odd_docs.withColumnsRenamed({"piece": "_row", "secrets": "_hash"}).withColumn("item_id", F.lit(1))
+    for name, stage in P.STAGES[:-1]:
+        out = materialize(stage(spark, docs, "/root/testdata/sf0.001"))
+        assert out.columns == docs.columns, name
+        docs = out
+    # Of the rows without words one stays, and of the repeated ones.
+    assert sorted((r.doc_id is None, r.doc_id) for r in docs.collect()) == [(False, 1), (False, 4), (False, 5), (False, 7), (False, 8), (True, None)]
+    assert {r.doc_id for r in P.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()} == {1, 4, 5, 7, 8, None}
