@@ -9,27 +9,30 @@ from motionlake.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the threshold."""
+    """Documents whose toxicity score stays under the threshold; null and empty texts are scored like others, repeated rows alike."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of five-word shingles): that with the smallest id; of repeated rows one."""
+    """One document of each group of near copies (0.8 of five-word shingles): that with the smallest id, null ids last; of repeated rows one.
+
+    Candidates are found by SimHash and bit-sliced comparison, and whole sets decide. Texts without words, null ones too, are one group.
+    """
     return near_copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; those without text stay, and repeated rows are judged alike."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark where a secret was."""
+    """All documents, with a mark where a secret was; texts without one, null ones too, stay as they are."""
     return secret_scan.redact(docs, secret_scan.default_ranks())
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, each with its sequence and place."""
+    """Pieces of all documents, each with its sequence and place; a null or empty text is one end id, repeated rows are packed each."""
     return packing.pack(docs, tokens.default_tokenizer())
 
 
