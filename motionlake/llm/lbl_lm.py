@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
 
@@ -27,17 +27,25 @@ from pyspark.sql import functions as F
 from motionlake.llm.common import bounded_batches, materialize, texts_of
 
 END = b"\n"
-#: Most symbols that are words, classes of other words, and words broadcast with their counts.
-TOP_WORDS, CLASSES, HEAD_WORDS = 1023, 128, 200_000
+#: Words broadcast with their counts at most; the counts of all others are joined.
+HEAD_WORDS = 200_000
 DIMENSION, NOISE, BATCH, RATE, SEED = 24, 32, 2048, 0.07, 11
 #: Distinct words counted, tokens trained on, and tokens scored at once in a task.
 COUNT_ROUND, TRAIN_ROUND, SCORE_ROUND = 400_000, 2_000_000, 500_000
-#: Share of the training texts in the round that prepares the parameters for the full one.
-WARM_UP = 0.1
 
 
-def word_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % CLASSES
+def symbols_for(tokens: int, least: int = 255, most: int = 8191) -> int:
+    """How many words have vectors of their own: 2.2 times the cube root of the training tokens.
+
+    A normaliser is a sum over all symbols for each pair of symbols before, so the normalisers' work is the cube of the
+    symbols, and with this rule it is in proportion to the tokens. ``most`` bounds the table of normalisers, whose
+    size is the square of the symbols, at 268 MB.
+    """
+    return max(least, min(round(2.2 * tokens ** (1 / 3)), most))
+
+
+def word_class(word: bytes, classes: int) -> int:
+    return zlib.crc32(word[-3:]) % classes
 
 
 def tokenize(text: bytes) -> list[bytes]:
@@ -47,7 +55,7 @@ def tokenize(text: bytes) -> list[bytes]:
     return words
 
 
-def count_words(texts: DataFrame) -> DataFrame:
+def count_words(texts: DataFrame, classes: int) -> DataFrame:
     """``(word, cls, c)`` of all tokens of ``texts(text)``; tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +63,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words = list(held)
-            columns = [pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(map(word_class, words)), pa.int32()), pa.array(list(held.values()), pa.int64())]
+            columns = [pa.array(words, pa.binary()).cast(pa.string()), pa.array([word_class(w, classes) for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())]
             held.clear()
             return pa.RecordBatch.from_arrays(columns, names=["word", "cls", "c"])
 
@@ -85,11 +93,14 @@ class Vocabulary:
     symbols: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.symbols = np.array([i if i < self.n_words else self.n_words + word_class(w) for w, i in self.head.items()], np.int32)
+        self.symbols = np.array([i if i < self.n_words else self.n_words + self.class_of(w) for w, i in self.head.items()], np.int32)
 
     @property
     def size(self) -> int:
-        return self.n_words + CLASSES
+        return self.n_words + len(self.class_counts)
+
+    def class_of(self, word: bytes) -> int:
+        return word_class(word, len(self.class_counts))
 
     def unigram(self) -> np.ndarray:
         c = np.concatenate([self.head_counts[: self.n_words], self.class_counts]) + 0.5
@@ -97,10 +108,10 @@ class Vocabulary:
 
     def symbol(self, word: bytes) -> int:
         i = self.head.get(word, -1)
-        return i if 0 <= i < self.n_words else self.n_words + word_class(word)
+        return i if 0 <= i < self.n_words else self.n_words + self.class_of(word)
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame, classes: int, words_for: Callable[[int], int] = symbols_for) -> Vocabulary:
     """The vocabulary of a count table; at most ``HEAD_WORDS`` words and a row per class reach the driver."""
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     level = F.floor(F.log2("c") * 4)
@@ -116,14 +127,14 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     if (end := words.pop(END, None)) is None:
         end = next((r["c"] for r in counts.filter(F.col("word") == END.decode()).select("c").collect()), 0)
     words = {END: end, **words}
-    n_words = min(len(words), TOP_WORDS + 1)
-    sums, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    n_words = min(len(words), words_for(totals[0]) + 1)
+    sums, types = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
     for r in counts.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         sums[r["cls"]], types[r["cls"]] = r["c"], r["n"]
     for w, c in list(words.items())[:n_words]:
         if c:
-            sums[word_class(w)] -= c
-            types[word_class(w)] -= 1
+            sums[word_class(w, classes)] -= c
+            types[word_class(w, classes)] -= 1
     return Vocabulary(totals[0], totals[1], {w: i for i, w in enumerate(words)}, np.array(list(words.values()), np.int64), n_words, sums, types)
 
 
@@ -301,7 +312,7 @@ class Model:
                 rare = np.flatnonzero(place < 0)
                 symbol = v.symbols[place]
                 tail: dict[tuple[int, bytes], int] = Counter(zip(np.searchsorted(ends, rare, side="right").tolist(), (flat[i] for i in rare.tolist())))
-                classes = {w: word_class(w) for _, w in tail}
+                classes = {w: v.class_of(w) for _, w in tail}
                 symbol[rare] = np.fromiter((v.n_words + classes[flat[i]] for i in rare.tolist()), np.int32, len(rare))
                 before = np.concatenate([[0], symbol[:-1]])
                 before[ends[:-1]] = 0
@@ -351,13 +362,19 @@ class Model:
         return out.select("doc_id", "n_tokens", "n_known", F.lit(v.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
-def fit(docs: DataFrame, usable: Column | None = None) -> Model:
-    """Count and train on all rows of ``docs(doc_id, text)`` for which ``usable`` holds."""
+def fit(docs: DataFrame, usable: Column | None = None, classes: int = 128, words_for: Callable[[int], int] = symbols_for, warm_up: float = 0.1) -> Model:
+    """Count and train on all rows of ``docs(doc_id, text)`` for which ``usable`` holds.
+
+    ``words_for`` gives the number of words with vectors of their own from that of the training tokens; all others share
+    ``classes`` by their endings. A pass over a hash sample of ``warm_up`` of the texts prepares the parameters, and one over
+    all texts trains them. Each task begins from the same parameters and the results are averaged, so the scores
+    depend on how the texts are split over tasks: the same input in the same splits gives the same scores.
+    """
     texts = docs if usable is None else docs.filter(usable)
-    counts = materialize(count_words(texts))
-    vocab = vocabulary(counts)
+    counts = materialize(count_words(texts, classes))
+    vocab = vocabulary(counts, classes, words_for)
     parameters = Parameters.start(vocab.unigram())
-    warm = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("warm-up")), F.lit(1000)) < F.lit(int(1000 * WARM_UP)))
+    warm = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("warm-up")), F.lit(1000)) < F.lit(int(1000 * warm_up)))
     for part in (warm, texts):
         parameters = train_round(part, vocab, parameters)
     return Model(vocab, counts, parameters)

@@ -45,7 +45,7 @@ def test_probabilities_of_the_next_token_sum_to_one(spark):
         s = v.symbols[i]
         inner = 1.0 if i < v.n_words else (v.head_counts[i] + 0.5) / (v.class_counts[s - v.n_words] + 0.5 * (v.class_types[s - v.n_words] + 1))
         total += inner * math.exp(float(p.one[0] @ p.out[s] + p.two[0] @ p.out[s] + p.bias[s] - z[0, 0]))
-    for k in range(L.CLASSES):
+    for k in range(len(v.class_counts)):
         s = v.n_words + k
         total += 0.5 / (v.class_counts[k] + 0.5 * (v.class_types[k] + 1)) * math.exp(float(p.one[0] @ p.out[s] + p.two[0] @ p.out[s] + p.bias[s] - z[0, 0]))
     assert abs(total - 1) < 1e-3
@@ -79,3 +79,36 @@ def test_contrastive_estimation_learns_a_bigram():
     two, one, out = triples.T
     logp = (p.one[one] * p.out[out]).sum(1) + (p.two[two] * p.out[out]).sum(1) + p.bias[out] - z[two, one]
     assert logp.mean() > np.log(unigram[out]).mean() + 0.7
+
+
+def test_score_is_the_normalised_model_of_every_token(spark, odd_docs, odd_rows):
+    """Each token's probability from the parameters, by its definition: a softmax over all symbols, and a share of the class."""
+    rows = [(i, t) for i, t in odd_rows if t is None or len(t) < 100] + [(20, "A b a c d. a B\nend"), (21, "never seen words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = spark.createDataFrame([(i, "a b c d. a b end " * (i % 4) + f"plain rare{i}") for i in range(60)], "doc_id long, text string")
+    model = L.fit(train, classes=7, words_for=lambda n: 4)
+    v, p = model.vocab, model.parameters
+    counts = Counter(w for r in train.collect() for w in L.tokenize(r.text.encode()))
+    assert v.n_words == 5 and v.size == 12
+
+    def logp(text):
+        total, two, one = 0.0, 0, 0
+        for w in L.tokenize((text or "").encode()):
+            scores = (p.one[one] + p.two[two]).astype(float) @ p.out.T.astype(float) + p.bias
+            s = v.symbol(w)
+            total += (scores[s] - np.logaddexp.reduce(scores)) / math.log(10)
+            if s >= v.n_words:
+                k = s - v.n_words
+                rest = {x: c for x, c in counts.items() if v.symbol(x) == s}
+                assert (v.class_counts[k], v.class_types[k]) == (sum(rest.values()), len(rest))
+                total += math.log10((counts[w] + 0.5) / (sum(rest.values()) + 0.5 * (len(rest) + 1)))
+            two, one = (0 if s == 0 else one), s
+        return total
+
+    got = sorted((r.score, r.n_tokens) for r in model.score(docs).collect())
+    want = sorted((logp(t), len(L.tokenize((t or "").encode()))) for _, t in rows)
+    assert all(abs(a - b) < 1e-4 * (1 + abs(b)) and m == n for (a, m), (b, n) in zip(got, want)) and len(got) == len(want)
+
+
+def test_symbols_grow_with_the_tokens():
+    assert [L.symbols_for(n) for n in (0, 10**6, 10**8, 10**9, 10**14)] == [255, 255, 1021, 2200, 8191]
