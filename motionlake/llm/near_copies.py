@@ -1,7 +1,8 @@
 """Documents whose shingle sets are similar: SimHash fingerprints compared by bit planes, then whole sets.
 
 Fingerprints of similarity 0.8 differ in ten of 64 bits, and in up to twenty: no choice of blocks of bits finds those
-without comparing a large part of all pairs. So the fingerprints that are compared are those of sets with a rare shingle in common.
+without comparing a large part of all pairs. So the fingerprints that are compared are those of sets with a rare shingle in common,
+and they have 256 bits, by which a similarity of 0.8 is told from one of a half.
 """
 
 from __future__ import annotations
@@ -22,6 +23,11 @@ from motionlake.llm.simhash_dedup import BITS, PAIRS_OF_CHUNKS, bit_sliced_links
 
 #: Classes of a shingle that one unit of comparison may hold from either side.
 CHUNK_ROWS = 1024
+#: Columns of a fingerprint of 256 bits, and odd numbers by which hashes are mixed for them.
+WORDS = ("_f0", "_f1", "_f2", "_f3")
+_ODD = np.array([1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+#: Rows of candidates whose ids are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Documents looked at to learn which shingles are common, and how often a common one occurs in them at least.
 SAMPLE_ROWS, COMMON = 6_000, 3
 
@@ -52,10 +58,16 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
+def wide_fingerprint(s: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes in as many words as ``WORDS``: bits set in over half of the hashes, mixed anew for each word."""
+    h = s.view(np.uint64)
+    return np.array([fingerprint((h ^ (h >> np.uint64(29))) * odd if k else h) for k, odd in enumerate(_ODD)], np.uint64)
+
+
 def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """``docs(doc_id, _row, text)`` as ``doc_id, _row, key, size, _fp, first``.
+    """``docs(doc_id, _row, text)`` as ``doc_id, _row, key, size, *WORDS, first``.
 
-    ``key`` is a hash of the set of shingles, ``_fp`` its SimHash, and ``first`` those of its shingles, rare ones first, of which a
+    ``key`` is a hash of the set of shingles, ``WORDS`` its SimHash, and ``first`` those of its shingles, rare ones first, of which a
     set of at least the similarity must have one.
     """
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
@@ -72,23 +84,24 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             all_sets = [shingles(t, width) for t in texts_of(batch)]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in all_sets], np.uint64).view(np.int64)
-            prints = np.array([fingerprint(s.view("<u8")) for s in all_sets], np.uint64).view(np.int64)
+            prints = np.stack([wide_fingerprint(s) for s in all_sets]).view(np.int64)
             firsts = [first(s) for s in all_sets]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in firsts])]).astype(np.int32)
             columns = [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "_row")]
-            columns += [pa.array(keys), pa.array([len(s) for s in all_sets], pa.int32()), pa.array(prints), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "key", "size", "_fp", "first"])
+            columns += [pa.array(keys), pa.array([len(s) for s in all_sets], pa.int32()), *(pa.array(p) for p in np.ascontiguousarray(prints.T)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "key", "size", *WORDS, "first"])
 
         return step
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(map_batches(docs.select("doc_id", "_row", "text"), make, f"doc_id {kind}, _row bigint, key bigint, size int, _fp bigint, first array<bigint>"))
+    return materialize(map_batches(docs.select("doc_id", "_row", "text"), make, f"doc_id {kind}, _row bigint, key bigint, size int, {', '.join(f'{w} bigint' for w in WORDS)}, first array<bigint>"))
 
 
 def radius_for(threshold: float) -> int:
     """Bits in which the fingerprints of sets of that similarity differ, 3.5 deviations beyond what is expected."""
     share = math.acos(2 * threshold / (1 + threshold)) / math.pi
-    return min(round(BITS * share + 3.5 * math.sqrt(BITS * share * (1 - share))), BITS)
+    bits = BITS * len(WORDS)
+    return min(round(bits * share + 3.5 * math.sqrt(bits * share * (1 - share))), bits)
 
 
 def forest(keys: np.ndarray, values: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
@@ -123,16 +136,17 @@ def candidate_classes(rows: DataFrame, threshold: float) -> DataFrame:
     within the classes of each such shingle whose sizes allow the similarity, by bit planes.
     Shingles with the same classes are one bucket. Only keys, sizes and fingerprints are moved.
     """
-    entries = rows.filter("size > 0").select("key", "size", "_fp", F.explode("first").alias("h"))
+    entries = rows.filter("size > 0").select("key", "size", F.explode("first").alias("h"))
     many = entries.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("h")
     # Sizes of similar sets lie in one band or in two beside each other; a little is added against rounding.
     band = (F.floor(F.log("size") / (-math.log(threshold) + 1e-9)) if threshold < 1 else F.col("size")).cast("bigint")
-    pairs = materialize(entries.join(many, "h").groupBy("h", "key").agg(F.first("size").alias("size"), F.first("_fp").alias("_fp")))
-    pairs = pairs.select("key", "_fp", "h", F.explode(F.array(band, band - 1) if threshold < 1 else F.array(band)).alias("g"))
+    pairs = materialize(entries.join(many, "h").groupBy("h", "key").agg(F.first("size").alias("size")))
+    pairs = pairs.select("key", "h", F.explode(F.array(band, band - 1) if threshold < 1 else F.array(band)).alias("g"))
     buckets = pairs.groupBy("h", "g").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s"), F.bit_xor("key").alias("x")).filter("n > 1")
     buckets = buckets.groupBy("n", "s", "x").agg(F.min(F.struct("h", "g")).alias("p")).select("p.h", "p.g", "n")
-    units = pairs.join(buckets, ["h", "g"]).select(F.col("h").alias("t"), F.col("g").alias("v"), "n", F.col("key").alias("_key"), "_fp")
-    roots = materialize(connected_components(bit_sliced_links(units, radius_for(threshold))))
+    prints = rows.groupBy("key").agg(*(F.first(w).alias(w) for w in WORDS))
+    units = pairs.join(buckets, ["h", "g"]).join(prints, "key").select(F.col("h").alias("t"), F.col("g").alias("v"), "n", F.col("key").alias("_key"), *WORDS)
+    roots = materialize(connected_components(bit_sliced_links(units, radius_for(threshold), WORDS)))
     return roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
 
 
@@ -146,7 +160,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, width: int, threshold: float
     chunks = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("c"))
     units = members.join(chunks, "root").withColumn("m", F.pmod(F.xxhash64("key"), "c").cast("int")).select("root", "key", F.explode(F.expr(PAIRS_OF_CHUNKS)).alias("p"))
     one = rows.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("_row", "doc_id")).alias("o"))
-    units = units.join(one, "key").select("root", "p.i", "p.j", "key", F.col("o._row").alias("_hash"), F.col("o.doc_id").alias("_id"))
+    units = materialize(units.join(one, "key").select("root", "p.i", "p.j", "key", F.col("o._row").alias("_hash"), F.col("o.doc_id").alias("_id")))
+    if units.count() <= BROADCAST_ROWS:
+        units = F.broadcast(units)
     texts = units.join(docs.select("doc_id", "_row", "text"), [F.col("_hash") == F.col("_row"), F.col("_id").eqNullSafe(F.col("doc_id"))])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +194,7 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFra
 
     Near copies are joined by chains of rows whose sets of lower-case ``width``-word shingles have
     a Jaccard similarity of at least ``threshold``; a text of fewer words is one shingle, and texts
-    without words, null ones too, are one class. Fingerprints of 64 bits choose the pairs that are compared
+    without words, null ones too, are one class. Fingerprints of 256 bits choose the pairs that are compared
     by whole sets: one in some thousands of pairs of just the threshold lies beyond their radius. Null ids go last; of rows
     that repeat whole one stays; all columns stay, whatever their names; an empty table gives none.
     """

@@ -65,13 +65,13 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
 def within(fp: np.ndarray, queries: slice, radius: int) -> np.ndarray:
     """Which of ``fp`` differ from each of its ``queries`` in at most ``radius`` bits (boolean matrix).
 
-    The candidates' bits stand in 64 vertical planes, 64 candidates to a word. A query's bit turns
+    A fingerprint is a word of 64 bits or a row of words. The candidates' bits stand in vertical planes, 64 candidates to a word. A query's bit turns
     a plane into the candidates that differ there, and a carry-save counter of a few planes adds
     it to all distances at once; a saturated counter is kept as "exceeded". When everything
     but the queries' own rows has exceeded the radius, the block is abandoned.
     """
     n = len(fp)
-    bits = np.unpackbits(fp.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
+    bits = np.unpackbits(fp.view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
     planes = np.packbits(bits, axis=1, bitorder="little")
     planes = np.ascontiguousarray(np.pad(planes, ((0, 0), (0, -planes.shape[1] % 8)))).view(np.uint64)
     q = np.where(bits[:, queries], np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
@@ -84,7 +84,7 @@ def within(fp: np.ndarray, queries: slice, radius: int) -> np.ndarray:
     own = np.zeros((q.shape[1], planes.shape[1] * 64), bool)
     own[np.arange(q.shape[1]), np.arange(queries.start, queries.stop)] = True
     own = np.packbits(own, axis=1, bitorder="little").view(np.uint64) | (np.arange(planes.shape[1] * 64) >= n).reshape(1, -1, 64).dot(np.uint64(1) << np.arange(64, dtype=np.uint64))
-    for b in range(BITS):
+    for b in range(len(bits)):
         carry = planes[b] ^ q[b][:, None]
         for k in range(levels):
             carry, count[k] = count[k] & carry, count[k] ^ carry
@@ -143,16 +143,17 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return bit_sliced_links(keyed.join(many, ["t", "v"]).withColumn("_key", F.col("_fp")), radius)
 
 
-def bit_sliced_links(buckets: DataFrame, radius: int) -> DataFrame:
-    """``(u, v)``: links that join the rows of each bucket of ``buckets(t, v, n, _key, _fp)`` within the radius, by ``_key``.
+def bit_sliced_links(buckets: DataFrame, radius: int, words: tuple[str, ...] = ("_fp",)) -> DataFrame:
+    """``(u, v)``: links that join the rows of each bucket of ``buckets(t, v, n, _key, *words)`` within the radius, by ``_key``.
 
-    A bucket ``(t, v)`` of ``n`` rows is cut into chunks, and each pair of chunks is a unit of its own.
+    A bucket ``(t, v)`` of ``n`` rows is cut into chunks, and each pair of chunks is a unit of its own. Fingerprints
+    are the columns in ``words``.
     """
     units = (
         buckets.withColumn("c", F.ceil(F.col("n") / CHUNK_ROWS).cast("int"))
         .withColumn("m", F.pmod(F.xxhash64("_key"), "c").cast("int"))
-        .select("t", "v", "_key", "_fp", F.explode(F.expr(PAIRS_OF_CHUNKS)).alias("p"))
-        .select("t", "v", "p.i", "p.j", "_key", "_fp")
+        .select("t", "v", "_key", *words, F.explode(F.expr(PAIRS_OF_CHUNKS)).alias("p"))
+        .select("t", "v", "p.i", "p.j", "_key", *words)
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +162,7 @@ def bit_sliced_links(buckets: DataFrame, radius: int) -> DataFrame:
         def out(rows: np.ndarray) -> pa.RecordBatch:
             change = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
             ends = np.append(change, len(rows))
-            u, v = _forest(np.ascontiguousarray(rows[:, 5]).view(np.uint64), np.repeat(ends, np.diff(ends, prepend=0)), radius)
+            u, v = _forest(np.ascontiguousarray(rows[:, 5:]).view(np.uint64), np.repeat(ends, np.diff(ends, prepend=0)), radius)
             return pa.RecordBatch.from_arrays([pa.array(rows[u, 4]), pa.array(rows[v, 4])], names=["u", "v"])
 
         for batch in batches:
