@@ -162,6 +162,13 @@ def j4_state_groups(fx):
     return binning.state_groups(stated(fx), 2, 4)
 
 
+@query(f"SELECT b.scan_id, b.line_idx, b.state, round(v.top, 6) + 0.0 AS top FROM {BINNED} b LEFT JOIN (SELECT scan_id, state, max(y) AS top FROM {BINNED} WHERE state > 0 GROUP BY ALL) v ON v.scan_id = b.scan_id AND v.state = b.state")
+def j4_attach_states(fx):
+    lines = stated(fx)
+    states = lines.filter("state > 0").groupBy("scan_id", "state").agg(F.max("y").alias("top"))
+    return binning.attach_states(lines, states).select("scan_id", "line_idx", "state", r6("top"))
+
+
 @query("SELECT scan_id, t, round(sum(v), 6) + 0.0 AS value FROM (SELECT g.scan_id, g.t, CASE WHEN e.t0 IS NULL OR g.t < t0 THEN 0.0 WHEN g.t - t0 >= m THEN amplitude WHEN m = 1 THEN 0.0 ELSE amplitude * 0.5 * (1 - cos(pi() * (g.t - t0) / (m - 1))) END AS v FROM (SELECT DISTINCT scan_id, k.t FROM fx_mev, generate_series(0, 15) AS k(t)) g LEFT JOIN (SELECT *, least(4, 16 - t0) AS m FROM fx_mev) e ON e.scan_id = g.scan_id) GROUP BY scan_id, t")
 def j5_motion_curves(fx):
     return curves(fx).select("scan_id", "t", r6("value"))
@@ -190,6 +197,12 @@ def a1_kspace_scale(fx):
     return both.select("scan_id", r6("m", "max_scale"), r6("scale", "rms_scale"))
 
 
+@query("SELECT scan_id, voxel AS kx, round(re / m, 6) + 0.0 AS re, round(im / m, 6) + 0.0 AS im FROM fx_img JOIN (SELECT scan_id, greatest(1e-12, sqrt(max(re * re + im * im))) AS m FROM fx_img GROUP BY scan_id) USING (scan_id)")
+def a1_normalize_kspace(fx):
+    lines = kspace.planes(images(fx), ["scan_id"], 64, 1).select("scan_id", "re", "im")
+    return kspace.voxels(kspace.normalize_kspace(lines, "max"), ["scan_id"], "kx").select("scan_id", "kx", r6("re"), r6("im"))
+
+
 @query("WITH g AS (SELECT s.scan_id, z.i AS z, count(r.acq_idx) AS n FROM (SELECT DISTINCT scan_id FROM fx_read) s CROSS JOIN generate_series(0, 2) AS z(i) LEFT JOIN fx_read r ON r.scan_id = s.scan_id AND r.slice = z.i GROUP BY ALL) SELECT scan_id, min(n) AS least, max(n) AS most FROM g GROUP BY scan_id HAVING min(n) <> max(n)")
 def a2_quarantine(fx):
     return acquisition.quarantine(fx("fx_read").withColumnRenamed("slice", "z"), 3)
@@ -200,6 +213,18 @@ def a3_nex_values(fx):
     return acquisition.nex_values(fx("fx_read")).select("scan_id", F.array_join(F.col("nex_values").cast("array<string>"), ",").alias("nex_values"))
 
 
+@query(f"WITH {META} SELECT scan_id, CAST(greatest(1, least(6, max_step1 + 1, max_step2 + 1)) AS bigint) AS width FROM meta")
+def a4_calibration_width(fx):
+    sizes = meta(fx("fx_read")).select("scan_id", (F.col("max_step1") + 1).alias("ny"), (F.col("max_step2") + 1).alias("nz"))
+    return sizes.select("scan_id", kspace.calibration_width(6, "ny", "nz").cast("bigint").alias("width"))
+
+
+@query("SELECT scan_id, voxel AS cell, round(re, 6) + 0.0 AS re FROM fx_img WHERE scan_id % 2 = 0")
+def a4_calibration_simulated(fx):
+    cells = fx("fx_img").select("scan_id", F.lit(0).alias("coil"), (F.col("scan_id") % 2).alias("nex"), F.col("voxel").alias("cell"), "re", "im")
+    return kspace.calibration_kspace(cells, measured=False).select("scan_id", "cell", r6("re"))
+
+
 @query("SELECT grp AS scan_id, voxel AS cell, round(avg(re), 6) + 0.0 AS re, round(avg(im), 6) + 0.0 AS im FROM fx_img GROUP BY grp, voxel")
 def a4_calibration(fx):
     cells = fx("fx_img").select(F.col("grp").alias("scan_id"), F.lit(0).alias("coil"), F.col("scan_id").alias("nex"), F.col("voxel").alias("cell"), "re", "im")
@@ -238,7 +263,15 @@ def two_curves(fx) -> DataFrame:
     return curves(fx).select("scan_id", "t", F.col("value").alias("tx"), (F.col("value") * F.col("value") / 10 - F.col("t") / 8).alias("ty"))
 
 
-@query()
+CURVES = "(SELECT scan_id, t, sum(v) AS tx, sum(v) * sum(v) / 10 - t / 8 AS ty FROM (SELECT g.scan_id, g.t, CASE WHEN e.t0 IS NULL OR g.t < t0 THEN 0.0 WHEN g.t - t0 >= m THEN amplitude WHEN m = 1 THEN 0.0 ELSE amplitude * 0.5 * (1 - cos(pi() * (g.t - t0) / (m - 1))) END AS v FROM (SELECT DISTINCT scan_id, k.t FROM fx_mev, generate_series(0, 15) AS k(t)) g LEFT JOIN (SELECT *, least(4, 16 - t0) AS m FROM fx_mev) e ON e.scan_id = g.scan_id) GROUP BY scan_id, t)"
+
+
+@query(
+    f"""WITH c AS {CURVES}, m AS (SELECT scan_id, avg(tx) AS mx, avg(ty) AS my, 0.5 * atan2(2 * covar_pop(tx, ty), var_pop(tx) - var_pop(ty)) AS a FROM c GROUP BY scan_id),
+    v AS (SELECT scan_id, mx, my, cos(a) AS vx, sin(a) AS vy, CASE WHEN round(abs(cos(a)), 9) >= round(abs(sin(a)), 9) THEN cos(a) ELSE sin(a) END AS lead FROM m),
+    n AS (SELECT c.scan_id, c.t, ((tx - mx) * vx + (ty - my) * vy) * CASE WHEN lead < 0 THEN -1 ELSE 1 END AS p FROM c JOIN v USING (scan_id))
+    SELECT scan_id, t, round(p / greatest(1e-12, max(abs(p)) OVER (PARTITION BY scan_id)), 6) + 0.0 AS navigator FROM n"""
+)
 def a7_navigator(fx):
     return motion.navigator(two_curves(fx), ("tx", "ty")).select("scan_id", "t", r6("navigator"))
 
@@ -510,6 +543,13 @@ def i5_nonrigid_field(fx):
     return motion.nonrigid_field(maps, states).select("scan_id", "state", "voxel", r6("ux"), r6("uy"))
 
 
+@query("SELECT scan_id, k.s AS state, voxel, round(re * (k.s + 1), 6) + 0.0 AS ux, round(im * (k.s + 1), 6) + 0.0 AS uy, round((re - im) * (k.s + 1), 6) + 0.0 AS uz FROM fx_img, generate_series(0, 1) AS k(s)")
+def i5_nonrigid_field_3d(fx):
+    maps = images(fx).select("scan_id", "voxel", F.col("re").alias("a0"), F.col("im").alias("a1"), (F.col("re") - F.col("im")).alias("a2"))
+    states = maps.select("scan_id").distinct().select("scan_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("state")).withColumn("signal", F.col("state") + 1.0)
+    return motion.nonrigid_field(maps, states).select("scan_id", "state", "voxel", r6("ux"), r6("uy"), r6("uz"))
+
+
 STENCIL2 = f"""st AS (SELECT scan_id, state, voxel, (lx - 1 + a.i) * 8 + ly - 1 + b.i AS src, (CASE WHEN a.i = 1 THEN px - lx ELSE 1 - px + lx END) * (CASE WHEN b.i = 1 THEN py - ly ELSE 1 - py + ly END) AS w
   FROM (SELECT *, greatest(1, least(7, floor(px))) AS lx, greatest(1, least(7, floor(py))) AS ly FROM (SELECT scan_id, state, voxel, greatest(1.0, least(8.0, x + 1 + ux)) AS px, greatest(1.0, least(8.0, y + 1 + uy)) AS py FROM {FIELD2})), generate_series(0, 1) AS a(i), generate_series(0, 1) AS b(i))"""
 
@@ -554,6 +594,12 @@ def i14_jacobian_adjoint(fx):
     return out.select("scan_id", "state", *((F.round(c, 4) + 0.0).alias(c) for c in ("tx", "ty", "phi")))
 
 
+@query(f"SELECT scan_id, state, voxel, round(state + 1 + (-(x - 4) * sin(phi) - (y - 4) * cos(phi)) * phi, 6) + 0.0 AS dux, round(2 - state + ((x - 4) * cos(phi) - (y - 4) * sin(phi)) * phi, 6) + 0.0 AS duy FROM {FIELD2}")
+def i14_apply_jacobian(fx):
+    change = rigid_states(fx).select("scan_id", "state", (F.col("state") + 1.0).alias("dtx"), (2.0 - F.col("state")).alias("dty"), F.col("phi").alias("dphi"))
+    return motion.apply_jacobian(motion.rigid_jacobian(rigid_states(fx), 8, 8), change).select("scan_id", "state", "voxel", r6("dux"), r6("duy"))
+
+
 def axis_sql(n: int, m: int) -> str:
     at = f"greatest(0.0, (o + 0.5) * {n / m} - 0.5)"
     return f"SELECT o, CAST(least(floor({at}) + b.i, {n - 1}) AS bigint) AS i, CASE WHEN b.i = 1 THEN {at} - floor({at}) ELSE 1 - ({at} - floor({at})) END AS w FROM generate_series(0, {m - 1}) AS t(o), generate_series(0, 1) AS b(i)"
@@ -585,5 +631,5 @@ def i20_rigid_motion_step(fx):
 def wa_align_and_bin(fx):
     acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")
     sensor = fx("fx_sensor").select("scan_id", "channel", F.col("us").alias("t"), "y")
-    out = workloads.align_and_bin(acq, sensor, fx("fx_trig"), 1, 3, 1e6, cutoff=1e-5, n_iter=5)
+    out = workloads.align_and_bin(acq, sensor, fx("fx_trig"), 1, 3, 1e6, cutoff=1e-5)
     return out.readouts.select("scan_id", "acq_idx", "line_idx", "state", r6("motion"), r6("center"))
