@@ -387,12 +387,39 @@ def w4_gradient(fx):
     return motion.gradient(xy(fx("fx_img")), (8, 8), ["scan_id"]).select("scan_id", "voxel", r6("gx_re"), r6("gy_re"))
 
 
-@query()
-def w5_zero_phase(fx):
-    out = signal.zero_phase(fx("fx_sensor"), 1e-5, "low")
+def zero_phase_sql(cutoff: float, low: bool) -> str:
+    """The filter over lists: each step of a reduction appends an output to those before it, from the output at rest on."""
+
+    def sweep(x: str) -> str:
+        steps = f"list_transform(range(1, len({x}) + 1), lambda i: [b0 * {x}[i] + b1 * {x}[greatest(i - 1, 1)]])"
+        return f"list_reduce(list_concat([[{x}[1] * (b0 + b1) / (1 + a)]], {steps}), lambda o, u: list_append(o, u[1] - a * o[len(o)]))[2:]"
+
+    k = f"tan(pi() * {cutoff} * span / n)"
+    b0, b1 = (f"{k} / (1 + {k})",) * 2 if low else (f"1 / (1 + {k})", f"-1 / (1 + {k})")
+    return f"""WITH c AS (SELECT scan_id, sensor_id, channel, list(t ORDER BY t, y) AS ts, list(y ORDER BY t, y) AS ys, count(*) AS n, max(t) - min(t) AS span FROM fx_sensor GROUP BY ALL),
+    e AS (SELECT *, least(6, n - 1) AS pad, {b0} AS b0, {b1} AS b1, ({k} - 1) / ({k} + 1) AS a FROM c WHERE n > 1 AND span > 0 AND n / span > 2 * {cutoff}),
+    p AS (SELECT *, list_concat(list_transform(range(pad, 0, -1), lambda i: 2 * ys[1] - ys[i + 1]), ys, list_transform(range(1, pad + 1), lambda i: 2 * ys[n] - ys[n - i])) AS x FROM e),
+    f AS (SELECT *, list_reverse({sweep("x")}) AS r FROM p), b AS (SELECT *, list_reverse({sweep("r")})[pad + 1 : pad + n] AS z FROM f),
+    o AS (SELECT scan_id, sensor_id, channel, unnest(ts) AS t, unnest(z) AS filtered FROM b UNION ALL
+        SELECT scan_id, sensor_id, channel, unnest(ts), unnest(CASE WHEN n < 2 AND NOT {low} THEN [0.0] ELSE ys END) FROM c WHERE NOT coalesce(n > 1 AND span > 0 AND n / span > 2 * {cutoff}, false))
+    SELECT scan_id, sensor_id, channel, t, round(filtered, 6) + 0.0 AS filtered FROM o"""
+
+
+def filtered_channels(fx: Fx, kind: str) -> DataFrame:
+    out = signal.zero_phase(fx("fx_sensor"), 2e-7, kind)
     return out.select("scan_id", "sensor_id", "channel", "t", r6("filtered"))
 
 
+@query(zero_phase_sql(2e-7, True))
+def w5_zero_phase(fx):
+    return filtered_channels(fx, "low")
+
+
+@query(zero_phase_sql(2e-7, False))
+def w5_zero_phase_high(fx):
+    return filtered_channels(fx, "high")
+
+
 @query(
     """WITH i AS (SELECT scan_id, voxel, voxel // 8 AS x, voxel % 8 AS y, re FROM fx_img)
     SELECT scan_id, voxel, round(coalesce(re - lag(re) OVER (PARTITION BY scan_id, y ORDER BY x), 0) + coalesce(re - lead(re) OVER (PARTITION BY scan_id, y ORDER BY x), 0) + coalesce(re - lag(re) OVER (PARTITION BY scan_id, x ORDER BY y), 0) + coalesce(re - lead(re) OVER (PARTITION BY scan_id, x ORDER BY y), 0), 6) + 0.0 AS smooth FROM i"""
@@ -631,5 +658,5 @@ def i20_rigid_motion_step(fx):
 def wa_align_and_bin(fx):
     acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")
     sensor = fx("fx_sensor").select("scan_id", "channel", F.col("us").alias("t"), "y")
-    out = workloads.align_and_bin(acq, sensor, fx("fx_trig"), 1, 3, 1e6, cutoff=1e-5)
+    out = workloads.align_and_bin(acq, sensor, fx("fx_trig"), 1, 3, 1e6, cutoff=5e-7)
     return out.readouts.select("scan_id", "acq_idx", "line_idx", "state", r6("motion"), r6("center"))

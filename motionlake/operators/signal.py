@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Samples by which a filtered channel is extended at most, and samples of a chunk on average.
+PAD, CHUNK_SAMPLES = 6, 1024
+
 
 def argmax_by(df: DataFrame, keys: list[str], index: str, score: str) -> DataFrame:
     """Per key the index with the highest score, the lowest of equal ones."""
@@ -48,47 +53,114 @@ def detrend_quadratic(sig: DataFrame, two_sided: bool = False, width: float = 2.
     return sig.join(fit, "scan_id").withColumn("detrended", F.col("y") - drift).drop("_t0", "_a", "_b", "_q")
 
 
-def first_order(y: np.ndarray, rate: float, cutoff: float, kind: str) -> np.ndarray:
-    """A zero-phase first-order Butterworth filter: forward and backward, odd extension at both ends."""
-    if kind not in ("low", "high"):
-        raise ValueError(f"unknown kind {kind}")
-    if len(y) < 2 or not np.isfinite(rate) or cutoff >= rate / 2:
-        return np.zeros_like(y) if kind == "high" and len(y) < 2 else y.copy()
-    k = np.tan(np.pi * cutoff / rate)
-    b = np.array([k, k]) / (1 + k) if kind == "low" else np.array([1.0, -1.0]) / (1 + k)
-    a = (k - 1) / (k + 1)
-    pad = min(6, len(y) - 1)
-    ext = np.concatenate([2 * y[0] - y[pad:0:-1], y, 2 * y[-1] - y[-2 : -pad - 2 : -1]])
-
-    def once(x: np.ndarray) -> np.ndarray:
-        # The state in which a constant input of the first value gives no transient.
-        out = b[0] * x
-        out[1:] += b[1] * x[:-1]
-        rest = b[1] * x[0]
-        out[0] += rest - a * (x[0] * (b.sum() / (1 + a)))
-        step, factor = 1, -a
-        while step < len(out):
-            out[step:] = out[step:] + factor * out[:-step]
-            step, factor = 2 * step, factor * factor
-        return out
-
-    return once(once(ext)[::-1])[::-1][pad : pad + len(y)]
-
-
-def zero_phase(sig: DataFrame, cutoff: float, kind: str, keys: tuple[str, ...] = ("scan_id", "sensor_id", "channel")) -> DataFrame:
-    """``sig(*keys, t, y)`` with ``filtered``; the rate is samples over the time from first to last.
-
-    One task filters one channel of one sensor of one scan: an hour at 100 Hz is a few megabytes.
-    """
-    schema = ", ".join([*(f"{k} {sig.schema[k].dataType.simpleString()}" for k in keys), "t double, y double, filtered double"])
+def coefficients(rate: float, cutoff: float, kind: str) -> tuple[float, float, float]:
+    """``b0, b1, a`` of a first-order Butterworth filter, so that ``out[n] = b0 y[n] + b1 y[n-1] - a out[n-1]``."""
+    k = math.tan(math.pi * cutoff / rate)
+    b0, b1 = (k, k) if kind == "low" else (1.0, -1.0)
+    return b0 / (1 + k), b1 / (1 + k), (k - 1) / (k + 1)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable").reset_index(drop=True)
-        span = pdf["t"].iloc[-1] - pdf["t"].iloc[0]
-        rate = len(pdf) / span if span > 0 else np.inf
-        return pdf.assign(filtered=first_order(pdf["y"].to_numpy(float), rate, cutoff, kind))
+def run_filter(y: np.ndarray, b0: float, b1: float, a: float, state: float) -> tuple[np.ndarray, float]:
+    """The filter's output and last state, when it starts in ``state``.
 
-    return sig.select(*keys, F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y")).groupBy(*keys).applyInPandas(run, schema)
+    A state is what the samples so far add to the next output: ``(b1 - a b0) y[n] - a state[n-1]``, summed up here in
+    doubling steps.
+    """
+    states = (b1 - a * b0) * y
+    states[0] -= a * state
+    step, factor = 1, -a
+    while step < len(y) and factor:
+        states[step:] = states[step:] + factor * states[:-step]
+        step, factor = 2 * step, factor * factor
+    return b0 * y + np.concatenate([[state], states[:-1]]), float(states[-1])
+
+
+def _chunk_ends(pdf: pd.DataFrame, cutoff: float, kind: str) -> pd.DataFrame:
+    """Of chunks of a channel's samples the number, the outer samples, and the last states of both directions from zero."""
+    out = []
+    for y, rate in zip(pdf.pop("_y"), pdf["_rate"]):
+        b = coefficients(rate, cutoff, kind)
+        forward, state = run_filter(y, *b, 0.0)
+        out.append((len(y), y[: PAD + 1], y[-PAD - 1 :], state, run_filter(forward[::-1], *b, 0.0)[1]))
+    return pdf.assign(**dict(zip(("_m", "_head", "_tail", "_fore", "_back"), map(list, zip(*out)))))
+
+
+def _chunk_starts(pdf: pd.DataFrame, cutoff: float, kind: str) -> pd.DataFrame:
+    """The states in which each chunk of one channel starts, forward and backward.
+
+    The channel is extended at both ends by its first and last samples, mirrored at the end's time and value. The filter starts in the
+    state that a constant input of the first value leaves.
+    """
+    pdf = pdf.sort_values("_chunk").reset_index(drop=True)
+    b0, b1, a = coefficients(pdf["_rate"].iloc[0], cutoff, kind)
+    rest, gain = b1 - a * (b0 + b1) / (1 + a), b1 - a * b0
+    sizes = pdf["_m"].tolist()
+    pad = min(PAD, sum(sizes) - 1)
+    head = np.concatenate(pdf["_head"].iloc[: PAD + 1].tolist())
+    tail = np.concatenate(pdf["_tail"].iloc[-PAD - 1 :].tolist())
+    before, after = 2 * head[0] - head[pad:0:-1], 2 * tail[-1] - tail[-2 : -pad - 2 : -1]
+    state, start = run_filter(before, b0, b1, a, rest * before[0])[1], []
+    for m, fore in zip(sizes, pdf["_fore"]):
+        start.append(state)
+        state = fore + (-a) ** m * state
+    after = run_filter(after, b0, b1, a, state)[0][::-1]
+    state, back_start = run_filter(after, b0, b1, a, rest * after[0])[1], []
+    for m, back, first in zip(reversed(sizes), reversed(pdf["_back"].tolist()), reversed(start)):
+        back_start.append(state)
+        # What the forward start adds to the chunk's output decays from sample to sample, and so does its share of the state.
+        state = back + gain * first * (1 - a ** (2 * m)) / (1 - a * a) + (-a) ** m * state
+    return pdf.assign(_start=start, _back_start=back_start[::-1])
+
+
+def zero_phase(sig: DataFrame, cutoff: float, kind: str, keys: tuple[str, ...] = ("scan_id", "sensor_id", "channel"), chunk: int = CHUNK_SAMPLES) -> DataFrame:
+    """``sig(*keys, t, y)`` with ``filtered``: a first-order Butterworth filter forward and backward, odd extension at both ends.
+
+    The rate is samples over the time from first to last; samples of equal times are ordered by value. A channel without a rate, or with
+    a cutoff from half its rate on, keeps ``y``; of a single sample nothing passes ``"high"``. Rows without ``t`` or ``y`` get null and take no part.
+
+    Channels are cut by time into chunks of ``chunk`` samples on average, which are filtered from zero in parallel. A channel
+    then passes states from chunk to chunk, one row each, and chunks are filtered again from theirs.
+    """
+    if kind not in ("low", "high"):
+        raise ValueError(f"unknown kind {kind}")
+    rows = sig.select(*keys, F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"))
+    valid = F.col("t").isNotNull() & F.col("y").isNotNull()
+    per = rows.filter(valid).groupBy(*keys).agg(F.count("*").alias("_n"), F.min("t").alias("_t0"), (F.max("t") - F.min("t")).alias("_span"))
+    per = per.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n", "_t0", "_span", (F.col("_n") / F.when(F.col("_span") > 0, F.col("_span"))).alias("_rate"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    timed = rows.join(per, same, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+    passes = valid & (F.col("_n") > 1) & F.coalesce(F.col("_rate") > 2 * cutoff, F.lit(False))
+    as_is = F.when(~valid, None).when((F.col("_n") < 2) & F.lit(kind == "high"), 0.0).otherwise(F.col("y"))
+    plain = timed.filter(~passes).select(*keys, "t", "y", as_is.alias("filtered"))
+
+    at = F.floor((F.col("t") - F.col("_t0")) * F.col("_rate") / chunk)
+    sorted_rows = F.sort_array(F.collect_list(F.struct("t", "y")))
+    chunks = timed.filter(passes).withColumn("_chunk", at).groupBy(*keys, "_rate", "_chunk").agg(sorted_rows.alias("_s"))
+    chunks = chunks.select(*keys, "_rate", "_chunk", F.col("_s.t").alias("_t"), F.col("_s.y").alias("_y"))
+    names = ", ".join(f"`{k}` {sig.schema[k].dataType.simpleString()}" for k in keys) + ", _rate double, _chunk bigint"
+
+    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (_chunk_ends(f, cutoff, kind) for f in frames if len(f))
+
+    local = chunks.drop("_t").mapInPandas(ends, f"{names}, _m bigint, _head array<double>, _tail array<double>, _fore double, _back double")
+    states = local.groupBy(*keys).applyInPandas(
+        lambda pdf: _chunk_starts(pdf, cutoff, kind)[[*keys, "_chunk", "_start", "_back_start"]],
+        ", ".join(f"`{k}` {sig.schema[k].dataType.simpleString()}" for k in keys) + ", _chunk bigint, _start double, _back_start double",
+    )
+    states = states.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_chunk").alias("_c"), "_start", "_back_start")
+
+    def filtered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for y, rate, start, back in zip(f["_y"], f["_rate"], f.pop("_start"), f.pop("_back_start")):
+                b = coefficients(rate, cutoff, kind)
+                out.append(run_filter(run_filter(y, *b, start)[0][::-1], *b, back)[0][::-1])
+            yield f.assign(_f=out)
+
+    started = chunks.join(states, [*same, F.col("_chunk") == F.col("_c")]).select(*chunks.columns, "_start", "_back_start")
+    done = started.mapInPandas(filtered, f"{names}, _t array<double>, _y array<double>, _f array<double>")
+    zipped = F.explode(F.arrays_zip("_t", "_y", "_f")).alias("_z")
+    return done.select(*keys, zipped).select(*keys, F.col("_z._t").alias("t"), F.col("_z._y").alias("y"), F.col("_z._f").alias("filtered")).unionByName(plain)
 
 
 def channel_quality(bands: DataFrame, seconds: float = 50.0, threshold: float = 0.002) -> DataFrame:

@@ -1,9 +1,11 @@
 """Closed forms, adjoints, round trips and end-to-end properties."""
 
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motionlake.operators import acquisition, alignment, binning, signal
 from motionlake.operators.kspace import fft_centred
@@ -18,14 +20,58 @@ def test_transform_round_trip_and_delta():
     assert np.allclose(fft_centred(delta, (0, 1, 2)), 1 / 8)
 
 
-def test_filter_keeps_a_constant_and_damps_fast_waves():
+def plain_filter(y, rate, cutoff, kind):
+    """Sample by sample: extend, run forward and backward, cut."""
+    k = math.tan(math.pi * cutoff / rate)
+    b0, b1 = (k / (1 + k),) * 2 if kind == "low" else (1 / (1 + k), -1 / (1 + k))
+    a, pad = (k - 1) / (k + 1), min(6, len(y) - 1)
+    x = [2 * y[0] - y[i] for i in range(pad, 0, -1)] + list(y) + [2 * y[-1] - y[-1 - i] for i in range(1, pad + 1)]
+    for _ in range(2):
+        out, last, before = [], x[0] * (b0 + b1) / (1 + a), x[0]
+        for v in x:
+            last, before = b0 * v + b1 * before - a * last, v
+            out.append(last)
+        x = out[::-1]
+    return x[pad : pad + len(y)]
+
+
+def test_filter_keeps_a_constant_and_damps_fast_waves(spark):
     t = np.arange(2000) / 100
-    assert np.allclose(signal.first_order(np.ones(2000), 100, 3.0, "low"), 1)
     slow, fast = np.sin(2 * np.pi * 0.2 * t), np.sin(2 * np.pi * 20 * t)
-    out = signal.first_order(slow + fast, 100, 3.0, "low")
-    assert np.abs(out - slow)[100:-100].max() < 0.1
-    assert np.abs(signal.first_order(slow + 5, 100, 3.0, "high")).max() < 0.2
-    assert len(signal.first_order(np.array([1.0]), np.inf, 3.0, "low")) == 1
+    signals = {0: np.ones(2000), 1: slow + fast, 2: slow + 5}
+    df = spark.createDataFrame([(s, float(a), float(b)) for s, ys in signals.items() for a, b in zip(t, ys)], "scan_id long, t double, y double")
+
+    def run(kind):
+        out = {}
+        for r in signal.zero_phase(df, 3.0, kind, ("scan_id",), chunk=128).orderBy("t").collect():
+            out.setdefault(r.scan_id, []).append(r.filtered)
+        return {s: np.array(v) for s, v in out.items()}
+
+    low, high = run("low"), run("high")
+    assert np.allclose(low[0], 1) and np.abs(low[1] - slow)[100:-100].max() < 0.1 and np.abs(high[2]).max() < 0.2
+
+
+@pytest.mark.parametrize("kind", ["low", "high"])
+@pytest.mark.parametrize("chunk", [1, 3, 50, 10_000])
+def test_filter_in_chunks_is_the_filter_of_the_whole(spark, kind, chunk):
+    rng = np.random.default_rng(chunk)
+    # Short and long channels, gaps and bursts, a null key, columns of the operator's own names.
+    lengths = {None: 40, 1: 2, 2: 3, 3: 8, 4: 700}
+    rows = [(s, float(a), float(rng.standard_normal())) for s, n in lengths.items() for a in np.sort(rng.choice(5000, n, replace=False)) ** (1.5 if s == 4 else 1.0)]
+    alone = [(7, 5.0, 3.0), (8, 1.0, 2.0), (8, 1.0, 4.0), (4, None, 1.0), (4, 10.0, None)]
+    df = spark.createDataFrame(rows + alone, "scan_id long, t double, y double").withColumn("_n", F.lit("x"))
+    cutoff = 1e-4
+    got = {(r.scan_id, r.t, r.y): r.filtered for r in signal.zero_phase(df, cutoff, kind, ("scan_id",), chunk).collect()}
+    assert len(got) == len(rows) + len(alone)
+    for s in lengths:
+        part = sorted((t, y) for k, t, y in rows if k == s)
+        want = plain_filter([y for _, y in part], len(part) / (part[-1][0] - part[0][0]), cutoff, kind)
+        assert np.allclose([got[s, t, y] for t, y in part], want, atol=1e-9)
+    assert got[7, 5.0, 3.0] == (0.0 if kind == "high" else 3.0)
+    assert (got[8, 1.0, 2.0], got[8, 1.0, 4.0]) == (2.0, 4.0)
+    assert got[4, None, 1.0] is None and got[4, 10.0, None] is None
+    assert signal.zero_phase(df.limit(0), cutoff, kind, ("scan_id",)).count() == 0
+    assert signal.zero_phase(df, 1e9, kind, ("scan_id",)).filter("filtered <> y and scan_id <> 7").count() == 0
 
 
 def test_pairs_match_a_two_pointer_loop(spark):
