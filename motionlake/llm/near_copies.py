@@ -28,8 +28,8 @@ WORDS = ("_f0", "_f1", "_f2", "_f3")
 _ODD = np.array([1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 #: Rows of candidates whose ids are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Documents looked at to learn which shingles are common, and how often a common one occurs in them at least.
-SAMPLE_ROWS, COMMON = 6_000, 3
+#: Slots of hashes in which the shingles of all documents are counted.
+SLOTS = 1 << 16
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -42,20 +42,22 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), dtype="<u8", count=n).view(np.int64))
 
 
-def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that recur in a sample, sorted, with how often. They only order shingles: any order gives the same pairs."""
-    rows = docs.select("text").filter("text is not null")
-    part = max(1, docs.count() // SAMPLE_ROWS)
-    rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of all documents fall in each slot, where common ones stand out. They only order shingles: any order gives the same pairs."""
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, width) for t in texts_of(batch)]))], names=["h"])
-
-        return step
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                held += np.bincount(np.concatenate([shingles(t, width) for t in texts_of(batch)]) & (SLOTS - 1), minlength=SLOTS)
+        slots = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(held[slots])], names=["slot", "n"])
+        pa.default_memory_pool().release_unused()
 
-    found = map_batches(rows, make, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).toPandas().sort_values("h")
-    return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    found = bounded_batches(docs.select("text")).mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
 
 
 def wide_fingerprint(s: np.ndarray) -> np.ndarray:
@@ -70,15 +72,13 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     ``key`` is a hash of the set of shingles, ``WORDS`` its SimHash, and ``first`` those of its shingles, rare ones first, of which a
     set of at least the similarity must have one.
     """
-    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+    held = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))
 
     def make():
-        common, often = held.value
+        counts = held.value
 
         def first(s: np.ndarray) -> np.ndarray:
-            if len(common) and len(s):
-                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                s = s[np.argsort(np.where(common[at] == s, often[at], 0), kind="stable")]
+            s = s[np.argsort(counts[s & (SLOTS - 1)], kind="stable")]
             return s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
