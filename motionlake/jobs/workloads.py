@@ -29,8 +29,9 @@ def align_and_bin(acq: DataFrame, sensor: DataFrame, triggers: DataFrame, n_z: i
     interpolated at the readouts. Arrays are joined to the result by ``acq_idx`` where they are needed.
     """
     lines = acquisition.readout_time(acquisition.keep_imaging(acq)).withColumnRenamed("t_s", "t")
-    timed = alignment.sensor_time(sensor, alignment.pair_sequences(triggers), ticks_per_s)
-    strong = timed.join(signal.pick_channel(timed).select("scan_id", "channel"), ["scan_id", "channel"])
+    # One row a scan, and the narrow samples of one channel: both are read by several steps.
+    timed = alignment.sensor_time(sensor, materialize(alignment.pair_sequences(triggers)), ticks_per_s)
+    strong = materialize(timed.join(signal.pick_channel(timed).select("scan_id", "channel"), ["scan_id", "channel"]))
     smooth = signal.zero_phase(strong.select("scan_id", "channel", F.col("t_s").alias("t"), "y"), cutoff, "low", ("scan_id", "channel"))
     clean = signal.detrend_quadratic(smooth.select("scan_id", "t", F.col("filtered").alias("y")))
     # Several steps read the narrow aligned table, which filters in Python precede: it is kept.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motionlake.operators import scan
+
 #: Bit numbers of the public raw-data format for readouts that are no image data: noise, navigator,
 #: phase correction, feedback of two kinds, dummy scan. A flag n is the bit n - 1.
 REJECTED_FLAGS = (19, 23, 24, 26, 27, 28)
@@ -87,7 +89,8 @@ def quarantine(readouts: DataFrame, n_z: int) -> DataFrame:
 
 def line_index(readouts: DataFrame, order: str = "acq_idx") -> DataFrame:
     """``readouts`` with ``line_idx``: their order in file within a slice, from 0."""
-    return readouts.withColumn("line_idx", F.row_number().over(Window.partitionBy("scan_id", "z").orderBy(order)).cast("bigint") - 1)
+    rows = scan.bucketed(readouts, ["scan_id", "z"], [order])
+    return scan.running(rows, ["scan_id", "z"], [order], sums={"line_idx": F.lit(1).cast("bigint")}).withColumn("line_idx", F.col("line_idx") - 1).drop(scan.BUCKET)
 
 
 def nex_values(acq: DataFrame) -> DataFrame:

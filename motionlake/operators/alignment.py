@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionlake.operators import scan
+
 
 def interp_asof(sensor: DataFrame, readouts: DataFrame, bucket_s: float = 60.0, t: str = "t", y: str = "y") -> DataFrame:
     """``readouts`` with ``motion``: the sensor's value at their time, linear between its neighbours.
@@ -46,13 +48,14 @@ def pair_sequences(triggers: DataFrame) -> DataFrame:
     """
     stop = F.col("kind") == "stop"
     # A stop at the very time of a start is not later than it.
-    upto = F.count(F.when(stop, 1)).over(Window.partitionBy("scan_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
-    i = F.row_number().over(Window.partitionBy("scan_id", "kind").orderBy("t")) - 1
-    ranked = triggers.withColumn("lo", upto).withColumn("i", i)
-    starts = ranked.filter(~stop).select("scan_id", F.col("t").alias("start_t"), "i", "lo")
-    j = F.col("i") + F.max(F.col("lo") - F.col("i")).over(Window.partitionBy("scan_id").orderBy("i"))
-    stops = ranked.filter(stop).select("scan_id", F.col("i").alias("j"), F.col("t").alias("stop_t"))
-    pairs = starts.withColumn("j", j).join(stops, ["scan_id", "j"]).withColumn("duration", F.col("stop_t") - F.col("start_t"))
+    one, key = F.lit(1).cast("bigint"), ["scan_id"]
+    rows = scan.running(scan.bucketed(triggers.select("scan_id", "kind", "t"), key, ["t"]), key, ["t"], ties=True, sums={"lo": F.when(stop, one).otherwise(0)})
+    # Numbers of starts and of stops, each in order of time, are running counts over the same ranges.
+    rows = scan.running(rows, key, ["t"], sums={"n_start": F.when(stop, 0).otherwise(one), "n_stop": F.when(stop, one).otherwise(0)})
+    starts = rows.filter(~stop).select("scan_id", F.col("t").alias("start_t"), (F.col("n_start") - 1).alias("i"), "lo", scan.BUCKET)
+    ahead = scan.running(starts, key, ["start_t", "i"], maxima={"ahead": F.col("lo") - F.col("i")})
+    stops = rows.filter(stop).select("scan_id", (F.col("n_stop") - 1).alias("j"), F.col("t").alias("stop_t"))
+    pairs = ahead.withColumn("j", F.col("i") + F.col("ahead")).join(stops, ["scan_id", "j"]).withColumn("duration", F.col("stop_t") - F.col("start_t"))
     best = F.max_by(F.struct("start_t", "stop_t", "duration"), F.struct("duration", -F.col("start_t")))
     return pairs.groupBy("scan_id").agg(best.alias("p")).select("scan_id", "p.*")
 

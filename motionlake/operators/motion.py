@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionlake.operators import scan
+
 RIGID_2D = ("tx", "ty", "phi")
 RIGID_3D = ("tx", "ty", "tz", "rx", "ry", "rz")
-#: Ellipsoids of the phantom: value, half axes, centre, in-plane angle in degrees.
 
 
 def limits_px(params: DataFrame, meta: DataFrame) -> DataFrame:
@@ -46,18 +47,17 @@ def motion_curves(readouts: DataFrame, events: DataFrame, tau: int, n: int) -> D
     ramps = ramp.groupBy("scan_id", (F.col("t0") + F.col("i")).alias("t")).agg(F.sum(value).alias("r"))
     held = e.groupBy("scan_id", (F.col("t0") + F.col("m")).alias("t")).agg(F.sum("amplitude").alias("h"))
     j = readouts.join(ramps, ["scan_id", "t"], "left").join(held, ["scan_id", "t"], "left").fillna(0.0, ["r", "h"])
-    w = Window.partitionBy("scan_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    return j.withColumn("value", F.sum("h").over(w) + F.col("r")).drop("r", "h")
+    summed = scan.running(scan.bucketed(j, ["scan_id"], ["t"]), ["scan_id"], ["t"], ties=True, sums={"value": F.col("h")})
+    return summed.withColumn("value", F.col("value") + F.col("r")).drop("r", "h", scan.BUCKET)
 
 
 def compress_states(curves: DataFrame, params: tuple[str, ...], order: str = "t") -> DataFrame:
     """``curves`` with ``state``: consecutive readouts of exactly equal parameters are one state, numbered from 0."""
-    w = Window.partitionBy("scan_id").orderBy(order)
-    same = F.lit(True)
-    for p in params:
-        same = same & F.col(p).eqNullSafe(F.lag(p).over(w))
-    changed = (F.row_number().over(w) > 1) & ~same
-    return curves.withColumn("_new", changed.cast("bigint")).withColumn("state", F.sum("_new").over(w)).drop("_new")
+    key, own = ["scan_id"], F.struct(*params)
+    rows = scan.neighbour(scan.bucketed(curves, key, [order]), key, [order], own, "_before")
+    # A struct of nulls is none itself, so a missing one is the scan's first readout.
+    changed = F.col("_before").isNotNull() & ~F.col("_before").eqNullSafe(own)
+    return scan.running(rows, key, [order], sums={"state": changed.cast("bigint")}).drop("_before", scan.BUCKET)
 
 
 def state_values(compressed: DataFrame, params: tuple[str, ...], order: str = "t") -> DataFrame:

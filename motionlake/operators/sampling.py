@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionlake.operators import scan
+
 
 def sample_cells(readouts: DataFrame, nx: int, ny: int, nz: int = 1) -> DataFrame:
     """A row per flat cell of each readout: ``kx * ny + ky``, or ``(kx * ny + ky) * nz + kz`` in 3D."""
@@ -26,11 +28,9 @@ def permute(df: DataFrame, seed: int, keys: tuple[str, ...] = ("scan_id", "nex")
 
 def global_shots(readouts: DataFrame) -> DataFrame:
     """``readouts`` with ``global_shot``: their shot after all shots of earlier repetitions."""
-    per = readouts.groupBy("scan_id", "nex").agg(F.countDistinct("shot").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("scan_id").orderBy("nex").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = readouts.join(per.select("scan_id", "nex", before.alias("_before")), ["scan_id", "nex"])
-    rank = F.dense_rank().over(Window.partitionBy("scan_id", "nex").orderBy("shot"))
-    return ranked.withColumn("global_shot", F.col("_before") + rank - 1).drop("_before")
+    shots = scan.bucketed(readouts.select("scan_id", "nex", "shot").distinct(), ["scan_id"], ["nex", "shot"])
+    numbered = scan.running(shots, ["scan_id"], ["nex", "shot"], sums={"global_shot": F.lit(1).cast("bigint")})
+    return readouts.join(numbered.select("scan_id", "nex", "shot", (F.col("global_shot") - 1).alias("global_shot")), ["scan_id", "nex", "shot"])
 
 
 def concat_nex(tables: list[DataFrame]) -> DataFrame:
@@ -47,9 +47,10 @@ def concat_nex(tables: list[DataFrame]) -> DataFrame:
 def order_map(readouts: DataFrame, order: str = "acq_idx") -> DataFrame:
     """Time rank of each ky, kz: from 0 to 1 over a scan's places; the last readout counts where one repeats."""
     last = readouts.groupBy("scan_id", "ky", "kz").agg(F.max(order).alias("_last"))
-    rank = F.row_number().over(Window.partitionBy("scan_id").orderBy("_last")) - 1
-    n = F.count("*").over(Window.partitionBy("scan_id"))
-    return last.select("scan_id", "ky", "kz", (rank / F.greatest(F.lit(1), n - 1)).alias("order"))
+    rows = scan.bucketed(last, ["scan_id"], ["_last", "ky", "kz"])
+    ranked = scan.running(rows, ["scan_id"], ["_last", "ky", "kz"], sums={"_rank": F.lit(1).cast("bigint")})
+    n = rows.groupBy("scan_id").agg(F.count("*").alias("_n"))
+    return ranked.join(n, "scan_id").select("scan_id", "ky", "kz", ((F.col("_rank") - 1) / F.greatest(F.lit(1), F.col("_n") - 1)).alias("order"))
 
 
 def coverage(readouts: DataFrame, ny: int, nz: int) -> DataFrame:
