@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import decontamination, html_extraction, lbl_lm, packing, quality_rules, secret_scan, simhash_dedup, token_records, tokens, toxicity, warc_zip
+from motionlake.llm import decontamination, doc_sketch, hard_negatives, html_extraction, lbl_lm, packing, quality_rules, secret_scan, simhash_dedup, token_records, tokens, toxicity, vector_codes, warc_zip
 from motionlake.llm.common import fold_column, shared_dir, table
 
 
@@ -75,6 +75,24 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings."""
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return doc_sketch.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding among all; a seventh of the labels is wrong."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", wrong.alias("label"), vector_codes.scaled("embedding", 256).alias("q"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -87,6 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_log_bilinear": op10_log_bilinear,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_document_fingerprints": op12_document_fingerprints,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -106,6 +127,35 @@ OP3_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coa
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept FROM k LEFT JOIN v ON k.source IS NOT DISTINCT FROM v.source"""
 
 
+def vector_codes_sql(rounds: int = 4) -> str:
+    """All rounds unrolled: nearest entries over a join with the codebook, then means by component."""
+    assigned = "SELECT p.rid, p.part, arg_min({{'e': e, 'd': d}}, {{'d': d, 'e': e}}) AS a FROM (SELECT p.rid, p.part, c.e, list_sum(list_transform(list_zip(p.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{0} c ON c.part = p.part) p GROUP BY p.rid, p.part"
+    parts = [
+        "k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS double) * 1024) AS bigint)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "p AS MATERIALIZED (SELECT rid, j.i AS part, v[j.i * len(v) // 4 + 1 : (j.i + 1) * len(v) // 4] AS x FROM k, generate_series(0, 3) AS j(i))",
+        "c0 AS MATERIALIZED (SELECT part, rid - 1 AS e, x AS c FROM p WHERE rid <= 256)",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"a{i} AS MATERIALIZED ({assigned.format(i)})",
+            f"m{i} AS (SELECT part, e, list(m ORDER BY pos) AS c FROM (SELECT part, e, pos, CAST(floor(CAST(sum(y) AS double) / count(*)) AS bigint) AS m FROM (SELECT p.part, a.a.e AS e, generate_subscripts(p.x, 1) AS pos, unnest(p.x) AS y FROM p JOIN a{i} a USING (rid, part)) GROUP BY ALL) GROUP BY ALL)",
+            f"c{i + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m USING (part, e))",
+        ]
+    parts += [
+        f"f AS MATERIALIZED ({assigned.format(rounds)})",
+        "g AS (SELECT rid, string_agg(printf('%02x', a.e), '' ORDER BY part) AS code, CAST(sum(a.d) AS bigint) AS error FROM f GROUP BY rid)",
+        f"s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds})",
+    ]
+    return f"WITH {', '.join(parts)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, codebooks_sha256 FROM g JOIN k USING (rid), s"
+
+
+OP13_SQL = """WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS double) * 256)) AS q FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS MATERIALIZED (SELECT a.rid, a.vec_id AS anchor_id, k.vec_id, k.label = a.label AS same, k.vec_id IS NOT DISTINCT FROM a.vec_id AS own, CAST(list_inner_product(a.q, k.q) AS bigint) AS score FROM k a, k WHERE a.vec_id % 50 = 0),
+  p AS (SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS j FROM s WHERE same AND NOT own QUALIFY j <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.rid, j ORDER BY score DESC, vec_id) AS int) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.rid = p.rid AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Models, fingerprints of XXH64, token ids, archives and element trees have no SQL; tests hold them against brute force."""
-    return {"op3_host_quality": OP3_SQL}
+    return {"op3_host_quality": OP3_SQL, "op11_vector_codes": vector_codes_sql(), "op13_hard_negatives": OP13_SQL}
