@@ -15,15 +15,22 @@ from motionlake.llm.common import map_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 #: Elements that never hold the article's text.
-DROPPED = RAW | frozenset("nav footer aside form button select option head svg math object video audio canvas dialog menu menuitem".split())
-#: Parts of a class or id, between hyphens, underscores and changes of case, of what stands around an article.
+DROPPED = RAW | frozenset("nav footer aside form button select option head svg object video audio canvas dialog menu menuitem annotation annotation-xml".split())
+#: Words of a class or id that tell of what stands around an article.
 AROUND = frozenset(
-    "ad ads adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent notice popup modal overlay sidebar side nav navbar navigation"
-    " menu breadcrumb breadcrumbs masthead footer foot comment comments commentlist disqus replies respond share sharing social related recommend recommended recommendations newsletter"
+    "ad ads adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent notice popup modal overlay sidebar side nav navbar navigation subnav topnav"
+    " menu breadcrumb breadcrumbs masthead footer comment comments commentlist disqus replies respond share sharing social related recommend recommended recommendations newsletter"
     " subscribe subscription signup widget widgets toolbar pagination pager".split()
 )
-#: A header that isn't the page's; and first parts by which a class tells of a layout (no-sidebar) and not of a place.
-OWN_HEADER, LAYOUT = frozenset("entry post article story content title".split()), frozenset("no with has without".split())
+#: Words that may stand beside those in a class or id without telling of anything else; with any other word (ad-hoc, side-by-side) it tells nothing.
+BESIDE = frozenset(
+    "a above all area article articles bar below block bottom box button buttons center col column container content desktop first form full global group header heading icon icons in inner item items js large last"
+    " left line link links list main mobile module outer page panel posts primary right row secondary section site slot small stories sticky tertiary text the title top unit web wrap wrapper zone".split()
+)
+#: Elements that no class or id removes: headings, and what stands within a line.
+SPARED = frozenset("h1 h2 h3 h4 h5 h6 a abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math".split())
+#: A header that isn't the page's; first words by which a class tells of a layout (no-sidebar) and not of a place; and words of comment lists.
+OWN_HEADER, LAYOUT, COMMENTS = frozenset("article content title".split()), frozenset("no with has without".split()), frozenset("comment comments commentlist disqus".split())
 ROLES_AROUND = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 #: Elements that start and end a block of text.
 BLOCKS = frozenset(
@@ -48,7 +55,7 @@ _UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNOR
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "score", "size", "linked", "scope", "open", "inside")
+    __slots__ = ("tag", "parent", "items", "dropped", "score", "size", "linked", "scope", "open", "inside", "holds", "heading")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
@@ -58,6 +65,9 @@ class Node:
         #: The nearest element that holds blocks, itself or above; and, in such a one, how many of each tag are open below it up to the next.
         self.open: dict[str, int] | None = {} if parent is None or tag in HOLDS else None
         self.scope: Node = self if self.open is not None else parent.scope
+        #: Whether it has been found to hold an article or the main part: then all above has been as well.
+        self.holds = False
+        self.heading: bool | None = None
         self.inside: bool = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
@@ -68,20 +78,20 @@ def tags(source: str) -> Iterator[tuple[str, str, str, str]]:
     tags from there on end at the next ``>``, quoted or not.
     """
     at, begun, end, last, quotes = 0, 0, len(source), source.rfind(">"), True
-    held = ""
+    held: list[str] = []
     while m := _OPEN.search(source, at):
         i = m.start()
         if source.startswith("<!--", i):
             close = source.find("-->", i + 4)
-            held, at = held + source[begun:i], close + 3 if close >= 0 else end
-            begun = at
+            held.append(source[begun:i])
+            begun = at = close + 3 if close >= 0 else end
             continue
         if i > last:
             break
         name = _NAME.match(source, i + 1)
         if not name:  # a declaration, an instruction, or an end tag without a name
-            held, at = held + source[begun:i], source.find(">", i) + 1
-            begun = at
+            held.append(source[begun:i])
+            begun = at = source.find(">", i) + 1
             continue
         rest = _REST.match(source, name.end()) if quotes else None
         quotes = quotes and rest is not None
@@ -89,13 +99,13 @@ def tags(source: str) -> Iterator[tuple[str, str, str, str]]:
         if not stop:
             break
         tag = name[2].lower()
-        yield held + source[begun:i], name[1], tag, source[name.end() : stop - 1]
-        held, at = "", stop
+        yield "".join((*held, source[begun:i])), name[1], tag, source[name.end() : stop - 1]
+        held, at = [], stop
         if not name[1] and tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
             at = (source.find(">", close.end()) + 1 or end) if close else end
         begun = at
-    yield held + source[begun:], "", "", ""
+    yield "".join((*held, source[begun:])), "", "", ""
 
 
 def tree(source: str) -> Node:
@@ -138,8 +148,8 @@ def tree(source: str) -> Node:
             # What holds the first article, or the main part, is no sidebar, whatever its class says.
             articles += 1
             holder = node
-            while holder and holder.tag not in DROPPED and not holder.inside:
-                holder.dropped, holder = False, holder.parent
+            while holder and not holder.holds and holder.tag not in DROPPED and not holder.inside:
+                holder.dropped, holder.holds, holder = False, True, holder.parent
         if tag not in VOID and not attributes.endswith("/"):
             node.scope.open[tag] = node.scope.open.get(tag, 0) + 1
             opened[tag] = opened.get(tag, 0) + 1
@@ -157,21 +167,28 @@ def _around(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value.strip().lower() in ROLES_AROUND:
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = [p.lower() for p in _PARTS.findall(word)]
-                if not parts or parts[0] in LAYOUT:
-                    continue
-                if tag in ("article", "main"):
-                    if not {"comment", "comments"}.isdisjoint(parts):
-                        return True
-                elif not AROUND.isdisjoint(parts) or ("header" in parts and not inside and parts[0] not in OWN_HEADER):
+        if name == "class" or name == "id":
+            words = [[p.lower() for p in _PARTS.findall(w)] for w in value.split()]
+            if tag in ("article", "main") or (inside and name == "id"):
+                # An article's own class says what it is about; ids in it are mostly made from its headings.
+                if any(w and w[0] in COMMENTS and BESIDE.issuperset(w[1:]) for w in words) and tag not in SPARED:
                     return True
+            elif tag not in SPARED and any(_tells(w, inside) for w in words):
+                return True
     return False
 
 
+def _tells(word: list[str], inside: bool) -> bool:
+    """Whether a class or id, in parts, names what stands around an article, and nothing else."""
+    if not word or word[0] in LAYOUT:
+        return False
+    if AROUND.isdisjoint(word):
+        return "header" in word and not inside and BESIDE.issuperset(word) and word[0] not in OWN_HEADER
+    return all(p in AROUND or p in BESIDE or p.isdigit() for p in word)
+
+
 def walk(node: Node) -> Iterator[Node]:
-    """Kept elements, parents first; a header counts only inside an article, where it holds the title."""
+    """Kept elements, parents first."""
     stack = [node]
     while stack:
         n = stack.pop()
@@ -180,11 +197,28 @@ def walk(node: Node) -> Iterator[Node]:
 
 
 def kept(node: Node) -> bool:
+    """Whether an element belongs to the text; a header does inside an article, unless most of its text is links."""
     if node.tag == "header" and not node.dropped:
-        return node.inside and any(isinstance(x, Node) and x.tag in ("h1", "h2") for x in node.items)
+        if node.inside and node.heading is None:
+            node.heading = _unlinked(node)
+        return bool(node.inside and node.heading)
     return not node.dropped
 
 
+def _unlinked(node: Node) -> bool:
+    """Whether half of an element's text, or more, is in no link; elements within it are looked at once, whatever headers they hold."""
+    size = linked = 0
+    stack: list[tuple[Node | str, bool]] = [(node, False)]
+    while stack:
+        x, link = stack.pop()
+        if isinstance(x, str):
+            n = len(x.strip())
+            size, linked = size + n, linked + n * link
+        elif x is node or not (x.dropped or x.tag == "header"):
+            stack += [(y, link or x.tag == "a") for y in x.items]
+    return 2 * linked <= size
+
+
 def score(root: Node) -> Node:
     """Give points to ancestors, discount by link density, and return the best container."""
     order = list(walk(root))
@@ -288,6 +322,8 @@ def _belongs(x: Node | str, least: float) -> bool:
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text``, the article's text, and ``n_chars``, its code points.
 
+    A page has one article: of several, that of the best score. Headings and what stands within a line are never left
+    out for a class; a class or id leaves an element out if all its parts are words of places around an article.
     Null or empty html gives an empty text, and so does a page without text. Whole pages are
     read, whatever their length; repeated rows each give a row; an empty table gives none; other
     columns pass through, but for ones named ``text`` or ``n_chars``, which are replaced.
