@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motionlake.jobs import workloads
 from motionlake.jobs.fixtures import fixture, with_fixtures
-from motionlake.operators import acquisition, alignment, binning, kspace, motion, sampling, signal
+from motionlake.operators import acquisition, alignment, binning, encoding, kspace, motion, sampling, signal
 from motionlake.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -654,6 +654,145 @@ def i20_rigid_motion_step(fx):
     return out.select("scan_id", "state", *((F.round(c, 4) + 0.0).alias(c) for c in ("d0", "d1", "d2")))
 
 
+#: A scan of two repetitions, its coils' maps, two states and the cells sampled in each, some of them in both.
+SCANS = f"""img AS MATERIALIZED (SELECT scan_id // 2 AS scan_id, scan_id % 2 AS nex, voxel, re, im FROM fx_img),
+  sm AS MATERIALIZED (SELECT scan_id, nex AS coil, 63 - voxel AS voxel, re + 1 AS re, im FROM img),
+  sts AS (SELECT scan_id, k.s AS state, re * (k.s + 1) * 4 AS tx, 1.3 * (1 - k.s) AS ty, 0.1 * (k.s + 1) + re / 10 AS phi FROM img, generate_series(0, 1) AS k(s) WHERE nex = 0 AND voxel = 0),
+  smp AS (SELECT scan_id, nex, k.s AS state, voxel AS cell FROM img, generate_series(0, 1) AS k(s) WHERE CASE WHEN k.s = 0 THEN (voxel + nex) % 3 <> 1 ELSE (voxel + nex) % 3 = 1 OR voxel % 5 = 0 END),
+  own AS (SELECT scan_id, nex, cell, max(state) AS state FROM smp GROUP BY ALL),
+  fld AS (SELECT scan_id, state, v.i AS voxel, v.i // 8 AS x, v.i % 8 AS y, phi, cos(phi) * (v.i // 8 - 4) - sin(phi) * (v.i % 8 - 4) - (v.i // 8 - 4) + tx AS ux, sin(phi) * (v.i // 8 - 4) + cos(phi) * (v.i % 8 - 4) - (v.i % 8 - 4) + ty AS uy FROM sts, generate_series(0, 63) AS v(i)),
+  {STENCIL2.replace(FIELD2, "fld").replace("st AS (", "st AS MATERIALIZED (")},
+  wrp AS MATERIALIZED (SELECT st.scan_id, nex, state, st.voxel, sum(w * re) AS re, sum(w * im) AS im FROM st JOIN img i ON i.scan_id = st.scan_id AND i.voxel = st.src GROUP BY ALL)"""
+
+
+def twiddled(src: str, sign: int, keys: str) -> str:
+    """The centred transform of 8 by 8 planes by joining twiddle factors."""
+    phase = "2 * pi() * ((k.u - 4) * (voxel // 8 - 4) + (k.v - 4) * (voxel % 8 - 4)) / 8"
+    return f"SELECT {keys}, k.u * 8 + k.v AS cell, sum(re * cos({phase}) - {sign} * im * sin({phase})) / 8 AS re, sum({sign} * re * sin({phase}) + im * cos({phase})) / 8 AS im FROM {src}, (SELECT u.i AS u, v.i AS v FROM generate_series(0, 7) AS u(i), generate_series(0, 7) AS v(i)) k GROUP BY ALL"
+
+
+def measured_sql(src: str) -> str:
+    coils = f"(SELECT w.scan_id, nex, state, coil, w.voxel, w.re * m.re - w.im * m.im AS re, w.re * m.im + w.im * m.re AS im FROM {src} w JOIN sm m ON m.scan_id = w.scan_id AND m.voxel = w.voxel)"
+    return f"SELECT f.* FROM ({twiddled(coils, -1, 'scan_id, nex, state, coil')}) f SEMI JOIN own o ON o.scan_id = f.scan_id AND o.nex = f.nex AND o.state = f.state AND o.cell = f.cell"
+
+
+def spread_sql(values: str) -> str:
+    cells = f"(SELECT v.scan_id, v.nex, s.state, v.coil, v.cell AS voxel, v.re, v.im FROM {values} v JOIN smp s ON s.scan_id = v.scan_id AND s.nex = v.nex AND s.cell = v.cell)"
+    return f"SELECT f.scan_id, nex, state, f.cell AS voxel, sum(f.re * m.re + f.im * m.im) AS re, sum(f.im * m.re - f.re * m.im) AS im FROM ({twiddled(cells, 1, 'scan_id, nex, state, coil')}) f JOIN sm m ON m.scan_id = f.scan_id AND m.coil = f.coil AND m.voxel = f.cell GROUP BY ALL"
+
+
+def scan_images(fx) -> DataFrame:
+    i = fx("fx_img")
+    return i.select(F.expr("scan_id div 2").alias("scan_id"), (i["scan_id"] % 2).alias("nex"), "voxel", "re", "im")
+
+
+def scan_states(fx) -> DataFrame:
+    first = scan_images(fx).filter("nex = 0 AND voxel = 0").select("scan_id", "re", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("state"))
+    s = F.col("state")
+    return first.select("scan_id", "state", (F.col("re") * (s + 1) * 4).alias("tx"), (1.3 * (1 - s)).alias("ty"), (0.1 * (s + 1) + F.col("re") / 10).alias("phi"))
+
+
+def scan_encoding(fx, overlap: bool = True) -> encoding.Encoding:
+    img = scan_images(fx)
+    place = img.select("scan_id", "nex", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("state"), F.col("voxel").alias("cell"))
+    third = (F.col("cell") + F.col("nex")) % 3
+    samples = place.filter(F.when(F.col("state") == 0, third != 1).otherwise((third == 1) | (F.col("cell") % 5 == 0)))
+    grids = img.select("scan_id").distinct().select("scan_id", F.lit(8).alias("nx"), F.lit(8).alias("ny"), F.lit(1).alias("nz"))
+    smaps = img.select("scan_id", F.col("nex").alias("coil"), (63 - F.col("voxel")).alias("voxel"), (F.col("re") + 1).alias("re"), "im")
+    st = motion.stencil(motion.rigid_field_2d(scan_states(fx), 8, 8), (8, 8))
+    return encoding.Encoding(grids, smaps, samples if overlap else encoding.owned(samples), st)
+
+
+def r5(out: DataFrame, *values: str) -> list[Column]:
+    return [(F.round(v, 5) + 0.0).alias(v) for v in values]
+
+
+def values_of(img: DataFrame) -> DataFrame:
+    """Measured values of two coils, made of image voxels."""
+    each = img.withColumn("coil", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))))
+    return each.select("scan_id", "coil", "nex", F.col("voxel").alias("cell"), (F.col("re") * (F.col("coil") + 1)).alias("re"), (F.col("im") - F.col("coil")).alias("im"))
+
+
+VALUES = "vls AS (SELECT scan_id, c.i AS coil, nex, voxel AS cell, re * (c.i + 1) AS re, im - c.i AS im FROM img, generate_series(0, 1) AS c(i))"
+
+
+@query(f"WITH {SCANS} SELECT scan_id, coil, nex, cell, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM ({measured_sql('wrp')})")
+def i9_encode(fx):
+    out = scan_encoding(fx).forward(scan_images(fx))
+    return out.select("scan_id", "coil", "nex", "cell", *r5(out, "re", "im"))
+
+
+@query(f"WITH {SCANS}, {VALUES}, spr AS ({spread_sql('vls')}) SELECT st.scan_id, nex, CAST(st.src AS bigint) AS voxel, round(sum(w * re), 5) + 0.0 AS re, round(sum(w * im), 5) + 0.0 AS im FROM st JOIN spr ON spr.scan_id = st.scan_id AND spr.state = st.state AND spr.voxel = st.voxel GROUP BY ALL")
+def i10_decode(fx):
+    out = scan_encoding(fx).adjoint(values_of(scan_images(fx)))
+    return out.select("scan_id", "nex", "voxel", *r5(out, "re", "im"))
+
+
+def both_sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two inner products of each scan side by side; ``agree`` to 1e-9 of their size."""
+    j = left.select("scan_id", F.col("re").alias("left_re")).join(right.select("scan_id", F.col("re").alias("right_re")), "scan_id")
+    gap = F.abs(F.col("left_re") - F.col("right_re")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("left_re"))
+    return j.select("scan_id", *r5(j, "left_re", "right_re"), gap.alias("agree"))
+
+
+@query(f"WITH {SCANS}, {VALUES}, enc AS ({measured_sql('wrp')}), s AS (SELECT e.scan_id, sum(e.re * v.re + e.im * v.im) AS d FROM enc e JOIN vls v USING (scan_id, coil, nex, cell) GROUP BY ALL) SELECT scan_id, round(d, 5) + 0.0 AS left_re, round(d, 5) + 0.0 AS right_re, true AS agree FROM s")
+def i11_adjoint_identity(fx):
+    img = scan_images(fx)
+    values, enc = values_of(img), scan_encoding(fx, overlap=False)
+    return both_sides(encoding.inner(enc.forward(img), values, ["coil", "nex", "cell"]), encoding.inner(img, enc.adjoint(values), ["nex", "voxel"]))
+
+
+@query(f"WITH {SCANS}, enc AS ({measured_sql('wrp')}), spr AS ({spread_sql('enc')}) SELECT st.scan_id, nex, CAST(st.src AS bigint) AS voxel, round(sum(w * re), 5) + 0.0 AS re, round(sum(w * im), 5) + 0.0 AS im FROM st JOIN spr ON spr.scan_id = st.scan_id AND spr.state = st.state AND spr.voxel = st.voxel GROUP BY ALL")
+def i11_normal(fx):
+    out = scan_encoding(fx).normal(scan_images(fx))
+    return out.select("scan_id", "nex", "voxel", *r5(out, "re", "im"))
+
+
+GRADIENTS = """grd AS MATERIALIZED (SELECT scan_id, nex, state, voxel, CASE WHEN voxel // 8 = 0 THEN xb - re WHEN voxel // 8 = 7 THEN re - xa ELSE (xb - xa) / 2 END AS gxr, CASE WHEN voxel // 8 = 0 THEN xbi - im WHEN voxel // 8 = 7 THEN im - xai ELSE (xbi - xai) / 2 END AS gxi,
+  CASE WHEN voxel % 8 = 0 THEN yb - re WHEN voxel % 8 = 7 THEN re - ya ELSE (yb - ya) / 2 END AS gyr, CASE WHEN voxel % 8 = 0 THEN ybi - im WHEN voxel % 8 = 7 THEN im - yai ELSE (ybi - yai) / 2 END AS gyi
+  FROM (SELECT *, lag(re) OVER a AS xa, lead(re) OVER a AS xb, lag(im) OVER a AS xai, lead(im) OVER a AS xbi, lag(re) OVER b AS ya, lead(re) OVER b AS yb, lag(im) OVER b AS yai, lead(im) OVER b AS ybi FROM wrp
+    WINDOW a AS (PARTITION BY scan_id, nex, state, voxel % 8 ORDER BY voxel // 8), b AS (PARTITION BY scan_id, nex, state, voxel // 8 ORDER BY voxel % 8)))"""
+
+
+def parameter_changes(fx) -> DataFrame:
+    """Displacement changes under changes of each state's parameters."""
+    states = scan_states(fx)
+    change = states.select("scan_id", "state", (F.col("state") + 1.0).alias("dtx"), (2.0 - F.col("state")).alias("dty"), F.col("phi").alias("dphi"))
+    return motion.apply_jacobian(motion.rigid_jacobian(states, 8, 8), change).select("scan_id", "state", "voxel", "dux", "duy")
+
+
+@query(
+    f"WITH {SCANS}, {GRADIENTS}, prt AS (SELECT g.scan_id, nex, g.state, g.voxel, gxr * dux + gyr * duy AS re, gxi * dux + gyi * duy AS im FROM grd g JOIN (SELECT scan_id, state, voxel, state + 1 + (-(x - 4) * sin(phi) - (y - 4) * cos(phi)) * phi AS dux, 2 - state + ((x - 4) * cos(phi) - (y - 4) * sin(phi)) * phi AS duy FROM fld) d ON d.scan_id = g.scan_id AND d.state = g.state AND d.voxel = g.voxel) SELECT scan_id, coil, nex, cell, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM ({measured_sql('prt')})"
+)
+def i12_perturb(fx):
+    out = encoding.Perturbation(scan_encoding(fx), scan_images(fx)).forward(parameter_changes(fx))
+    return out.select("scan_id", "coil", "nex", "cell", *r5(out, "re", "im"))
+
+
+FIELDS = f"{SCANS}, {VALUES}, spr AS ({spread_sql('vls')}), {GRADIENTS}, dsp AS (SELECT g.scan_id, g.state, g.voxel, sum(r.re * gxr + r.im * gxi) AS dux, sum(r.re * gyr + r.im * gyi) AS duy FROM grd g JOIN spr r USING (scan_id, nex, state, voxel) GROUP BY ALL)"
+
+
+@query(f"WITH {FIELDS} SELECT d.scan_id, d.state, round(sum(dux), 5) + 0.0 AS tx, round(sum(duy), 5) + 0.0 AS ty, round(sum(dux * (-(x - 4) * sin(phi) - (y - 4) * cos(phi)) + duy * ((x - 4) * cos(phi) - (y - 4) * sin(phi))), 5) + 0.0 AS phi FROM dsp d JOIN fld f ON f.scan_id = d.scan_id AND f.state = d.state AND f.voxel = d.voxel GROUP BY ALL")
+def i13_perturb_adjoint(fx):
+    fields = encoding.Perturbation(scan_encoding(fx), scan_images(fx)).adjoint(values_of(scan_images(fx)))
+    out = motion.apply_jacobian_adjoint(motion.rigid_jacobian(scan_states(fx), 8, 8).join(fields, ["scan_id", "state", "voxel"]))
+    return out.select("scan_id", "state", *r5(out, "tx", "ty", "phi"))
+
+
+@query(f"WITH {FIELDS} SELECT scan_id, voxel, round(sum(dux * (state + 0.5)), 5) + 0.0 AS a0, round(sum(duy * (state + 0.5)), 5) + 0.0 AS a1 FROM dsp GROUP BY ALL")
+def i13_maps_adjoint(fx):
+    fields = encoding.Perturbation(scan_encoding(fx), scan_images(fx)).adjoint(values_of(scan_images(fx)))
+    out = encoding.maps_adjoint(fields, scan_states(fx).withColumn("signal", F.col("state") + 0.5))
+    return out.select("scan_id", "voxel", *r5(out, "a0", "a1"))
+
+
+@query(f"WITH {SCANS}, {VALUES}, f AS ({twiddled('(SELECT scan_id, nex, coil, cell AS voxel, re, im FROM vls)', 1, 'scan_id, nex, coil')}) SELECT f.scan_id, nex, f.cell AS voxel, round(sum(f.re * m.re + f.im * m.im), 5) + 0.0 AS re, round(sum(f.im * m.re - f.re * m.im), 5) + 0.0 AS im FROM f JOIN sm m ON m.scan_id = f.scan_id AND m.coil = f.coil AND m.voxel = f.cell GROUP BY ALL")
+def i27_uncorrected(fx):
+    enc = scan_encoding(fx)
+    out = encoding.uncorrected(values_of(scan_images(fx)), enc.grids, enc.smaps)
+    return out.select("scan_id", "nex", "voxel", *r5(out, "re", "im"))
+
+
 @query()
 def wa_align_and_bin(fx):
     acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")

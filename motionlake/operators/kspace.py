@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.functions.complexes import modulus, product, square
+from motionlake.functions.complexes import product, square
+from motionlake.functions.sizes import Size, corner, size, upto
 
 C = lambda re, im: (F.col(re), F.col(im))
 
@@ -38,20 +39,20 @@ def level_size(n: str, factor: float):
     return F.greatest(F.lit(1), F.bround(F.col(n) * F.lit(factor), 0)).cast("bigint")
 
 
-def crop_kspace(lines: DataFrame, full: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
-    """The centre block of ``lines(ky, kz, re[], im[])``, numbered from its corner."""
-    ox, oy, oz = ((n - m) // 2 for n, m in zip(full, size))
-    inside = F.col("ky").between(oy, oy + size[1] - 1) & F.col("kz").between(oz, oz + size[2] - 1)
-    cut = lambda c: F.slice(c, ox + 1, size[0])
+def crop_kspace(lines: DataFrame, full: tuple[Size, Size, Size], part: tuple[Size, Size, Size]) -> DataFrame:
+    """The centre block of ``lines(ky, kz, re[], im[])``, numbered from its corner; sizes are numbers or each scan's columns."""
+    ox, oy, oz = (corner(n, m) for n, m in zip(full, part))
+    inside = F.col("ky").between(oy, oy + size(part[1]) - 1) & F.col("kz").between(oz, oz + size(part[2]) - 1)
+    cut = lambda c: F.slice(c, (ox + 1).cast("int"), size(part[0]).cast("int"))
     return lines.filter(inside).withColumns({"ky": F.col("ky") - oy, "kz": F.col("kz") - oz, "re": cut("re"), "im": cut("im")})
 
 
-def crop_cells(samples: DataFrame, full: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
-    """Samples whose ``cell`` lies in the centre block, numbered on the small grid."""
-    (nx, ny, nz), (mx, my, mz) = full, size
-    ox, oy, oz = ((n - m) // 2 for n, m in zip(full, size))
-    kz = F.pmod("cell", F.lit(nz)) - oz
-    ky = F.pmod(F.floor(F.col("cell") / nz), F.lit(ny)) - oy
+def crop_cells(samples: DataFrame, full: tuple[Size, Size, Size], part: tuple[Size, Size, Size]) -> DataFrame:
+    """Samples whose ``cell`` lies in the centre block, numbered on the small grid; sizes are numbers or each scan's columns."""
+    (nx, ny, nz), (mx, my, mz) = map(size, full), map(size, part)
+    ox, oy, oz = (corner(n, m) for n, m in zip(full, part))
+    kz = F.pmod("cell", nz) - oz
+    ky = F.pmod(F.floor(F.col("cell") / nz), ny) - oy
     kx = F.floor(F.col("cell") / (ny * nz)) - ox
     inside = kx.between(0, mx - 1) & ky.between(0, my - 1) & kz.between(0, mz - 1)
     return samples.filter(inside).withColumn("cell", ((kx * my + ky) * mz + kz).cast("bigint"))
@@ -101,10 +102,6 @@ def robust_window(img: DataFrame, lo: float = 0.02, hi: float = 0.98, exact: boo
     return img.join(w, "scan_id").withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
 
 
-def magnitude(img: DataFrame) -> DataFrame:
-    return img.withColumn("v", modulus(C("re", "im")))
-
-
 def fft_centred(x: np.ndarray, axes: tuple[int, ...], inverse: bool = False) -> np.ndarray:
     """Orthonormal Fourier transform with its origin in the middle."""
     f = np.fft.ifftn if inverse else np.fft.fftn
@@ -112,52 +109,64 @@ def fft_centred(x: np.ndarray, axes: tuple[int, ...], inverse: bool = False) ->
 
 
 def _map_arrays(df: DataFrame, f) -> DataFrame:
-    """Rows with ``re`` and ``im`` replaced by what ``f(row index in batch, complex array)`` makes of them; no shuffle."""
+    """Rows with ``re`` and ``im`` replaced by what ``f(shape, complex arrays of it)`` makes of those of a shape; no shuffle.
+
+    A row's shape is its ``nx, ny, nz``, or its length. Values stay in Arrow's buffers: rows of a shape are one array.
+    """
     schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i, j = b.schema.get_field_index("re"), b.schema.get_field_index("im")
-            rest = b.to_pylist() if "nx" in b.schema.names else [{}] * b.num_rows
-            out = [f(r, np.array(x) + 1j * np.array(y)) for r, x, y in zip(rest, b.column(i).to_pylist(), b.column(j).to_pylist())]
+            length = b.column(i).value_lengths().to_numpy(zero_copy_only=False)
+            shape = np.stack([b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("nx", "ny", "nz")], axis=1) if "nx" in b.schema.names else length[:, None]
+            values = [b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (i, j)]
+            out: list[np.ndarray | None] = [None] * b.num_rows
+            begins = np.cumsum(length) - length
+            for s in np.unique(shape, axis=0):
+                rows = np.flatnonzero((shape == s).all(axis=1))
+                at = begins[rows][:, None] + np.arange(int(np.prod(s)))
+                done = f(tuple(int(n) for n in s), (values[0][at] + 1j * values[1][at]).reshape(-1, *s)).reshape(len(rows), -1)
+                for row, x in zip(rows, done):
+                    out[row] = x
             columns = b.columns
-            columns[i] = pa.array([o.real.tolist() for o in out], pa.list_(pa.float64()))
-            columns[j] = pa.array([o.imag.tolist() for o in out], pa.list_(pa.float64()))
+            ends = pa.array(np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32))
+            flat = np.concatenate(out) if out else np.zeros(0, complex)
+            columns[i], columns[j] = (pa.ListArray.from_arrays(ends, pa.array(v)) for v in (flat.real, flat.imag))
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def fftc(planes: DataFrame, axes: tuple[int, ...] = (0, 1, 2), inverse: bool = False) -> DataFrame:
-    """Transform of ``planes(nx, ny, nz, re[], im[])``, one whole coil image to a row."""
-
-    def f(row: dict, x: np.ndarray) -> np.ndarray:
-        return fft_centred(x.reshape(row["nx"], row["ny"], row["nz"]), axes, inverse).ravel()
-
-    return _map_arrays(planes, f)
+    """Transform of ``planes(nx, ny, nz, re[], im[])``, one whole coil image to a row; sizes may differ between rows."""
+    return _map_arrays(planes, lambda _, x: fft_centred(x, tuple(a + 1 for a in axes), inverse))
 
 
 def remove_oversampling(lines: DataFrame) -> DataFrame:
     """Lines at half their length: to image space along kx, the middle half, and back."""
 
-    def f(_: dict, x: np.ndarray) -> np.ndarray:
-        n = len(x)
-        return fft_centred(fft_centred(x, (0,), inverse=True)[n // 4 : n // 4 + n // 2], (0,))
+    def f(shape: tuple[int, ...], x: np.ndarray) -> np.ndarray:
+        n = shape[0]
+        return fft_centred(fft_centred(x, (1,), inverse=True)[:, n // 4 : n // 4 + n // 2], (1,))
 
     return _map_arrays(lines, f)
 
 
-def planes(cells: DataFrame, keys: list[str], nx: int, ny: int, nz: int = 1, flat: str = "voxel") -> DataFrame:
+def planes(cells: DataFrame, keys: list[str], nx: Size, ny: Size, nz: Size = 1, flat: str = "voxel") -> DataFrame:
     """Voxel rows, one per place, gathered to one row per key with arrays in flat order; absent voxels are zero.
 
+    Sizes are numbers, or columns of ``cells`` that are the same throughout a key.
+
     A plane is sorted once, with a zero for each place that a hash lookup finds missing.
     """
-    places = F.sequence(F.lit(0).cast("bigint"), F.lit(nx * ny * nz - 1).cast("bigint"))
+    own = [n for n in (nx, ny, nz) if isinstance(n, str)]
+    places = upto(size(nx) * size(ny) * size(nz))
     found = F.collect_list(F.struct(F.col(flat).cast("bigint").alias("i"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im")))
     zero = F.lit(0.0)
     missing = F.transform(F.array_except(places, F.transform("m", lambda x: x["i"])), lambda i: F.struct(i.alias("i"), zero.alias("re"), zero.alias("im")))
-    full = cells.groupBy(*keys).agg(found.alias("m")).withColumn("m", F.sort_array(F.concat("m", missing)))
-    return full.select(*keys, F.lit(nx).alias("nx"), F.lit(ny).alias("ny"), F.lit(nz).alias("nz"), F.col("m.re").alias("re"), F.col("m.im").alias("im"))
+    full = cells.groupBy(*keys, *own).agg(found.alias("m")).withColumn("m", F.sort_array(F.concat("m", missing)))
+    return full.select(*keys, *(size(n).cast("int").alias(c) for n, c in zip((nx, ny, nz), ("nx", "ny", "nz"))), F.col("m.re").alias("re"), F.col("m.im").alias("im"))
 
 
 def voxels(plane_rows: DataFrame, keys: list[str], flat: str = "voxel") -> DataFrame:
@@ -166,20 +175,32 @@ def voxels(plane_rows: DataFrame, keys: list[str], flat: str = "voxel") -> DataF
     return each.select(*keys, F.col("_i").cast("bigint").alias(flat), F.col("_v.re").alias("re"), F.col("_v.im").alias("im"))
 
 
-def resize(img: DataFrame, n: tuple[int, int], m: tuple[int, int], keys: list[str] | None = None) -> DataFrame:
-    """Bilinear resize of ``img(voxel = x * n1 + y, re, im)`` from n to m; half-pixel centres, borders held."""
-    keys = keys or ["scan_id"]
+def resize(img: DataFrame, n: tuple[Size, ...], m: tuple[Size, ...], keys: list[str] | None = None, values: tuple[str, ...] = ("re", "im")) -> DataFrame:
+    """Bilinear or trilinear resize of ``img(voxel, re, im)`` from n to m, with half-pixel centres and borders held.
 
-    def axis(size: int, new: int) -> DataFrame:
-        at = F.greatest(F.lit(0.0), (F.col("id") + 0.5) * (size / new) - 0.5)
-        low = F.least(F.floor(at), F.lit(size - 1))
-        w = at - low
-        pairs = F.array(F.struct(low.alias("i"), (1 - w).alias("w")), F.struct(F.least(low + 1, F.lit(size - 1)).alias("i"), w.alias("w")))
-        return img.sparkSession.range(new).select("id", F.explode(pairs).alias("p")).select("id", "p.i", "p.w")
-
-    ax, ay = axis(n[0], m[0]).toDF("ox", "x", "wx"), axis(n[1], m[1]).toDF("oy", "y", "wy")
-    src = img.withColumn("x", F.floor(F.col("voxel") / n[1])).withColumn("y", F.pmod("voxel", F.lit(n[1])))
-    # Both stencils have two rows per output row or column, whatever the number of scans.
-    out = src.join(F.broadcast(ax), "x").join(F.broadcast(ay), "y")
-    w = F.col("wx") * F.col("wy")
-    return out.groupBy(*keys, (F.col("ox") * m[1] + F.col("oy")).alias("voxel")).agg(F.sum(w * F.col("re")).alias("re"), F.sum(w * F.col("im")).alias("im"))
+    Sizes are numbers or columns of ``img``, as many as there are axes. Each voxel is added to those it is a neighbour of, so there is
+    no join with a stencil: one grouping, whose sums begin before its shuffle.
+    """
+    keys = keys or ["scan_id"]
+    out, rest = img, F.col("voxel")
+    for k in reversed(range(len(n))):
+        out, rest = out.withColumn(f"_x{k}", F.pmod(rest, size(n[k])) if k else rest), F.floor(rest / size(n[k]))
+    weight, place = F.lit(1.0), F.lit(0).cast("bigint")
+    for k in range(len(n)):
+        out = out.withColumn(f"_t{k}", F.explode(_targets(F.col(f"_x{k}"), size(n[k]), size(m[k]))))
+        weight, place = weight * F.col(f"_t{k}.w"), place * size(m[k]) + F.col(f"_t{k}.o")
+    return out.groupBy(*keys, place.cast("bigint").alias("voxel")).agg(*(F.sum(weight * F.col(v)).alias(v) for v in values))
+
+
+def _targets(x: Column, n: Column, m: Column) -> Column:
+    """The places ``o`` of a new axis of m that place x of n is a neighbour of, with its weights ``w`` there."""
+    ratio = n / m
+    near = lambda at, up: F.floor((at + 0.5) / ratio - 0.5).cast("bigint") + up
+    some = F.sequence(F.greatest(F.lit(0).cast("bigint"), near(x - 1, 0)), F.least(m.cast("bigint") - 1, near(x + 1, 1)))
+
+    def weigh(o: Column) -> Column:
+        at = F.greatest(F.lit(0.0), (o + 0.5) * ratio - 0.5)
+        low = F.least(F.floor(at), n - 1)
+        return F.struct(o.alias("o"), (F.when(low == x, 1 - (at - low)).otherwise(0.0) + F.when(F.least(low + 1, n - 1) == x, at - low).otherwise(0.0)).alias("w"))
+
+    return F.filter(F.transform(some, weigh), lambda t: t["w"] != 0)

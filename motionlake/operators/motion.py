@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionlake.functions.sizes import Size, size, upto
 from motionlake.operators import scan
 
 RIGID_2D = ("tx", "ty", "phi")
@@ -108,17 +109,18 @@ def displacement_summary(maps: DataFrame) -> DataFrame:
     return maps.groupBy("scan_id").agg(floor(F.abs("dx")).alias("max_x"), floor(F.abs("dy")).alias("max_y"), floor(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("max_amplitude"))
 
 
-def on_grid(states: DataFrame, nx: int, ny: int, nz: int = 1) -> DataFrame:
-    """Each row with every voxel of its grid; made by generating rows, not by a join."""
-    each = states.withColumn("voxel", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nx * ny * nz - 1).cast("bigint"))))
-    return each.withColumns({"x": F.floor(F.col("voxel") / (ny * nz)), "y": F.pmod(F.floor(F.col("voxel") / nz), F.lit(ny)), "z": F.pmod("voxel", F.lit(nz))})
+def on_grid(states: DataFrame, nx: Size, ny: Size, nz: Size = 1) -> DataFrame:
+    """Each row with every voxel of its grid, whose sizes are numbers or columns; made by generating rows, not by a join."""
+    nx, ny, nz = size(nx), size(ny), size(nz)
+    each = states.withColumn("voxel", F.explode(upto(nx * ny * nz)))
+    return each.withColumns({"x": F.floor(F.col("voxel") / (ny * nz)), "y": F.pmod(F.floor(F.col("voxel") / nz), ny), "z": F.pmod("voxel", nz)})
 
 
-def _offsets(n: tuple[int, ...], centres: tuple[str, ...] | None, axes: str) -> list[Column]:
-    return [F.col(a) - (F.col(c) if centres else F.lit(s / 2)) for a, s, c in zip(axes, n, centres or axes)]
+def _offsets(n: tuple[Size, ...], centres: tuple[str, ...] | None, axes: str) -> list[Column]:
+    return [F.col(a) - (F.col(c) if centres else size(s) / 2) for a, s, c in zip(axes, n, centres or axes)]
 
 
-def rigid_field_2d(states: DataFrame, nx: int, ny: int, centres: tuple[str, str] | None = None) -> DataFrame:
+def rigid_field_2d(states: DataFrame, nx: Size, ny: Size, centres: tuple[str, str] | None = None) -> DataFrame:
     """Displacement ``ux, uy`` of every voxel and state under ``tx, ty, phi`` about the centre, by default the middle."""
     f = on_grid(states, nx, ny)
     dx, dy = _offsets((nx, ny), centres, "xy")
@@ -136,7 +138,7 @@ def rotation(rx: Column, ry: Column, rz: Column) -> list[list[Column]]:
     ]
 
 
-def rigid_field_3d(states: DataFrame, nx: int, ny: int, nz: int, centres: tuple[str, str, str] | None = None) -> DataFrame:
+def rigid_field_3d(states: DataFrame, nx: Size, ny: Size, nz: Size, centres: tuple[str, str, str] | None = None) -> DataFrame:
     """Displacement ``ux, uy, uz`` under ``tx, ty, tz, rx, ry, rz``."""
     f = on_grid(states, nx, ny, nz)
     d = _offsets((nx, ny, nz), centres, "xyz")
@@ -157,16 +159,17 @@ def nonrigid_field(maps: DataFrame, states: DataFrame) -> DataFrame:
     return j.withColumns(parts).drop("_s")
 
 
-def stencil(field: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+def stencil(field: DataFrame, sizes: tuple[Size, ...]) -> DataFrame:
     """Sources and weights of every displaced voxel: four in 2D, eight in 3D.
 
-    A position is held between 1 and n, and its lower neighbour at most n - 1, counting from 1.
+    A position is held between 1 and n, and its lower neighbour at most n - 1, counting from 1. Sizes are numbers or
+    columns of ``field``; along an axis of one voxel both neighbours are that voxel.
     """
     axes = "xyz"[: len(sizes)]
-    low, weight = [], []
+    low, weight, sizes = [], [], [size(n) for n in sizes]
     for a, n in zip(axes, sizes):
-        at = F.greatest(F.lit(1.0), F.least(F.lit(float(n)), F.col(a) + 1 + F.col(f"u{a}")))
-        lo = F.greatest(F.lit(1), F.least(F.floor(at), F.lit(n - 1)))
+        at = F.greatest(F.lit(1.0), F.least(n.cast("double"), F.col(a) + 1 + F.col(f"u{a}")))
+        lo = F.greatest(F.lit(1), F.least(F.floor(at), n - 1))
         low.append(lo - 1)
         weight.append(at - lo)
     entries = []
@@ -174,21 +177,21 @@ def stencil(field: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
         src, w = F.lit(0).cast("bigint"), F.lit(1.0)
         for k, n in enumerate(sizes):
             up = corner >> k & 1
-            src = src * n + low[k] + up
+            src = src * n + F.least(low[k] + up, n - 1)
             w = w * (weight[k] if up else 1 - weight[k])
         entries.append(F.struct(src.cast("bigint").alias("src_voxel"), w.alias("w")))
     return field.select("scan_id", "state", F.col("voxel").alias("out_voxel"), F.explode(F.array(*entries)).alias("e")).select("scan_id", "state", "out_voxel", "e.*")
 
 
-def warp(img: DataFrame, st: DataFrame, adjoint: bool = False) -> DataFrame:
-    """``img(scan_id, [state,] voxel, re, im)`` pulled through a stencil, or pushed through its transpose."""
+def warp(img: DataFrame, st: DataFrame, adjoint: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``img(scan_id, [state,] keys, voxel, re, im)`` pulled through a stencil, or pushed through its transpose, for every state."""
     take, give = ("out_voxel", "src_voxel") if adjoint else ("src_voxel", "out_voxel")
-    keys = ["scan_id", *(["state"] if "state" in img.columns else []), "voxel"]
-    j = img.join(st.withColumnRenamed(take, "voxel"), keys)
-    return j.groupBy("scan_id", "state", F.col(give).alias("voxel")).agg(F.sum(F.col("w") * F.col("re")).alias("re"), F.sum(F.col("w") * F.col("im")).alias("im"))
+    on = ["scan_id", *(["state"] if "state" in img.columns else []), "voxel"]
+    j = img.join(st.withColumnRenamed(take, "voxel"), on)
+    return j.groupBy("scan_id", "state", *keys, F.col(give).alias("voxel")).agg(F.sum(F.col("w") * F.col("re")).alias("re"), F.sum(F.col("w") * F.col("im")).alias("im"))
 
 
-def gradient(img: DataFrame, sizes: tuple[int, ...], keys: list[str], values: tuple[str, ...] = ("re", "im")) -> DataFrame:
+def gradient(img: DataFrame, sizes: tuple[Size, ...], keys: list[str], values: tuple[str, ...] = ("re", "im")) -> DataFrame:
     """``img(x, y[, z])`` with ``g{axis}_{value}``: central differences, one-sided at the borders; zero along one voxel."""
     axes = "xyz"[: len(sizes)]
     out = img
@@ -196,12 +199,12 @@ def gradient(img: DataFrame, sizes: tuple[int, ...], keys: list[str], values: tu
         w = Window.partitionBy(*keys, *(b for b in axes if b != a)).orderBy(a)
         for v in values:
             before, after = F.lag(v).over(w), F.lead(v).over(w)
-            g = F.when(F.col(a) == 0, after - F.col(v)).when(F.col(a) == n - 1, F.col(v) - before).otherwise((after - before) / 2)
-            out = out.withColumn(f"g{a}_{v}", g if n > 1 else F.lit(0.0))
+            g = F.when(size(n) == 1, 0.0).when(F.col(a) == 0, after - F.col(v)).when(F.col(a) == size(n) - 1, F.col(v) - before).otherwise((after - before) / 2)
+            out = out.withColumn(f"g{a}_{v}", g)
     return out
 
 
-def smoothness(maps: DataFrame, sizes: tuple[int, ...], keys: list[str], value: str = "v") -> DataFrame:
+def smoothness(maps: DataFrame, sizes: tuple[Size, ...], keys: list[str], value: str = "v") -> DataFrame:
     """``maps`` with ``smooth``: minus the divergence of the gradient, no flow over the border."""
     axes = "xyz"[: len(sizes)]
     total, out = F.lit(0.0), maps
@@ -213,7 +216,7 @@ def smoothness(maps: DataFrame, sizes: tuple[int, ...], keys: list[str], value:
     return out.withColumn("smooth", total).drop(*(f"_s{a}" for a in axes))
 
 
-def rigid_jacobian(states: DataFrame, nx: int, ny: int, centres: tuple[str, str] | None = None) -> DataFrame:
+def rigid_jacobian(states: DataFrame, nx: Size, ny: Size, centres: tuple[str, str] | None = None) -> DataFrame:
     """Derivatives of the 2D rigid field by the angle, ``jx, jy``; those by the translations are one and zero."""
     f = on_grid(states, nx, ny)
     dx, dy = _offsets((nx, ny), centres, "xy")
@@ -253,8 +256,8 @@ def solve_normal_3(eq: DataFrame, lam: float = 0.0) -> DataFrame:
     return eq.select("scan_id", "state", *(F.when(ok, v / det).otherwise(0.0).alias(f"d{i}") for i, v in enumerate((x, y, z))))
 
 
-def upsample_motion(models: DataFrame, ratio: dict[str, float]) -> DataFrame:
-    """Motion carried to the next level: translations times their axis's size ratio, rotations as they are."""
+def upsample_motion(models: DataFrame, ratio: dict[str, float | Column]) -> DataFrame:
+    """Motion carried to the next level: translations times their axis's size ratio, a number or a column; rotations as they are."""
     return models.withColumns({c: F.col(c) * r for c, r in ratio.items()})
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionlake.functions.sizes import Size, size, upto
 from motionlake.operators import scan
 
 
-def sample_cells(readouts: DataFrame, nx: int, ny: int, nz: int = 1) -> DataFrame:
-    """A row per flat cell of each readout: ``kx * ny + ky``, or ``(kx * ny + ky) * nz + kz`` in 3D."""
-    flat = F.col("kx") * ny + F.col("ky")
-    return readouts.withColumn("kx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nx - 1).cast("bigint")))).withColumn("cell", (flat if nz == 1 else flat * nz + F.col("kz")).cast("bigint")).drop("kx")
+def sample_cells(readouts: DataFrame, nx: Size, ny: Size, nz: Size = 1) -> DataFrame:
+    """A row per flat cell of each readout: ``kx * ny + ky``, or ``(kx * ny + ky) * nz + kz`` in 3D; sizes are numbers or columns."""
+    flat, deep = F.col("kx") * size(ny) + F.col("ky"), size(nz)
+    cell = F.when(deep == 1, flat).otherwise(flat * deep + F.col("kz"))
+    return readouts.withColumn("kx", F.explode(upto(size(nx)))).withColumn("cell", cell.cast("bigint")).drop("kx")
 
 
 def lines(meta: DataFrame) -> DataFrame:
@@ -53,8 +55,9 @@ def order_map(readouts: DataFrame, order: str = "acq_idx") -> DataFrame:
     return ranked.join(n, "scan_id").select("scan_id", "ky", "kz", ((F.col("_rank") - 1) / F.greatest(F.lit(1), F.col("_n") - 1)).alias("order"))
 
 
-def coverage(readouts: DataFrame, ny: int, nz: int) -> DataFrame:
-    """Every cell (ky, kz) of each scan and repetition with its last line's ``state``; null where never acquired."""
+def coverage(readouts: DataFrame, ny: Size, nz: Size) -> DataFrame:
+    """Every cell (ky, kz) of each scan and repetition with its last line's ``state``; null where never acquired. Sizes are numbers or columns."""
     keys = ["scan_id", "nex", "ky", "kz"]
-    grid = readouts.select("scan_id", "nex").distinct().select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ny - 1).cast("bigint"))).alias("ky")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nz - 1).cast("bigint"))).alias("kz"))
+    own = readouts.select("scan_id", "nex", size(ny).alias("_ny"), size(nz).alias("_nz")).distinct()
+    grid = own.select("scan_id", "nex", "_nz", F.explode(upto(F.col("_ny"))).alias("ky")).select("scan_id", "nex", "ky", F.explode(upto(F.col("_nz"))).alias("kz"))
     return grid.join(readouts.groupBy(*keys).agg(F.max_by("state", "line_idx").alias("state")), keys, "left")
