@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motionlake.jobs import workloads
 from motionlake.jobs.fixtures import fixture, with_fixtures
-from motionlake.operators import acquisition, alignment, binning, encoding, kspace, motion, sampling, signal
+from motionlake.operators import acquisition, alignment, binning, encoding, kspace, motion, sampling, signal, solvers
 from motionlake.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -793,6 +793,57 @@ def i27_uncorrected(fx):
     return out.select("scan_id", "nex", "voxel", *r5(out, "re", "im"))
 
 
+#: A symmetric positive system for each image: its 8 by 8 voxels as M give M M' + 1 (entries i, j, a) and a right side.
+SYSTEM = """m AS MATERIALIZED (SELECT scan_id, voxel // 8 AS i, voxel % 8 AS k, re FROM fx_img),
+  a AS MATERIALIZED (SELECT l.scan_id, l.i, r.i AS j, sum(l.re * r.re) + max(CASE WHEN l.i = r.i THEN 1.0 ELSE 0.0 END) AS a FROM m l JOIN m r ON r.scan_id = l.scan_id AND r.k = l.k GROUP BY ALL),
+  b AS (SELECT scan_id, i, re + i AS v FROM m WHERE k = 0)"""
+
+
+def image_systems(fx) -> tuple[solvers.Apply, DataFrame]:
+    m = fx("fx_img").select("scan_id", F.floor(F.col("voxel") / 8).alias("i"), (F.col("voxel") % 8).alias("k"), "re")
+    left, right = m.withColumnRenamed("re", "l"), m.withColumnsRenamed({"i": "j", "re": "r"})
+    a = left.join(right, ["scan_id", "k"]).groupBy("scan_id", "i", "j").agg((F.sum(F.col("l") * F.col("r")) + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("a"))
+    a = tables.materialize(a)
+
+    def apply(x: DataFrame) -> DataFrame:
+        return a.join(x.withColumnRenamed("i", "j"), ["scan_id", "j"]).groupBy("scan_id", "i").agg(F.sum(F.col("a") * F.col("v")).alias("v"))
+
+    return apply, m.filter("k = 0").select("scan_id", "i", (F.col("re") + F.col("i")).alias("v"))
+
+
+def cg_sql(rounds: int) -> str:
+    parts = [SYSTEM, "s0 AS MATERIALIZED (SELECT scan_id, i, 0.0 AS x, v AS r, v AS p FROM b)"]
+    for k in range(rounds):
+        parts += [
+            f"q{k} AS MATERIALIZED (SELECT a.scan_id, a.i, sum(a * p) AS q FROM a JOIN s{k} s ON s.scan_id = a.scan_id AND s.i = a.j GROUP BY ALL)",
+            f"d{k} AS (SELECT scan_id, sum(r * r) AS rr, sum(p * q) AS pq, sum(r * q) AS rq, sum(q * q) AS qq FROM s{k} JOIN q{k} USING (scan_id, i) GROUP BY scan_id)",
+            f"s{k + 1} AS MATERIALIZED (SELECT scan_id, i, x + rr / pq * p AS x, r - rr / pq * q AS r, r - rr / pq * q + (rr - 2 * rr / pq * rq + rr / pq * rr / pq * qq) / rr * p AS p FROM s{k} JOIN q{k} USING (scan_id, i) JOIN d{k} USING (scan_id))",
+        ]
+    return f"WITH {', '.join(parts)} SELECT scan_id, i, round(x, 6) + 0.0 AS x FROM s{rounds}"
+
+
+@query(cg_sql(4))
+def i17_cg_solve(fx):
+    apply, b = image_systems(fx)
+    out = solvers.cg_solve(apply, b, ["i"], ("v",), tol=0.0, rounds=4).x
+    return out.select("scan_id", "i", r6("v", "x"))
+
+
+UNIFORM = "(CAST('0x' || substr(md5(concat_ws('|', '0', 'v{0}', k.k, scan_id, i)), 1, 8) AS bigint) + 0.5) / 4294967296.0"
+
+
+@query(
+    f"""WITH {SYSTEM}, g AS MATERIALIZED (SELECT k.k, scan_id, i, sqrt(-2 * ln({UNIFORM.format(0)})) * cos(2 * pi() * {UNIFORM.format(1)}) AS v FROM b, generate_series(0, 7) AS k(k)),
+    n AS (SELECT k, scan_id, sqrt(sum(q * q)) AS n FROM (SELECT g.k, a.scan_id, a.i, sum(a * v) AS q FROM a JOIN g ON g.scan_id = a.scan_id AND g.i = a.j GROUP BY ALL) GROUP BY ALL),
+    d AS (SELECT k, scan_id, sqrt(sum(s * s)) AS d FROM (SELECT k, scan_id, coalesce(v - lag(v) OVER w, 0) + coalesce(v - lead(v) OVER w, 0) AS s FROM g WINDOW w AS (PARTITION BY k, scan_id ORDER BY i)) GROUP BY ALL)
+    SELECT scan_id, round(list_sort(list(n / d))[4], 6) + 0.0 AS scale FROM n JOIN d USING (k, scan_id) GROUP BY scan_id"""
+)
+def i18_regularisation_scale(fx):
+    apply, b = image_systems(fx)
+    line = lambda v: motion.smoothness(v.withColumnRenamed("i", "x"), (8,), ["scan_id"]).select("scan_id", F.col("x").alias("i"), F.col("smooth").alias("v"))
+    return solvers.regularisation_scale(apply, line, b, ["i"], ("v",)).select("scan_id", r6("scale"))
+
+
 @query()
 def wa_align_and_bin(fx):
     acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")
