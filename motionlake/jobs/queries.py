@@ -844,6 +844,102 @@ def i18_regularisation_scale(fx):
     return solvers.regularisation_scale(apply, line, b, ["i"], ("v",)).select("scan_id", r6("scale"))
 
 
+#: 64 voxels of an image as a matrix of a size that differs from scan to scan.
+SIZES = "CASE scan_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 16 ELSE 4 END AS nx, CASE scan_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 4 END AS ny, CASE scan_id % 4 WHEN 3 THEN 4 ELSE 1 END AS nz"
+
+
+def level_sql() -> str:
+    """Crops by arithmetic; resized maps by each output's neighbours along each axis."""
+    axis = lambda a, n, m: f"{a}t AS (SELECT scan_id, o, CAST(least(floor(t), {n} - 1) AS bigint) AS lo, CAST(least(floor(t) + 1, {n} - 1) AS bigint) AS hi, t - floor(t) AS w FROM (SELECT scan_id, {n}, k.o, greatest(0.0, (k.o + 0.5) * ({n} / {m}) - 0.5) AS t FROM lv, generate_series(0, 15) AS k(o) WHERE k.o < {m})), {a}s AS (SELECT scan_id, o, lo AS i, 1 - w AS w FROM {a}t UNION ALL SELECT scan_id, o, hi, w FROM {a}t)"
+    return f"""WITH lv AS MATERIALIZED (SELECT *, CAST(greatest(1, round_even(nx * 0.5, 0)) AS bigint) AS mx, CAST(greatest(1, round_even(ny * 0.5, 0)) AS bigint) AS my, CAST(greatest(1, round_even(nz * 0.5, 0)) AS bigint) AS mz FROM (SELECT DISTINCT scan_id, {SIZES} FROM fx_img)),
+    c AS (SELECT f.*, nx, ny, nz, mx, my, mz, voxel // (ny * nz) AS x, voxel // nz % ny AS y, voxel % nz AS z FROM fx_img f JOIN lv USING (scan_id)),
+    k AS (SELECT scan_id, ((x - (nx - mx) // 2) * my + y - (ny - my) // 2) * mz + z - (nz - mz) // 2 AS place, re, im, voxel FROM c WHERE x - (nx - mx) // 2 BETWEEN 0 AND mx - 1 AND y - (ny - my) // 2 BETWEEN 0 AND my - 1 AND z - (nz - mz) // 2 BETWEEN 0 AND mz - 1),
+    {axis('x', 'nx', 'mx')}, {axis('y', 'ny', 'my')}, {axis('z', 'nz', 'mz')},
+    m AS (SELECT c.scan_id, (xs.o * my + ys.o) * mz + zs.o AS place, sum(xs.w * ys.w * zs.w * re) AS re, sum(xs.w * ys.w * zs.w * im) AS im FROM c JOIN xs ON xs.scan_id = c.scan_id AND xs.i = c.x JOIN ys ON ys.scan_id = c.scan_id AND ys.i = c.y JOIN zs ON zs.scan_id = c.scan_id AND zs.i = c.z GROUP BY ALL)
+    SELECT scan_id, kind, CAST(place AS bigint) AS place, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im, mx, my, mz FROM (SELECT scan_id, 'map' AS kind, place, re, im FROM m UNION ALL SELECT scan_id, 'value', place, re, im FROM k UNION ALL SELECT scan_id, 'sample', place, NULL, NULL FROM k WHERE voxel % 3 <> 1) JOIN lv USING (scan_id)"""
+
+
+@query(level_sql())
+def i16_build_level(fx):
+    img = images(fx)
+    grids = img.select("scan_id").distinct().selectExpr("scan_id", *SIZES.replace(", CASE", "; CASE").split("; "))
+    one = F.lit(0).cast("bigint")
+    values = img.select("scan_id", one.alias("coil"), one.alias("nex"), F.col("voxel").alias("cell"), "re", "im")
+    samples = values.filter("cell % 3 <> 1").select("scan_id", "nex", one.alias("state"), "cell")
+    level = encoding.build_level(grids, img.select("scan_id", one.alias("coil"), "voxel", "re", "im"), samples, values, 0.5)
+    none = F.lit(None).cast("double")
+    parts = [level.smaps.select("scan_id", F.lit("map").alias("kind"), F.col("voxel").alias("place"), "re", "im"), level.values.select("scan_id", F.lit("value"), "cell", "re", "im"), level.samples.select("scan_id", F.lit("sample"), "cell", none, none)]
+    out = parts[0].union(parts[1]).union(parts[2])
+    sizes = level.grids.select("scan_id", *(F.col(f"n{a}").cast("bigint").alias(f"m{a}") for a in "xyz"))
+    return out.join(sizes, "scan_id").select("scan_id", "kind", "place", *r5(out, "re", "im"), "mx", "my", "mz")
+
+
+#: Volumes of 4 by 4 by 4 voxels with two states; few voxels count in the second, so that its system has not the full rank.
+VOLUMES = """s AS (SELECT scan_id, k.s AS state, re * (k.s + 1) AS tx, re / 2 AS ty, -re AS tz, 0.1 + re AS rx, 0.2 * (k.s + 1) AS ry, re - 0.1 AS rz FROM fx_img, generate_series(0, 1) AS k(s) WHERE voxel = 0),
+  v AS MATERIALIZED (SELECT scan_id, voxel, voxel // 16 AS x, voxel // 4 % 4 AS y, voxel % 4 AS z, re, re * re + im AS im FROM fx_img),
+  g AS MATERIALIZED (SELECT scan_id, voxel, x - 2.0 AS x, y - 2.0 AS y, z - 2.0 AS z, re, im, """ + ", ".join(
+    f"CASE WHEN {a} = 0 THEN lead({p}) OVER w{a} - {p} WHEN {a} = 3 THEN {p} - lag({p}) OVER w{a} ELSE (lead({p}) OVER w{a} - lag({p}) OVER w{a}) / 2 END AS g{a}_{p}" for a in "xyz" for p in ("re", "im")
+) + " FROM v WINDOW " + ", ".join(f"w{a} AS (PARTITION BY scan_id, {', '.join(b for b in 'xyz' if b != a)} ORDER BY {a})" for a in "xyz") + """),
+  r AS (SELECT g.*, state, cos(rx) AS cx, sin(rx) AS sx, cos(ry) AS cy, sin(ry) AS sy, cos(rz) AS cz, sin(rz) AS sz FROM g JOIN s USING (scan_id)),
+  j AS MATERIALIZED (SELECT *, (cz * sy * cx + sz * sx) * y + (sz * cx - cz * sy * sx) * z AS jrx_x, (sz * sy * cx - cz * sx) * y - (sz * sy * sx + cz * cx) * z AS jrx_y, cy * cx * y - cy * sx * z AS jrx_z,
+    -cz * sy * x + cz * cy * sx * y + cz * cy * cx * z AS jry_x, -sz * sy * x + sz * cy * sx * y + sz * cy * cx * z AS jry_y, -cy * x - sy * sx * y - sy * cx * z AS jry_z,
+    -sz * cy * x + (-sz * sy * sx - cz * cx) * y + (-sz * sy * cx + cz * sx) * z AS jrz_x, cz * cy * x + (cz * sy * sx - sz * cx) * y + (cz * sy * cx + sz * sx) * z AS jrz_y, 0.0 AS jrz_z FROM r)"""
+
+
+def volume_states(fx) -> DataFrame:
+    first = fx("fx_img").filter("voxel = 0").select("scan_id", "re", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("state"))
+    re, s = F.col("re"), F.col("state")
+    return first.select("scan_id", "state", (re * (s + 1)).alias("tx"), (re / 2).alias("ty"), (-re).alias("tz"), (0.1 + re).alias("rx"), (0.2 * (s + 1)).alias("ry"), (re - 0.1).alias("rz"))
+
+
+@query(f"WITH {VOLUMES} SELECT scan_id, state, voxel, " + ", ".join(f"round({1.0 + k} * (state + 1) + jrx_{a} * 0.1 + jry_{a} * 0.2 - jrz_{a} * state, 5) + 0.0 AS du{a}" for k, a in enumerate("xyz")) + " FROM j")
+def i14_apply_jacobian_3d(fx):
+    states, s = volume_states(fx), F.col("state")
+    change = states.select("scan_id", "state", *((F.lit(1.0 + k) * (s + 1)).alias(f"dt{a}") for k, a in enumerate("xyz")), F.lit(0.1).alias("drx"), F.lit(0.2).alias("dry"), (-s).cast("double").alias("drz"))
+    out = motion.apply_jacobian_3d(motion.rigid_jacobian_3d(states, 4, 4, 4), change)
+    return out.select("scan_id", "state", "voxel", *r5(out, "dux", "duy", "duz"))
+
+
+@query(f"WITH {VOLUMES} SELECT scan_id, state, round(sum(gx_re), 5) + 0.0 AS tx, round(sum(gy_re), 5) + 0.0 AS ty, round(sum(gz_re), 5) + 0.0 AS tz, " + ", ".join(f"round(sum(j{r}_x * gx_re + j{r}_y * gy_re + j{r}_z * gz_re), 5) + 0.0 AS {r}" for r in ("rx", "ry", "rz")) + " FROM j GROUP BY scan_id, state")
+def i14_jacobian_adjoint_3d(fx):
+    g = volume_gradients(fx).select("scan_id", "voxel", *(F.col(f"g{a}_re").alias(f"du{a}") for a in "xyz"))
+    out = motion.apply_jacobian_adjoint_3d(motion.rigid_jacobian_3d(volume_states(fx), 4, 4, 4).join(g, ["scan_id", "voxel"]))
+    return out.select("scan_id", "state", *r5(out, "tx", "ty", "tz", "rx", "ry", "rz"))
+
+
+def volume_gradients(fx) -> DataFrame:
+    v = images(fx).select("scan_id", "voxel", F.floor(F.col("voxel") / 16).alias("x"), F.floor(F.col("voxel") / 4) % 4, F.col("voxel") % 4, "re", (F.col("re") * F.col("re") + F.col("im")).alias("im"))
+    return motion.gradient(v.toDF("scan_id", "voxel", "x", "y", "z", "re", "im"), (4, 4, 4), ["scan_id"])
+
+
+def cholesky_sql(src: str, n: int, lam: float, least: float) -> str:
+    """A column for each factor, in nested selects; a dependent parameter's factors are null, and count as zero."""
+    sql = f"SELECT *, greatest({', '.join(f'n{i}{i} + {lam}' for i in range(n))}) * {least} AS fl FROM ({src})"
+    for i in range(n):
+        sql = f"SELECT *, n{i}{i} + {lam}" + "".join(f" - l{i}{k} * l{i}{k}" for k in range(i)) + f" AS p{i} FROM ({sql})"
+        sql = f"SELECT *, CASE WHEN p{i} > fl THEN sqrt(p{i}) END AS l{i}{i} FROM ({sql})"
+        below = "".join(f", coalesce((n{i}{j}" + "".join(f" - l{j}{k} * l{i}{k}" for k in range(i)) + f") / l{i}{i}, 0) AS l{j}{i}" for j in range(i + 1, n))
+        sql = f"SELECT *, coalesce((b{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i}, 0) AS y{i}{below} FROM ({sql})"
+    for i in reversed(range(n)):
+        sql = f"SELECT *, coalesce((y{i}" + "".join(f" - l{k}{i} * d{k}" for k in range(i + 1, n)) + f") / l{i}{i}, 0) AS d{i} FROM ({sql})"
+    return sql
+
+
+_PARTS = [(f"g{a}_re", f"g{a}_im") for a in "xyz"] + [tuple(f"(j{r}_x * gx_{p} + j{r}_y * gy_{p} + j{r}_z * gz_{p})" for p in ("re", "im")) for r in ("rx", "ry", "rz")]
+_EQUATIONS = "SELECT scan_id, state, " + ", ".join(f"sum({_PARTS[i][0]} * {_PARTS[k][0]} + {_PARTS[i][1]} * {_PARTS[k][1]}) AS n{i}{k}" for i in range(6) for k in range(i, 6)) + ", " + ", ".join(f"sum({_PARTS[i][0]} * re + {_PARTS[i][1]} * im) AS b{i}" for i in range(6)) + " FROM j WHERE state = 0 OR voxel < 2 GROUP BY scan_id, state"
+
+
+@query(f"WITH {VOLUMES} SELECT scan_id, state, {', '.join(f'round(d{i}, 3) + 0.0 AS d{i}' for i in range(6))} FROM ({cholesky_sql(_EQUATIONS, 6, 0.0, 1e-3)})")
+def i20_rigid_step_3d(fx):
+    few = (F.col("state") == 0) | (F.col("voxel") < 2)
+    g = volume_gradients(fx).drop("x", "y", "z")
+    states = volume_states(fx).select("scan_id", "state").join(g, "scan_id")
+    parts = motion.image_derivatives(states, motion.rigid_jacobian_3d(volume_states(fx), 4, 4, 4), three=True).filter(few)
+    eq = motion.rigid_normal_equations(parts.withColumnsRenamed({"re": "r_re", "im": "r_im"}), tuple(f"j{k}" for k in range(6)))
+    out = motion.solve_normal(eq, 6, least=1e-3)
+    return out.select("scan_id", "state", *((F.round(f"d{i}", 3) + 0.0).alias(f"d{i}") for i in range(6)))
+
+
 @query()
 def wa_align_and_bin(fx):
     acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")

@@ -124,3 +124,30 @@ def maps_adjoint(changes: DataFrame, states: DataFrame, axes: str = "xy") -> Dat
     """Displacement changes as changes of a scan's maps, ``a0, a1[, a2]`` per voxel: each times its state's signal, summed over states."""
     j = changes.join(states.select("scan_id", "state", "signal"), ["scan_id", "state"])
     return j.groupBy("scan_id", "voxel").agg(*(F.sum(F.col("signal") * F.col(f"du{a}")).alias(f"a{k}") for k, a in enumerate(axes)))
+
+
+@dataclass(frozen=True)
+class Level:
+    """A cohort at one resolution: ``grids(scan_id, nx, ny, nz)``, maps, samples and measured values of its centre block."""
+
+    grids: DataFrame
+    smaps: DataFrame
+    samples: DataFrame
+    values: DataFrame
+
+
+def build_level(grids: DataFrame, smaps: DataFrame, samples: DataFrame, values: DataFrame, factor: float) -> Level:
+    """The cohort at ``factor`` of its resolution, each scan at its own sizes: maps resized, samples and k-space cropped to the centre."""
+    sizes = grids.select("scan_id", "nx", "ny", "nz", *(kspace.level_size(n, factor).alias(f"m{n[1]}") for n in ("nx", "ny", "nz")))
+    full, part = ("nx", "ny", "nz"), ("mx", "my", "mz")
+    cut = lambda df: kspace.crop_cells(df.join(sizes, "scan_id"), full, part).select(*df.columns)
+    maps = kspace.resize(smaps.join(sizes, "scan_id"), full, part, ["scan_id", "coil"])
+    return Level(sizes.select("scan_id", *(F.col(m).cast("int").alias(n) for n, m in zip(full, part))), maps, cut(samples), cut(values))
+
+
+def upsample(image: DataFrame, states: DataFrame, small: DataFrame, large: DataFrame, translations: tuple[str, ...] = ("tx", "ty")) -> tuple[DataFrame, DataFrame]:
+    """An image and its motion carried from one level's grids to another's: resized, and translations times their axis's ratio."""
+    both = small.join(large.select("scan_id", *(F.col(n).alias(f"m{n[1]}") for n in ("nx", "ny", "nz"))), "scan_id")
+    img = kspace.resize(image.join(both, "scan_id"), ("nx", "ny", "nz"), ("mx", "my", "mz"), ["scan_id", "nex"])
+    moved = motion.upsample_motion(states.join(both, "scan_id"), {t: F.col(f"m{t[1]}") / F.col(f"n{t[1]}") for t in translations})
+    return img, moved.select(*states.columns)

@@ -234,6 +234,64 @@ def apply_jacobian_adjoint(jac: DataFrame) -> DataFrame:
     return jac.groupBy("scan_id", "state").agg(F.sum("dux").alias("tx"), F.sum("duy").alias("ty"), F.sum(F.col("jx") * F.col("dux") + F.col("jy") * F.col("duy")).alias("phi"))
 
 
+def _product(a: list[list[Column | float]], b: list[list[Column | float]]) -> list[list[Column | float]]:
+    """A 3 by 3 product, in which zeros and ones leave no trace."""
+
+    def entry(i: int, j: int) -> Column | float:
+        terms = [y if x is ONE else x if y is ONE else x * y for x, y in ((a[i][k], b[k][j]) for k in range(3)) if x is not ZERO and y is not ZERO]
+        return sum(terms[1:], terms[0]) if terms else ZERO
+
+    return [[entry(i, j) for j in range(3)] for i in range(3)]
+
+
+ZERO, ONE = 0.0, 1.0
+
+
+def _turn(axis: int, angle: Column, derivative: bool = False) -> list[list[Column | float]]:
+    """The rotation about an axis, or its derivative by the angle."""
+    c, s, one = (-F.sin(angle), F.cos(angle), ZERO) if derivative else (F.cos(angle), F.sin(angle), ONE)
+    m: list[list[Column | float]] = [[ZERO] * 3 for _ in range(3)]
+    i, j = ((1, 2), (2, 0), (0, 1))[axis]
+    m[axis][axis], m[i][i], m[j][j], m[i][j], m[j][i] = one, c, c, -s, s
+    return m
+
+
+def rigid_jacobian_3d(states: DataFrame, nx: Size, ny: Size, nz: Size, centres: tuple[str, str, str] | None = None) -> DataFrame:
+    """Derivatives of the 3D rigid field by its angles, ``j{angle}_{axis}`` for ``rx, ry, rz``; those by the translations are one along their axis."""
+    f = on_grid(states, nx, ny, nz)
+    d = _offsets((nx, ny, nz), centres, "xyz")
+    out = {}
+    for k, name in enumerate(("rx", "ry", "rz")):
+        turns = [_turn(i, F.col(c), i == k) for i, c in enumerate(("rx", "ry", "rz"))]
+        m = _product(turns[2], _product(turns[1], turns[0]))
+        out |= {f"j{name}_{a}": sum((m[i][j] * d[j] for j in range(3) if m[i][j] is not ZERO), F.lit(0.0)) for i, a in enumerate("xyz")}
+    return f.withColumns(out)
+
+
+def apply_jacobian_3d(jac: DataFrame, change: DataFrame) -> DataFrame:
+    """Displacement change ``dux, duy, duz`` under changes ``dtx, dty, dtz, drx, dry, drz`` of each state."""
+    j = jac.join(change, ["scan_id", "state"])
+    return j.withColumns({f"du{a}": F.col(f"dt{a}") + sum((F.col(f"j{r}_{a}") * F.col(f"d{r}") for r in ("rx", "ry", "rz")), F.lit(0.0)) for a in "xyz"})
+
+
+def apply_jacobian_adjoint_3d(jac: DataFrame) -> DataFrame:
+    """Parameter sums of a field ``dux, duy, duz`` on the derivatives' voxels, per state."""
+    turned = {r: F.sum(sum((F.col(f"j{r}_{a}") * F.col(f"du{a}") for a in "xyz"), F.lit(0.0))) for r in ("rx", "ry", "rz")}
+    return jac.groupBy("scan_id", "state").agg(*(F.sum(f"du{a}").alias(f"t{a}") for a in "xyz"), *(e.alias(r) for r, e in turned.items()))
+
+
+def image_derivatives(gradients: DataFrame, jac: DataFrame, three: bool = False) -> DataFrame:
+    """``j{k}_re, j{k}_im``: the derivative of warped images by each parameter, their gradient along its derivative field."""
+    j = gradients.join(jac, ["scan_id", "state", "voxel"])
+    turned = [[f"j{r}_{a}" for a in "xyz"] for r in ("rx", "ry", "rz")] if three else [["jx", "jy"]]
+    axes = "xyz" if three else "xy"
+    out = {}
+    for p in ("re", "im"):
+        out |= {f"j{k}_{p}": F.col(f"g{a}_{p}") for k, a in enumerate(axes)}
+        out |= {f"j{len(axes) + k}_{p}": sum((F.col(f"g{a}_{p}") * F.col(c) for a, c in zip(axes, t)), F.lit(0.0)) for k, t in enumerate(turned)}
+    return j.withColumns(out)
+
+
 def rigid_normal_equations(fields: DataFrame, parts: tuple[str, ...] = ("jt", "ju", "jp")) -> DataFrame:
     """Normal matrix and right side per state of ``fields``, whose parts have ``_re`` and ``_im`` columns, and ``r_re, r_im``.
 
@@ -256,6 +314,25 @@ def solve_normal_3(eq: DataFrame, lam: float = 0.0) -> DataFrame:
     return eq.select("scan_id", "state", *(F.when(ok, v / det).otherwise(0.0).alias(f"d{i}") for i, v in enumerate((x, y, z))))
 
 
+def solve_normal(eq: DataFrame, n: int, lam: float = 0.0, least: float = 1e-10) -> DataFrame:
+    """Solution ``d0 ... `` of each state's symmetric n by n system ``n{i}{j}, b{i}`` with ``lam`` on its diagonal, by Cholesky.
+
+    A pivot of at most ``least`` times the largest diagonal entry tells that its parameter depends on those before it:
+    that parameter is left at zero, and the others solve the rest. Factors are columns; nothing leaves the JVM.
+    """
+    c = F.col
+    tops = [c(f"n{i}{i}") + lam for i in range(n)]
+    out = eq.withColumn("_floor", F.greatest(*tops, F.lit(0.0)) * least if n > 1 else F.greatest(tops[0], F.lit(0.0)) * least)
+    less = lambda first, terms: first - sum(terms[1:], terms[0]) if terms else first
+    for i in range(n):
+        out = out.withColumn(f"_p{i}", less(c(f"n{i}{i}") + lam, [c(f"_l{i}{k}") * c(f"_l{i}{k}") for k in range(i)]))
+        out = out.withColumn(f"_l{i}{i}", F.when(c(f"_p{i}") > c("_floor"), F.sqrt(f"_p{i}")))
+        out = out.withColumns({f"_l{j}{i}": F.coalesce(less(c(f"n{i}{j}"), [c(f"_l{j}{k}") * c(f"_l{i}{k}") for k in range(i)]) / c(f"_l{i}{i}"), F.lit(0.0)) for j in range(i + 1, n)} | {f"_y{i}": F.coalesce(less(c(f"b{i}"), [c(f"_l{i}{k}") * c(f"_y{k}") for k in range(i)]) / c(f"_l{i}{i}"), F.lit(0.0))})
+    for i in reversed(range(n)):
+        out = out.withColumn(f"d{i}", F.coalesce(less(c(f"_y{i}"), [c(f"_l{k}{i}") * c(f"d{k}") for k in range(i + 1, n)]) / c(f"_l{i}{i}"), F.lit(0.0)))
+    return out.select("scan_id", "state", *(f"d{i}" for i in range(n)))
+
+
 def upsample_motion(models: DataFrame, ratio: dict[str, float | Column]) -> DataFrame:
     """Motion carried to the next level: translations times their axis's size ratio, a number or a column; rotations as they are."""
     return models.withColumns({c: F.col(c) * r for c, r in ratio.items()})
