@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.jobs import workloads
+from motionlake.jobs import reconstruction, workloads
 from motionlake.jobs.fixtures import fixture, with_fixtures
 from motionlake.operators import acquisition, alignment, binning, encoding, kspace, motion, sampling, signal, solvers
 from motionlake.sources import tables
@@ -940,6 +940,109 @@ def i20_rigid_step_3d(fx):
     return out.select("scan_id", "state", *((F.round(f"d{i}", 3) + 0.0).alias(f"d{i}") for i in range(6)))
 
 
+#: The same scans with every cell in one state only: there the adjoint is the transpose.
+SCANS_OWN = SCANS.replace("smp AS (", "smp0 AS (").replace("AS state FROM smp GROUP", "AS state FROM smp0 GROUP") + ", smp AS (SELECT * FROM own)"
+
+
+def cg_rounds(b: str, places: str, values: tuple[str, ...], rounds: int, apply: Callable[[str, int], tuple[list[str], str]]) -> list[str]:
+    """Rounds of conjugate gradients over tables; ``apply`` gives the tables that multiply one, and the last one's name."""
+    parts = ["s0 AS MATERIALIZED (SELECT scan_id, " + places + "".join(f", 0.0 AS x_{v}, {v} AS r_{v}, {v} AS p_{v}" for v in values) + f" FROM {b})"]
+    dot = lambda m, n: "sum(" + " + ".join(f"{m}_{v} * {n}_{v}" for v in values) + ")"
+    for k in range(rounds):
+        more, name = apply(f"(SELECT scan_id, {places}, " + ", ".join(f"p_{v} AS {v}" for v in values) + f" FROM s{k})", k)
+        parts += more
+        parts.append(f"q{k} AS MATERIALIZED (SELECT s.*, " + ", ".join(f"coalesce({v}, 0) AS q_{v}" for v in values) + f" FROM s{k} s LEFT JOIN {name} USING (scan_id, {places}))")
+        parts.append(f"d{k} AS (SELECT scan_id, rr / pq AS al, (rr - 2 * rr / pq * rq + rr / pq * rr / pq * qq) / rr AS be FROM (SELECT scan_id, {dot('r', 'r')} AS rr, {dot('p', 'q')} AS pq, {dot('r', 'q')} AS rq, {dot('q', 'q')} AS qq FROM q{k} GROUP BY scan_id))")
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT scan_id, {places}, " + ", ".join(f"x_{v} + al * p_{v} AS x_{v}, r_{v} - al * q_{v} AS r_{v}, r_{v} - al * q_{v} + be * p_{v} AS p_{v}" for v in values) + f" FROM q{k} JOIN d{k} USING (scan_id))")
+    return parts
+
+
+def decoded_sql(values: str) -> tuple[str, str]:
+    return spread_sql(values), "SELECT st.scan_id, nex, CAST(st.src AS bigint) AS voxel, sum(w * re) AS re, sum(w * im) AS im FROM st JOIN {0} p ON p.scan_id = st.scan_id AND p.state = st.state AND p.voxel = st.voxel GROUP BY ALL"
+
+
+def image_normal_sql(src: str, k: int) -> tuple[list[str], str]:
+    spread, back = decoded_sql(f"e{k}")
+    return [
+        f"w{k} AS MATERIALIZED (SELECT st.scan_id, nex, state, st.voxel, sum(w * re) AS re, sum(w * im) AS im FROM st JOIN {src} i ON i.scan_id = st.scan_id AND i.voxel = st.src GROUP BY ALL)",
+        f"e{k} AS MATERIALIZED ({measured_sql(f'w{k}')})", f"t{k} AS MATERIALIZED ({spread})", f"b{k} AS ({back.format(f't{k}')})",
+        f"n{k} AS (SELECT scan_id, nex, voxel, sum(re) AS re, sum(im) AS im FROM (SELECT * FROM b{k} UNION ALL SELECT scan_id, nex, voxel, 0.1 * re, 0.1 * im FROM {src}) GROUP BY ALL)",
+    ], f"n{k}"
+
+
+def image_solve_sql(rounds: int) -> str:
+    spread, back = decoded_sql("vls")
+    first = [SCANS_OWN, VALUES, f"ts AS MATERIALIZED ({spread})", f"bs AS ({back.format('ts')})", "bb AS (SELECT i.scan_id, i.nex, i.voxel, coalesce(b.re, 0) AS re, coalesce(b.im, 0) AS im FROM img i LEFT JOIN bs b USING (scan_id, nex, voxel))"]
+    return f"WITH {', '.join([*first, *cg_rounds('bb', 'nex, voxel', ('re', 'im'), rounds, image_normal_sql)])} SELECT scan_id, nex, voxel, round(x_re, 5) + 0.0 AS re, round(x_im, 5) + 0.0 AS im FROM s{rounds}"
+
+
+def held(enc: encoding.Encoding) -> encoding.Encoding:
+    """An encoding whose tables are written once, as a solve reads them in each round."""
+    return encoding.Encoding(enc.grids, tables.materialize(enc.smaps), tables.materialize(enc.samples), tables.materialize(enc.stencil))
+
+
+def weights(enc: encoding.Encoding, w: float) -> DataFrame:
+    return enc.grids.select("scan_id", F.lit(w).alias("weight"))
+
+
+@query(image_solve_sql(2))
+def i19_solve_image(fx):
+    enc = held(scan_encoding(fx, overlap=False))
+    out = reconstruction.solve_image(enc, values_of(scan_images(fx)), weight=weights(enc, 0.1), tol=0.0, rounds=2).x
+    return out.select("scan_id", "nex", "voxel", *r5(out, "re", "im"))
+
+
+def map_normal_sql(src: str, k: int) -> tuple[list[str], str]:
+    return [
+        f"w{k} AS MATERIALIZED (SELECT g.scan_id, nex, state, g.voxel, (state + 0.5) * (gxr * a0 + gyr * a1) AS re, (state + 0.5) * (gxi * a0 + gyi * a1) AS im FROM grd g JOIN {src} d ON d.scan_id = g.scan_id AND d.voxel = g.voxel)",
+        f"e{k} AS MATERIALIZED ({measured_sql(f'w{k}')})", f"t{k} AS MATERIALIZED ({spread_sql(f'e{k}')})", *maps_back_sql(f"t{k}", f"b{k}"), rough_sql(src, f"g{k}"),
+        f"n{k} AS (SELECT scan_id, voxel, sum(a0) AS a0, sum(a1) AS a1 FROM (SELECT * FROM b{k} UNION ALL SELECT scan_id, voxel, 0.5 * a0, 0.5 * a1 FROM g{k}) GROUP BY ALL)",
+    ], f"n{k}"
+
+
+def maps_back_sql(spread: str, name: str) -> list[str]:
+    return [f"{name} AS (SELECT g.scan_id, g.voxel, sum((state + 0.5) * (r.re * gxr + r.im * gxi)) AS a0, sum((state + 0.5) * (r.re * gyr + r.im * gyi)) AS a1 FROM grd g JOIN {spread} r USING (scan_id, nex, state, voxel) GROUP BY ALL)"]
+
+
+def rough_sql(src: str, name: str) -> str:
+    one = lambda v: " + ".join(f"coalesce({v} - {f}({v}) OVER {w}, 0)" for w in "ab" for f in ("lag", "lead"))
+    return f"{name} AS (SELECT scan_id, voxel, {one('a0')} AS a0, {one('a1')} AS a1 FROM {src} WINDOW a AS (PARTITION BY scan_id, voxel % 8 ORDER BY voxel // 8), b AS (PARTITION BY scan_id, voxel // 8 ORDER BY voxel % 8))"
+
+
+def map_step_sql(rounds: int) -> str:
+    first = [SCANS_OWN, VALUES, GRADIENTS, "mp AS (SELECT scan_id, voxel, re AS a0, im AS a1 FROM img WHERE nex = 0)", f"ts AS MATERIALIZED ({spread_sql('vls')})", *maps_back_sql("ts", "bs"), rough_sql("mp", "rs")]
+    first.append("bb AS (SELECT scan_id, voxel, sum(a0) AS a0, sum(a1) AS a1 FROM (SELECT * FROM bs UNION ALL SELECT scan_id, voxel, -0.5 * a0, -0.5 * a1 FROM rs) GROUP BY ALL)")
+    return f"WITH {', '.join([*first, *cg_rounds('bb', 'voxel', ('a0', 'a1'), rounds, map_normal_sql)])} SELECT scan_id, voxel, round(x_a0, 5) + 0.0 AS a0, round(x_a1, 5) + 0.0 AS a1 FROM s{rounds}"
+
+
+@query(map_step_sql(2))
+def i20_nonrigid_step(fx):
+    img, enc = tables.materialize(scan_images(fx)), held(scan_encoding(fx, overlap=False))
+    maps = img.filter("nex = 0").select("scan_id", "voxel", F.col("re").alias("a0"), F.col("im").alias("a1"))
+    states = scan_states(fx).withColumn("signal", F.col("state") + 0.5)
+    out = reconstruction.map_step(enc, img, maps, states, values_of(img), weights(enc, 0.5), tol=0.0, rounds=2).x
+    return out.select("scan_id", "voxel", *r5(out, "a0", "a1"))
+
+
+def rigid_step_sql() -> str:
+    jx, jy = "(-(x - 4) * sin(phi) - (y - 4) * cos(phi))", "((x - 4) * cos(phi) - (y - 4) * sin(phi))"
+    parts = ["gxr AS re, gxi AS im", "gyr AS re, gyi AS im", f"gxr * {jx} + gyr * {jy} AS re, gxi * {jx} + gyi * {jy} AS im"]
+    first = [SCANS_OWN, VALUES, GRADIENTS, "gf AS MATERIALIZED (SELECT g.*, x, y, phi FROM grd g JOIN fld f ON f.scan_id = g.scan_id AND f.state = g.state AND f.voxel = g.voxel)"]
+    for k, p in enumerate(parts):
+        first += [f"u{k} AS MATERIALIZED (SELECT scan_id, nex, state, voxel, {p} FROM gf)", f"v{k} AS MATERIALIZED ({measured_sql(f'u{k}')})"]
+    dots = [f"sum(v{i}.re * v{k}.re + v{i}.im * v{k}.im) AS n{i}{k}" for i in range(3) for k in range(i, 3)] + [f"sum(v{i}.re * r.re + v{i}.im * r.im) AS b{i}" for i in range(3)]
+    on = " ".join(f"JOIN v{k} USING (scan_id, nex, state, coil, cell)" for k in (1, 2))
+    eq = f"SELECT scan_id, state, {', '.join(dots)} FROM v0 {on} JOIN vls r USING (scan_id, nex, coil, cell) GROUP BY ALL"
+    return f"WITH {', '.join(first)} SELECT scan_id, state, {', '.join(f'round(d{i}, 5) + 0.0 AS d{i}' for i in range(3))} FROM ({cholesky_sql(eq, 3, 0.1, 1e-10)})"
+
+
+@query(rigid_step_sql())
+def i20_rigid_step_encoded(fx):
+    img, enc = tables.materialize(scan_images(fx)), held(scan_encoding(fx, overlap=False))
+    out = reconstruction.rigid_step(enc, img, motion.rigid_jacobian(scan_states(fx), 8, 8), values_of(img), 0.1)
+    return out.select("scan_id", "state", *r5(out, "d0", "d1", "d2"))
+
+
 @query()
 def wa_align_and_bin(fx):
     acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")

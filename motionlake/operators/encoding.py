@@ -39,14 +39,15 @@ class Encoding:
         pairs = self.samples.select("scan_id", "nex", "state").distinct()
         return motion.warp(image, self.stencil, keys=("nex",)).join(pairs, ["scan_id", "nex", "state"], "left_semi")
 
-    def measured(self, warped: DataFrame) -> DataFrame:
-        """The sampled cells of warped images; where states share a cell, the last one's value stands."""
+    def measured(self, warped: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+        """The sampled cells of warped images, which may have more keys; where states share a cell, the last one's value stands."""
+        plane = [*PLANE, *keys]
         coils = warped.join(self.smaps.withColumnsRenamed({"re": "_mr", "im": "_mi"}), ["scan_id", "voxel"])
         re, im = product(C("re", "im"), C("_mr", "_mi"))
-        seen = coils.select(*PLANE, "voxel", re.alias("re"), im.alias("im")).join(self.grids, "scan_id")
-        cells = kspace.voxels(kspace.fftc(kspace.planes(seen, PLANE, "nx", "ny", "nz")), PLANE, "cell")
+        seen = coils.select(*plane, "voxel", re.alias("re"), im.alias("im")).join(self.grids, "scan_id")
+        cells = kspace.voxels(kspace.fftc(kspace.planes(seen, plane, "nx", "ny", "nz")), plane, "cell")
         kept = cells.join(owned(self.samples), ["scan_id", "nex", "state", "cell"], "left_semi")
-        return kept.select("scan_id", "coil", "nex", "cell", "re", "im")
+        return kept.select("scan_id", "coil", "nex", "cell", *keys, "re", "im")
 
     def spread(self, values: DataFrame) -> DataFrame:
         """Measured values as an image of each repetition and state, of all coils together; cells of several states go to each."""
@@ -68,6 +69,11 @@ class Encoding:
     def normal(self, image: DataFrame) -> DataFrame:
         return self.adjoint(self.forward(image))
 
+    def voxels(self) -> DataFrame:
+        """All places of the images: ``scan_id, nex, voxel``."""
+        each = self.samples.select("scan_id", "nex").distinct().join(self.grids, "scan_id")
+        return motion.on_grid(each, "nx", "ny", "nz").select("scan_id", "nex", "voxel")
+
 
 def uncorrected(values: DataFrame, grids: DataFrame, smaps: DataFrame) -> DataFrame:
     """Images as if nothing had moved: inverse transform of all measured values, coils combined."""
