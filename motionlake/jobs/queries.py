@@ -1043,6 +1043,17 @@ def i20_rigid_step_encoded(fx):
     return out.select("scan_id", "state", *r5(out, "d0", "d1", "d2"))
 
 
+@query()
+def i21_reconstruct(fx):
+    """Residuals of every scan, level and iteration of a reconstruction that starts without motion."""
+    img, true = tables.materialize(scan_images(fx)), held(scan_encoding(fx, overlap=False))
+    values = tables.materialize(true.forward(img))
+    still = tables.materialize(scan_states(fx).select("scan_id", "state", *(F.lit(0.0).alias(p) for p in motion.RIGID_2D)))
+    path = tables.shared_path(img.sparkSession)
+    out = reconstruction.reconstruct(true.grids, true.smaps, true.samples, values, still, path, iterations=2, rounds=2, lam=0.1, weight=0.01)
+    return out.log.select("scan_id", "level", "gn_iter", r6("relres"), "stopped")
+
+
 @query()
 def wa_align_and_bin(fx):
     acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")

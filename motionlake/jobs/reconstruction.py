@@ -137,23 +137,28 @@ def reconstruct(
             here = f"{path}/level={number}/iteration={k}"
             log = _read(spark, f"{here}/log")
             if log is None:
-                running = level.grids if last is None else level.grids.join(last.filter("not stopped").select("scan_id"), "scan_id", "left_semi")
-                if last is not None and running.isEmpty():
-                    break
-                only = lambda t, r=running: t.join(r.select("scan_id"), "scan_id", "left_semi")
-                now = only(motions)
-                field = motion.rigid_field_2d(now.join(level.grids, "scan_id"), "nx", "ny")
-                enc = encoding.Encoding(running, only(level.smaps), only(level.samples), materialize(motion.stencil(field, ("nx", "ny"))))
-                w = running.select("scan_id", F.lit(weight).alias("weight")) if weight else None
-                solved = solve_image(enc, only(level.values), None if image is None else only(image), w, tol, rounds).x
-                solved.write.mode("overwrite").parquet(f"{here}/images")
+                if last is None:
+                    own, now = level, motions
+                else:
+                    scans = materialize(last.filter("not stopped").select("scan_id"))
+                    if scans.isEmpty():
+                        break
+                    own = encoding.Level(*(materialize(t.join(scans, "scan_id", "left_semi")) for t in (level.grids, level.smaps, level.samples, level.values)))
+                    now, image = (materialize(t.join(scans, "scan_id", "left_semi")) for t in (motions, image))
+                field = motion.rigid_field_2d(now.join(own.grids, "scan_id"), "nx", "ny")
+                enc = encoding.Encoding(own.grids, own.smaps, own.samples, materialize(motion.stencil(field, ("nx", "ny"))))
+                w = own.grids.select("scan_id", F.lit(weight).alias("weight")) if weight else None
+                solve_image(enc, own.values, image, w, tol, rounds).x.write.mode("overwrite").parquet(f"{here}/images")
                 solved = spark.read.parquet(f"{here}/images")
-                rest = materialize(residual(enc, only(level.values), solved))
-                step = rigid_step(enc, solved, motion.rigid_jacobian(now.join(level.grids, "scan_id"), "nx", "ny"), rest, lam)
-                both = now.join(step, ["scan_id", "state"], "left").fillna(0.0, ["d0", "d1", "d2"])
-                both.withColumns({f"next_{p}": F.col(p) + F.col(f"d{i}") for i, p in enumerate(motion.RIGID_2D)}).drop("d0", "d1", "d2").write.mode("overwrite").parquet(f"{here}/states")
+                rest = materialize(residual(enc, own.values, solved))
+                both = now.withColumns({f"next_{p}": F.col(p) for p in motion.RIGID_2D})
+                if k + 1 < iterations:
+                    step = rigid_step(enc, solved, motion.rigid_jacobian(now.join(own.grids, "scan_id"), "nx", "ny"), rest, lam)
+                    both = now.join(step, ["scan_id", "state"], "left").fillna(0.0, ["d0", "d1", "d2"])
+                    both = both.withColumns({f"next_{p}": F.col(p) + F.col(f"d{i}") for i, p in enumerate(motion.RIGID_2D)}).drop("d0", "d1", "d2")
+                both.write.mode("overwrite").parquet(f"{here}/states")
                 left = rest.groupBy("scan_id").agg(F.sqrt(F.sum(square(kspace.C("re", "im")))).alias("left"))
-                row = running.select("scan_id").join(norms, "scan_id").join(left, "scan_id", "left")
+                row = own.grids.select("scan_id").join(norms, "scan_id").join(left, "scan_id", "left")
                 row = row.select("scan_id", F.lit(number).alias("level"), F.lit(k).alias("gn_iter"), F.when(F.col("norm") > 0, F.coalesce("left", F.lit(0.0)) / F.col("norm")).otherwise(0.0).alias("relres"))
                 earlier = row.select("scan_id", F.lit(None).cast("double").alias("earlier")) if last is None else last.select("scan_id", F.col("relres").alias("earlier"))
                 row.join(earlier, "scan_id").withColumn("stopped", F.coalesce(F.col("relres") > F.col("earlier"), F.lit(False))).drop("earlier").write.mode("overwrite").parquet(f"{here}/log")
@@ -162,8 +167,8 @@ def reconstruct(
                     after(number, k)
             images, both = spark.read.parquet(f"{here}/images"), spark.read.parquet(f"{here}/states")
             kept = log.filter("not stopped").select("scan_id")
-            own = both.select("scan_id", "state", *motion.RIGID_2D)
-            best = (images, own) if best is None else tuple(materialize(_replaced(old, new, kept)) for old, new in zip(best, (images, own)))
+            used = both.select("scan_id", "state", *motion.RIGID_2D)
+            best = (images, used) if best is None else tuple(materialize(_replaced(old, new, kept)) for old, new in zip(best, (images, used)))
             image, motions = images, both.select("scan_id", "state", *(F.col(f"next_{p}").alias(p) for p in motion.RIGID_2D))
             logs.append(log)
             last = log

@@ -32,7 +32,7 @@ def _named(df: DataFrame, places: list[str], values: tuple[str, ...], name: str)
 
 def cg_solve(
     apply: Apply, b: DataFrame, places: list[str], values: tuple[str, ...] = ("re", "im"), x0: DataFrame | None = None,
-    tol: float = 1e-6, rounds: int = 20, patience: int | None = None, write_every: int = 1,
+    tol: float = 1e-6, rounds: int = 20, patience: int | None = None,
 ) -> Solved:
     """Solve ``apply(x) = b`` for every scan, where ``apply`` is linear, symmetric (Hermitian) and positive.
 
@@ -40,7 +40,7 @@ def cg_solve(
     out is zero, and ``b`` has a row for each place of the solution. Every round applies the operator once to the
     directions of all scans that are still running, and one aggregation gives each scan its three inner products: of the
     direction with its image, of the residual with it, and of it with itself, from which the next residual's norm follows.
-    The state is written to the shared folder every ``write_every`` rounds, which ends its lineage.
+    The state with the operator's image is written to the shared folder in each round, so the operator runs once and lineage ends.
 
     A scan stops when its residual is at most ``tol`` times the norm of ``b`` ("tolerance"; so does one whose ``b`` is
     zero), when its direction has no curvature left ("breakdown"), when ``patience`` rounds have not lowered its
@@ -63,11 +63,11 @@ def cg_solve(
     logs, done = [_logged(scan, 0)], [_result(rows, scan.filter("reason is not null"), places, values)]
     running = scan.filter("reason is null").drop("reason")
     for k in range(1, rounds + 1):
-        if (k - 1) % write_every == 0 and running.isEmpty():
+        if running.isEmpty():
             break
         live = rows.join(running.select("scan_id"), "scan_id", "left_semi")
         image = apply(live.select("scan_id", *places, *(F.col(f"p_{v}").alias(v) for v in values)))
-        met = live.join(_named(image, places, values, "q"), ["scan_id", *places], "left").fillna(0.0)
+        met = materialize(live.join(_named(image, places, values, "q"), ["scan_id", *places], "left").fillna(0.0))
         dots = met.groupBy("scan_id").agg(_dot(values, "p", "q").alias("pq"), _dot(values, "r", "q").alias("rq"), _dot(values, "q", "q").alias("qq"))
         alpha = F.when(F.col("pq") > 0, F.col("rr") / F.col("pq")).otherwise(0.0)
         after = F.greatest(F.lit(0.0), F.col("rr") - 2 * F.col("alpha") * F.col("rq") + F.col("alpha") * F.col("alpha") * F.col("qq"))
@@ -75,10 +75,9 @@ def cg_solve(
         step = step.withColumns({"beta": F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(0.0), "better": F.col("new") < F.col("least")})
         idle = F.when(F.col("better"), 0).otherwise(F.col("idle") + 1)
         step = step.withColumn("reason", _reason(F.col("new"), F.col("bb"), tol, F.col("pq"), (idle, patience) if patience else None, k == rounds)).withColumn("idle", idle)
+        step = materialize(step.select("scan_id", "bb", F.col("new").alias("rr"), F.least("least", "new").alias("least"), "idle", "reason", "alpha", "beta", "better"))
         rows = _moved(met.join(step.select("scan_id", "alpha", "beta", "better"), "scan_id"), places, values)
-        scan = step.select("scan_id", "bb", F.col("new").alias("rr"), F.least("least", "new").alias("least"), "idle", "reason")
-        if k % write_every == 0 or k == rounds:
-            rows, scan = materialize(rows), materialize(scan)
+        scan = step.drop("alpha", "beta", "better")
         logs.append(_logged(scan, k))
         done.append(_result(rows, scan.filter("reason is not null"), places, values))
         running = scan.filter("reason is null").drop("reason")
