@@ -1054,6 +1054,27 @@ def i21_reconstruct(fx):
     return out.log.select("scan_id", "level", "gn_iter", r6("relres"), "stopped")
 
 
+def band_quality_sql() -> str:
+    """Both bands by the filter, the score of each channel by its segments, and the best of those kept."""
+    low, high = (zero_phase_sql(2e-7, x).replace("round(filtered, 6) + 0.0 AS filtered", "filtered") for x in (True, False))
+    return f"""WITH lo AS MATERIALIZED ({low}), hi AS MATERIALIZED ({high}),
+    b AS (SELECT l.scan_id, l.sensor_id, l.channel, l.t, l.filtered AS low, h.filtered AS high, row_number() OVER (PARTITION BY l.scan_id, l.sensor_id, l.channel ORDER BY l.t) - 1 AS i FROM lo l JOIN hi h USING (scan_id, sensor_id, channel, t)),
+    w AS (SELECT scan_id, sensor_id, channel, count(*) AS n, avg(low) AS m, stddev_pop(high) AS d, max(t) - min(t) AS span FROM b GROUP BY ALL),
+    j AS (SELECT b.*, n, m, d, b.i // CAST(greatest(1, CASE WHEN span > 0 THEN floor(2000000 / span * n) ELSE n END) AS bigint) AS seg FROM b JOIN w USING (scan_id, sensor_id, channel)),
+    s AS (SELECT scan_id, sensor_id, channel, seg, stddev_pop(high) AS sd, sum((low - m - high) * (low - m - high)) AS ss, any_value(n) AS n, any_value(d) AS d FROM j GROUP BY ALL),
+    k AS (SELECT scan_id, sensor_id, channel, sqrt(sum(ss)) / any_value(n) / nullif(least(min(sd), any_value(d)), 0) AS score FROM s GROUP BY ALL),
+    d AS (SELECT scan_id, sensor_id, channel, stddev_pop(low) AS dev, CASE WHEN coalesce(any_value(score) < 1.0, false) THEN stddev_pop(low) ELSE 0.0 END AS s FROM b JOIN k USING (scan_id, sensor_id, channel) GROUP BY ALL),
+    c AS (SELECT *, row_number() OVER (PARTITION BY scan_id, sensor_id ORDER BY s DESC, channel) AS r FROM d), f AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY s DESC, sensor_id) AS q FROM c WHERE r = 1)
+    SELECT b.scan_id, b.sensor_id, b.channel, b.t, round(CASE WHEN dev > 1e-6 THEN low / dev END, 4) + 0.0 AS y FROM b JOIN f ON q = 1 AND f.scan_id = b.scan_id AND f.sensor_id = b.sensor_id AND f.channel = b.channel"""
+
+
+@query(band_quality_sql())
+def wb_best_accelerometer(fx):
+    """From samples to the best stream: both bands, the channels' quality, the best channel of the best sensor."""
+    out = workloads.best_accelerometer(fx("fx_sensor").select("scan_id", "sensor_id", "channel", "t", "y"), 2e-7, 2000000.0, threshold=1.0)
+    return out.select("scan_id", "sensor_id", "channel", "t", (F.round(F.when(F.col("dev") > 1e-6, F.col("y")), 4) + 0.0).alias("y"))
+
+
 @query()
 def wa_align_and_bin(fx):
     acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")

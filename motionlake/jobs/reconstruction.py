@@ -108,7 +108,7 @@ def reconstruct(
     """Images and rigid in-plane motion of a cohort, from coarse levels to fine ones.
 
     At each level an iteration solves the images, looks at what they leave unexplained, and corrects the motion; the
-    level starts from the one before it, enlarged. A scan stops at a level with the first iteration whose residual is
+    level starts from the one before it, enlarged. The greatest of ``levels`` is the full size. A scan stops at a level with the first iteration whose residual is
     above the one before, and keeps the iterate of least residual; scans that have stopped leave the next iteration.
     ``states(scan_id, state, tx, ty, phi)`` is the motion to start from, in voxels of the last level.
 

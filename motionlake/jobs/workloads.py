@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.operators import acquisition, alignment, binning, signal
+from motionlake.operators import acquisition, alignment, binning, scan, signal
 from motionlake.sources.tables import materialize
 
 
@@ -40,3 +40,19 @@ def align_and_bin(acq: DataFrame, sensor: DataFrame, triggers: DataFrame, n_z: i
     binned = binning.bin_motion(readouts.select("scan_id", "acq_idx", "motion"), k, n_iter, key="acq_idx")
     out = readouts.join(binned.select("scan_id", "acq_idx", F.col("label").alias("state"), "center"), ["scan_id", "acq_idx"])
     return Binned(out, binning.too_few(readouts, k), acquisition.quarantine(placed, n_z))
+
+
+def best_accelerometer(samples: DataFrame, cutoff: float, seconds: float = 50.0, threshold: float = 0.002) -> DataFrame:
+    """The low band of each scan's best channel, over its deviation ``dev``: ``samples(scan_id, sensor_id, channel, t, y)`` with one sample a time.
+
+    Both bands are filtered; a channel's quality weighs the noise of its high band against what the bands differ by;
+    of the channels kept the strongest of the strongest sensor stays.
+    """
+    keys = ["scan_id", "sensor_id", "channel"]
+    low, high = (signal.zero_phase(samples, cutoff, kind).select(*keys, "t", F.col("filtered").alias(kind)) for kind in ("low", "high"))
+    rows = scan.bucketed(low.join(high, [*keys, "t"]), keys, ["t"])
+    bands = materialize(scan.running(rows, keys, ["t"], sums={"idx": F.lit(1).cast("bigint")}).withColumn("idx", F.col("idx") - 1).drop(scan.BUCKET))
+    quality = signal.channel_quality(bands, seconds, threshold)
+    own = bands.select(*keys, "t", F.col("low").alias("y"))
+    dev = own.groupBy(*keys).agg(F.stddev_pop("y").alias("dev"))
+    return signal.best_stream(own, quality).join(dev, keys)

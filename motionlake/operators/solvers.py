@@ -38,8 +38,8 @@ def cg_solve(
 
     A vector is a table of rows (scan, places) with values, complex ones as two columns; a place that ``apply`` leaves
     out is zero, and ``b`` has a row for each place of the solution. Every round applies the operator once to the
-    directions of all scans that are still running, and one aggregation gives each scan its three inner products: of the
-    direction with its image, of the residual with it, and of it with itself, from which the next residual's norm follows.
+    directions of all scans that are still running; a scan's two inner products, of the direction with its image and of the
+    new residual with itself, are sums over the written rows.
     The state with the operator's image is written to the shared folder in each round, so the operator runs once and lineage ends.
 
     A scan stops when its residual is at most ``tol`` times the norm of ``b`` ("tolerance"; so does one whose ``b`` is
@@ -68,10 +68,11 @@ def cg_solve(
         live = rows.join(running.select("scan_id"), "scan_id", "left_semi")
         image = apply(live.select("scan_id", *places, *(F.col(f"p_{v}").alias(v) for v in values)))
         met = materialize(live.join(_named(image, places, values, "q"), ["scan_id", *places], "left").fillna(0.0))
-        dots = met.groupBy("scan_id").agg(_dot(values, "p", "q").alias("pq"), _dot(values, "r", "q").alias("rq"), _dot(values, "q", "q").alias("qq"))
         alpha = F.when(F.col("pq") > 0, F.col("rr") / F.col("pq")).otherwise(0.0)
-        after = F.greatest(F.lit(0.0), F.col("rr") - 2 * F.col("alpha") * F.col("rq") + F.col("alpha") * F.col("alpha") * F.col("qq"))
-        step = running.join(dots, "scan_id").withColumn("alpha", alpha).withColumn("new", after)
+        step = running.join(met.groupBy("scan_id").agg(_dot(values, "p", "q").alias("pq")), "scan_id").withColumn("alpha", alpha)
+        left = [F.col(f"r_{v}") - F.col("alpha") * F.col(f"q_{v}") for v in values]
+        after = met.join(step.select("scan_id", "alpha"), "scan_id").groupBy("scan_id").agg(F.sum(sum((x * x for x in left), F.lit(0.0))).alias("new"))
+        step = step.join(after, "scan_id")
         step = step.withColumns({"beta": F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(0.0), "better": F.col("new") < F.col("least")})
         idle = F.when(F.col("better"), 0).otherwise(F.col("idle") + 1)
         step = step.withColumn("reason", _reason(F.col("new"), F.col("bb"), tol, F.col("pq"), (idle, patience) if patience else None, k == rounds)).withColumn("idle", idle)
