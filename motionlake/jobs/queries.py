@@ -237,20 +237,20 @@ def a5_combine_coils(fx):
     return kspace.combine_coils(img, img.withColumn("voxel", 63 - F.col("voxel"))).select("scan_id", "voxel", r6("re"), r6("im"))
 
 
-def kmeans_sql(k: int, rounds: int) -> str:
-    """Unrolled Lloyd rounds over lists of centres."""
-    pts = "pts AS MATERIALIZED (SELECT scan_id, idx, y FROM fx_sensor WHERE scan_id IN (SELECT scan_id FROM fx_sensor GROUP BY scan_id HAVING count(*) >= 4))"
+def kmeans_sql(k: int, rounds: int, src: str = "fx_sensor", before: str = "", center: str = "round(c[label + 1], 6) + 0.0") -> str:
+    """Unrolled Lloyd rounds over lists of centres of ``src(scan_id, idx, y)``."""
+    pts = f"pts AS MATERIALIZED (SELECT scan_id, idx, y FROM {src} WHERE y IS NOT NULL AND scan_id IN (SELECT scan_id FROM {src} GROUP BY scan_id HAVING count(y) >= {k}))"
     rank = "ranked AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY md5(concat_ws('|', '0', scan_id, idx)), idx) AS r FROM pts)"
     state = f"s0 AS MATERIALIZED (SELECT scan_id, list(y ORDER BY r) FILTER (r <= {k}) AS c, coalesce(list(y ORDER BY r) FILTER (r > {k} AND r <= {2 * k}), []) AS spare FROM ranked GROUP BY scan_id)"
     parts = [pts, rank, state]
     for i in range(rounds):
         label = "list_position(list_transform(c, lambda v: abs(y - v)), list_min(list_transform(c, lambda v: abs(y - v)))) - 1"
         parts.append(f"l{i} AS MATERIALIZED (SELECT p.scan_id, p.idx, p.y, {label} AS label FROM pts p JOIN s{i} USING (scan_id))")
-        parts.append(f"m{i} AS MATERIALIZED (SELECT scan_id, label, avg(y) AS m FROM l{i} GROUP BY ALL)")
+        parts.append(f"m{i} AS MATERIALIZED (SELECT scan_id, label, greatest(min(y), least(max(y), sum(y * n) / sum(n))) AS m FROM (SELECT scan_id, label, y, count(*) AS n FROM l{i} GROUP BY ALL) GROUP BY ALL)")
         again = f"CASE WHEN len(spare) > 0 THEN spare[{i} % len(spare) + 1] ELSE c[1] END"
         parts.append(f"s{i + 1} AS MATERIALIZED (SELECT s.scan_id, list(coalesce(m, {again}) ORDER BY j.i) AS c, any_value(spare) AS spare FROM s{i} s CROSS JOIN generate_series(0, {k - 1}) AS j(i) LEFT JOIN m{i} m ON m.scan_id = s.scan_id AND m.label = j.i GROUP BY s.scan_id)")
     last = rounds - 1
-    return f"WITH {', '.join(parts)} SELECT l.scan_id, l.idx AS line_idx, CAST(label AS bigint) AS label, round(c[label + 1], 6) + 0.0 AS center FROM l{last} l JOIN s{rounds} USING (scan_id)"
+    return f"WITH {before}{', '.join(parts)} SELECT l.scan_id, l.idx AS line_idx, CAST(label AS bigint) AS label, {center} AS center FROM l{last} l JOIN s{rounds} USING (scan_id)"
 
 
 @query(kmeans_sql(4, 20))
@@ -276,13 +276,17 @@ def a7_navigator(fx):
     return motion.navigator(two_curves(fx), ("tx", "ty")).select("scan_id", "t", r6("navigator"))
 
 
-DETREND = """b AS (SELECT scan_id, avg(y) AS m, stddev_pop(y) AS d, avg(t) AS t0, count(*) AS n FROM fx_sensor GROUP BY scan_id),
-  p AS (SELECT s.scan_id, s.idx, s.y, s.t - b.t0 AS x, greatest(s.y, b.m - 2 * b.d) AS c FROM fx_sensor s JOIN b USING (scan_id)),
+def detrend_sql(src: str, row: str) -> str:
+    return f"""b AS (SELECT scan_id, avg(y) AS m, stddev_pop(y) AS d, avg(t) AS t0, count(*) AS n FROM {src} GROUP BY scan_id),
+  p AS (SELECT s.scan_id, s.{row}, s.y, s.t - b.t0 AS x, greatest(s.y, b.m - 2 * b.d) AS c FROM {src} s JOIN b USING (scan_id)),
   q AS (SELECT scan_id, CAST(count(*) AS double) AS n, sum(x) AS x1, sum(x*x) AS x2, sum(x*x*x) AS x3, sum(x*x*x*x) AS x4, sum(c) AS y0, sum(c*x) AS y1, sum(c*x*x) AS y2 FROM p GROUP BY scan_id),
   f AS (SELECT scan_id, n, x2, x4, n*(x2*x4-x3*x3)-x1*(x1*x4-x3*x2)+x2*(x1*x3-x2*x2) AS det, y0*(x2*x4-x3*x3)-x1*(y1*x4-x3*y2)+x2*(y1*x3-x2*y2) AS a, n*(y1*x4-y2*x3)-y0*(x1*x4-x3*x2)+x2*(x1*y2-y1*x2) AS b, n*(x2*y2-x3*y1)-x1*(x1*y2-x2*y1)+y0*(x1*x3-x2*x2) AS q, y0 FROM q)"""
 
 
-@query(f"WITH {DETREND} SELECT p.scan_id, p.idx, round(p.y - CASE WHEN n < 3 OR abs(det) <= 1e-12*n*x2*x4 THEN y0/n ELSE a/det + b/det*x + q/det*x*x END, 4) + 0.0 AS detrended FROM p JOIN f USING (scan_id)")
+DETRENDED = "p.y - CASE WHEN n < 3 OR abs(det) <= 1e-12*n*x2*x4 THEN y0/n ELSE a/det + b/det*x + q/det*x*x END"
+
+
+@query(f"WITH {detrend_sql('fx_sensor', 'idx')} SELECT p.scan_id, p.idx, round({DETRENDED}, 4) + 0.0 AS detrended FROM p JOIN f USING (scan_id)")
 def a8_detrend(fx):
     return signal.detrend_quadratic(fx("fx_sensor")).select("scan_id", "idx", (F.round("detrended", 4) + 0.0).alias("detrended"))
 
@@ -339,6 +343,14 @@ def a14_robust_window(fx):
     return kspace.robust_window(fx("fx_img").withColumn("v", F.col("re"))).select("scan_id", "voxel", r6("scaled"))
 
 
+@query("SELECT label AS scan_id, CAST(count(*) AS bigint) AS n, round(quantile_cont(v, 0.02), 6) + 0.0 AS lo, round(quantile_cont(v, 0.5), 6) + 0.0 AS middle, round(quantile_cont(v, 0.98), 6) + 0.0 AS hi FROM (SELECT label, unnest(list_transform(embedding, lambda x: floor(CAST(x AS double) * 64))) AS v FROM embeddings WHERE label IS NOT NULL) GROUP BY label")
+def a14_group_percentiles(fx):
+    """Percentiles of a few groups that hold all voxels, most of them equal to others."""
+    v = fx("fx_img").filter("grp is not null").select(F.col("grp").alias("scan_id"), F.floor(F.col("re") * 64).cast("double").alias("v"))
+    out = kspace.percentiles(v, (0.02, 0.5, 0.98))
+    return out.select("scan_id", "n", *(r6(F.col("q")[i], name) for i, name in enumerate(("lo", "middle", "hi"))))
+
+
 @query("SELECT scan_id, round(greatest(1e-12, max(abs(re))), 6) AS max_x, round(greatest(1e-12, max(abs(im))), 6) AS max_y, round(greatest(1e-12, max(sqrt(re * re + im * im))), 6) AS max_amplitude FROM fx_img GROUP BY scan_id")
 def a15_displacement_summary(fx):
     return motion.displacement_summary(fx("fx_img").withColumnsRenamed({"re": "dx", "im": "dy"})).select("scan_id", r6("max_x"), r6("max_y"), r6("max_amplitude"))
@@ -387,7 +399,7 @@ def w4_gradient(fx):
     return motion.gradient(xy(fx("fx_img")), (8, 8), ["scan_id"]).select("scan_id", "voxel", r6("gx_re"), r6("gy_re"))
 
 
-def zero_phase_sql(cutoff: float, low: bool) -> str:
+def zero_phase_sql(cutoff: float, low: bool, src: str = "fx_sensor", keys: str = "scan_id, sensor_id, channel") -> str:
     """The filter over lists: each step of a reduction appends an output to those before it, from the output at rest on."""
 
     def sweep(x: str) -> str:
@@ -396,13 +408,13 @@ def zero_phase_sql(cutoff: float, low: bool) -> str:
 
     k = f"tan(pi() * {cutoff} * span / n)"
     b0, b1 = (f"{k} / (1 + {k})",) * 2 if low else (f"1 / (1 + {k})", f"-1 / (1 + {k})")
-    return f"""WITH c AS (SELECT scan_id, sensor_id, channel, list(t ORDER BY t, y) AS ts, list(y ORDER BY t, y) AS ys, count(*) AS n, max(t) - min(t) AS span FROM fx_sensor GROUP BY ALL),
+    return f"""WITH c AS (SELECT {keys}, list(t ORDER BY t, y) AS ts, list(y ORDER BY t, y) AS ys, count(*) AS n, max(t) - min(t) AS span FROM {src} GROUP BY ALL),
     e AS (SELECT *, least(6, n - 1) AS pad, {b0} AS b0, {b1} AS b1, ({k} - 1) / ({k} + 1) AS a FROM c WHERE n > 1 AND span > 0 AND n / span > 2 * {cutoff}),
     p AS (SELECT *, list_concat(list_transform(range(pad, 0, -1), lambda i: 2 * ys[1] - ys[i + 1]), ys, list_transform(range(1, pad + 1), lambda i: 2 * ys[n] - ys[n - i])) AS x FROM e),
     f AS (SELECT *, list_reverse({sweep("x")}) AS r FROM p), b AS (SELECT *, list_reverse({sweep("r")})[pad + 1 : pad + n] AS z FROM f),
-    o AS (SELECT scan_id, sensor_id, channel, unnest(ts) AS t, unnest(z) AS filtered FROM b UNION ALL
-        SELECT scan_id, sensor_id, channel, unnest(ts), unnest(CASE WHEN n < 2 AND NOT {low} THEN [0.0] ELSE ys END) FROM c WHERE NOT coalesce(n > 1 AND span > 0 AND n / span > 2 * {cutoff}, false))
-    SELECT scan_id, sensor_id, channel, t, round(filtered, 6) + 0.0 AS filtered FROM o"""
+    o AS (SELECT {keys}, unnest(ts) AS t, unnest(z) AS filtered FROM b UNION ALL
+        SELECT {keys}, unnest(ts), unnest(CASE WHEN n < 2 AND NOT {low} THEN [0.0] ELSE ys END) FROM c WHERE NOT coalesce(n > 1 AND span > 0 AND n / span > 2 * {cutoff}, false))
+    SELECT {keys}, t, round(filtered, 6) + 0.0 AS filtered FROM o"""
 
 
 def filtered_channels(fx: Fx, kind: str) -> DataFrame:
@@ -1075,9 +1087,84 @@ def wb_best_accelerometer(fx):
     return out.select("scan_id", "sensor_id", "channel", "t", (F.round(F.when(F.col("dev") > 1e-6, F.col("y")), 4) + 0.0).alias("y"))
 
 
-@query()
+def aligned_sql(readouts: str, cutoff: float) -> str:
+    """Common tables that end in ``mo``: the imaging readouts with the filtered signal of the scan's stronger channel."""
+    smooth = zero_phase_sql(cutoff, True, "strong", "scan_id, channel").replace("round(filtered, 6) + 0.0 AS filtered", "filtered")
+    return f"""{PAIRS}, ro AS MATERIALIZED ({readouts}),
+    pick AS (SELECT scan_id, CASE WHEN coalesce(stddev_pop(y) FILTER (channel = 0), 0) > coalesce(stddev_pop(y) FILTER (channel = 1), 0) THEN 0 ELSE 1 END AS channel FROM fx_sensor GROUP BY scan_id),
+    strong AS MATERIALIZED (SELECT s.scan_id, s.channel, CAST(s.us - best.stop_t AS double) / 1e6 AS t, s.y FROM fx_sensor s JOIN best USING (scan_id) JOIN pick ON pick.scan_id = s.scan_id AND pick.channel = s.channel),
+    zp AS MATERIALIZED (SELECT scan_id, t, filtered AS y FROM ({smooth})),
+    dt AS MATERIALIZED (SELECT * FROM (WITH {detrend_sql("zp", "t")} SELECT p.scan_id, p.t, {DETRENDED} AS y FROM p JOIN f USING (scan_id))),
+    timed AS (SELECT *, (acq_ts - last_value(acq_ts) OVER (PARTITION BY scan_id ORDER BY acq_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) * 2.5e-3 AS t FROM ro),
+    below AS (SELECT r.*, l.t AS lt, l.y AS ly FROM timed r ASOF LEFT JOIN dt l ON r.scan_id = l.scan_id AND r.t > l.t),
+    around AS (SELECT r.*, h.t AS ht, h.y AS hy FROM below r ASOF LEFT JOIN dt h ON r.scan_id = h.scan_id AND r.t <= h.t),
+    mo AS MATERIALIZED (SELECT *, CASE WHEN lt IS NULL THEN hy WHEN ht IS NULL OR ht = lt THEN ly ELSE ly + (hy - ly) * (t - lt) / (ht - lt) END AS motion FROM around)"""
+
+
+def align_and_bin_sql() -> str:
+    readouts = "SELECT scan_id, acq_idx, acq_ts // 2500 AS acq_ts FROM fx_read WHERE flags & 239337472 = 0"
+    before = f"{aligned_sql(readouts, 5e-7)}, ml AS MATERIALIZED (SELECT scan_id, acq_idx AS idx, round(motion, 4) + 0.0 AS y FROM mo), "
+    binned = kmeans_sql(3, 20, "ml", before, "c[label + 1]").replace("WITH ", "WITH RECURSIVE ", 1)
+    at = binned.rindex(" SELECT l.scan_id")
+    return f"""{binned[:at]}, km AS ({binned[at:]}) SELECT scan_id, acq_idx, row_number() OVER (PARTITION BY scan_id ORDER BY acq_idx) - 1 AS line_idx, label AS state, round(motion, 4) + 0.0 AS motion, round(center, 8) + 0.0 AS center
+    FROM mo JOIN (SELECT scan_id, line_idx AS acq_idx, label, center FROM km) USING (scan_id, acq_idx)"""
+
+
+def in_ticks(read: DataFrame) -> DataFrame:
+    """Readouts whose microseconds became the scanner's ticks of 2.5 ms."""
+    return read.withColumn("acq_ts", F.floor(F.col("acq_ts") / 2500))
+
+
+@query(align_and_bin_sql())
 def wa_align_and_bin(fx):
-    acq = fx("fx_read").withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")
+    acq = in_ticks(fx("fx_read")).withColumn("z", F.lit(0).cast("bigint")).select("scan_id", "acq_idx", "acq_ts", "flags", "ky", "kz", "nex", "z")
+    sensor = fx("fx_sensor").select("scan_id", "channel", F.col("us").alias("t"), "y")
+    out = workloads.align_and_bin(acq, sensor, fx("fx_trig"), 1, 3, 1e6, cutoff=5e-7, digits=4)
+    return out.readouts.select("scan_id", "acq_idx", "line_idx", "state", (F.round("motion", 4) + 0.0).alias("motion"), (F.round("center", 8) + 0.0).alias("center"))
+
+
+def raw_bundle(fx: Fx) -> workloads.Bundle:
+    """A bundle from readouts of two coils and eight samples; even scans are stacks of two slices, odd ones slabs."""
+    read = in_ticks(fx("fx_read")).withColumn("slice", F.when(F.col("scan_id") % 2 == 0, F.col("acq_idx") % 2).otherwise(0))
+    coils = read.withColumn("coil", F.explode(F.array(F.lit(0), F.lit(1)))).withColumnRenamed("nex", "repetition")
+    samples = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col(c) * (k + 1) * (F.col("coil") + 1))
+    acq = coils.select("scan_id", "acq_idx", "coil", "flags", "ky", "kz", "repetition", "slice", "acq_ts", samples("re").alias("re"), samples("im").alias("im"))
     sensor = fx("fx_sensor").select("scan_id", "channel", F.col("us").alias("t"), "y")
-    out = workloads.align_and_bin(acq, sensor, fx("fx_trig"), 1, 3, 1e6, cutoff=5e-7)
-    return out.readouts.select("scan_id", "acq_idx", "line_idx", "state", r6("motion"), r6("center"))
+    return workloads.raw_to_bundle(acq, meta(read), sensor, fx("fx_trig"), tables.shared_path(read.sparkSession), 1e6, cutoff=5e-7)
+
+
+RAW_READOUTS = """SELECT scan_id, acq_idx, acq_ts // 2500 AS acq_ts, ky, kz, nex, re, im, CASE WHEN max_slice < 1 AND max_step2 > 0 THEN kz ELSE slice END AS z FROM (SELECT * EXCLUDE (slice), CASE WHEN scan_id % 2 = 0 THEN acq_idx % 2 ELSE 0 END AS slice FROM fx_read)
+    JOIN (SELECT scan_id, max(CASE WHEN scan_id % 2 = 0 THEN acq_idx % 2 ELSE 0 END) AS max_slice, max(kz) AS max_step2 FROM fx_read GROUP BY scan_id) USING (scan_id) WHERE flags & 239337472 = 0"""
+
+
+def raw_bundle_sql(select: str) -> str:
+    return f"""WITH RECURSIVE {aligned_sql(RAW_READOUTS, 5e-7)}, pz AS (SELECT scan_id, z, count(*) AS n FROM mo GROUP BY ALL), silent AS (SELECT scan_id, count(motion) = 0 AS none FROM mo GROUP BY scan_id),
+    why AS MATERIALIZED (SELECT scan_id, CASE WHEN min(n) < max(n) OR count(*) < max(z) + 1 THEN 'uneven slices' WHEN any_value(none) THEN 'no motion signal' END AS reason FROM pz JOIN silent USING (scan_id) GROUP BY scan_id), {select}"""
+
+
+@query(
+    raw_bundle_sql(
+        """kept AS (SELECT mo.*, row_number() OVER (PARTITION BY scan_id, z ORDER BY acq_idx) - 1 AS line_idx FROM mo JOIN why USING (scan_id) WHERE reason IS NULL)
+    SELECT scan_id, z, line_idx, ky, kz, nex, round(motion, 4) + 0.0 AS motion, NULL AS reason FROM kept UNION ALL SELECT scan_id, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM why WHERE reason IS NOT NULL"""
+    )
+)
+def wb_raw_to_bundle(fx):
+    """The readouts of the bundle, and one row with the reason for each scan left out."""
+    out = raw_bundle(fx)
+    return out.readouts.withColumn("motion", F.round("motion", 4) + 0.0).unionByName(out.quarantined, allowMissingColumns=True)
+
+
+@query(
+    raw_bundle_sql(
+        f"""placed AS (SELECT *, row_number() OVER (PARTITION BY scan_id, nex, ky, z ORDER BY acq_idx DESC) AS r FROM mo JOIN why USING (scan_id) WHERE reason IS NULL),
+    l AS (SELECT {{'s': scan_id, 'c': c.i, 'n': nex, 'y': ky, 'z': z}} AS scan_id, k.i AS i, re * (k.i + 1) * (c.i + 1) AS re, im * (k.i + 1) * (c.i + 1) AS im FROM placed, generate_series(0, 1) AS c(i), generate_series(0, 7) AS k(i) WHERE r = 1),
+    a AS ({line_dft('l', 8, 1)}), m AS (SELECT * FROM a WHERE i BETWEEN 2 AND 5), d AS ({line_dft('m', 4, -1, 2)})
+    SELECT scan_id.s AS scan_id, CAST(scan_id.c AS int) AS coil, scan_id.n AS nex, scan_id.y AS ky, scan_id.z AS z, i AS kx, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM d"""
+    )
+)
+def wb_raw_bundle_lines(fx):
+    """The k-space lines of the same bundle, sample by sample."""
+    lines = raw_bundle(fx).lines
+    keys = ["scan_id", "coil", "nex", "ky", "z"]
+    out = kspace.voxels(lines, keys, "kx")
+    return out.select(*keys, "kx", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motionlake.functions.sizes import Size, size
 from motionlake.operators import scan
 
 #: Bit numbers of the public raw-data format for readouts that are no image data: noise, navigator,
@@ -23,8 +24,8 @@ def keep_imaging(acq: DataFrame, mask: int = flag_mask()) -> DataFrame:
 
 def encoded_sizes(meta: DataFrame) -> DataFrame:
     """``n_slices``, ``n_reps``, ``n_partitions`` per scan: the header's maximum plus one, or one where it is null."""
-    size = lambda c: F.coalesce(F.col(c) + 1, F.lit(1)).cast("bigint")
-    return meta.select("scan_id", size("max_slice").alias("n_slices"), size("max_rep").alias("n_reps"), size("max_step2").alias("n_partitions"))
+    one_more = lambda c: F.coalesce(F.col(c) + 1, F.lit(1)).cast("bigint")
+    return meta.select("scan_id", one_more("max_slice").alias("n_slices"), one_more("max_rep").alias("n_reps"), one_more("max_step2").alias("n_partitions"))
 
 
 def volume_axis(acq: DataFrame, meta: DataFrame) -> DataFrame:
@@ -68,21 +69,26 @@ def dense_grid(lines: DataFrame, ny: int, values: tuple[str, ...], scan: str = "
     return grid.join(lines, [scan, axis], "left").select(scan, axis, *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values))
 
 
-def slice_counts(readouts: DataFrame, n_z: int) -> DataFrame:
-    """Lines of each slice, empty ones too, and whether the scan's slices have equally many."""
-    grid = readouts.select("scan_id").distinct().select("scan_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_z - 1).cast("bigint"))).alias("z"))
+def slice_counts(readouts: DataFrame, n_z: Size | None = None) -> DataFrame:
+    """Lines of each slice, empty ones too, and whether the scan's slices have equally many.
+
+    ``n_z`` is one number of slices, or a column with each scan's own; without it a scan's slices go up to the last seen.
+    """
+    last = F.max("z") if n_z is None else F.max(size(n_z)) - 1
+    per = readouts.groupBy("scan_id").agg(last.cast("bigint").alias("_last"))
+    grid = per.select("scan_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("z"))
     counts = grid.join(readouts.groupBy("scan_id", "z").agg(F.count("*").alias("n_lines")), ["scan_id", "z"], "left").fillna(0, ["n_lines"])
     range_ = counts.groupBy("scan_id").agg((F.min("n_lines") == F.max("n_lines")).alias("uniform"))
     return counts.join(range_, "scan_id")
 
 
-def slice_tables(readouts: DataFrame, n_z: int) -> DataFrame:
+def slice_tables(readouts: DataFrame, n_z: Size | None = None) -> DataFrame:
     """``readouts`` of the scans whose slices have equally many lines, with their chronological ``line_idx``."""
     good = slice_counts(readouts, n_z).filter("uniform").select("scan_id").distinct()
     return line_index(readouts.join(good, "scan_id", "left_semi"))
 
 
-def quarantine(readouts: DataFrame, n_z: int) -> DataFrame:
+def quarantine(readouts: DataFrame, n_z: Size | None = None) -> DataFrame:
     """Scans whose slices differ in lines, with the least and most."""
     return slice_counts(readouts, n_z).filter(~F.col("uniform")).groupBy("scan_id").agg(F.min("n_lines").alias("least"), F.max("n_lines").alias("most"))
 

@@ -23,10 +23,11 @@ def bin_motion(readouts: DataFrame, k: int, n_iter: int = 20, seed: int = 0, key
     The first centres are the k samples whose hash of seed, scan and key is least. Each round
     assigns every sample to the nearest centre, the lowest of equally near ones, and takes means; a
     cluster left empty starts again from the sample of the hash's next rank. Labels are those of the
-    last assignment and centres the means after it. All scans go through the rounds together. Centres
-    are broadcast while they take less than ``BROADCAST_BYTES``, and joined beyond; points are never
-    shuffled by a broadcast round, which adds up one partial sum per task, scan and label. Centres are written
-    to the shared folder every fifth round, which ends their lineage. Scans of fewer than k samples are left out.
+    last assignment and centres the means after it. All scans go through the rounds together. Rounds read
+    a scan's distinct values with their counts, so equal samples are one row and samples are read
+    only before the rounds and after them. Centres are broadcast while they take less than ``BROADCAST_BYTES``, and joined
+    beyond; values are never shuffled by a broadcast round, which adds up one partial sum per task, scan and label. Centres are
+    written to the shared folder every fifth round, which ends their lineage. Scans of fewer than k samples are left out.
     """
     few = too_few(readouts, k).select("scan_id")
     points = materialize(readouts.filter("motion is not null").join(few, "scan_id", "left_anti"))
@@ -37,11 +38,15 @@ def bin_motion(readouts: DataFrame, k: int, n_iter: int = 20, seed: int = 0, key
     held = F.broadcast if small else (lambda df: df)
     near = F.array_min(F.transform("c", lambda c, j: F.struct(F.abs(F.col("motion") - c).alias("d"), j.alias("j"))))["j"]
 
-    def assigned(state: DataFrame) -> DataFrame:
-        return points.join(held(state.select("scan_id", "c")), "scan_id").withColumn("label", near.cast("bigint"))
+    values = materialize(points.groupBy("scan_id", "motion").agg(F.count("*").alias("n")))
 
-    def moved(state: DataFrame, labelled: DataFrame, i: int) -> DataFrame:
-        means = labelled.groupBy("scan_id", "label").agg(F.avg("motion").alias("m"))
+    def assigned(rows: DataFrame, state: DataFrame) -> DataFrame:
+        return rows.join(held(state.select("scan_id", "c")), "scan_id").withColumn("label", near.cast("bigint"))
+
+    def moved(state: DataFrame, i: int) -> DataFrame:
+        # Rounding must not move the mean of equal values away from them, or ties fall to another cluster.
+        mean = F.greatest(F.min("motion"), F.least(F.max("motion"), F.sum(F.col("motion") * F.col("n")) / F.sum("n")))
+        means = assigned(values, state).groupBy("scan_id", "label").agg(mean.alias("m"))
         means = means.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("m"))
         spare = F.col("spare")[F.when(F.size("spare") > 0, F.pmod(F.lit(i), F.size("spare"))).otherwise(F.lit(0))]
         again = F.coalesce(spare, F.col("c")[0])
@@ -49,11 +54,11 @@ def bin_motion(readouts: DataFrame, k: int, n_iter: int = 20, seed: int = 0, key
         return state.join(means, "scan_id").select("scan_id", c.alias("c"), "spare")
 
     for i in range(n_iter - 1):
-        state = moved(state, assigned(state), i)
+        state = moved(state, i)
         if i % 5 == 4 or i == n_iter - 2:
             state = materialize(state)
-    labelled = assigned(state).drop("c")
-    centers = moved(state, labelled, n_iter - 1).select("scan_id", "c")
+    labelled = assigned(points, state).drop("c")
+    centers = moved(state, n_iter - 1).select("scan_id", "c")
     return labelled.join(held(centers), "scan_id").withColumn("center", F.col("c")[F.col("label").cast("int")]).drop("c")
 
 

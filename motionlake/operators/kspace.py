@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from motionlake.functions.complexes import product, square
 from motionlake.functions.sizes import Size, corner, size, upto
+from motionlake.operators import scan
 
 C = lambda re, im: (F.col(re), F.col(im))
 
@@ -91,13 +92,35 @@ def relative_error(a: DataFrame, b: DataFrame, keys: list[str], eps: float = 1e-
     return j.groupBy("scan_id").agg((F.sqrt(F.sum(gap)) / (F.sqrt(F.sum(square(C("re", "im")))) + eps)).alias("error"))
 
 
+def percentiles(img: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """``scan_id, n, q`` of ``img(scan_id, v)``: exact percentiles with linear interpolation, NaN above all numbers, nulls left out.
+
+    Distinct values with their counts are ordered in two levels, so that no task holds a scan's values and equal ones are one row.
+    """
+    counts = img.filter("v is not null").groupBy("scan_id", "v").agg(F.count("*").alias("_m"))
+    rows = scan.running(scan.bucketed(counts, ["scan_id"], ["v"]), ["scan_id"], ["v"], sums={"_upto": F.col("_m")}).drop(scan.BUCKET)
+    total = rows.groupBy("scan_id").agg(F.max("_upto").alias("n")).withColumnRenamed("scan_id", "_k")
+    placed = rows.join(total, F.col("scan_id").eqNullSafe(F.col("_k")))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_m") <= place) & (F.col("_upto") > place), F.col("v")))
+
+    spots = [(F.col("n") - 1) * F.lit(p) for p in shares]
+    edges = placed.groupBy("scan_id", "n").agg(*(at(f(x)).alias(f"_{f.__name__}{i}") for i, x in enumerate(spots) for f in (F.floor, F.ceil)))
+    between = [F.col(f"_floor{i}") + (F.col(f"_ceil{i}") - F.col(f"_floor{i}")) * (x - F.floor(x)) for i, x in enumerate(spots)]
+    return edges.select("scan_id", "n", F.array(*between).alias("q"))
+
+
 def robust_window(img: DataFrame, lo: float = 0.02, hi: float = 0.98, exact: bool = True) -> DataFrame:
     """``img(scan_id, voxel, v)`` with ``scaled``: clamped between two percentiles and mapped to [0, 1].
 
-    Percentiles interpolate linearly; ``exact=False`` takes a sketch of bounded size, for volumes.
+    Percentiles interpolate linearly; ``exact=False`` takes a sketch of bounded size instead of ordering values.
     """
-    q = F.percentile("v", F.array(F.lit(lo), F.lit(hi))) if exact else F.percentile_approx("v", [lo, hi], 10_000)
-    w = img.groupBy("scan_id").agg(q.alias("q")).select("scan_id", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    if exact:
+        q = percentiles(img, (lo, hi))
+    else:
+        q = img.groupBy("scan_id").agg(F.percentile_approx("v", [lo, hi], 10_000).alias("q"))
+    w = q.select("scan_id", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     return img.join(w, "scan_id").withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
 

@@ -14,6 +14,8 @@ SENSOR_SAMPLES = "scan_id bigint, sensor_id int, channel int, sensor_type string
 READOUTS = "scan_id bigint, z int, line_idx int, ky int, kz int, nex int, motion double"
 #: Sensor families: belts of two channels, accelerometers of three.
 SENSOR_TYPES = {"BELT": "BELT", "MARMOT": "MARMOT"}
+#: Lines of a slice that a row of a bundle holds at most.
+BLOCK_LINES = 1024
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -56,9 +58,13 @@ def drop_empty_sensors(samples: DataFrame, value: str = "value") -> DataFrame:
 
 
 def bundle_rows(bundle: DataFrame) -> DataFrame:
-    """A bundle's slices, whose lines are arrays (motion, idx_ky, idx_kz, idx_nex), as one row per readout."""
-    lines = bundle.select("scan_id", "z", F.posexplode(F.arrays_zip("motion", "idx_ky", "idx_kz", "idx_nex")).alias("line_idx", "l"))
-    return lines.select("scan_id", "z", "line_idx", F.col("l.idx_ky").alias("ky"), F.col("l.idx_kz").alias("kz"), F.col("l.idx_nex").alias("nex"), F.col("l.motion").alias("motion"))
+    """A bundle's blocks, whose lines are arrays (motion, idx_ky, idx_kz, idx_nex), as one row per readout.
+
+    A block begins at its ``first_line``; a bundle without that column has a slice's lines in one row, from 0.
+    """
+    first = F.col("first_line") if "first_line" in bundle.columns else F.lit(0)
+    lines = bundle.select("scan_id", "z", first.alias("_first"), F.posexplode(F.arrays_zip("motion", "idx_ky", "idx_kz", "idx_nex")).alias("_pos", "l"))
+    return lines.select("scan_id", "z", (F.col("_first") + F.col("_pos")).alias("line_idx"), F.col("l.idx_ky").alias("ky"), F.col("l.idx_kz").alias("kz"), F.col("l.idx_nex").alias("nex"), F.col("l.motion").alias("motion"))
 
 
 def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -66,18 +72,20 @@ def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/kspace_lines"), bundle_rows(spark.read.parquet(f"{path}/bundle"))
 
 
-def write_bundle(lines: DataFrame, readouts: DataFrame, path: str, nex_source: str = "repetition") -> None:
-    """Write lines by scan, and readouts as one row per scan and slice; the repetitions seen and their source stand as columns.
+def write_bundle(lines: DataFrame, readouts: DataFrame, path: str, nex_source: str = "repetition", block: int = BLOCK_LINES) -> None:
+    """Write k-space lines, and readouts in blocks of ``block`` lines of a slice; the repetitions seen and their source stand as columns.
 
-    Lines are rebalanced by scan before they are written, so that tasks don't each write a file for every
-    scan, and adaptive execution splits a large scan.
+    A slice's ``line_idx`` run from 0 without gaps. Lines are rebalanced by scan and sorted in their files: adaptive execution
+    splits a large scan and puts small ones together, so that files are bounded by size, and a scan is found by row groups.
     """
     seen = readouts.groupBy("scan_id").agg(F.sort_array(F.collect_set("nex")).alias("nex_values"))
     matrix = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("line_idx", c))), lambda x: x[c])
-    slices = readouts.groupBy("scan_id", "z").agg(*(matrix(c).alias(c) for c in ("motion", "ky", "kz", "nex")))
+    blocks = readouts.withColumn("_block", F.floor(F.col("line_idx") / block)).groupBy("scan_id", "z", "_block")
+    slices = blocks.agg(F.min("line_idx").alias("first_line"), *(matrix(c).alias(c) for c in ("motion", "ky", "kz", "nex"))).drop("_block")
     bundle = slices.withColumnsRenamed({"ky": "idx_ky", "kz": "idx_kz", "nex": "idx_nex"})
     bundle.join(seen, "scan_id").withColumn("nex_source", F.lit(nex_source)).write.parquet(f"{path}/bundle")
-    lines.hint("rebalance", "scan_id").write.partitionBy("scan_id").parquet(f"{path}/kspace_lines")
+    order = [c for c in ("scan_id", "z", "coil", "nex", "ky") if c in lines.columns]
+    lines.hint("rebalance", "scan_id").sortWithinPartitions(*order).write.parquet(f"{path}/kspace_lines")
 
 
 def ingest_images(pixels: DataFrame) -> DataFrame:

@@ -33,3 +33,21 @@ def test_results_and_sensors(spark):
 def test_flat_image_becomes_zero(spark):
     px = spark.createDataFrame([(1, v, 5.0, 5.0, 5.0) for v in range(4)], "image_id long, voxel long, r double, g double, b double")
     assert {r.v for r in tables.ingest_images(px).collect()} == {0.0}
+
+
+def test_slices_in_blocks_and_few_files(spark):
+    rows = [(s, 0, i, i % 8, 0, 0, float(i)) for s in range(40) for i in range(25 if s == 7 else 3)]
+    readouts = spark.createDataFrame(rows, "scan_id long, z int, line_idx int, ky int, kz int, nex int, motion double")
+    lines = readouts.select("scan_id", "ky", F.array("motion").alias("re"), F.array(F.lit(0.0)).alias("im"))
+    path = tables.shared_path(spark)
+    tables.write_bundle(lines, readouts, path, block=10)
+    back_lines, back = tables.read_bundle(spark, path)
+    assert sorted(map(tuple, back.select("scan_id", "z", "line_idx", "ky", "kz", "nex", "motion").collect())) == sorted(rows)
+    blocks = spark.read.parquet(f"{path}/bundle").filter("scan_id = 7").select("first_line", F.size("motion").alias("n")).collect()
+    assert sorted(map(tuple, blocks)) == [(0, 10), (10, 10), (20, 5)]
+    assert back_lines.count() == len(rows) and len(back_lines.inputFiles()) <= 8
+
+
+def test_bundle_without_blocks(spark):
+    old = spark.createDataFrame([(1, 0, [1.0, 2.0], [3, 4], [0, 0], [0, 1])], "scan_id long, z int, motion array<double>, idx_ky array<int>, idx_kz array<int>, idx_nex array<int>")
+    assert [tuple(r) for r in tables.bundle_rows(old).orderBy("line_idx").collect()] == [(1, 0, 0, 3, 0, 0, 1.0), (1, 0, 1, 4, 0, 1, 2.0)]
