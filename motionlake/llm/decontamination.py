@@ -9,10 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.llm.common import map_batches
+from motionlake.llm.common import bounded_batches, filesystem, shared_dir
 
 #: The bits in which a fingerprint of 64 may differ from an item's. Both are cut into four blocks of 16 bits. Were three
 #: blocks to differ in more than BLOCK_RADIUS bits each, the whole would differ in more than the radius, so the
@@ -21,8 +23,8 @@ RADIUS, BLOCK_RADIUS, BLOCKS = 14, 4, 4
 assert RADIUS < (BLOCKS - 1) * (BLOCK_RADIUS + 1)
 #: Sizes of windows grow by SIZE_STEP, and windows begin at every STRIDE-th part of their size, or at every word if that is less.
 SIZE_STEP, STRIDE = 1.12, 8
-#: Items, and characters of them, that tasks get at once; a longer benchmark is gone through in blocks.
-BLOCK_ITEMS, BLOCK_CHARS = 4096, 8 << 20
+#: Items, and characters of them, that a task holds at once; a longer benchmark is gone through in blocks, by about GATHER_CHARS of texts at a time.
+BLOCK_ITEMS, BLOCK_CHARS, GATHER_CHARS = 4096, 8 << 20, 32 << 20
 #: Words whose codes a task keeps, and shingles fingerprinted at once.
 CACHE_WORDS, ROUND_SHINGLES = 400_000, 16_384
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -240,67 +242,109 @@ class Matcher:
             out[k].append((item_id, int(place[s]), n, d, similarity))
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, at most ``BLOCK_ITEMS`` and about ``BLOCK_CHARS`` characters at a time, read once."""
+def write_items(benchmark: DataFrame) -> str:
+    """URI of a folder in the shared one with the benchmark's items, but for those with a null id or text."""
+    uri = shared_dir(benchmark.sparkSession)
+    benchmark.select(F.col("item_id").cast("bigint"), "text").filter("item_id is not null and text is not null").write.parquet(uri)
+    return uri
+
+
+def item_blocks(uri: str, most: int) -> Iterator[list[tuple[int, str]]]:
+    """The items of :func:`write_items`, at most ``most`` and about ``BLOCK_CHARS`` characters at a time; one empty block if there are none."""
+    fs, folder = filesystem(uri)
     held, chars = [], 0
-    for r in benchmark.select(F.col("item_id").cast("bigint"), "text").filter("item_id is not null and text is not null").toLocalIterator():
-        if len(held) == BLOCK_ITEMS or chars > BLOCK_CHARS:
-            yield held
-            held, chars = [], 0
-        held.append((r[0], r[1]))
-        chars += len(r[1])
+    for info in sorted(fs.get_file_info(FileSelector(folder)), key=lambda i: i.path):
+        if not info.path.endswith(".parquet"):
+            continue
+        with fs.open_input_file(info.path) as file:
+            for batch in ParquetFile(file).iter_batches(512):
+                for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if len(held) == most or chars > BLOCK_CHARS:
+                        yield held
+                        held, chars = [], 0
+                    held.append((item_id, text))
+                    chars += len(text)
     yield held
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+class Finder:
+    """:meth:`Matcher.find_all` for a whole benchmark inside a task, which holds one block of items at a time.
+
+    The block of a benchmark that is only one is kept. Otherwise texts are gathered up to ``GATHER_CHARS``, and
+    the blocks are gone through once for all of them, so that building a block's tables is small beside using them.
+    """
+
+    def __init__(self, uri: str, width: int, threshold: float, block_items: int):
+        self.uri, self.width, self.threshold, self.block_items = uri, width, threshold, block_items
+        blocks = item_blocks(uri, block_items)
+        first = next(blocks)
+        self.only = Matcher(first, width, threshold) if next(blocks, None) is None else None
+
+    def find_all(self, texts: list[str]) -> list[list[tuple[int, int, int, int, float]]]:
+        if self.only:
+            return self.only.find_all(texts)
+        best: list[dict[int, tuple]] = [{} for _ in texts]
+        for items in item_blocks(self.uri, self.block_items):
+            for own, found in zip(best, Matcher(items, self.width, self.threshold).find_all(texts)):
+                for m in found:
+                    if m[0] not in own or (-m[4], m[1]) < (-own[m[0]][4], own[m[0]][1]):
+                        own[m[0]] = m
+        return [sorted(own.values()) for own in best]
+
+    def over(self, batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+        """Each batch with what its texts, null ones as empty, contain."""
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch, [t or "" for t in batch.column(text).to_pylist()]))
+            size += sum(map(len, held[-1][1]))
+            if self.only or size >= GATHER_CHARS:
+                yield from self._all(held)
+                held, size = [], 0
+        yield from self._all(held)
+
+    def _all(self, held: list) -> Iterator[tuple[pa.RecordBatch, list]]:
+        found = self.find_all([t for _, texts in held for t in texts]) if held else []
+        at = 0
+        for batch, texts in held:
+            yield batch, found[at : at + len(texts)]
+            at += len(texts)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """A row per document and item that it contains.
 
     ``doc_id, item_id, start_word, n_words, distance, similarity``: the best window, the first of equal
     ones. Items of fewer than ``width`` words are one shingle, so only the same words count; items
     without words, or with a null id or text, are never found. Null and empty texts contain nothing.
-    Repeated documents each give their rows; other columns don't matter. Every task holds one
-    block of items, whose size is bounded; documents are not shuffled.
+    Repeated documents each give their rows; other columns don't matter. Items are written to the shared folder, from which
+    every task takes a block at a time; documents are read once and not shuffled, whatever the number of items.
     """
-    spark, out = docs.sparkSession, None
-    for items in item_blocks(benchmark):
-        held = spark.sparkContext.broadcast(items)
-
-        def make(held=held):
-            matcher = Matcher(held.value, width, threshold)
-
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                found = matcher.find_all([t or "" for t in batch.column(1).to_pylist()])
-                rows = [(doc, *m) for doc, own in zip(batch.column(0).to_pylist(), found) for m in own]
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-                columns = zip(*rows) if rows else [()] * 6
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
+    uri = write_items(benchmark)
 
-            return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in Finder(uri, width, threshold, block_items).over(batches, 1):
+            rows = [(doc, *m) for doc, own in zip(batch.column(0).to_pylist(), found) for m in own]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+            columns = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
+        pa.default_memory_pool().release_unused()
 
-        found = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), make, "doc_id bigint, item_id bigint, start_word bigint, n_words int, distance int, similarity double")
-        out = found if out is None else out.unionByName(found)
-    return out
+    texts = bounded_batches(docs.select(F.col("doc_id").cast("bigint"), "text"))
+    return texts.mapInArrow(run, "doc_id bigint, item_id bigint, start_word bigint, n_words int, distance int, similarity double")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``docs`` without the documents that contain an item, see :func:`leaks`.
 
     Rows with a null or empty text stay, and so do repeated rows, which are judged alike. All columns pass
     through, whatever their names; an empty table, or one of items, drops nothing.
     """
-    spark, i = docs.sparkSession, docs.columns.index("text")
+    uri, i = write_items(benchmark), docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for items in item_blocks(benchmark):
-        held = spark.sparkContext.broadcast(items)
-
-        def make(held=held):
-            matcher = Matcher(held.value, width, threshold)
-
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                found = matcher.find_all([t or "" for t in batch.column(i).to_pylist()])
-                return batch.filter(pa.array([not own for own in found], pa.bool_()))
 
-            return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in Finder(uri, width, threshold, block_items).over(batches, i):
+            yield batch.filter(pa.array([not own for own in found], pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
-        docs = map_batches(docs, make, schema)
-    return docs
+    return bounded_batches(docs).mapInArrow(run, schema)

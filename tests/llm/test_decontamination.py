@@ -81,20 +81,39 @@ def test_against_all_windows(monkeypatch):
         assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
 
 
-def test_odd_documents_and_items(spark, odd_docs, odd_rows, no_docs, monkeypatch):
+def test_odd_documents_and_items(spark, odd_docs, odd_rows, no_docs):
     items = [(1, "plain words here"), (2, None), (None, "plain"), (3, ""), (4, "id É ñ"), (5, odd_rows[3][1][:400])]
     bench = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, doc_id string")
     for most in (4096, 2):
-        monkeypatch.setattr(D, "BLOCK_ITEMS", most)
-        found = sorted((r.doc_id is None, r.doc_id, r.item_id) for r in D.leaks(odd_docs, bench).collect())
+        found = sorted((r.doc_id is None, r.doc_id, r.item_id) for r in D.leaks(odd_docs, bench, block_items=most).collect())
         assert found == [(False, 4, 5), (False, 5, 1), (False, 5, 1), (True, None, 4)]
-        left = D.decontaminate(odd_docs, bench)
+        left = D.decontaminate(odd_docs, bench, block_items=most)
         clash = odd_docs.withColumnsRenamed({"piece": "item_id", "kept": "distance"})
         assert D.decontaminate(clash, bench).columns == clash.columns
         assert left.columns == odd_docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 7, 8]
     assert D.leaks(no_docs, bench).count() == 0 and D.leaks(odd_docs, bench.limit(0)).count() == 0
 
 
+def test_one_python_node_whatever_the_number_of_items(spark):
+    random.seed(7)
+    vocab = [f"w{i}" for i in range(900)]
+    items = [(i, " ".join(random.choices(vocab, k=20))) for i in range(10_000)]
+    docs = spark.createDataFrame([(k, " ".join([*random.choices(vocab, k=30), items[i][1]])) for k, i in enumerate((5, 4096, 9_999))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = D.leaks(docs, bench)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(0, 5), (1, 4096), (2, 9_999)]
+    assert D.decontaminate(docs, bench).count() == 0
+
+
+def test_an_item_of_two_blocks_is_found_once(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven"), (1, "one two three four five six eight")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so one two three four five six eight it is")], "doc_id long, text string")
+    got = [(r.item_id, r.start_word, r.similarity) for r in D.leaks(docs, bench, block_items=1).collect()]
+    assert got == [(1, 1, 1.0)]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
