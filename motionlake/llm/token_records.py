@@ -34,6 +34,8 @@ MASK = 0xA282EAD8
 HEAD, FRAME = struct.Struct("<qBI"), struct.Struct("<QI")
 #: Bytes fetched at once, and bytes of records, and records, after which a file is closed.
 READ_BYTES, FILE_BYTES, FILE_RECORDS = 8 << 20, 64 << 20, 1_000_000
+#: Bytes of text that a task encodes and writes, on average.
+PART_BYTES = 512 << 20
 
 
 def masked(data: bytes) -> int:
@@ -90,14 +92,16 @@ class RecordFile:
 def write_records(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 2, parts: int | None = None) -> DataFrame:
     """Encode all texts and write them in ascending order of ``doc_id``; one row per file: ``part, file, records, ids, bytes``.
 
-    Documents are range-partitioned by id and a hash of the text, into ``parts`` or the session's number of
-    shuffle partitions, and each task writes its part as a stream of files of about ``FILE_BYTES``. A task
+    Documents are range-partitioned by id and a hash of the text, into ``parts``, or one for every ``PART_BYTES`` of text and
+    at least the session's number of shuffle partitions, and each task writes its part as a stream of files of about ``FILE_BYTES``. A task
     holds one batch of texts. A file gets its name when complete, and a task that is run again replaces it.
     Null texts are empty; null ids come first; rows of one id, null too, are in the order of the hash and may be dealt
     over several parts, but rows that repeat whole are in one. The folder ``uri`` must be one that all executors see.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 

@@ -137,3 +137,13 @@ def test_damaged_records_are_found(spark, odd_docs):
 def test_file_system_of_plain_uri():
     fs, path = filesystem("file:///tmp")
     assert path == "/tmp"
+
+
+def test_parts_follow_the_bytes_of_text(spark, no_docs, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(200)], "doc_id long, text string")
+    for size, parts in ((1 << 30, range(1, 5)), (1000, range(15, 21))):
+        monkeypatch.setattr(token_records, "PART_BYTES", size)
+        manifest = token_records.write_records(docs, shared_dir(spark), PATH)
+        assert manifest.select("part").distinct().count() in parts
+        assert sum(r.records for r in manifest.collect()) == 200
+    assert token_records.write_records(no_docs, shared_dir(spark), PATH).count() == 0
