@@ -123,13 +123,12 @@ class Lexicon:
         return read
 
 
-def learn_lexicon(labelled: DataFrame, least_contexts: int = 3, least_ratio: float = 2.0, most_terms: int = 20_000, most_kept: int = 4_000) -> Lexicon:
+def learn_lexicon(labelled: DataFrame, least_contexts: int = 3, least_ratio: float = 2.0) -> Lexicon:
     """The lexicon of ``labelled(text, label)``, a bounded sample.
 
     A term must follow at least ``least_contexts`` different words in toxic texts, so that copies
-    of one text don't make its words toxic; of these the ``most_terms`` with most contexts are
-    counted in all sampled texts, by text. Kept are the ``most_kept`` of greatest log ratio of toxic to other
-    texts, if it is ``least_ratio`` at least.
+    of one text don't make its words toxic. All such terms are counted in all sampled texts, by text, and kept if
+    their log ratio of toxic to other texts is ``least_ratio`` at least. Only the sample's size bounds the lexicon.
     """
 
     def contexts():
@@ -146,7 +145,7 @@ def learn_lexicon(labelled: DataFrame, least_contexts: int = 3, least_ratio: flo
 
     found = map_batches(labelled.filter("label = 1").select("text"), contexts, "term string, before string")
     seen = found.distinct().groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= least_contexts)
-    candidates = frozenset(r["term"] for r in seen.orderBy(F.desc("n"), "term").limit(most_terms).collect())
+    candidates = frozenset(r["term"] for r in seen.select("term").collect())
     held = labelled.sparkSession.sparkContext.broadcast(candidates)
 
     def counts():
@@ -164,8 +163,7 @@ def learn_lexicon(labelled: DataFrame, least_contexts: int = 3, least_ratio: flo
     df = {r["term"]: (r["toxic"], r["other"]) for r in map_batches(labelled.select("text", "label"), counts, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect()}
     toxic, other = df.pop("", (0, 0))
     weight = {t: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (other + 1)) for t, (a, b) in df.items()}
-    best = sorted((-w, t) for t, w in weight.items() if w >= least_ratio)[:most_kept]
-    return Lexicon({t: -w for w, t in best})
+    return Lexicon({t: w for t, w in sorted(weight.items()) if w >= least_ratio})
 
 
 def sample_labels(labels: DataFrame, most_rows: int) -> DataFrame:
@@ -239,6 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_r
     rows = with_features(labelled, lexicon).select(
         array_to_vector("_features").alias("_vector"), F.col("_row.label").cast("double").alias("label"), F.pmod(F.xxhash64("_row.text"), F.lit(4)).alias("part")
     )
+    # The sample's features are a few megabytes, whatever the input: a handful of partitions keeps the many fitting stages small.
     rows = materialize(rows.select(vector_to_array("_vector").alias("f"), "label", "part")).select(array_to_vector("f").alias("_vector"), "label", "part").coalesce(6)
     if rows.filter("part > 0").select("label").distinct().count() < 2:
         return Model(lexicon, prior)

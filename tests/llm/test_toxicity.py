@@ -1,5 +1,7 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from motionlake.llm import toxicity as T
@@ -7,6 +9,10 @@ from motionlake.llm.common import fold, fold_column
 from motionlake.llm.queries import op1_toxicity
 
 
+_WORDS = "You your 1d10t IDIOT idiots idiooot s.c.u.m scum! SCUM, scumbag loser losers waall w@11 table Chair x1 a -- 42 (vous) dich! não é «ß» ***".split()
+TEXTS = [None, "", " ", "!", *(" ".join(random.Random(n).choices(_WORDS, k=n)) for n in (1, 2, 3, 7, 20, 60, 150, 400)), "calm words only, nothing else.", "scum " * 3 + "rest " * 300 + "you idiot"]
+
+
 def test_held_out_texts_are_told_apart(spark):
     sf = "/root/testdata/sf0.01"
     out = op1_toxicity(spark, sf)
@@ -30,6 +36,70 @@ def test_obfuscated_spelling_and_second_person():
     assert late["densest"] == 0.1
 
 
+def plainly(text, weights):
+    """The features of a text, counted word by word."""
+
+    def bare(w):
+        return w.lower().strip(".,;:!?'\"()[]{}<>|*#$%&_-=+/\\~")
+
+    def letters(w):
+        read = [dict(zip("013457@$!|", "oieastasil")).get(c, c) for c in w.lower()]
+        read = [c for c in read if c.isalpha()]
+        return [c for i, c in enumerate(read) if i == 0 or read[i - 1] != c]
+
+    words, at, you, found = text.split(), [], [], []
+    word = stem = masked = odd = capitals = 0
+    for k, w in enumerate(words):
+        p = bare(w)
+        own = weights.get("=" + p, 0)
+        hidden = 0
+        if not own and (not p.isalpha() or any(p[i] == p[i + 1] for i in range(len(p) - 1))):
+            # Of terms that read alike, the one later in the lexicon counts.
+            for t, x in weights.items():
+                if t[0] == "=" and letters(t[1:]) == letters(w):
+                    hidden = x
+            plainer = 0
+            for t, x in weights.items():
+                if t[0] == "=" and letters(t[1:]) == letters(p):
+                    plainer = x
+            hidden = max(hidden, plainer)
+        begun = max([weights.get(p[:n] + "-", 0) for n in (4, 5) if len(p) > n], default=0)
+        word, stem, masked = word + (own > 0 or hidden > 0), stem + (begun > 0), masked + (hidden > 0)
+        odd += not p.isalpha() and any(c.isalpha() for c in p) and any(c in "013457@$!|*" for c in p)
+        capitals += len(p) > 2 and p.isalpha() and w.strip(".,;:!?") == p.upper()
+        if p in T.SECOND_PERSON:
+            you.append(k)
+        if max(own, hidden, begun):
+            at.append(k)
+            found.append(max(own, hidden, begun))
+    n, size = len(words) or 1, len(text.encode()) or 1
+    share = lambda signs: sum(c in signs for c in text) / size
+    return {
+        "log_words": math.log(1 + len(words)), "word_density": word / n, "stem_density": stem / n, "hits": len(at), "log_hits": math.log(1 + len(at)),
+        "distinct": len({words[k] for k in at}), "most_weight": max(found, default=0), "mean_weight": sum(found) / (len(found) or 1),
+        "near_second_person": sum(any(abs(k - j) <= 5 for j in you) for k in at) / n, "second_person": len(you) / n, "obfuscated_hits": masked / n,
+        "obfuscated": odd / n, "capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "capital_words": capitals / n, "punctuation": share(".,;:'\"()-"),
+        "shouts": share("!?"), "signs": share("@#$%^&*_+=~<>|/\\[]{}"), "digits": share("0123456789"),
+        "densest": max((sum(k <= j < k + 100 for j in at) for k in at), default=0) / min(n, 100),
+    }
+
+
+def test_features_match_a_plain_count(spark):
+    weights = {"=idiot": 3.0, "=scum": 2.0, "=loser": 2.5, "=wall": 2.1, "idio-": 2.2, "losers-": 9.0, "lose-": 2.05, "scumb-": 2.4}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    rows = {r._row.doc_id: r._features for r in T.with_features(docs, T.Lexicon(weights)).collect()}
+    for i, t in enumerate(TEXTS):
+        want = plainly(t or "", weights)
+        assert dict(zip(T.FEATURES, rows[i])) == pytest.approx(want), t
+
+
+def test_lexicon_has_no_size_but_the_sample(spark):
+    """Hundreds of toxic words, each after three different words, are all kept."""
+    toxic = [(" ".join(f"ctx{j} vile{k:04d}x" for k in range(9000)), 1) for j in range(3)]
+    weights = T.learn_lexicon(spark.createDataFrame([*toxic, *[("ctx0 ctx1 ctx2 table chair", 0)] * 20], "text string, label int"), least_ratio=1.0).weights
+    assert {f"=vile{k:04d}x" for k in range(9000)} <= set(weights)
+
+
 def test_odd_documents_labels_and_no_classes(spark, odd_docs, odd_rows, no_docs):
     random.seed(1)
     words = [f"word{i}" for i in range(50)]
