@@ -21,15 +21,15 @@ from motionlake.llm.common import bounded_batches, map_batches, materialize, tex
 from motionlake.llm.components import connected_components
 from motionlake.llm.simhash_dedup import BITS, PAIRS_OF_CHUNKS, bit_sliced_links, fingerprint, first_rows, row_hash
 
-#: Classes of a shingle that one unit of comparison may hold from either side.
-CHUNK_ROWS = 1024
+#: Sets, and shingles of them, that one unit of comparison holds from either side on average.
+CHUNK_ROWS, CHUNK_SHINGLES = 1024, 2_000_000
 #: Columns of a fingerprint of 256 bits, and odd numbers by which hashes are mixed for them.
 WORDS = ("_f0", "_f1", "_f2", "_f3")
 _ODD = np.array([1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 #: Rows of candidates whose ids are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Slots of hashes in which the shingles of all documents are counted.
-SLOTS = 1 << 16
+#: Slots of hashes in which the shingles of all documents are counted, as powers of two: one slot for this many bytes of text, between two bounds.
+SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 512, 16, 24
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -42,22 +42,38 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), dtype="<u8", count=n).view(np.int64))
 
 
+def slots_for(text_bytes: int) -> int:
+    """Slots of one row of counts: they grow with the text, up to 16.8 million, whose two rows take 64 MB."""
+    return 1 << min(max((text_bytes // SLOT_BYTES).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+
+
+def slots_of(s: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash's slot in either row of counts; different bits choose them, so that a common shingle lifts a rare one only if it meets one in both rows."""
+    return s & (slots - 1), slots + ((s >> 32) & (slots - 1))
+
+
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many shingles of all documents fall in each slot, where common ones stand out. They only order shingles: any order gives the same pairs."""
+    """How common shingles of all documents are: two rows of slots, each with the logarithm of its shingles as a small integer.
+
+    The lesser of a shingle's two slots bounds its count from above. They only order shingles: any order gives the same pairs.
+    """
+    slots = slots_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(SLOTS, np.int64)
+        held = np.zeros(2 * slots, np.int32)
         for batch in batches:
-            if batch.num_rows:
-                held += np.bincount(np.concatenate([shingles(t, width) for t in texts_of(batch)]) & (SLOTS - 1), minlength=SLOTS)
-        slots = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(held[slots])], names=["slot", "n"])
+            for text in texts_of(batch):
+                for at in slots_of(shingles(text, width), slots):
+                    np.add.at(held, at, np.int32(1))
+        found = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(held[found])], names=["slot", "n"])
         pa.default_memory_pool().release_unused()
 
-    found = bounded_batches(docs.select("text")).mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return counts
+    level = F.floor(500 * F.log2(F.sum("n") + 1)).cast("smallint")
+    found = bounded_batches(docs.select("text")).mapInArrow(count, "slot int, n int").groupBy("slot").agg(level.alias("level")).toPandas()
+    levels = np.zeros(2 * slots, np.int16)
+    levels[found["slot"].to_numpy()] = found["level"].to_numpy()
+    return levels
 
 
 def wide_fingerprint(s: np.ndarray) -> np.ndarray:
@@ -75,10 +91,12 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))
 
     def make():
-        counts = held.value
+        levels = held.value
+        slots = len(levels) // 2
 
         def first(s: np.ndarray) -> np.ndarray:
-            s = s[np.argsort(counts[s & (SLOTS - 1)], kind="stable")]
+            a, b = slots_of(s, slots)
+            s = s[np.argsort(np.minimum(levels[a], levels[b]), kind="stable")]
             return s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -97,11 +115,11 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     return materialize(map_batches(docs.select("doc_id", "_row", "text"), make, f"doc_id {kind}, _row bigint, key bigint, size int, {', '.join(f'{w} bigint' for w in WORDS)}, first array<bigint>"))
 
 
-def radius_for(threshold: float) -> int:
-    """Bits in which the fingerprints of sets of that similarity differ, 3.5 deviations beyond what is expected."""
+def radius_for(threshold: float, deviations: float | None = 4.5) -> int:
+    """Bits in which the fingerprints of sets of that similarity differ, ``deviations`` beyond what is expected; None: all bits, which excludes nothing."""
     share = math.acos(2 * threshold / (1 + threshold)) / math.pi
     bits = BITS * len(WORDS)
-    return min(round(bits * share + 3.5 * math.sqrt(bits * share * (1 - share))), bits)
+    return bits if deviations is None else min(round(bits * share + deviations * math.sqrt(bits * share * (1 - share))), bits)
 
 
 def forest(keys: np.ndarray, values: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
@@ -129,7 +147,7 @@ def forest(keys: np.ndarray, values: list[np.ndarray], threshold: float) -> Iter
             starts = np.cumsum(sizes[left]) - sizes[left]
 
 
-def candidate_classes(rows: DataFrame, threshold: float) -> DataFrame:
+def candidate_classes(rows: DataFrame, threshold: float, deviations: float | None) -> DataFrame:
     """``(key, root)``: classes of sets joined by fingerprints within :func:`radius_for` the similarity, of those that share a first shingle.
 
     Two sets of at least the similarity share one of their first shingles, in any order common to all, so fingerprints are compared
@@ -146,21 +164,22 @@ def candidate_classes(rows: DataFrame, threshold: float) -> DataFrame:
     buckets = buckets.groupBy("n", "s", "x").agg(F.min(F.struct("h", "g")).alias("p")).select("p.h", "p.g", "n")
     prints = rows.groupBy("key").agg(*(F.first(w).alias(w) for w in WORDS))
     units = pairs.join(buckets, ["h", "g"]).join(prints, "key").select(F.col("h").alias("t"), F.col("g").alias("v"), "n", F.col("key").alias("_key"), *WORDS)
-    roots = materialize(connected_components(bit_sliced_links(units, radius_for(threshold), WORDS)))
+    roots = materialize(connected_components(bit_sliced_links(units, radius_for(threshold, deviations), WORDS)))
     return roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
+def similar_links(docs: DataFrame, rows: DataFrame, width: int, threshold: float, deviations: float | None = 4.5) -> DataFrame:
     """``(u, v)`` keys: links that join all sets of ``rows`` (the :func:`signatures` of ``docs``) with at least the similarity.
 
     Candidates are the :func:`candidate_classes`. Within each, whole sets decide, made again from the texts of one row for each set.
-    A class of many sets is cut into chunks, whose pairs are units; a unit gives at most as many links as it has rows.
+    A class of many sets, or of long ones, is cut into chunks, whose pairs are units; a unit gives at most as many links as it has rows.
     """
-    members = materialize(candidate_classes(rows, threshold))
-    chunks = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("c"))
-    units = members.join(chunks, "root").withColumn("m", F.pmod(F.xxhash64("key"), "c").cast("int")).select("root", "key", F.explode(F.expr(PAIRS_OF_CHUNKS)).alias("p"))
-    one = rows.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("_row", "doc_id")).alias("o"))
-    units = materialize(units.join(one, "key").select("root", "p.i", "p.j", "key", F.col("o._row").alias("_hash"), F.col("o.doc_id").alias("_id")))
+    members = materialize(candidate_classes(rows, threshold, deviations))
+    one = rows.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("_row", "doc_id")).alias("o"), F.first("size").alias("size"))
+    members = materialize(members.join(one, "key"))
+    chunks = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("c"))
+    units = members.join(chunks, "root").withColumn("m", F.pmod(F.xxhash64("key"), "c").cast("int")).select("root", "key", "o", F.explode(F.expr(PAIRS_OF_CHUNKS)).alias("p"))
+    units = materialize(units.select("root", "p.i", "p.j", "key", F.col("o._row").alias("_hash"), F.col("o.doc_id").alias("_id")))
     if units.count() <= BROADCAST_ROWS:
         units = F.broadcast(units)
     texts = units.join(docs.select("doc_id", "_row", "text"), [F.col("_hash") == F.col("_row"), F.col("_id").eqNullSafe(F.col("doc_id"))])
@@ -189,19 +208,20 @@ def similar_links(docs: DataFrame, rows: DataFrame, width: int, threshold: float
     return bounded_batches(dealt).mapInArrow(compare, "u bigint, v bigint")
 
 
-def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8, deviations: float | None = 4.5) -> DataFrame:
     """``docs`` with one row of each class of near copies: the smallest ``doc_id``, then the smallest row hash.
 
     Near copies are joined by chains of rows whose sets of lower-case ``width``-word shingles have
     a Jaccard similarity of at least ``threshold``; a text of fewer words is one shingle, and texts
     without words, null ones too, are one class. Fingerprints of 256 bits choose the pairs that are compared
-    by whole sets: one in some thousands of pairs of just the threshold lies beyond their radius. Null ids go last; of rows
+    by whole sets, within ``deviations`` standard deviations of the distance expected at the threshold: at 4.5, three in a million
+    pairs of just the threshold lie beyond. With None whole sets decide on all sets that share a rare shingle, which loses no pair. Null ids go last; of rows
     that repeat whole one stays; all columns stay, whatever their names; an empty table gives none.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     texts = docs.select("doc_id", row_hash(docs), "text")
     rows = signatures(texts, width, threshold)
-    roots = materialize(connected_components(similar_links(texts, rows, width, threshold)))
+    roots = materialize(connected_components(similar_links(texts, rows, width, threshold, deviations)))
     classes = rows.join(roots, rows["key"] == roots["node"], "left").select("doc_id", "_row", F.coalesce("root", "key").alias("_class"))
     return first_rows(docs, classes)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -33,10 +34,11 @@ def brute(rows, width=5, threshold=0.8):
     return sorted(min(g) for g in groups.values())
 
 
-@pytest.mark.parametrize("chunk", [1024, 2])
-def test_stage_finds_every_similar_pair(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, long, deviations", [(1024, 2_000_000, 4.5), (2, 2_000_000, 4.5), (1024, 300, None)])
+def test_stage_finds_every_similar_pair(spark, monkeypatch, chunk, long, deviations):
     """With four bits of 4-word fingerprints, most of the copies with several changed words stayed."""
     monkeypatch.setattr(N, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(N, "CHUNK_SHINGLES", long)
     r = random.Random(7)
     words = [f"w{k}" for k in range(3000)]
     rows, common = [], " ".join(r.choices(words, k=12))
@@ -50,6 +52,21 @@ def test_stage_finds_every_similar_pair(spark, monkeypatch, chunk):
             rows.append((100 * i + k, " ".join(copy)))
     rows += [(5000, None), (5001, ""), (5002, "one"), (5003, "ONE"), (5004, common), (5005, rows[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in N.keep_one(docs, deviations=deviations).collect()) == brute(rows)
+
+
+def test_slots_grow_and_bound_counts(spark, monkeypatch):
+    """Each slot pair bounds a shingle's count from above, and few slots change no result."""
+    monkeypatch.setattr(N, "LEAST_SLOTS", 6)
+    assert N.slots_for(0) == 64 and N.slots_for(1 << 29) == 1 << 21 and N.slots_for(1 << 60) == 1 << 24
+    rows = [(k, " ".join(f"w{(k * 7 + i) % 40}" for i in range(60 + k % 5))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    levels, counts = N.shingle_counts(docs, 5), {}
+    for _, t in rows:
+        for h in N.shingles(t.encode(), 5).tolist():
+            counts[h] = counts.get(h, 0) + 1
+    a, b = N.slots_of(np.array(list(counts)), len(levels) // 2)
+    assert (np.minimum(levels[a], levels[b]) >= np.floor(500 * np.log2(np.array(list(counts.values())) + 1)) - 1).all()
     assert sorted(r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()) == brute(rows)
 
 
