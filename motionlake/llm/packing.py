@@ -51,7 +51,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
     Longest first, each goes into the open bin for which the sum over all gaps of the squared
     count of open bins with that gap becomes smallest; on ties into the fullest of these. A new
-    bin is opened where none has room.
+    bin is opened only where none has room: opening one is never weighed in the sum, by choice, for fewer bins.
     """
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     count = np.zeros(size + 1, np.int64)

@@ -143,11 +143,12 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def scan(docs: DataFrame, ranks: str) -> DataFrame:
-    """``docs`` with ``secrets``: an array of (start, end, kind), in code points, end exclusive.
+def scan(docs: DataFrame, ranks: str, name: str = "secrets") -> DataFrame:
+    """``docs`` with ``name``: an array of (start, end, kind), in code points, end exclusive.
 
     Sorted by start, then by kind in the order of ``KINDS``. Null and empty texts have an empty
-    array; whole texts are searched; other columns, repeated rows and empty tables pass through.
+    array; whole texts are searched; other columns, repeated rows and empty tables pass through, but a column
+    of that name is replaced.
     """
 
     def make():
@@ -155,12 +156,12 @@ def scan(docs: DataFrame, ranks: str) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             spans = [[{"start": a, "end": b, "kind": k} for a, b, k in all_spans(t, ranks)] for t in texts]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "secrets"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, name])
 
         return step
 
-    docs = docs.drop("secrets")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "secrets array<struct<start:bigint,`end`:bigint,kind:string>>"])
+    docs = docs.drop(name)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` array<struct<start:bigint,`end`:bigint,kind:string>>"])
     return map_batches(docs, make, schema)
 
 

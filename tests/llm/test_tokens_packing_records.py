@@ -59,6 +59,27 @@ def test_packing_is_gapless_and_near_the_bound(lengths):
     assert len(set(bins.tolist())) <= 2 * -(-sum(lengths) // 64)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=40))
+def test_packing_follows_the_sum_of_squares(lengths):
+    size, gaps, want = 12, [], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        tried = []
+        for k, gap in enumerate(gaps):
+            if gap >= lengths[i]:
+                after = [g for g in (*gaps[:k], gap - lengths[i], *gaps[k + 1 :]) if g]
+                tried.append((sum(after.count(g) ** 2 for g in set(after)), gap, k))
+        if tried:
+            _, gap, k = min(tried)
+        else:
+            gap, k = size, len(gaps)
+            gaps.append(size)
+        want[i] = size - gap
+        gaps[k] = gap - lengths[i]
+    bins, offsets = packing.sum_of_squares(np.array(lengths, np.int64), size)
+    assert offsets.tolist() == want and len(set(bins.tolist())) == len(gaps)
+
+
 def check_pieces(rows, pieces, size=2048):
     want = []
     for doc, text in rows:
