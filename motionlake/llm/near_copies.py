@@ -30,6 +30,8 @@ _ODD = np.array([1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB],
 BROADCAST_ROWS = 100_000
 #: Slots of hashes in which the shingles of all documents are counted, as powers of two: one slot for this many bytes of text, between two bounds.
 SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 512, 16, 24
+#: Slots whose levels are sent to the driver as one row.
+BLOCK_SLOTS = 1 << 16
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -69,11 +71,19 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(held[found])], names=["slot", "n"])
         pa.default_memory_pool().release_unused()
 
+    def block(rows: pa.Table) -> pa.Table:
+        at, levels = rows.column("slot").to_numpy(), np.zeros(BLOCK_SLOTS, np.int16)
+        levels[at % BLOCK_SLOTS] = rows.column("level").to_numpy()
+        return pa.table({"block": pa.array([int(at[0]) // BLOCK_SLOTS], pa.int32()), "levels": [levels.tobytes()]})
+
     level = F.floor(500 * F.log2(F.sum("n") + 1)).cast("smallint")
-    found = bounded_batches(docs.select("text")).mapInArrow(count, "slot int, n int").groupBy("slot").agg(level.alias("level")).toPandas()
-    levels = np.zeros(2 * slots, np.int16)
-    levels[found["slot"].to_numpy()] = found["level"].to_numpy()
-    return levels
+    found = bounded_batches(docs.select("text")).mapInArrow(count, "slot int, n int").groupBy("slot").agg(level.alias("level"))
+    # A block is 128 KB in one row: the driver gets at most 512 of them.
+    blocks = found.groupBy(F.expr(f"slot div {BLOCK_SLOTS}")).applyInArrow(block, "block int, levels binary").collect()
+    levels = np.zeros((-(-2 * slots // BLOCK_SLOTS), BLOCK_SLOTS), np.int16)
+    for r in blocks:
+        levels[r["block"]] = np.frombuffer(r["levels"], np.int16)
+    return levels.ravel()[: 2 * slots]
 
 
 def wide_fingerprint(s: np.ndarray) -> np.ndarray:
