@@ -30,8 +30,10 @@ _ODD = np.array([1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB],
 BROADCAST_ROWS = 100_000
 #: Slots of hashes in which the shingles of all documents are counted, as powers of two: one slot for this many bytes of text, between two bounds.
 SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 512, 16, 24
-#: Slots whose levels are sent to the driver as one row.
+#: Slots whose counts, and levels, are one row.
 BLOCK_SLOTS = 1 << 16
+#: Bytes of text that a task of the count reads on average, where there are enough for all cores.
+TASK_BYTES = 256 << 20
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -59,7 +61,8 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
 
     The lesser of a shingle's two slots bounds its count from above. They only order shingles: any order gives the same pairs.
     """
-    slots = slots_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = slots_for(size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(2 * slots, np.int32)
@@ -67,22 +70,25 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
             for text in texts_of(batch):
                 for at in slots_of(shingles(text, width), slots):
                     np.add.at(held, at, np.int32(1))
-        found = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(held[found])], names=["slot", "n"])
+        for k, part in enumerate(np.split(held, range(BLOCK_SLOTS, 2 * slots, BLOCK_SLOTS))):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], names=["block", "counts"])
         pa.default_memory_pool().release_unused()
 
     def block(rows: pa.Table) -> pa.Table:
-        at, levels = rows.column("slot").to_numpy(), np.zeros(BLOCK_SLOTS, np.int16)
-        levels[at % BLOCK_SLOTS] = rows.column("level").to_numpy()
-        return pa.table({"block": pa.array([int(at[0]) // BLOCK_SLOTS], pa.int32()), "levels": [levels.tobytes()]})
+        total = sum(np.frombuffer(c.as_buffer(), np.int32).astype(np.int64) for c in rows.column("counts"))
+        levels = np.floor(500 * np.log2(total + 1)).astype(np.int16)
+        return pa.table({"block": rows.column("block")[:1], "levels": [levels.tobytes()]})
 
-    level = F.floor(500 * F.log2(F.sum("n") + 1)).cast("smallint")
-    found = bounded_batches(docs.select("text")).mapInArrow(count, "slot int, n int").groupBy("slot").agg(level.alias("level"))
+    # Each task sends all slots that it has counted in: few tasks with much text, so that what is sent doesn't grow with slots times splits of the input.
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    found = bounded_batches(docs.select("text").coalesce(tasks)).mapInArrow(count, "block int, counts binary")
     # A block is 128 KB in one row: the driver gets at most 512 of them.
-    blocks = found.groupBy(F.expr(f"slot div {BLOCK_SLOTS}")).applyInArrow(block, "block int, levels binary").collect()
+    blocks = found.groupBy("block").applyInArrow(block, "block int, levels binary").collect()
     levels = np.zeros((-(-2 * slots // BLOCK_SLOTS), BLOCK_SLOTS), np.int16)
     for r in blocks:
-        levels[r["block"]] = np.frombuffer(r["levels"], np.int16)
+        one = np.frombuffer(r["levels"], np.int16)
+        levels[r["block"], : len(one)] = one
     return levels.ravel()[: 2 * slots]
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 import corpus_pipeline as P
 from motionlake.llm import near_copies as N
@@ -70,6 +71,32 @@ def test_slots_grow_and_bound_counts(spark, monkeypatch):
     assert sorted(r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()) == brute(rows)
 
 
+def test_counts_are_sent_in_blocks(spark, monkeypatch):
+    """Each split of the input sent a row for each of its slots: rows grew with slots times splits. Now a task sends a row for 65,536 slots."""
+    sent, plain = [], DataFrame.mapInArrow
+
+    def spy(self, f, schema, *a, **k):
+        out = plain(self, f, schema, *a, **k)
+        sent.append(out)
+        return out
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", spy)
+    rows = [(k, " ".join(f"w{(k * 31 + i * i) % 997}" for i in range(300))) for k in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)
+    levels = N.shingle_counts(docs, 5)
+    blocks = len(levels) // N.BLOCK_SLOTS
+    assert blocks == 2 and len(sent) == 1
+    assert 0 < sent[0].count() <= 2 * spark.sparkContext.defaultParallelism * blocks
+    counts = {}
+    for _, t in rows:
+        for h in N.shingles(t.encode(), 5).tolist():
+            counts[h] = counts.get(h, 0) + 1
+    want = np.zeros(len(levels), np.int64)
+    for at in N.slots_of(np.array(list(counts)), len(levels) // 2):
+        np.add.at(want, at, np.array(list(counts.values())))
+    assert (levels == np.floor(500 * np.log2(want + 1))).all()
+
+
 def test_stage_on_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").limit(600)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
