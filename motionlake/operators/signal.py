@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Samples by which a filtered channel is extended at most, and samples of a chunk on average.
 PAD, CHUNK_SAMPLES = 6, 1024
+#: Samples of short channels that are filtered at once.
+BLOCK_SAMPLES = 1 << 18
 
 
 def argmax_by(df: DataFrame, keys: list[str], index: str, score: str) -> DataFrame:
@@ -53,26 +55,54 @@ def detrend_quadratic(sig: DataFrame, two_sided: bool = False, width: float = 2.
     return sig.join(fit, "scan_id").withColumn("detrended", F.col("y") - drift).drop("_t0", "_a", "_b", "_q")
 
 
-def coefficients(rate: float, cutoff: float, kind: str) -> tuple[float, float, float]:
-    """``b0, b1, a`` of a first-order Butterworth filter, so that ``out[n] = b0 y[n] + b1 y[n-1] - a out[n-1]``."""
-    k = math.tan(math.pi * cutoff / rate)
+def coefficients(rate, cutoff: float, kind: str):
+    """``b0, b1, a`` of a first-order Butterworth filter, so that ``out[n] = b0 y[n] + b1 y[n-1] - a out[n-1]``; arrays for an array of rates."""
+    k = np.tan(np.pi * cutoff / rate)
     b0, b1 = (k, k) if kind == "low" else (1.0, -1.0)
     return b0 / (1 + k), b1 / (1 + k), (k - 1) / (k + 1)
 
 
-def run_filter(y: np.ndarray, b0: float, b1: float, a: float, state: float) -> tuple[np.ndarray, float]:
-    """The filter's output and last state, when it starts in ``state``.
+def run_filter(y: np.ndarray, b0, b1, a, state) -> tuple[np.ndarray, np.ndarray]:
+    """The filter's output and last state along the last axis, when it starts in ``state``.
 
-    A state is what the samples so far add to the next output: ``(b1 - a b0) y[n] - a state[n-1]``, summed up here in
+    Signals of one length go together as rows, with coefficients and states in columns. A state is what the samples so far add to the next output: ``(b1 - a b0) y[n] - a state[n-1]``, summed up here in
     doubling steps.
     """
     states = (b1 - a * b0) * y
-    states[0] -= a * state
+    states[..., :1] -= a * state
     step, factor = 1, -a
-    while step < len(y) and factor:
-        states[step:] = states[step:] + factor * states[:-step]
+    while step < y.shape[-1] and np.any(factor):
+        states[..., step:] = states[..., step:] + factor * states[..., :-step]
         step, factor = 2 * step, factor * factor
-    return b0 * y + np.concatenate([[state], states[:-1]]), float(states[-1])
+    return b0 * y + np.concatenate([np.broadcast_to(state, y[..., :1].shape), states[..., :-1]], axis=-1), states[..., -1][()]
+
+
+def _filter_rows(y: np.ndarray, rate: np.ndarray, cutoff: float, kind: str) -> np.ndarray:
+    """Whole channels of one length, a row each, filtered as :func:`_chunk_starts` tells."""
+    b0, b1, a = coefficients(rate[:, None], cutoff, kind)
+    pad, n = min(PAD, y.shape[1] - 1), y.shape[1]
+    out = np.concatenate([2 * y[:, :1] - y[:, pad:0:-1], y, 2 * y[:, -1:] - y[:, -2 : -pad - 2 : -1]], axis=1)
+    for _ in range(2):
+        out = run_filter(out, b0, b1, a, (b1 - a * (b0 + b1) / (1 + a)) * out[:, :1])[0][:, ::-1]
+    return out[:, pad : pad + n]
+
+
+def _filter_short(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], cutoff: float, kind: str) -> Iterator[pa.RecordBatch]:
+    """Rows ``(*keys, _rate, _t[], _y[])`` of whole channels as one row per sample; many channels pass at once."""
+    for batch in batches:
+        upto = np.cumsum(batch.column("_y").value_lengths().to_numpy(zero_copy_only=False))
+        edges = [0, *(np.flatnonzero(np.diff(upto // BLOCK_SAMPLES)) + 1), batch.num_rows]
+        for first, end in zip(edges, edges[1:]):
+            b = batch.slice(first, end - first)
+            rate, t, y = b.column("_rate").to_numpy(zero_copy_only=False), b.column("_t").flatten(), b.column("_y").flatten()
+            values, size = y.to_numpy(zero_copy_only=False), b.column("_y").value_lengths().to_numpy(zero_copy_only=False)
+            begins, out = np.cumsum(size) - size, np.empty(len(values))
+            for n in np.unique(size):
+                rows = np.flatnonzero(size == n)
+                at = begins[rows][:, None] + np.arange(n)
+                out[at] = _filter_rows(values[at], rate[rows], cutoff, kind)
+            each = pa.array(np.repeat(np.arange(len(size)), size))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(each) for k in keys), t, y, pa.array(out)], names=[*keys, "t", "y", "filtered"])
 
 
 def _chunk_ends(pdf: pd.DataFrame, cutoff: float, kind: str) -> pd.DataFrame:
@@ -118,7 +148,8 @@ def zero_phase(sig: DataFrame, cutoff: float, kind: str, keys: tuple[str, ...] =
     The rate is samples over the time from first to last; samples of equal times are ordered by value. A channel without a rate, or with
     a cutoff from half its rate on, keeps ``y``; of a single sample nothing passes ``"high"``. Rows without ``t`` or ``y`` get null and take no part.
 
-    Channels are cut by time into chunks of ``chunk`` samples on average, which are filtered from zero in parallel. A channel
+    A channel of fewer than ``chunk`` samples is one row, and a task filters many such rows at once. Longer channels are cut by time
+    into chunks of ``chunk`` samples on average, which are filtered from zero in parallel. A channel
     then passes states from chunk to chunk, one row each, and chunks are filtered again from theirs.
     """
     if kind not in ("low", "high"):
@@ -133,11 +164,17 @@ def zero_phase(sig: DataFrame, cutoff: float, kind: str, keys: tuple[str, ...] =
     as_is = F.when(~valid, None).when((F.col("_n") < 2) & F.lit(kind == "high"), 0.0).otherwise(F.col("y"))
     plain = timed.filter(~passes).select(*keys, "t", "y", as_is.alias("filtered"))
 
-    at = F.floor((F.col("t") - F.col("_t0")) * F.col("_rate") / chunk)
     sorted_rows = F.sort_array(F.collect_list(F.struct("t", "y")))
-    chunks = timed.filter(passes).withColumn("_chunk", at).groupBy(*keys, "_rate", "_chunk").agg(sorted_rows.alias("_s"))
+    short = timed.filter(passes & (F.col("_n") < chunk)).groupBy(*keys, "_rate").agg(sorted_rows.alias("_s"))
+    typed = ", ".join(f"`{k}` {sig.schema[k].dataType.simpleString()}" for k in keys)
+    whole = short.select(*keys, "_rate", F.col("_s.t").alias("_t"), F.col("_s.y").alias("_y")).mapInArrow(
+        lambda batches: _filter_short(batches, keys, cutoff, kind), f"{typed}, t double, y double, filtered double"
+    )
+
+    at = F.floor((F.col("t") - F.col("_t0")) * F.col("_rate") / chunk)
+    chunks = timed.filter(passes & (F.col("_n") >= chunk)).withColumn("_chunk", at).groupBy(*keys, "_rate", "_chunk").agg(sorted_rows.alias("_s"))
     chunks = chunks.select(*keys, "_rate", "_chunk", F.col("_s.t").alias("_t"), F.col("_s.y").alias("_y"))
-    names = ", ".join(f"`{k}` {sig.schema[k].dataType.simpleString()}" for k in keys) + ", _rate double, _chunk bigint"
+    names = f"{typed}, _rate double, _chunk bigint"
 
     def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return (_chunk_ends(f, cutoff, kind) for f in frames if len(f))
@@ -145,7 +182,7 @@ def zero_phase(sig: DataFrame, cutoff: float, kind: str, keys: tuple[str, ...] =
     local = chunks.drop("_t").mapInPandas(ends, f"{names}, _m bigint, _head array<double>, _tail array<double>, _fore double, _back double")
     states = local.groupBy(*keys).applyInPandas(
         lambda pdf: _chunk_starts(pdf, cutoff, kind)[[*keys, "_chunk", "_start", "_back_start"]],
-        ", ".join(f"`{k}` {sig.schema[k].dataType.simpleString()}" for k in keys) + ", _chunk bigint, _start double, _back_start double",
+        f"{typed}, _chunk bigint, _start double, _back_start double",
     )
     states = states.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_chunk").alias("_c"), "_start", "_back_start")
 
@@ -157,10 +194,11 @@ def zero_phase(sig: DataFrame, cutoff: float, kind: str, keys: tuple[str, ...] =
                 out.append(run_filter(run_filter(y, *b, start)[0][::-1], *b, back)[0][::-1])
             yield f.assign(_f=out)
 
-    started = chunks.join(states, [*same, F.col("_chunk") == F.col("_c")]).select(*chunks.columns, "_start", "_back_start")
+    # Null-safe, so that no filter is inferred for one of the two uses of the chunks and their shuffle is made once.
+    started = chunks.join(states, [*same, F.col("_chunk").eqNullSafe(F.col("_c"))]).select(*chunks.columns, "_start", "_back_start")
     done = started.mapInPandas(filtered, f"{names}, _t array<double>, _y array<double>, _f array<double>")
     zipped = F.explode(F.arrays_zip("_t", "_y", "_f")).alias("_z")
-    return done.select(*keys, zipped).select(*keys, F.col("_z._t").alias("t"), F.col("_z._y").alias("y"), F.col("_z._f").alias("filtered")).unionByName(plain)
+    return done.select(*keys, zipped).select(*keys, F.col("_z._t").alias("t"), F.col("_z._y").alias("y"), F.col("_z._f").alias("filtered")).unionByName(whole).unionByName(plain)
 
 
 def channel_quality(bands: DataFrame, seconds: float = 50.0, threshold: float = 0.002) -> DataFrame:

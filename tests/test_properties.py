@@ -74,6 +74,22 @@ def test_filter_in_chunks_is_the_filter_of_the_whole(spark, kind, chunk):
     assert signal.zero_phase(df, 1e9, kind, ("scan_id",)).filter("filtered <> y and scan_id <> 7").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["low", "high"])
+def test_short_channels_are_filtered_together(spark, kind):
+    """Each of the many channels of a few samples was a group of its own in Python, at some milliseconds each."""
+    rng = np.random.default_rng(5)
+    rows = [(s, float(a), float(v)) for s in range(400) for a, v in zip(np.sort(rng.choice(900, 2 + s % 11, replace=False)), rng.standard_normal(2 + s % 11))]
+    out = signal.zero_phase(spark.createDataFrame(rows, "scan_id long, t double, y double"), 1e-4, kind, ("scan_id",))
+    got = {(r.scan_id, r.t): r.filtered for r in out.collect()}
+    assert len(got) == len(rows)
+    for s in range(400):
+        part = [(t, y) for k, t, y in rows if k == s]
+        want = plain_filter([y for _, y in part], len(part) / (part[-1][0] - part[0][0]), 1e-4, kind)
+        assert np.allclose([got[s, t] for t, _ in part], want, atol=1e-9)
+    done = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "MapInArrow" in done and "FlatMapGroups" not in done
+
+
 def test_pairs_match_a_two_pointer_loop(spark):
     random.seed(2)
     rows, want = [], {}
