@@ -20,3 +20,22 @@ def test_shuffles_are_by_scan(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
     assert keys and all(re.fullmatch(r"scan_id#\d+L", k) for k in keys), keys
+
+
+@pytest.mark.parametrize("part", ["probes", "matrix"])
+def test_scale_of_a_regulariser_holds_one_probe_in_a_task(spark, monkeypatch, part):
+    """A union partitioned by scan put the sorts of all probes in one task; matrices were summed up in parts for each k."""
+    made, keep = [], queries.tables.materialize
+    monkeypatch.setattr(queries.tables, "materialize", lambda df: made.append(df) or keep(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = queries.QUERIES["i18_regularisation_scale"](spark, SF)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (out, *made)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    if part == "probes":
+        assert "Exchange" in plans[0].split("Union")[0]
+    else:
+        keys = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plans[1])
+        assert len(plans) == 2 and keys and all(re.fullmatch(r"scan_id#\d+L", k) for k in keys), keys
