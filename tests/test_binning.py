@@ -35,3 +35,23 @@ def test_exact_sums_at_all_sizes(spark):
     for s, f in ((1, 1.0), (2, 1e-200), (3, -1e200), (4, 1e-300)):
         near = {r.line_idx: r.center / f for r in got if r.scan_id == s}
         assert all(abs(near[i] - (0.2 if i < 3 else 7.1)) < 1e-9 for i in range(5))
+
+
+def test_means_midway_between_two_decimals_are_rounded_as_in_sql(spark, tmp_path):
+    """A mean of 32 cents has seven decimals; rounded as a decimal it went up where SQL goes down."""
+    import datetime
+
+    import duckdb
+
+    from motionlake.jobs.queries import QUERIES, SQL
+
+    each = [0.06] * 31 + [0.15] + [v for v in (10.0, 20.0, 30.0) for _ in range(32)]
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(u * 1000 + i, at, u, "view", v, "") for u in range(20) for i, v in enumerate(each)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in QUERIES["a6_bin_motion"](spark, str(tmp_path)).select("scan_id", "line_idx", "label", "center").collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = set(duck.execute(f"SELECT scan_id, line_idx, label, center FROM ({SQL['a6_bin_motion']})").fetchall())
+    assert any(r[3] == 0.062812 for r in want)
+    assert got == want
